@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densigrid.llm import ann_forest, bpe, langid, pfair, quality_cnn, url_rules, warc
+from densigrid.llm import ann_forest, bpe, langid, media_copies, order_minhash, pfair, quality_cnn, suffix_dedup, url_rules, warc
 from densigrid.llm.common import table, text_bucket
 
 URL_POLICY = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -66,6 +66,47 @@ def op6_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that start earlier."""
+    found = suffix_dedup.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", *(F.col(f"_{x}").alias(x) for x in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+
+
+def vector_pictures(vectors: DataFrame) -> DataFrame:
+    """(id, media): each vector drawn as a picture of blocks, one a component, and stored as a crop at a place that depends on its id."""
+
+    def draw(batches):
+        import numpy as np
+        import pandas as pd
+
+        for rows in batches:
+            out = []
+            for i, vec in zip(rows["id"], rows["vec"]):
+                v = np.array([x for x in (vec if vec is not None else []) if x is not None and np.isfinite(x)])
+                side = int(np.sqrt(len(v)))
+                if side < 2 or not v.any():
+                    out.append(None)
+                    continue
+                v = v[: side * side].reshape(side, side)
+                img = np.kron(127.5 + 60 * v / np.sqrt((v * v).mean()), np.ones((8, 8)))
+                top, left = i * 7 % 3 * 4, i * 5 % 3 * 4
+                out.append(media_copies.encoded(img[top : top + 8 * side - 8, left : left + 8 * side - 8]))
+            yield pd.DataFrame({"id": rows["id"], "media": out})
+
+    return vectors.mapInPandas(draw, "id long, media binary")
+
+
+def op9_local_descriptor_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the pictures of all embeddings; the tables hold no media, so each vector is drawn as one."""
+    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
+    return media_copies.classes(vector_pictures(vectors)).withColumnRenamed("id", "vec_id")
+
+
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block, window and place in the mix, with equal weights for all sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -73,7 +114,7 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_rp_forest_search, op2_warc_salvage, op3_url_association_rules, op4_kneser_ney_langid, op5_backtracking_bpe, op6_byte_cnn_quality, op10_pfair_mixing]
+    found = [op1_rp_forest_search, op2_warc_salvage, op3_url_association_rules, op4_kneser_ney_langid, op5_backtracking_bpe, op6_byte_cnn_quality, op7_order_minhash, op8_suffix_array_dedup, op9_local_descriptor_copies, op10_pfair_mixing]
     return {f.__name__: f for f in found}
 
 
