@@ -25,7 +25,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_PIECES = 400_000  # encoded pieces and token pairs that a worker remembers; beyond that it starts anew
+CACHE_PIECES = 60_000  # encoded pieces in each of the two generations that a worker remembers; of token pairs four times as many
 SPACE = "\t-\r \x85\xa0  -     　"
 END = "￿"  # stands for the end-of-word suffix within the automaton
 
@@ -38,16 +38,20 @@ def byte_letters() -> list[str]:
 
 
 class Pieces(dict):
-    """Encoded pieces, each worked out when first asked for."""
+    """Encoded pieces, each worked out when first asked for; a full generation becomes the old one, from which pieces still come back."""
 
     def __init__(self, work):
         super().__init__()
-        self.work = work
+        self.work, self.old = work, {}
 
     def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.work(piece)
         if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-        self[piece] = found = self.work(piece)
+        self[piece] = found
         return found
 
 

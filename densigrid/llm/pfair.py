@@ -89,16 +89,17 @@ def numbered(docs: DataFrame, source: str, order: str, seed: int) -> DataFrame:
     """``docs`` with _src and _seq, the number (from 0) of a row within its source in a seeded random order."""
     n = docs.count()
     buckets = max(64, math.isqrt(n))
-    keyed = docs.withColumn("_src", F.col(source)).withColumn("_h", F.xxhash64(F.col(order), F.lit(seed)))
+    # One text key for sources, nulls included, so that the window and the join with the offsets share a partitioning: rows move once.
+    name = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null"))
+    keyed = docs.withColumn("_src", F.col(source)).withColumn("_name", name).withColumn("_h", F.xxhash64(F.col(order), F.lit(seed)))
     keyed = keyed.withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
-    ahead = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy("_src", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(F.col("_src").alias("_os"), F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
-    within = Window.partitionBy("_src", "_b").orderBy("_h", order)
+    ahead = Window.partitionBy("_name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("_name", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_name", "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_name", "_b").orderBy("_h", order)
     return (
-        keyed.withColumn("_i", F.row_number().over(within) - 1)
-        .join(offsets, F.col("_src").eqNullSafe(F.col("_os")) & (F.col("_b") == F.col("_ob")))
-        .withColumn("_seq", F.col("_off") + F.col("_i")).drop("_os", "_ob", "_off", "_i", "_b")
+        keyed.withColumn("_i", F.row_number().over(within) - 1).join(offsets, ["_name", "_b"])
+        .withColumn("_seq", F.col("_off") + F.col("_i")).drop("_name", "_off", "_i", "_b")
     )
 
 

@@ -38,6 +38,7 @@ REACH = LENGTH - GRAM + 1  # grams in a window
 PIECE = 16
 HOT = 8  # contexts of one key in a batch that make it hot there
 BUFFER = 1 << 21  # bytes that a scan works on at a time; longer texts go in overlapping parts
+BATCH_BYTES = 6 << 20  # bytes of text among which the scan enters equal contexts once
 PART_BYTES = 4 << 20  # text behind one part of a shuffle
 LEAST_PARTS = 256
 
@@ -141,8 +142,11 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found, held, size = [], [], 0
+            found, held, size, seen = [], [], 0, 0
             for doc, text in zip(rows["doc"], rows["text"], strict=True):
+                if seen >= BATCH_BYTES:
+                    yield collected(found, held)
+                    found, held, size, seen = [], [], 0, 0
                 data = text.encode() if isinstance(text, str) else b""
                 for at in range(0, max(1, len(data) - LENGTH + 1), BUFFER - LENGTH + 1):
                     part = data[at : at + BUFFER]
@@ -152,11 +156,14 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
                         found.append(runs_of(held))
                         held, size = [], 0
                     held.append((doc, at, part))
-                    size += len(part)
-            if held:
-                found.append(runs_of(held))
-            if not found:
-                continue
+                    size, seen = size + len(part), seen + len(part)
+            yield collected(found, held)
+
+    def collected(found: list, held: list) -> pd.DataFrame:
+        if held:
+            found.append(runs_of(held))
+        out: list = []
+        if found:
             cols = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
             order = np.lexsort((cols["lo"], cols["doc"], cols["b"], cols["a"]))
             cols = _pick(cols, order)
@@ -171,7 +178,7 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
             out += _packed(((many["a"] ^ many["b"]) % np.uint64(parts)).astype(np.int64), SPREAD, many)
             marks = _pick(many, _first_of(many["a"]))
             out += _packed((marks["a"] % np.uint64(parts)).astype(np.int64), MARK, marks)
-            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in RUNS.split(", ")])
+        return pd.DataFrame(out, columns=[x.split(" ")[0] for x in RUNS.split(", ")])
 
     return docs.mapInPandas(work, RUNS)
 
