@@ -1,9 +1,197 @@
-"""All registered queries of the spatial operators and the SQL that each is held against."""
+"""All registered queries of the spatial operators over the driver's tables, and the SQL that each is held against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from densigrid.operators import bins, expand, features, masks, neighbors, raster
+from densigrid.operators.raster import PX
+from densigrid.sources import points as source
+
+TYPES = ["click", "view", "purchase", "signup", "error"]
+MARKED = ["click", "view"]
+UNITS = [[0.1] * 64, [-0.1] * 64, [0.1, -0.1] * 32]
+CLASSES = [(0, "A", 20.0, 60.0), (1, "B", 90.0, 200.0), (2, "A", 40.0, 330.0), (3, "B", 120.0, 450.0)]
+
+
+class Scene:
+    """The inputs that queries share, as lazy DataFrames."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.pts = source.event_points(spark, sf_dir)
+        self.ext = raster.extent(self.pts)
+        self.pres = raster.presence(self.pts)
+        self.chan = raster.channel_sum(self.pres.where(F.col("target").isin(*MARKED)))
+
+    def of(self, *targets) -> DataFrame:
+        return self.pres.where(F.col("target").isin(*targets)).select(*PX).distinct()
+
+    def not_of(self, target) -> DataFrame:
+        return self.pres.where(F.col("target") != target).select(*PX).distinct()
+
+    def dense(self) -> DataFrame:
+        return raster.box_sum(self.chan, self.ext, 10).where(F.col("v") > 4).select(*PX)
+
+    def tiles(self) -> DataFrame:
+        """Labels that SQL can repeat: occupied pixels by tiles of 50."""
+        lab = (F.floor(F.col("r") / 50) * 1000 + F.floor(F.col("c") / 50) + 1).cast("int")
+        return self.pres.select(*PX).distinct().withColumn("label", lab)
+
+    def few(self, cut: int = 7) -> DataFrame:
+        return self.pts.where(F.col("event_id") % cut == 0).select("fov", F.col("event_id").alias("id"), "r", "c")
+
+    def seed(self) -> DataFrame:
+        """Pixels of purchases of every 40th event, with labels by tile: a sparse seed."""
+        return self.pts.where(F.col("event_id") % 40 == 0).select(*PX, (F.floor(F.col("r") / 50) * 1000 + F.floor(F.col("c") / 50) + 1).cast("int").alias("label")).distinct()
+
+    def seeds(self) -> DataFrame:
+        rows = [(f"F{i}", *c) for i in range(4) for c in CLASSES]
+        return self.spark.createDataFrame(rows, "fov string, idx int, class string, cx double, cy double")
+
+
+PTS = """pts AS (SELECT 'F' || CAST(CAST(floor((day(ts) - 1) / 10) AS INTEGER) AS VARCHAR) AS fov, CAST(floor(value) AS INTEGER) AS r, CAST(user_id AS INTEGER) AS c, event_type AS target, event_id FROM events),
+ext AS (SELECT fov, max(r) + 1 AS h, max(c) + 1 AS w FROM pts GROUP BY fov),
+pres AS (SELECT DISTINCT fov, r, c, target FROM pts),
+chan AS (SELECT fov, r, c, count(*) AS v FROM pres WHERE target IN ('click', 'view') GROUP BY fov, r, c),
+grid AS (SELECT fov, r, c FROM (SELECT fov, w, unnest(range(h))::INTEGER AS r FROM ext) g, LATERAL (SELECT unnest(range(g.w))::INTEGER AS c) x),
+a AS (SELECT DISTINCT fov, r, c FROM pres WHERE target = 'click'),
+b AS (SELECT DISTINCT fov, r, c FROM pres WHERE target <> 'click'),
+occ AS (SELECT DISTINCT fov, r, c FROM pres),
+tiles AS (SELECT fov, r, c, CAST(floor(r / 50) * 1000 + floor(c / 50) + 1 AS INTEGER) AS label FROM occ),
+few AS (SELECT fov, event_id AS id, r, c FROM pts WHERE event_id % 7 = 0),
+seed AS (SELECT DISTINCT fov, r, c, CAST(floor(r / 50) * 1000 + floor(c / 50) + 1 AS INTEGER) AS label FROM pts WHERE event_id % 40 = 0)"""
+MIRROR = """mr AS (SELECT c.fov, unnest(list_filter([r, CASE WHEN r > 0 AND r <= {k} THEN -r END, CASE WHEN r >= h - 1 - {k} AND r < h - 1 THEN 2 * (h - 1) - r END], lambda x: x IS NOT NULL)) AS r, c, v, h, w FROM chan c JOIN ext USING (fov)),
+mir AS (SELECT fov, r, unnest(list_filter([c, CASE WHEN c > 0 AND c <= {k} THEN -c END, CASE WHEN c >= w - 1 - {k} AND c < w - 1 THEN 2 * (w - 1) - c END], lambda x: x IS NOT NULL)) AS c, v, h, w FROM mr)"""
+CONV = MIRROR.format(k=10) + """,
+conv AS (SELECT fov, r - dy AS r, c - dx AS c, sum(v) AS v FROM mir, (SELECT unnest(range(-5, 5))::INTEGER AS dy) y, (SELECT unnest(range(-5, 5))::INTEGER AS dx) x
+  WHERE r - dy >= 0 AND r - dy < h AND c - dx >= 0 AND c - dx < w GROUP BY ALL),
+dense AS (SELECT fov, r, c FROM conv WHERE v > 4)"""
+NEAR = """off AS (SELECT dy, dx FROM (SELECT unnest(range(-{d}, {d} + 1))::INTEGER AS dy), (SELECT unnest(range(-{d}, {d} + 1))::INTEGER AS dx) WHERE dy * dy + dx * dx <= {d} * {d} AND dy * dy + dx * dx > 0),
+near AS (SELECT s.fov, s.r + dy AS r, s.c + dx AS c, min(dy * dy + dx * dx) AS d2, arg_min(s.label, (dy * dy + dx * dx, s.r, s.c)) AS label
+  FROM seed s, off JOIN ext e ON true WHERE s.fov = e.fov AND s.r + dy >= 0 AND s.r + dy < h AND s.c + dx >= 0 AND s.c + dx < w GROUP BY s.fov, s.r + dy, s.c + dx),
+free AS (SELECT n.* FROM near n ANTI JOIN seed s ON n.fov = s.fov AND n.r = s.r AND n.c = s.c)"""
+RING = "CASE WHEN d2 <= 4 THEN 2 WHEN d2 <= 16 THEN 4 ELSE 6 END"
+COMP = """px AS (SELECT fov, r, c FROM occ), start AS (SELECT fov, r, c, CAST(r AS BIGINT) * 100000 + c AS lab FROM px),
+cc AS (SELECT fov, r, c, max(m) AS lab FROM (SELECT * FROM (WITH RECURSIVE cc(fov, r, c, lab) USING KEY (fov, r, c) AS (
+  SELECT fov, r, c, lab FROM start UNION
+  SELECT p.fov, p.r, p.c, min(q.lab) AS lab FROM recurring.cc p JOIN cc q ON p.fov = q.fov AND abs(p.r - q.r) <= 1 AND abs(p.c - q.c) <= 1 GROUP BY p.fov, p.r, p.c HAVING min(q.lab) < any_value(p.lab))
+  SELECT fov, r, c, lab AS m FROM cc)) GROUP BY fov, r, c),
+labelled AS (SELECT fov, r, c, CAST(dense_rank() OVER (PARTITION BY fov ORDER BY lab) AS INTEGER) AS label FROM cc)"""
+PAIRS = """pairs AS (SELECT p.fov, p.id, p.r, p.c, q.id AS id2, q.r AS r2, q.c AS c2 FROM few p JOIN few q ON p.fov = q.fov AND (p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c) <= 25),
+cnt AS (SELECT fov, id, r, c, count(*) AS n FROM pairs GROUP BY ALL)"""
+SEEDS = "seeds AS (SELECT 'F' || i AS fov, idx, class, cx, cy FROM (SELECT unnest(range(4))::INTEGER AS i), (VALUES " + ", ".join(f"({i}, '{k}', {x}, {y})" for i, k, x, y in CLASSES) + ") t(idx, class, cx, cy))"
+COUNTS = ", ".join(f"CAST(count(CASE WHEN target = '{t}' THEN 1 END) AS BIGINT) AS {t}" for t in TYPES)
+OBJECT = """count(*) AS area, round(avg(r), 6) AS centroid_y, round(avg(c), 6) AS centroid_x, min(r) AS min_row, min(c) AS min_col, max(r) + 1 AS max_row, max(c) + 1 AS max_col"""
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def _region_counts(s: Scene) -> DataFrame:
+    return features.counts(s.dense(), s.pres, ["click", "view", "error"], ["fov"]).join(features.bulk(s.dense()), "fov")
+
+
+def _objects(rows: DataFrame) -> DataFrame:
+    return _rounded(features.objects(rows), "centroid_y", "centroid_x").drop("eccentricity")
+
+
+def _lineitem(s: Scene) -> DataFrame:
+    li = s.spark.read.parquet(f"{s.sf_dir}/lineitem.parquet")
+    pts = li.select(F.col("l_suppkey").alias("fov"), F.col("l_quantity").cast("int").alias("r"), F.rint(F.col("l_discount") * 100).cast("int").alias("c"), F.concat("l_returnflag", "l_linestatus").alias("target"))
+    return pts.dropDuplicates().groupBy("fov", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sql(tail: str, *parts: str, recursive: bool = False) -> str:
+    return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join([PTS, *parts]) + "\n" + tail
+
+
+BIN_SQL = "b10 AS (SELECT fov, CAST(floor(r / 10) AS BIGINT) AS bx, CAST(floor(c / 10) AS BIGINT) AS by_, " + COUNTS + ", round(avg(r), 6) AS x_mean, round(avg(c), 6) AS y_mean FROM pts GROUP BY 1, 2, 3), bt AS (SELECT *, click + view + purchase + signup + error AS total FROM b10)"
+
+# name: (query, SQL or None)
+CATALOG = {
+    "region_bulk_counts": (_region_counts, _sql("SELECT d.fov, CAST(count(CASE WHEN target = 'click' THEN 1 END) AS BIGINT) AS click, CAST(count(CASE WHEN target = 'view' THEN 1 END) AS BIGINT) AS view, CAST(count(CASE WHEN target = 'error' THEN 1 END) AS BIGINT) AS error, count(DISTINCT (d.r, d.c)) AS area FROM dense d LEFT JOIN pres p ON d.fov = p.fov AND d.r = p.r AND d.c = p.c GROUP BY d.fov", CONV)),
+    "clean_points": (lambda s: source.clean(s.pts.select("fov", F.col("r").alias("x"), F.col("c").alias("y"), "target")).groupBy("fov", "target").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("sr"), F.sum("c").alias("sc")),
+        _sql("SELECT fov, target, count(*) AS n, CAST(sum(r - r0) AS BIGINT) AS sr, CAST(sum(c - c0) AS BIGINT) AS sc FROM pts JOIN (SELECT fov, min(r) AS r0, min(c) AS c0 FROM pts WHERE NOT regexp_matches(target, 'System|egative') GROUP BY fov) USING (fov) WHERE NOT regexp_matches(target, 'System|egative') GROUP BY ALL")),
+    "extent": (lambda s: s.ext, _sql("SELECT * FROM ext")),
+    "presence_raster": (lambda s: s.pres, _sql("SELECT * FROM pres")),
+    "presence_collapse": (_lineitem, "SELECT l_suppkey AS fov, l_returnflag || l_linestatus AS target, count(DISTINCT (CAST(trunc(l_quantity) AS INTEGER), CAST(round_even(l_discount * 100, 0) AS INTEGER))) AS n FROM lineitem GROUP BY ALL"),
+    "gene_subset": (lambda s: raster.subset(s.pres, ["view", "click", "view", "none"]), _sql("SELECT fov, r, c, target, channel FROM pres JOIN (VALUES ('view', 0), ('click', 1), ('view', 2), ('none', 3)) t(target, channel) USING (target)")),
+    "channel_sum": (lambda s: s.chan, _sql("SELECT * FROM chan")),
+    "target_value_counts": (lambda s: s.pts.groupBy("target").agg(F.count(F.lit(1)).alias("n")), _sql("SELECT target, count(*) AS n FROM pts GROUP BY target")),
+    "conv_square": (lambda s: raster.density(s.chan, s.ext, 10, "square"), _sql("SELECT fov, r, c, CAST(v AS BIGINT) AS v FROM conv", CONV)),
+    "conv_circle": (lambda s: raster.density(s.chan, s.ext, 5, "circle"), _sql("SELECT fov, r - dy AS r, c - dx AS c, CAST(sum(v) AS BIGINT) AS v FROM mir, (VALUES " + ", ".join(map(str, raster.ellipse_offsets(5))) + ") o(dy, dx) WHERE r - dy >= 0 AND r - dy < h AND c - dx >= 0 AND c - dx < w GROUP BY ALL", MIRROR.format(k=5))),
+    "density_high": (lambda s: s.dense(), _sql("SELECT * FROM dense", CONV)),
+    "density_low": (lambda s: features.bulk(raster.threshold(raster.box_sum(s.chan, s.ext, 10), s.ext, 2, "lower")), _sql("SELECT fov, count(*) AS area FROM grid g LEFT JOIN conv v USING (fov, r, c) WHERE coalesce(v.v, 0) < 2 GROUP BY fov", CONV)),
+    "mask_union": (lambda s: masks.union(s.of("click"), s.not_of("click")), _sql("SELECT * FROM a UNION SELECT * FROM b")),
+    "mask_intersect": (lambda s: masks.intersect(s.of("click"), s.not_of("click")), _sql("SELECT * FROM a INTERSECT SELECT * FROM b")),
+    "mask_subtract": (lambda s: masks.subtract(s.of("click"), s.not_of("click")), _sql("SELECT * FROM a EXCEPT SELECT * FROM b")),
+    "mask_complement": (lambda s: features.bulk(masks.complement(s.of("click"), s.ext)), _sql("SELECT fov, count(*) AS area FROM (SELECT fov, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c FROM grid EXCEPT SELECT * FROM a) GROUP BY fov")),
+    "mask_ones": (lambda s: features.bulk(expand.ones(s.ext)), _sql("SELECT fov, CAST(h AS BIGINT) * w AS area FROM ext")),
+    "mask_transpose": (lambda s: masks.transpose(s.of("click")), _sql("SELECT fov, c AS r, r AS c FROM a")),
+    "dilate": (lambda s: masks.dilate(s.of("click"), s.ext, 3), _sql("SELECT DISTINCT a.fov, a.r + dy AS r, a.c + dx AS c FROM a JOIN ext USING (fov), (SELECT unnest(range(-1, 2))::INTEGER AS dy), (SELECT unnest(range(-1, 2))::INTEGER AS dx) WHERE a.r + dy >= 0 AND a.r + dy < h AND a.c + dx >= 0 AND a.c + dx < w")),
+    "erode": (lambda s: masks.erode(s.dense(), s.ext, 3), _sql("SELECT d.fov, d.r, d.c FROM dense d JOIN ext USING (fov) JOIN dense n ON n.fov = d.fov AND abs(n.r - d.r) <= 1 AND abs(n.c - d.c) <= 1 GROUP BY d.fov, d.r, d.c, h, w HAVING count(*) = (least(d.r + 1, h - 1) - greatest(d.r - 1, 0) + 1) * (least(d.c + 1, w - 1) - greatest(d.c - 1, 0) + 1)", CONV)),
+    "mask_open": (lambda s: features.bulk(masks.morphology(s.dense(), s.ext, "open", 3)), _sql("SELECT fov, count(DISTINCT (e.r + dy, e.c + dx)) AS area FROM er e JOIN ext USING (fov), (SELECT unnest(range(-1, 2))::INTEGER AS dy), (SELECT unnest(range(-1, 2))::INTEGER AS dx) WHERE e.r + dy >= 0 AND e.r + dy < h AND e.c + dx >= 0 AND e.c + dx < w GROUP BY fov", CONV, "er AS (SELECT d.fov, d.r, d.c FROM dense d JOIN ext USING (fov) JOIN dense n ON n.fov = d.fov AND abs(n.r - d.r) <= 1 AND abs(n.c - d.c) <= 1 GROUP BY d.fov, d.r, d.c, h, w HAVING count(*) = (least(d.r + 1, h - 1) - greatest(d.r - 1, 0) + 1) * (least(d.c + 1, w - 1) - greatest(d.c - 1, 0) + 1))")),
+    "mask_close": (lambda s: features.bulk(masks.morphology(s.of("click"), s.ext, "close", 3)), None),
+    "label_area_filter": (lambda s: masks.labelled_area_filter(s.tiles(), 150), _sql("SELECT * FROM tiles SEMI JOIN (SELECT fov, label FROM tiles GROUP BY ALL HAVING count(*) >= 150) USING (fov, label)")),
+    "connected_components": (lambda s: masks.label(s.tiles()).groupBy("fov", "label").agg(F.count(F.lit(1)).alias("area"), F.sum("r").alias("sr")), _sql("SELECT fov, label, count(*) AS area, CAST(sum(r) AS BIGINT) AS sr FROM labelled GROUP BY fov, label", COMP, recursive=True)),
+    "binary_area_filter": (lambda s: features.bulk(masks.area_filter(s.tiles(), 3)), _sql("SELECT fov, CAST(sum(n) AS BIGINT) AS area FROM (SELECT fov, label, count(*) AS n FROM labelled GROUP BY ALL HAVING count(*) >= 3) GROUP BY fov", COMP, recursive=True)),
+    "fill_holes": (lambda s: features.bulk(masks.fill_holes(s.dense(), s.ext)), None),
+    "bulk_features": (lambda s: features.bulk(s.dense()), _sql("SELECT fov, count(*) AS area FROM dense GROUP BY fov", CONV)),
+    "object_features": (lambda s: _objects(s.tiles()), _sql(f"SELECT fov, label, {OBJECT} FROM tiles GROUP BY fov, label")),
+    "object_features_components": (lambda s: _objects(masks.label(s.tiles())), _sql(f"SELECT fov, label, {OBJECT} FROM labelled GROUP BY fov, label", COMP, recursive=True)),
+    "object_eccentricity": (lambda s: features.objects(s.tiles()).select("fov", "label", F.round("eccentricity", 4).alias("eccentricity")),
+        _sql("SELECT fov, label, CASE WHEN a + b + q > 0 THEN round(sqrt(greatest(0, 1 - (a + b - q) / (a + b + q))), 4) ELSE 0.0 END AS eccentricity FROM (SELECT *, sqrt((a - b) * (a - b) + 4 * m * m) AS q FROM (SELECT fov, label, var_pop(r) AS a, var_pop(c) AS b, covar_pop(r, c) AS m FROM tiles GROUP BY fov, label))")),
+    "object_gene_counts": (lambda s: features.counts(s.tiles(), s.pres, TYPES, ["fov", "label"]), _sql(f"SELECT fov, label, {COUNTS} FROM tiles LEFT JOIN pres USING (fov, r, c) GROUP BY fov, label")),
+    "grid_features": (lambda s: _rounded(features.grid_tiles(s.tiles(), 10).groupBy("fov", "label", "tile_y", "tile_x").agg(F.count(F.lit(1)).alias("area"), F.avg("c").alias("x"), F.avg("r").alias("y")), "x", "y"),
+        _sql("SELECT fov, label, CAST(floor(r / 10) * 10 AS INTEGER) AS tile_y, CAST(floor(c / 10) * 10 AS INTEGER) AS tile_x, count(*) AS area, round(avg(c), 6) AS x, round(avg(r), 6) AS y FROM tiles GROUP BY 1, 2, 3, 4")),
+    "grid_gene_counts": (lambda s: features.counts(features.grid_tiles(s.tiles(), 10), s.pres, TYPES, ["fov", "label", "tile_y", "tile_x"]),
+        _sql(f"SELECT fov, label, CAST(floor(r / 10) * 10 AS INTEGER) AS tile_y, CAST(floor(c / 10) * 10 AS INTEGER) AS tile_x, {COUNTS} FROM tiles LEFT JOIN pres USING (fov, r, c) GROUP BY 1, 2, 3, 4")),
+    "pipeline_union": (lambda s: features.bulk(s.dense()).select("fov", F.lit("bulk").alias("object_id"), F.lit("dense").alias("mask_name"), "area").unionByName(
+        features.objects(s.tiles()).select("fov", F.col("label").cast("string").alias("object_id"), F.lit("tiles").alias("mask_name"), "area")),
+        _sql("SELECT fov, 'bulk' AS object_id, 'dense' AS mask_name, count(*) AS area FROM dense GROUP BY fov UNION ALL SELECT fov, CAST(label AS VARCHAR), 'tiles', count(*) FROM tiles GROUP BY fov, label", CONV)),
+    "ring_expansion": (lambda s: expand.rings(s.seed(), s.ext, [6, 2, 4, 2]), _sql(f"SELECT fov, r, c, {RING} AS ring FROM free", NEAR.format(d=6))),
+    "ring_constrained": (lambda s: expand.rings(s.seed(), s.ext, [2, 4, 6], s.dense()), _sql(f"SELECT fov, r, c, {RING} AS ring FROM free SEMI JOIN dense USING (fov, r, c)", CONV, NEAR.format(d=6))),
+    "ring_area_filtered": (lambda s: expand.rings(s.seed(), s.ext, [2, 4], None, 30).groupBy("fov", "ring").agg(F.count(F.lit(1)).alias("area")), None),
+    "constraint_remaining": (lambda s: expand.constraint_remaining(s.dense(), expand.rings(s.seed(), s.ext, [2, 4, 6], s.dense())), _sql("SELECT * FROM dense ANTI JOIN free USING (fov, r, c)", CONV, NEAR.format(d=6))),
+    "nearest_label": (lambda s: expand.nearest_within(s.seed(), s.ext, 6).select(*PX, "d2", "label"), _sql("SELECT fov, r, c, CAST(d2 AS INTEGER) AS d2, label FROM free", NEAR.format(d=6))),
+    "label_propagation": (lambda s: expand.propagate(s.seed(), s.ext, [2, 4]), None),
+    "hierarchy_map": (lambda s: features.hierarchy(s.seed(), s.tiles()), _sql("SELECT s.fov, s.label, list_sort(list_distinct(list(t.label))) AS parent_ids FROM seed s LEFT JOIN tiles t USING (fov, r, c) GROUP BY s.fov, s.label")),
+    "overlap_label_mask": (lambda s: _rounded(features.overlap(s.tiles().withColumnRenamed("label", "cell"), s.of("click").withColumn("mask", F.lit("a")).union(s.not_of("click").withColumn("mask", F.lit("b")))), "percent"),
+        _sql("SELECT fov, cell, mask, coalesce(n, 0) AS n, round(coalesce(100.0 * n / sum(n) OVER (PARTITION BY fov, cell), 0), 6) AS percent FROM (SELECT DISTINCT fov, label AS cell, mask FROM tiles, (VALUES ('a'), ('b')) m(mask)) LEFT JOIN (SELECT fov, label AS cell, mask, count(*) AS n FROM tiles JOIN (SELECT *, 'a' AS mask FROM a UNION ALL SELECT *, 'b' FROM b) USING (fov, r, c) GROUP BY ALL) USING (fov, cell, mask)")),
+    "radius_neighbor_count": (lambda s: neighbors.neighbor_count(s.few(), 5), _sql("SELECT * FROM cnt", PAIRS)),
+    "neighbor_raster": (lambda s: neighbors.neighbor_raster(s.few(), 5), _sql("SELECT fov, r, c, arg_max(n, id) AS v FROM cnt GROUP BY fov, r, c", PAIRS)),
+    "points_with_neighbors": (lambda s: neighbors.dense_points(s.few(), 5, 2), _sql("SELECT * FROM cnt WHERE n > 2", PAIRS)),
+    "dbscan": (lambda s: neighbors.dbscan(s.few(), 5, 3), None),
+    "cluster_circle": (lambda s: neighbors.cluster_circles(s.tiles().select("fov", F.col("label").alias("cluster"), "r", "c"), 5).select("fov", "cluster", "n", F.round("cy", 4).alias("cy"), F.round("cx", 4).alias("cx"), F.round("radius", 4).alias("radius")),
+        _sql("SELECT t.fov, t.label AS cluster, n, round(cy, 4) AS cy, round(cx, 4) AS cx, round(greatest(max(sqrt((r - cy) * (r - cy) + (c - cx) * (c - cx))), 2.0), 4) AS radius FROM tiles t JOIN (SELECT fov, label, avg(r) AS cy, avg(c) AS cx, count(*) AS n FROM tiles GROUP BY fov, label) m USING (fov, label) GROUP BY t.fov, t.label, n, cy, cx")),
+    "convex_hull": (lambda s: neighbors.convex_hulls(s.tiles().select("fov", F.col("label").alias("cluster"), "r", "c")), None),
+    "bin_pivot": (lambda s: _rounded(bins.bin_counts(s.pts, 10, TYPES), "x_mean", "y_mean").select("fov", "bx", F.col("by").alias("by_"), *TYPES, "x_mean", "y_mean", "total"), _sql("SELECT * FROM bt", BIN_SQL)),
+    "bin_preprocess": (lambda s: bins.normalised(bins.bin_counts(s.pts, 10, TYPES), TYPES, 2).select("fov", "bx", F.col("by").alias("by_"), "total", *(F.round(t, 6).alias(t) for t in TYPES), F.col("n_targets").cast("bigint").alias("n_targets")),
+        _sql("SELECT fov, bx, by_, total, " + ", ".join(f"round(ln(1 + {t} * (SELECT median(total) FROM bt WHERE total >= 2) / total), 6) AS {t}" for t in TYPES) + ", CAST(" + " + ".join(f"({t} > 0)::INT" for t in TYPES) + " AS BIGINT) AS n_targets FROM bt WHERE total >= 2", BIN_SQL)),
+    "som_assign": (lambda s: bins.assigned(s.spark.read.parquet(f"{s.sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", UNITS).select("vec_id", "unit"),
+        "WITH u AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {u}::DOUBLE[])" for i, u in enumerate(UNITS)) + ") t(unit, w)) SELECT vec_id, CAST(arg_min(unit, (list_sum(list_transform(list_zip(embedding, w), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))), unit)) AS INTEGER) AS unit FROM embeddings, u GROUP BY vec_id"),
+    "cluster_sizes": (lambda s: s.spark.read.parquet(f"{s.sf_dir}/embeddings.parquet").groupBy("label").agg(F.count(F.lit(1)).alias("n")), "SELECT label, count(*) AS n FROM embeddings GROUP BY label"),
+    "marker_ttest": (lambda s: bins.markers(bins.bin_counts(s.pts, 10, TYPES), "fov", TYPES, 3).select("grp", "target", F.round("score", 4).alias("score")),
+        _sql("SELECT grp, target, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, target) AS rk FROM (SELECT grp, target, (s / n - (ts - s) / (tn - n)) / sqrt((q - s * s / n) / (n - 1) / n + ((tq - q) - (ts - s) * (ts - s) / (tn - n)) / (tn - n - 1) / (tn - n)) AS score FROM (SELECT fov AS grp, target, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS s, sum(v * v)::DOUBLE AS q FROM lng GROUP BY fov, target) JOIN (SELECT target, count(*)::DOUBLE AS tn, sum(v)::DOUBLE AS ts, sum(v * v)::DOUBLE AS tq FROM lng GROUP BY target) USING (target))) WHERE rk <= 3",
+             BIN_SQL, "lng AS (UNPIVOT (SELECT fov, click, view, purchase, signup, error FROM bt) ON click, view, purchase, signup, error INTO NAME target VALUE v)")),
+    "cluster_image": (lambda s: features.bulk(s.ext.join(bins.bin_counts(s.pts, 10, TYPES).where(F.col("total") >= 2), "fov").select("fov", F.explode(F.sequence(F.col("bx") * 10, F.col("bx") * 10 + 9)).alias("r"), F.col("by")).select("fov", "r", F.explode(F.sequence(F.col("by") * 10, F.col("by") * 10 + 9)).alias("c"))),
+        _sql("SELECT fov, CAST(count(*) * 100 AS BIGINT) AS area FROM bt WHERE total >= 2 GROUP BY fov", BIN_SQL)),
+    "class_regions": (lambda s: expand.class_regions(s.pres.select(*PX).distinct(), s.seeds()),
+        _sql("SELECT o.fov, o.r, o.c, arg_min(class, ((o.c - cx) * (o.c - cx) + (o.r - cy) * (o.r - cy), idx)) AS class FROM occ o JOIN seeds USING (fov) GROUP BY o.fov, o.r, o.c", SEEDS)),
+    "class_limited_rings": (lambda s: expand.class_limited_rings(s.seed().select(*PX, F.col("label").alias("parent"), F.when(F.col("label") % 2 == 0, "A").otherwise("B").alias("class")), s.ext, s.seeds(), 3), None),
+}
+
+
+def _query(make):
+    return lambda spark, sf_dir: make(Scene(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {}
+    return {name: _query(make) for name, (make, _) in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in CATALOG.items() if sql}
