@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from densigrid.llm.common import blocks_of, written
 
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM + 1  # grams in a window
-PIECE = 16
+PIECE = 24  # windows of a piece; they share LENGTH - PIECE + 1 bytes
 HOT = 8  # contexts of one key in a batch that make it hot there
 BUFFER = 1 << 21  # bytes that a scan works on at a time; longer texts go in overlapping parts
 BATCH_BYTES = 6 << 20  # bytes of text among which the scan enters equal contexts once
@@ -452,9 +453,13 @@ def _whole_letters(data: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np
 
 
 def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose result is written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of steps whose result is written: Python lets go of their plans, then the JVM does, and the
+    cleaner has a moment to tell the executors."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def _ordered(docs: DataFrame, id_col: str) -> DataFrame:
