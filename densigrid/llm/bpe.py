@@ -25,7 +25,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_PIECES = 60_000  # encoded pieces in each of the two generations that a worker remembers; of token pairs four times as many
+CACHE_PIECES = 120_000  # encoded pieces in each of the two generations that a worker remembers; of token pairs four times as many
 SPACE = "\t-\r \x85\xa0  -     　"
 END = "￿"  # stands for the end-of-word suffix within the automaton
 
