@@ -87,6 +87,6 @@ def convex_hulls(clustered: DataFrame) -> DataFrame:
                 part.append(p)
             ring += part[:-1]
         rings = [[{"x": x, "y": y} for x, y in [*ring, ring[0]]]] if len(ring) >= 3 else []
-        return pd.DataFrame({"fov": [px["fov"].iloc[0]] * len(rings), "cluster": [px["cluster"].iloc[0]] * len(rings), "ring": rings})
+        return pd.DataFrame({"fov": [px["fov"].iloc[0]] * len(rings), "cluster": [px["cluster"].iloc[0]] * len(rings), "ring": pd.Series(rings, dtype=object)})
 
     return clustered.where(F.col("cluster") >= 0).groupBy("fov", "cluster").applyInPandas(work, "fov string, cluster int, ring array<struct<x:int,y:int>>")
