@@ -86,7 +86,8 @@ def convex_hulls(clustered: DataFrame) -> DataFrame:
                     part.pop()
                 part.append(p)
             ring += part[:-1]
-        rings = [[{"x": x, "y": y} for x, y in [*ring, ring[0]]]] if len(ring) >= 3 else []
-        return pd.DataFrame({"fov": [px["fov"].iloc[0]] * len(rings), "cluster": [px["cluster"].iloc[0]] * len(rings), "ring": pd.Series(rings, dtype=object)})
+        rings = [[*ring, ring[0]]] if len(ring) >= 3 else []
+        return pd.DataFrame({"fov": [px["fov"].iloc[0]] * len(rings), "cluster": [px["cluster"].iloc[0]] * len(rings), "xs": pd.Series([[x for x, _ in k] for k in rings], dtype=object), "ys": pd.Series([[y for _, y in k] for k in rings], dtype=object)})
 
-    return clustered.where(F.col("cluster") >= 0).groupBy("fov", "cluster").applyInPandas(work, "fov string, cluster int, ring array<struct<x:int,y:int>>")
+    found = clustered.where(F.col("cluster") >= 0).groupBy("fov", "cluster").applyInPandas(work, "fov string, cluster int, xs array<int>, ys array<int>")
+    return found.select("fov", "cluster", F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("ring"))
