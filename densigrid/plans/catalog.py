@@ -167,7 +167,7 @@ CATALOG = {
     "dbscan": (lambda s: neighbors.dbscan(s.few(), 5, 3), None),
     "cluster_circle": (lambda s: neighbors.cluster_circles(s.tiles().select("fov", F.col("label").alias("cluster"), "r", "c"), 5).select("fov", "cluster", "n", F.round("cy", 4).alias("cy"), F.round("cx", 4).alias("cx"), F.round("radius", 4).alias("radius")),
         _sql("SELECT t.fov, t.label AS cluster, n, round(cy, 4) AS cy, round(cx, 4) AS cx, round(greatest(max(sqrt((r - cy) * (r - cy) + (c - cx) * (c - cx))), 2.0), 4) AS radius FROM tiles t JOIN (SELECT fov, label, avg(r) AS cy, avg(c) AS cx, count(*) AS n FROM tiles GROUP BY fov, label) m USING (fov, label) GROUP BY t.fov, t.label, n, cy, cx")),
-    "convex_hull": (lambda s: neighbors.convex_hulls(s.tiles().select("fov", F.col("label").alias("cluster"), "r", "c")), None),
+    "convex_hull": (lambda s: neighbors.convex_hulls(s.tiles().select("fov", F.col("label").alias("cluster"), "r", "c")).select("fov", "cluster", F.posexplode("ring").alias("place", "p")).select("fov", "cluster", "place", "p.x", "p.y"), None),
     "bin_pivot": (lambda s: _rounded(bins.bin_counts(s.pts, 10, TYPES), "x_mean", "y_mean").select("fov", "bx", F.col("by").alias("by_"), *TYPES, "x_mean", "y_mean", "total"), _sql("SELECT * FROM bt", BIN_SQL)),
     "bin_preprocess": (lambda s: bins.normalised(bins.bin_counts(s.pts, 10, TYPES), TYPES, 2).select("fov", "bx", F.col("by").alias("by_"), "total", *(F.round(t, 6).alias(t) for t in TYPES), F.col("n_targets").cast("bigint").alias("n_targets")),
         _sql("SELECT fov, bx, by_, total, " + ", ".join(f"round(ln(1 + {t} * (SELECT median(total) FROM bt WHERE total >= 2) / total), 6) AS {t}" for t in TYPES) + ", CAST(" + " + ".join(f"({t} > 0)::INT" for t in TYPES) + " AS BIGINT) AS n_targets FROM bt WHERE total >= 2", BIN_SQL)),
