@@ -87,7 +87,9 @@ def convex_hulls(clustered: DataFrame) -> DataFrame:
                 part.append(p)
             ring += part[:-1]
         rings = [[*ring, ring[0]]] if len(ring) >= 3 else []
-        return pd.DataFrame({"fov": [px["fov"].iloc[0]] * len(rings), "cluster": [px["cluster"].iloc[0]] * len(rings), "xs": pd.Series([[x for x, _ in k] for k in rings], dtype=object), "ys": pd.Series([[y for _, y in k] for k in rings], dtype=object)})
+        typed = lambda v, kind: pd.Series(v, index=range(len(rings)), dtype=kind)
+        return pd.DataFrame({"fov": typed([px["fov"].iloc[0]] * len(rings), object), "cluster": typed([px["cluster"].iloc[0]] * len(rings), "int32"),
+                             "xs": typed([[x for x, _ in k] for k in rings], object), "ys": typed([[y for _, y in k] for k in rings], object)})
 
     found = clustered.where(F.col("cluster") >= 0).groupBy("fov", "cluster").applyInPandas(work, "fov string, cluster int, xs array<int>, ys array<int>")
     return found.select("fov", "cluster", F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("ring"))
