@@ -44,3 +44,68 @@ def markers(rows: DataFrame, group: str, targets: list[str], top: int) -> DataFr
 
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "target"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def rank_sums(rows: DataFrame, group: str, targets: list[str]) -> DataFrame:
+    """(grp, target, score): z of the rank sum of each group against the rest, mid-ranks for ties, no tie correction; rows hold one column a target.
+
+    Ranks come from counts of equal values, so a window sorts distinct values of a target, not its rows.
+    """
+    from pyspark.sql import Window
+
+    pairs = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("v")) for t in targets)))
+    own = rows.select(F.col(group).alias("grp"), pairs.alias("p")).groupBy("grp", "p.target", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("same").over(Window.partitionBy("target").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = own.groupBy("target", "v").agg(F.sum("n").alias("same")).withColumn("mid", upto - (F.col("same") - 1) / 2)
+    sums = own.join(ranked, ["target", "v"]).groupBy("grp", "target").agg(F.sum("n").alias("n1"), F.sum(F.col("n") * F.col("mid")).alias("ranks"))
+    met = sums.join(own.groupBy("target").agg(F.sum("n").alias("total")), "target").where(F.col("n1") < F.col("total"))
+    n1, n = F.col("n1").cast("double"), F.col("total").cast("double")
+    return met.select("grp", "target", ((F.col("ranks") - n1 * (n + 1) / 2) / F.sqrt(n1 * (n - n1) * (n + 1) / 12)).alias("score"))
+
+
+def area_normalised(rows: DataFrame, area: str, targets: list[str], total: float = 1e4) -> DataFrame:
+    """Counts for each 100 pixels (0 where there is no area), scaled so that each row sums to ``total``, then ln(1 + x)."""
+    share = {t: F.when(F.col(area) > 0, F.col(t) / F.col(area) * 100).otherwise(0.0) for t in targets}
+    out = rows.withColumns(share)
+    whole = sum((F.col(t) for t in targets), F.lit(0.0))
+    return out.withColumns({t: F.log1p(F.when(whole > 0, F.col(t) * total / whole).otherwise(0.0)) for t in targets})
+
+
+def som_units(rows: DataFrame, key: str, vector: str, shape: tuple[int, int] = (2, 1), steps: int = 5000, sigma: float = 0.5, rate: float = 0.5, seed: int = 42, sample: int = 20000) -> list[list[float]]:
+    """Codebook of a self-organising map, trained online on the ``sample`` rows of least hashed key (the bound on what the driver gathers).
+
+    The sample and its order depend on keys alone, not on partitions. Unit i stands at row i // columns, column i % columns. An empty table gives no units.
+    """
+    import numpy as np
+
+    held = rows.where(F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), key, vector).orderBy("h", key).limit(sample).collect()
+    if not held:
+        return []
+    data = np.array([r[vector] for r in held], dtype=float)
+    rng = np.random.default_rng(seed)
+    units = data[rng.integers(0, len(data), shape[0] * shape[1])].copy()
+    place = np.array([(i, j) for i in range(shape[0]) for j in range(shape[1])], dtype=float)
+    for step, pick in enumerate(rng.integers(0, len(data), steps)):
+        slow = 1 + 2 * step / steps
+        won = np.argmin(((units - data[pick]) ** 2).sum(axis=1))
+        pull = rate / slow * np.exp(-((place - place[won]) ** 2).sum(axis=1) / (2 * (sigma / slow) ** 2))
+        units += pull[:, None] * (data[pick] - units)
+    return units.tolist()
+
+
+def principal_axes(rows: DataFrame, vector: str, k: int) -> tuple[list[list[float]], list[float]]:
+    """The first ``k`` principal axes (largest entry positive) and their shares of the variance. Only the d x d moments reach the driver."""
+    import numpy as np
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows.select(array_to_vector(F.col(vector)).alias("_v")))
+    axes = model.pc.toArray().T
+    signs = np.sign(axes[np.arange(k), np.abs(axes).argmax(axis=1)])
+    return (axes * signs[:, None]).tolist(), model.explainedVariance.toArray().tolist()
+
+
+def projected(rows: DataFrame, vector: str, axes: list[list[float]]) -> DataFrame:
+    """``rows`` with the array pc: the vector on each axis."""
+    on = lambda a: F.aggregate(F.zip_with(vector, F.array(*(F.lit(float(x)) for x in a)), lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn("pc", F.array(*(on(a) for a in axes)))

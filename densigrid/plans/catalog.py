@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densigrid.operators import bins, expand, features, masks, neighbors, raster
+from densigrid.operators import bins, contours, expand, features, masks, neighbors, raster, shapes
 from densigrid.operators.raster import PX
 from densigrid.sources import points as source
+from densigrid.sources import segmentation, sinks
 
 TYPES = ["click", "view", "purchase", "signup", "error"]
 MARKED = ["click", "view"]
@@ -39,6 +40,19 @@ class Scene:
         lab = (F.floor(F.col("r") / 50) * 1000 + F.floor(F.col("c") / 50) + 1).cast("int")
         return self.pres.select(*PX).distinct().withColumn("label", lab)
 
+    def boxes(self) -> DataFrame:
+        """(fov, label, ring): outlines of the boxes around the tiles' pixels."""
+        at = self.tiles().groupBy("fov", "label").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+        point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+        return at.select("fov", "label", F.array(point("c0", "r0"), point("c1", "r0"), point("c1", "r1"), point("c0", "r1"), point("c0", "r0")).alias("ring"))
+
+    def binned(self) -> DataFrame:
+        return bins.bin_counts(self.pts, 10, TYPES)
+
+    def vectors(self) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.sf_dir}/embeddings.parquet")
+        return rows.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+
     def few(self, cut: int = 7) -> DataFrame:
         return self.pts.where(F.col("event_id") % cut == 0).select("fov", F.col("event_id").alias("id"), "r", "c")
 
@@ -110,6 +124,13 @@ def _sql(tail: str, *parts: str, recursive: bool = False) -> str:
 
 BIN_SQL = "b10 AS (SELECT fov, CAST(floor(r / 10) AS BIGINT) AS bx, CAST(floor(c / 10) AS BIGINT) AS by_, " + COUNTS + ", round(avg(r), 6) AS x_mean, round(avg(c), 6) AS y_mean FROM pts GROUP BY 1, 2, 3), bt AS (SELECT *, click + view + purchase + signup + error AS total FROM b10)"
 
+BOX = "box AS (SELECT fov, label, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM tiles GROUP BY fov, label)"
+
+
+def _som(rows: DataFrame) -> DataFrame:
+    return bins.assigned(rows, "e", bins.som_units(rows, "vec_id", "e", (2, 2))).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+
 # name: (query, SQL or None)
 CATALOG = {
     "region_bulk_counts": (_region_counts, _sql("SELECT d.fov, CAST(count(CASE WHEN target = 'click' THEN 1 END) AS BIGINT) AS click, CAST(count(CASE WHEN target = 'view' THEN 1 END) AS BIGINT) AS view, CAST(count(CASE WHEN target = 'error' THEN 1 END) AS BIGINT) AS error, count(DISTINCT (d.r, d.c)) AS area FROM dense d LEFT JOIN pres p ON d.fov = p.fov AND d.r = p.r AND d.c = p.c GROUP BY d.fov", CONV)),
@@ -182,6 +203,35 @@ CATALOG = {
     "class_regions": (lambda s: expand.class_regions(s.pres.select(*PX).distinct(), s.seeds()),
         _sql("SELECT o.fov, o.r, o.c, arg_min(class, ((o.c - cx) * (o.c - cx) + (o.r - cy) * (o.r - cy), idx)) AS class FROM occ o JOIN seeds USING (fov) GROUP BY o.fov, o.r, o.c", SEEDS)),
     "class_limited_rings": (lambda s: expand.class_limited_rings(s.seed().select(*PX, F.col("label").alias("parent"), F.when(F.col("label") % 2 == 0, "A").otherwise("B").alias("class")), s.ext, s.seeds(), 3), None),
+    "contour_area": (lambda s: s.boxes().select("fov", "label", contours.ring_area(F.col("ring")).alias("area")), _sql("SELECT fov, label, CAST((r1 - r0) * (c1 - c0) AS DOUBLE) AS area FROM box", BOX)),
+    "contour_area_filter": (lambda s: contours.area_at_least(s.boxes(), 2000).select("fov", "label"), _sql("SELECT fov, label FROM box WHERE (r1 - r0) * (c1 - c0) >= 2000", BOX)),
+    "contour_fill": (lambda s: contours.fill(s.boxes(), "fov", "label").groupBy("fov", "label").agg(F.count(F.lit(1)).alias("area"), F.sum("r").alias("sr")),
+        _sql("SELECT fov, label, CAST((r1 - r0 + 1) * (c1 - c0 + 1) AS BIGINT) AS area, CAST((c1 - c0 + 1) * (r0 + r1) * (r1 - r0 + 1) // 2 AS BIGINT) AS sr FROM box", BOX)),
+    "seed_centroids": (lambda s: contours.seed_centroids(s.boxes(), "fov", "label").select("fov", "label", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy")),
+        _sql("SELECT fov, label, (c0 + c1) / 2.0 AS cx, (r0 + r1) / 2.0 AS cy FROM box WHERE c1 > c0 AND r1 > r0", BOX)),
+    "polygon_shift": (lambda s: contours.shifted(s.boxes(), 1.5, 2.5).select("fov", "label", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y")),
+        _sql("SELECT fov, label, CAST(round_even(c0 - 1.5, 0) AS INTEGER) AS x, CAST(round_even(r0 - 2.5, 0) AS INTEGER) AS y FROM box", BOX)),
+    "polygon_overlap": (lambda s: features.overlap(segmentation.cell_pixels(s.boxes().withColumnRenamed("label", "cell")), s.of("click").withColumn("mask", F.lit("a"))).select("fov", "cell", "mask", "n"),
+        _sql("SELECT b.fov, label AS cell, 'a' AS mask, count(a.r) AS n FROM box b LEFT JOIN a ON a.fov = b.fov AND a.r BETWEEN r0 AND r1 AND a.c BETWEEN c0 AND c1 GROUP BY b.fov, label", BOX)),
+    "trace_contours": (lambda s: contours.trace(s.dense()).select("fov", "ring_id", "hole", F.size("ring").alias("points"), contours.ring_area(F.col("ring")).alias("area")), None),
+    "contours_to_mask": (lambda s: features.bulk(contours.fill(contours.trace(s.dense()).where(~F.col("hole")), "fov")), None),
+    "gene_threshold_filter": (lambda s: contours.by_target_threshold(s.tiles(), s.pres, MARKED, 40), _sql("SELECT fov, label, count(*) AS n FROM tiles JOIN pres USING (fov, r, c) WHERE target IN ('click', 'view') GROUP BY ALL HAVING count(*) >= 40")),
+    "gene_comparison_filter": (lambda s: contours.by_target_comparison(s.tiles(), s.pres, ["click"], ["view"]),
+        _sql("SELECT fov, label, count(CASE WHEN target = 'click' THEN 1 END) AS n_more, count(CASE WHEN target = 'view' THEN 1 END) AS n_fewer FROM tiles JOIN pres USING (fov, r, c) GROUP BY fov, label HAVING n_more > n_fewer")),
+    "object_perimeter": (lambda s: _rounded(shapes.perimeters(s.tiles()), "perimeter"),
+        _sql("SELECT fov, label, round(sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN code IN (21, 33) THEN sqrt(2) WHEN code IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END), 6) AS perimeter FROM code GROUP BY fov, label",
+             "edge AS (SELECT t.fov, t.label, t.r, t.c FROM tiles t LEFT JOIN tiles n ON n.fov = t.fov AND n.label = t.label AND abs(n.r - t.r) + abs(n.c - t.c) = 1 GROUP BY ALL HAVING count(n.r) < 4)",
+             "code AS (SELECT p.fov, p.label, p.r, p.c, sum(CASE WHEN p.r = q.r AND p.c = q.c THEN 1 WHEN p.r = q.r OR p.c = q.c THEN 2 ELSE 10 END) AS code FROM edge p JOIN edge q ON p.fov = q.fov AND p.label = q.label AND abs(p.r - q.r) <= 1 AND abs(p.c - q.c) <= 1 GROUP BY ALL)")),
+    "object_solidity": (lambda s: _rounded(shapes.solidities(s.tiles()), "solidity"), None),
+    "area_normalise": (lambda s: bins.area_normalised(features.counts(s.tiles(), s.pres, TYPES, ["fov", "label"]).join(features.objects(s.tiles()).select("fov", "label", "area"), ["fov", "label"]), "area", TYPES).select("fov", "label", *(F.round(t, 6).alias(t) for t in TYPES)),
+        _sql("SELECT fov, label, " + ", ".join(f"round(ln(1 + {t} * 10000.0 / (click + view + purchase + signup + error)), 6) AS {t}" for t in TYPES) + f" FROM (SELECT fov, label, {COUNTS} FROM tiles LEFT JOIN pres USING (fov, r, c) GROUP BY fov, label)")),
+    "marker_wilcoxon": (lambda s: bins.rank_sums(s.binned(), "fov", TYPES).select("grp", "target", F.round("score", 4).alias("score")),
+        _sql("SELECT fov AS grp, target, round((sum(mid) - count(*) * (total + 1) / 2) / sqrt(count(*) * (total - count(*)) * (total + 1.0) / 12), 4) AS score FROM mids GROUP BY fov, target, total",
+             BIN_SQL, "lng AS (UNPIVOT (SELECT fov, click, view, purchase, signup, error FROM bt) ON click, view, purchase, signup, error INTO NAME target VALUE v)",
+             "mids AS (SELECT fov, target, rank() OVER (PARTITION BY target ORDER BY v) + (count(*) OVER (PARTITION BY target, v) - 1) / 2.0 AS mid, count(*) OVER (PARTITION BY target) AS total FROM lng)")),
+    "som_train": (lambda s: _som(s.vectors()), None),
+    "pca_projection": (lambda s: bins.projected(s.vectors(), "e", bins.principal_axes(s.vectors(), "e", 3)[0]).select("vec_id", *(F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(3))), None),
+    "mask_files": (lambda s: sinks.mask_files(s.of("click"), s.ext).select("fov", F.octet_length("data").alias("n_bytes")), _sql("SELECT fov, CAST(128 + CAST(h AS BIGINT) * w AS INTEGER) AS n_bytes FROM ext")),
 }
 
 

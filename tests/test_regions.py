@@ -1,0 +1,146 @@
+"""Rings, fills, shapes, statistics and sinks against exact values and brute force."""
+
+import io
+import json
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from densigrid.operators import bins, contours, masks, shapes
+from densigrid.sources import segmentation, sinks
+
+
+def px(spark, img, label=None):
+    rows = [("F", int(r), int(c)) + ((int(img[r, c]),) if label else ()) for r, c in np.argwhere(img)]
+    return spark.createDataFrame(rows, "fov string, r int, c int" + (", label int" if label else ""))
+
+
+def rings_of(spark, *rings):
+    return spark.createDataFrame([("F", i, ring) for i, ring in enumerate(rings, 1)], f"fov string, label int, ring {contours.RING}")
+
+
+def square(a, b):
+    return [(a, a), (b, a), (b, b), (a, b), (a, a)]
+
+
+def test_block_has_its_area_and_fills_again(spark):
+    img = np.zeros((30, 30), dtype=int)
+    img[10:21, 5:11] = 1
+    rows = contours.trace(px(spark, img))
+    row = rows.select("hole", contours.ring_area(rows["ring"]).alias("area"), "ring").first()
+    assert (row["hole"], row["area"], len(row["ring"])) == (False, 50.0, 5)
+    assert contours.fill(rows, "fov").count() == 66
+
+
+def test_traced_outer_rings_fill_to_masks_without_holes(spark):
+    rng = np.random.default_rng(5)
+    ext = spark.createDataFrame([("F", 24, 30)], "fov string, h int, w int")
+    for _ in range(4):
+        seed = px(spark, rng.random((24, 30)) < 0.04)
+        mask = masks.dilate(seed, ext, 3).cache()
+        rings = contours.trace(mask)
+        whole = {(x["r"], x["c"]) for x in contours.fill(rings.where(~rings["hole"]), "fov", "ring_id").collect()}
+        assert whole == {(x["r"], x["c"]) for x in masks.fill_holes(mask, ext).collect()}
+        assert {(x["r"], x["c"]) for x in contours.fill(rings, "fov").collect()} >= {(x["r"], x["c"]) for x in mask.collect()}
+
+
+def test_border_counts_match_components_and_holes():
+    img = np.zeros((12, 20), dtype=bool)
+    img[1:8, 1:8] = True
+    img[3:6, 3:6] = False
+    img[4, 4] = True
+    img[10, 15] = True
+    assert [(hole, len(ring)) for hole, ring in contours.borders(img)] == [(False, 24), (True, 12), (False, 1), (False, 1)]
+    assert contours.borders(np.zeros((3, 3), dtype=bool)) == []
+
+
+def test_fills_count_outlines(spark):
+    n = {x["label"]: x["count"] for x in contours.fill(rings_of(spark, square(10, 20), square(22, 38)), "fov", "label").groupBy("label").count().collect()}
+    assert n == {1: 121, 2: 289}
+    holed = contours.fill(rings_of(spark, square(10, 30), square(14, 21)), "fov")
+    assert holed.count() == 441 - 36
+
+
+def test_open_and_short_rings(spark):
+    rows = contours.checked(rings_of(spark, square(1, 4)[:-1], [(1, 1), (2, 2)], square(5, 6))).collect()
+    assert [(x["label"], len(x["ring"]), x["ring"][0] == x["ring"][-1]) for x in rows] == [(1, 5, True), (3, 5, True)]
+
+
+def test_centroids_and_filters(spark):
+    row = contours.seed_centroids(rings_of(spark, square(10, 20)), "fov", "label").first()
+    assert (row["cx"], row["cy"]) == (15.0, 15.0)
+    assert contours.area_at_least(rings_of(spark, square(0, 3), square(0, 9)), 81).first()["label"] == 2
+    img = np.zeros((4, 8), dtype=int)
+    img[:, :4], img[:, 5:] = 1, 2
+    pres = spark.createDataFrame([("F", 0, 0, "a"), ("F", 1, 1, "a"), ("F", 1, 1, "b"), ("F", 2, 6, "b")], "fov string, r int, c int, target string")
+    assert {x["label"]: x["n"] for x in contours.by_target_threshold(px(spark, img, True), pres, ["a"], 0).collect()} == {1: 2, 2: 0}
+    assert [x["label"] for x in contours.by_target_comparison(px(spark, img, True), pres, ["a"], ["b"]).collect()] == [1]
+
+
+def test_perimeter_and_solidity(spark):
+    img = np.zeros((20, 20), dtype=int)
+    img[2:7, 2:7] = 1  # a block: 4 sides of 4 steps
+    img[10:16, 10:12] = img[14:16, 10:16] = 2  # an L
+    img[18, 18] = 3
+    lab = px(spark, img, True)
+    length = {x["label"]: x["perimeter"] for x in shapes.perimeters(lab).collect()}
+    assert length[1] == 16.0 and length[3] == 0.0
+    full = {x["label"]: x["solidity"] for x in shapes.solidities(lab).collect()}
+    assert full[1] == full[3] == 1.0 and 0.6 < full[2] < 0.9
+    assert shapes.hull_pixels(np.array([0, 0, 4, 4]), np.array([0, 4, 0, 4])) == 25
+
+
+def test_rank_sums_against_mid_ranks(spark):
+    rng = np.random.default_rng(2)
+    grp, v = rng.integers(0, 3, 60), rng.integers(0, 5, 60)
+    rows = spark.createDataFrame([(int(g), int(x)) for g, x in zip(grp, v)], "g int, t int")
+    rank = np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    for row in bins.rank_sums(rows, "g", ["t"]).collect():
+        own = grp == row["grp"]
+        n1, n = own.sum(), len(v)
+        assert math.isclose(row["score"], (rank[own].sum() - n1 * (n + 1) / 2) / math.sqrt(n1 * (n - n1) * (n + 1) / 12))
+
+
+def test_map_units_and_axes(spark):
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.normal(0, 0.1, (50, 3)), rng.normal(5, 0.1, (50, 3))])
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, e array<double>")
+    units = bins.som_units(rows, "id", "e", steps=2000)
+    assert units == bins.som_units(rows.repartition(7), "id", "e", steps=2000)
+    assert len(units) == 2 and all(-1 < x < 6 for u in units for x in u)  # units move between rows, never beyond them
+    assert bins.som_units(rows.limit(0), "id", "e") == []
+    axes, share = bins.principal_axes(rows, "e", 2)
+    assert share[0] > 0.99 and np.allclose(axes[0], 1 / np.sqrt(3), atol=0.01)
+
+
+def test_area_normalised_without_area(spark):
+    rows = spark.createDataFrame([(2, 1, 3), (0, 5, 5)], "area int, a int, b int")
+    got = bins.area_normalised(rows, "area", ["a", "b"]).collect()
+    assert math.isclose(got[0]["a"], math.log1p(2500)) and (got[1]["a"], got[1]["b"]) == (0.0, 0.0)
+
+
+def test_mask_files(spark, tmp_path):
+    img = np.zeros((6, 9), dtype=np.uint8)
+    img[2:4, 3:8] = 1
+    ext = spark.createDataFrame([("F", 6, 9)], "fov string, h int, w int")
+    data = bytes(sinks.mask_files(px(spark, img), ext).first()["data"])
+    assert (np.load(io.BytesIO(data)) == img).all()
+    sinks.save_mask_files(px(spark, img), ext, str(tmp_path / "out"), "pgm")
+    assert (tmp_path / "out" / "F.pgm").read_bytes() == b"P5 9 6 255\n" + (img * 255).tobytes()
+    with pytest.raises(ValueError):
+        sinks.mask_files(px(spark, img), ext, "bmp")
+    sinks.write_labels(px(spark, img, True), str(tmp_path / "labels"))
+    assert spark.read.parquet(str(tmp_path / "labels")).count() == 10
+
+
+def test_outlines_become_cells(spark, tmp_path):
+    box = lambda a, b: [[[a, a], [a, b], [b, b], [b, a], [a, a]]]
+    path = tmp_path / "cells.json"
+    path.write_text(json.dumps({"geometries": [{"cell": "1", "coordinates": box(22, 38)}, {"cell": "2", "coordinates": box(62, 78)}]}))
+    cells = segmentation.cell_pixels(segmentation.read_outlines(spark, str(path)), 10, 10)
+    rows = cells.groupBy("cell").agg(F.count("r").alias("n"), F.min("r").alias("r0")).collect()
+    assert {x["cell"]: (x["n"], x["r0"]) for x in rows} == {1: (289, 12), 2: (289, 52)}
+    with pytest.raises(ValueError):
+        segmentation.cell_pixels(spark.range(3))
