@@ -155,7 +155,9 @@ CATALOG = {
     "dilate": (lambda s: masks.dilate(s.of("click"), s.ext, 3), _sql("SELECT DISTINCT a.fov, a.r + dy AS r, a.c + dx AS c FROM a JOIN ext USING (fov), (SELECT unnest(range(-1, 2))::INTEGER AS dy), (SELECT unnest(range(-1, 2))::INTEGER AS dx) WHERE a.r + dy >= 0 AND a.r + dy < h AND a.c + dx >= 0 AND a.c + dx < w")),
     "erode": (lambda s: masks.erode(s.dense(), s.ext, 3), _sql("SELECT d.fov, d.r, d.c FROM dense d JOIN ext USING (fov) JOIN dense n ON n.fov = d.fov AND abs(n.r - d.r) <= 1 AND abs(n.c - d.c) <= 1 GROUP BY d.fov, d.r, d.c, h, w HAVING count(*) = (least(d.r + 1, h - 1) - greatest(d.r - 1, 0) + 1) * (least(d.c + 1, w - 1) - greatest(d.c - 1, 0) + 1)", CONV)),
     "mask_open": (lambda s: features.bulk(masks.morphology(s.dense(), s.ext, "open", 3)), _sql("SELECT fov, count(DISTINCT (e.r + dy, e.c + dx)) AS area FROM er e JOIN ext USING (fov), (SELECT unnest(range(-1, 2))::INTEGER AS dy), (SELECT unnest(range(-1, 2))::INTEGER AS dx) WHERE e.r + dy >= 0 AND e.r + dy < h AND e.c + dx >= 0 AND e.c + dx < w GROUP BY fov", CONV, "er AS (SELECT d.fov, d.r, d.c FROM dense d JOIN ext USING (fov) JOIN dense n ON n.fov = d.fov AND abs(n.r - d.r) <= 1 AND abs(n.c - d.c) <= 1 GROUP BY d.fov, d.r, d.c, h, w HAVING count(*) = (least(d.r + 1, h - 1) - greatest(d.r - 1, 0) + 1) * (least(d.c + 1, w - 1) - greatest(d.c - 1, 0) + 1))")),
-    "mask_close": (lambda s: features.bulk(masks.morphology(s.of("click"), s.ext, "close", 3)), None),
+    "mask_close": (lambda s: features.bulk(masks.morphology(s.of("click"), s.ext, "close", 3)),
+        _sql("SELECT fov, count(*) AS area FROM (SELECT d.fov, d.r, d.c FROM dl d JOIN ext USING (fov) JOIN dl n ON n.fov = d.fov AND abs(n.r - d.r) <= 1 AND abs(n.c - d.c) <= 1 GROUP BY d.fov, d.r, d.c, h, w HAVING count(*) = (least(d.r + 1, h - 1) - greatest(d.r - 1, 0) + 1) * (least(d.c + 1, w - 1) - greatest(d.c - 1, 0) + 1)) GROUP BY fov",
+             "dl AS (SELECT DISTINCT a.fov, a.r + dy AS r, a.c + dx AS c FROM a JOIN ext USING (fov), (SELECT unnest(range(-1, 2))::INTEGER AS dy), (SELECT unnest(range(-1, 2))::INTEGER AS dx) WHERE a.r + dy >= 0 AND a.r + dy < h AND a.c + dx >= 0 AND a.c + dx < w)")),
     "label_area_filter": (lambda s: masks.labelled_area_filter(s.tiles(), 150), _sql("SELECT * FROM tiles SEMI JOIN (SELECT fov, label FROM tiles GROUP BY ALL HAVING count(*) >= 150) USING (fov, label)")),
     "connected_components": (lambda s: masks.label(s.tiles()).groupBy("fov", "label").agg(F.count(F.lit(1)).alias("area"), F.sum("r").alias("sr")), _sql("SELECT fov, label, count(*) AS area, CAST(sum(r) AS BIGINT) AS sr FROM labelled GROUP BY fov, label", COMP, recursive=True)),
     "binary_area_filter": (lambda s: features.bulk(masks.area_filter(s.tiles(), 3)), _sql("SELECT fov, CAST(sum(n) AS BIGINT) AS area FROM (SELECT fov, label, count(*) AS n FROM labelled GROUP BY ALL HAVING count(*) >= 3) GROUP BY fov", COMP, recursive=True)),
