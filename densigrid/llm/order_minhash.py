@@ -2,10 +2,11 @@
 
 Words are runs of letters and digits in lower case; a k-mer is ``SHINGLE`` words, labelled with how often it came before in its text. Under each
 of ``BANDS`` hash functions the ``MINIMA`` labelled k-mers of least hash are taken, put back in text order and hashed to a key: two texts
-agree in a key with a chance that follows their edit similarity, order included. Texts of equal words are one node. Nodes that share a
-key are compared with a leader of that key, where they are not in one component yet; so a group of n nodes costs n
-comparisons a round, and never n * n. Later rounds have other leaders, and groups that share two keys, which are smaller and purer. A link is
-lost only where two texts meet in no round, neither with each other nor through others of their class.
+agree in a key with a chance that follows their edit similarity, order included. Texts of equal words are one node. First, nodes that share a
+key are compared with a leader of that key, where they are not in one component yet: n comparisons a round for a group of n nodes.
+Later rounds have other leaders, and groups that share two keys, which are smaller and purer. Then all other pairs that share a key and are in
+different components are tried, in blocks of ``BLOCK`` nodes: a bitmap of each node bounds how many k-mers a pair can have in common, and the pairs that
+this bound admits are aligned. So no link between two texts that share a key is lost.
 
 Two texts are linked when an alignment of their k-mers in text order, within a band around the diagonal, pairs L of n and m k-mers with
 L / (n + m - L) >= SIMILARITY. The band is as wide as any alignment that good can need. Components of the links are the classes.
@@ -31,6 +32,7 @@ from densigrid.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, MINIMA = 16, 4
+BLOCK, BITMAP = 64, 2048  # nodes of a block of the last step, bits of a node's bitmap
 SHIFTS = (tuple(range(1, 9)), tuple(range(1, 5)))  # rounds after the first: how far apart the two bands of a pair of keys are
 
 _RNG = np.random.default_rng(20240501)
@@ -185,7 +187,7 @@ def link_nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     size = F.greatest(F.lit(1), F.floor(F.octet_length("words") / 4) - SHINGLE + 1)
     of_node = one.select("node", "keys", size.alias("size")).groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
     keyed = of_node.select("node", "size", F.explode("keys").alias("key")).distinct()
-    rows = _shared(keyed, "omh-shared")
+    single = rows = _shared(keyed, "omh-shared")
     if rows.limit(1).count() == 0:
         return None
     needed = rows.select("node").distinct()
@@ -199,7 +201,68 @@ def link_nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame] | None:
         more, new = _round(rows, sequences, links, comps, r)
         if more is not None:
             links, comps = more, new
-    return links, comps
+    rest = written(verified(written(_rest(single, sequences, comps), "omh-pairs"), sequences), "omh-links")
+    if rest.limit(1).count() == 0:
+        return links, comps
+    links = links.union(rest)
+    return links, components(links, "omh-components")
+
+
+def bitmap(grams: np.ndarray) -> bytes:
+    """For each of BITMAP buckets of k-mer hashes, whether an odd number of k-mers fall in it."""
+    return np.packbits((np.bincount((grams % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+
+
+_MEMBER = np.dtype([("node", "V16"), ("comp", "<u8", (2,)), ("size", ">i4"), ("bits", "<u8", (BITMAP // 64,))])
+
+
+def _admitted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs of two blocks, in different components, that can align well enough.
+
+    Buckets in which bitmaps differ hold k-mers without a partner; L paired k-mers of n and m leave n + m - 2 L without.
+    """
+    n, m = x["size"].astype(np.float64)[:, None], y["size"].astype(np.float64)[None, :]
+    ok = (x["comp"][:, None] != y["comp"][None, :]).any(axis=2) & (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m) - 1e-6)
+    i, j = np.nonzero(ok)
+    alone = np.bitwise_count(x["bits"][i] ^ y["bits"][j]).sum(axis=1, dtype=np.int64)
+    good = alone * (1 + SIMILARITY) <= (1 - SIMILARITY) * (x["size"][i] + y["size"][j]) + 1e-6
+    return i[good], j[good]
+
+
+def _rest(rows: DataFrame, sequences: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that share a key, are in different components and can align well enough."""
+    at = rows.select("node", "size", "key").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of_comp = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    # Large components of a group have blocks of their own, which needn't meet each other; the others share blocks.
+    own = F.col("n") > BLOCK
+    open_keys = of_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).alias("pooled")).where(F.col("comps") > 1)
+    dealt = written(
+        of_comp.join(open_keys, "key").select("key", "comp", F.when(own, F.col("comp")).alias("whose"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("pooled")) / BLOCK).alias("blocks")), "omh-open",
+    )
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"node": part["node"], "bits": [bitmap(shingles(np.frombuffer(w, dtype=np.uint32).astype(np.uint64))) for w in part["words"]]})
+
+    placed = at.join(dealt, ["key", "comp"]).withColumn("place", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    marked = sequences.join(placed.select("node").distinct(), "node", "left_semi").mapInPandas(mark, "node binary, bits binary")
+    # A size's four bytes, the first of them highest.
+    member = F.concat("node", "comp", F.unhex(F.lpad(F.hex("size"), 8, "0")), "bits")
+    blocks = placed.join(marked, "node").groupBy("key", "whose", "place").agg(F.collect_list(member).alias("members"))
+    blocks = written(blocks.withColumn("block", F.coalesce(F.hex("whose"), F.lit(""))).select("key", "whose", "block", "place", "members"), "omh-blocks")
+    side = lambda x: blocks.select("key", *(F.col(c).alias(c + x) for c in ("whose", "block", "place", "members")))
+    first, second = F.struct("block1", "place1"), F.struct("block2", "place2")
+    met = side("1").join(side("2"), "key").where((first <= second) & (F.col("whose1").isNull() | F.col("whose2").isNull() | (F.col("whose1") != F.col("whose2"))))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for one, two in zip(part["members1"], part["members2"], strict=True):
+                x, y = (np.frombuffer(b"".join(z), dtype=_MEMBER) for z in (one, two))
+                i, j = _admitted(x, y)
+                a, b = [x["node"][k].tobytes() for k in i], [y["node"][k].tobytes() for k in j]
+                yield pd.DataFrame({"a": [min(p) for p in zip(a, b)], "b": [max(p) for p in zip(a, b)]})
+
+    return met.select("members1", "members2").mapInPandas(meet, "a binary, b binary").distinct()
 
 
 def _shared(keyed: DataFrame, label: str) -> DataFrame:

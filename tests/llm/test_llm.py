@@ -127,6 +127,24 @@ def test_near_duplicates(spark):
     assert order_minhash.classes(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_a_base_in_a_large_group(spark):
+    rng = np.random.default_rng(16)
+    base = prose(rng, 1000).split(" ")
+    rows = [row(0, " ".join(base))]
+    for i in range(1, 300):
+        words = list(base)
+        for at in rng.choice(198, 18, replace=False) * 5:
+            words[at] = f"edit{i}at{at}"
+        rows.append(row(i, " ".join(words)))
+    grams = [order_minhash.shingles(w) for w in order_minhash.word_hashes([r[1].encode() for r in rows])]
+    assert all(order_minhash.aligned(grams[0], g) >= 0.8 for g in grams)
+    assert not any(order_minhash.aligned(grams[1], g) >= 0.8 for g in grams[2:])
+    assert {r["class_id"] for r in order_minhash.classes(docs(spark, rows)).collect()} == {0}
+    for a, b in [(0, 1), (1, 2), (3, 4)]:
+        x, y = (np.unpackbits(np.frombuffer(order_minhash.bitmap(grams[k]), dtype=np.uint8)) for k in (a, b))
+        assert (x != y).sum() <= len(set(grams[a].tolist()) ^ set(grams[b].tolist()))
+
+
 def brute_repeats(texts):
     seen, out = set(), []
     for t in texts:
