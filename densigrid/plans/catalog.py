@@ -60,6 +60,13 @@ class Scene:
         """Pixels of purchases of every 40th event, with labels by tile: a sparse seed."""
         return self.pts.where(F.col("event_id") % 40 == 0).select(*PX, (F.floor(F.col("r") / 50) * 1000 + F.floor(F.col("c") / 50) + 1).cast("int").alias("label")).distinct()
 
+    def all_points(self) -> DataFrame:
+        return self.pts.select("fov", F.col("event_id").alias("id"), "r", "c")
+
+    def purchases(self) -> DataFrame:
+        """All pixels of purchases, with labels by tile."""
+        return self.of("purchase").join(self.tiles(), PX)
+
     def seeds(self) -> DataFrame:
         rows = [(f"F{i}", *c) for i in range(4) for c in CLASSES]
         return self.spark.createDataFrame(rows, "fov string, idx int, class string, cx double, cy double")
@@ -177,17 +184,17 @@ CATALOG = {
         _sql("SELECT fov, 'bulk' AS object_id, 'dense' AS mask_name, count(*) AS area FROM dense GROUP BY fov UNION ALL SELECT fov, CAST(label AS VARCHAR), 'tiles', count(*) FROM tiles GROUP BY fov, label", CONV)),
     "ring_expansion": (lambda s: expand.rings(s.seed(), s.ext, [6, 2, 4, 2]), _sql(f"SELECT fov, r, c, {RING} AS ring FROM free", NEAR.format(d=6))),
     "ring_constrained": (lambda s: expand.rings(s.seed(), s.ext, [2, 4, 6], s.dense()), _sql(f"SELECT fov, r, c, {RING} AS ring FROM free SEMI JOIN dense USING (fov, r, c)", CONV, NEAR.format(d=6))),
-    "ring_area_filtered": (lambda s: expand.rings(s.seed(), s.ext, [2, 4], None, 30).groupBy("fov", "ring").agg(F.count(F.lit(1)).alias("area")), None),
+    "ring_area_filtered": (lambda s: expand.rings(s.purchases(), s.ext, [2, 4], None, 30).groupBy("fov", "ring").agg(F.count(F.lit(1)).alias("area")), None),
     "constraint_remaining": (lambda s: expand.constraint_remaining(s.dense(), expand.rings(s.seed(), s.ext, [2, 4, 6], s.dense())), _sql("SELECT * FROM dense ANTI JOIN free USING (fov, r, c)", CONV, NEAR.format(d=6))),
     "nearest_label": (lambda s: expand.nearest_within(s.seed(), s.ext, 6).select(*PX, "d2", "label"), _sql("SELECT fov, r, c, CAST(d2 AS INTEGER) AS d2, label FROM free", NEAR.format(d=6))),
-    "label_propagation": (lambda s: expand.propagate(s.seed(), s.ext, [2, 4]), None),
+    "label_propagation": (lambda s: expand.propagate(s.purchases(), s.ext, [2, 4]), None),
     "hierarchy_map": (lambda s: features.hierarchy(s.seed(), s.tiles()), _sql("SELECT s.fov, s.label, list_sort(list_distinct(list(t.label))) AS parent_ids FROM seed s LEFT JOIN tiles t USING (fov, r, c) GROUP BY s.fov, s.label")),
     "overlap_label_mask": (lambda s: _rounded(features.overlap(s.tiles().withColumnRenamed("label", "cell"), s.of("click").withColumn("mask", F.lit("a")).union(s.not_of("click").withColumn("mask", F.lit("b")))), "percent"),
         _sql("SELECT fov, cell, mask, coalesce(n, 0) AS n, round(coalesce(100.0 * n / sum(n) OVER (PARTITION BY fov, cell), 0), 6) AS percent FROM (SELECT DISTINCT fov, label AS cell, mask FROM tiles, (VALUES ('a'), ('b')) m(mask)) LEFT JOIN (SELECT fov, label AS cell, mask, count(*) AS n FROM tiles JOIN (SELECT *, 'a' AS mask FROM a UNION ALL SELECT *, 'b' FROM b) USING (fov, r, c) GROUP BY ALL) USING (fov, cell, mask)")),
     "radius_neighbor_count": (lambda s: neighbors.neighbor_count(s.few(), 5), _sql("SELECT * FROM cnt", PAIRS)),
     "neighbor_raster": (lambda s: neighbors.neighbor_raster(s.few(), 5), _sql("SELECT fov, r, c, arg_max(n, id) AS v FROM cnt GROUP BY fov, r, c", PAIRS)),
     "points_with_neighbors": (lambda s: neighbors.dense_points(s.few(), 5, 2), _sql("SELECT * FROM cnt WHERE n > 2", PAIRS)),
-    "dbscan": (lambda s: neighbors.dbscan(s.few(), 5, 3), None),
+    "dbscan": (lambda s: neighbors.dbscan(s.all_points(), 5, 3), None),
     "cluster_circle": (lambda s: neighbors.cluster_circles(s.tiles().select("fov", F.col("label").alias("cluster"), "r", "c"), 5).select("fov", "cluster", "n", F.round("cy", 4).alias("cy"), F.round("cx", 4).alias("cx"), F.round("radius", 4).alias("radius")),
         _sql("SELECT t.fov, t.label AS cluster, n, round(cy, 4) AS cy, round(cx, 4) AS cx, round(greatest(max(sqrt((r - cy) * (r - cy) + (c - cx) * (c - cx))), 2.0), 4) AS radius FROM tiles t JOIN (SELECT fov, label, avg(r) AS cy, avg(c) AS cx, count(*) AS n FROM tiles GROUP BY fov, label) m USING (fov, label) GROUP BY t.fov, t.label, n, cy, cx")),
     "convex_hull": (lambda s: neighbors.convex_hulls(s.tiles().select("fov", F.col("label").alias("cluster"), "r", "c")).select("fov", "cluster", F.posexplode("ring").alias("place", "p")).select("fov", "cluster", "place", "p.x", "p.y"), None),
@@ -204,7 +211,7 @@ CATALOG = {
         _sql("SELECT fov, CAST(count(*) * 100 AS BIGINT) AS area FROM bt WHERE total >= 2 GROUP BY fov", BIN_SQL)),
     "class_regions": (lambda s: expand.class_regions(s.pres.select(*PX).distinct(), s.seeds()),
         _sql("SELECT o.fov, o.r, o.c, arg_min(class, ((o.c - cx) * (o.c - cx) + (o.r - cy) * (o.r - cy), idx)) AS class FROM occ o JOIN seeds USING (fov) GROUP BY o.fov, o.r, o.c", SEEDS)),
-    "class_limited_rings": (lambda s: expand.class_limited_rings(s.seed().select(*PX, F.col("label").alias("parent"), F.when(F.col("label") % 2 == 0, "A").otherwise("B").alias("class")), s.ext, s.seeds(), 3), None),
+    "class_limited_rings": (lambda s: expand.class_limited_rings(s.purchases().select(*PX, F.col("label").alias("parent"), F.when(F.col("label") % 2 == 0, "A").otherwise("B").alias("class")), s.ext, s.seeds(), 3), None),
     "contour_area": (lambda s: s.boxes().select("fov", "label", contours.ring_area(F.col("ring")).alias("area")), _sql("SELECT fov, label, CAST((r1 - r0) * (c1 - c0) AS DOUBLE) AS area FROM box", BOX)),
     "contour_area_filter": (lambda s: contours.area_at_least(s.boxes(), 2000).select("fov", "label"), _sql("SELECT fov, label FROM box WHERE (r1 - r0) * (c1 - c0) >= 2000", BOX)),
     "contour_fill": (lambda s: contours.fill(s.boxes(), "fov", "label").groupBy("fov", "label").agg(F.count(F.lit(1)).alias("area"), F.sum("r").alias("sr")),

@@ -181,3 +181,57 @@ def test_catalog_matches_its_sql(spark):
         cols = sorted(df.columns)
         want = con.execute(f"SELECT {', '.join(cols)} FROM ({catalog.oracle_sql()[name]})").fetchall()
         assert sorted(tuple(map(flat, r)) for r in df.select(*cols).collect()) == sorted(tuple(map(flat, r)) for r in want), name
+
+
+def test_clusters_and_seeds_take_all_points(spark, tmp_path):
+    import datetime
+
+    from densigrid.plans import catalog
+
+    rng = np.random.default_rng(21)
+    at = {i: (int(rng.integers(0, 60)), int(rng.integers(0, 60)), ["click", "purchase", "view"][i % 3]) for i in range(1, 161)}
+    rows = [(i, datetime.datetime(2024, 1, 3), float(r), c, t) for i, (r, c, t) in at.items()]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, value double, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    near = {i: [j for j in at if (at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2 <= 25] for i in at}
+    cores, root = {i for i in at if len(near[i]) >= 3}, {}
+    for i in sorted(cores):
+        todo = [i] if i not in root else []
+        while todo:
+            k = todo.pop()
+            if k not in root:
+                root[k] = i
+                todo += [j for j in near[k] if j in cores]
+    of = {i: root[i] if i in cores else root[min(k)] if (k := [j for j in near[i] if j in cores]) else None for i in at}
+    names: dict = {}
+    for i in sorted(at):
+        if of[i] is not None:
+            names.setdefault(of[i], len(names))
+    assert {r["id"]: r["cluster"] for r in run("dbscan")} == {i: names.get(of[i], -1) for i in at}
+    h, w = max(r for r, _, _ in at.values()) + 1, max(c for _, c, _ in at.values()) + 1
+    seed = {(r, c) for r, c, t in at.values() if t == "purchase"}
+    d2 = {(r, c): min((r - y) ** 2 + (c - x) ** 2 for y, x in seed) for r in range(h) for c in range(w)}
+    ring = {p: 2 if d <= 4 else 4 for p, d in d2.items() if 0 < d <= 16}
+    assert {(r["r"], r["c"]): r["ring"] for r in run("label_propagation")} == ring
+    area = {2: 0, 4: 0}
+    for d in area:
+        left = {p for p in ring if ring[p] == d}
+        while left:
+            todo, part = [left.pop()], 1
+            while todo:
+                y, x = todo.pop()
+                for q in [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (y + a, x + b) in left]:
+                    left.remove(q)
+                    todo.append(q)
+                    part += 1
+            area[d] += part if part >= 30 else 0
+    assert {r["ring"]: r["area"] for r in run("ring_area_filtered")} == {d: n for d, n in area.items() if n}
+    label = {(r, c): r // 50 * 1000 + c // 50 + 1 for r, c in seed}
+    kind = lambda n: "A" if n % 2 == 0 else "B"
+    nearest = lambda y, x: min(((x - cx) ** 2 + (y - cy) ** 2, i, k) for i, k, cx, cy in catalog.CLASSES)[2]
+    want = {}
+    for y, x in d2:
+        met = {label[q] for q in seed if 0 < (q[0] - y) ** 2 + (q[1] - x) ** 2 <= 9} - {label.get((y, x))}
+        if met := [n for n in met if kind(n) == nearest(y, x)]:
+            want[y, x] = max(met)
+    assert {(r["r"], r["c"]): r["parent"] for r in run("class_limited_rings")} == want
