@@ -2,8 +2,8 @@
 
 A source with weight w gives out its documents in blocks. Block j (from 0) is released at floor(j / w) and due at ceil((j + 1) / w), in
 block slots. Earliest deadline first over the released blocks serves every block in its window, so after any number of
-slots a source is less than one block from its target. Weights are whole numbers of a period of slots, so one period of schedule,
-of a fixed size, says all: slot = period * (block div c) + slot of (block mod c) within the period.
+slots a source is less than one block from its target. Weights are exact fractions; their least common denominator is the schedule's period, and one
+period says all: slot = period * (block div c) + slot of (block mod c) within the period. Where a phase is shorter than its period, only the phase is laid out.
 
 When a source runs out, a new phase starts with the weights of the others, scaled up; no document is dropped or repeated.
 Blocks are numbered without bringing a source into one task: documents are dealt to buckets by a hash, bucket counts are summed
@@ -15,6 +15,7 @@ weights; null or repeated ids keep their rows; empty tables give empty results;
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from fractions import Fraction
@@ -23,65 +24,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PERIOD = 1024  # slots of a schedule's period: weights are rounded to 1 / PERIOD, at least one slot each
-MAX_SOURCES = 512  # sources of one phase: the rest wait for later phases, so a period always has room
-
-
-def whole_slots(weights: dict, period: int) -> dict:
-    """Slots in a period for each source: the largest-remainder rounding of its share, at least 1."""
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    i = 0
-    while sum(slots.values()) < period:
-        slots[order[i % len(order)]] += 1
-        i += 1
-    while sum(slots.values()) > period:
-        top = max(slots, key=lambda s: (slots[s] - exact[s] if slots[s] > 1 else -math.inf, str(s)))
-        slots[top] -= 1
-    return slots
-
-
-def edf_period(slots: dict, period: int) -> list[tuple]:
-    """(source, block, release, deadline, slot) of each block of one period, earliest deadline first, ties by source name."""
-    todo = []
-    for s, c in slots.items():
-        todo += [(j * period // c, -(-(j + 1) * period // c), str(s), s, j) for j in range(c)]
-    todo.sort(key=lambda x: (x[0], x[1], x[2]))
-    ready, out, i = [], [], 0
-    for slot in range(period):
-        while i < len(todo) and todo[i][0] <= slot:
-            release, deadline, name, s, j = todo[i]
-            heapq.heappush(ready, (deadline, name, j, release, s))
-            i += 1
-        deadline, _, j, release, s = heapq.heappop(ready)
+
+def exact_shares(weights: dict) -> tuple[int, dict]:
+    """(period, blocks of each source in a period) of weights, taken as the decimals that they print as."""
+    share = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items()}
+    total = sum(share.values())
+    share = {s: w / total for s, w in share.items()}
+    period = math.lcm(*(w.denominator for w in share.values()))
+    return period, {s: w.numerator * (period // w.denominator) for s, w in share.items()}
+
+
+def edf(slots: dict, period: int, length: int) -> list[tuple]:
+    """(source, block, release, deadline, slot) of the first ``length`` slots, earliest deadline first, ties by source name."""
+    todo = [(0, str(s), i, 0, s) for i, s in enumerate(slots)]
+    heapq.heapify(todo)
+    ready, out = [], []
+    for slot in range(length):
+        while todo[0][0] <= slot:
+            release, name, i, j, s = todo[0]
+            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), name, i, j, release, s))
+            heapq.heapreplace(todo, ((j + 1) * period // slots[s], name, i, j + 1, s))
+        deadline, _, _, j, release, s = heapq.heappop(ready)
         out.append((s, j, release, deadline, slot))
     return out
 
 
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple[int, int, dict, dict, int]]:
-    """(phase, first slot, slots by source, blocks given before by source, length) until every source is out of blocks.
+def phases(blocks: dict, weights: dict) -> list[tuple[int, int, int, dict, dict, list]]:
+    """(phase, first slot, period, blocks in a period by source, blocks given before by source, laid-out slots) until every source is out of blocks.
 
-    A phase ends with the slot that serves the last block of some source.
+    A phase ends with the slot that serves the last block of some source. Of a phase shorter than its period the slots are laid out up to its
+    end, else those of one period.
     """
     given, out, start = {s: 0 for s in blocks}, [], 0
     while True:
         left = [s for s in blocks if blocks[s] > given[s]]
         if not left:
             return out
-        weighted = sorted((s for s in left if (weights.get(s) or 0) > 0), key=str)[:MAX_SOURCES]
-        share = {s: weights[s] for s in weighted} or {s: 1 for s in sorted(left, key=str)[:MAX_SOURCES]}
-        slots = whole_slots(share, period)
+        period, slots = exact_shares({s: weights[s] for s in left if (weights.get(s) or 0) > 0} or {s: 1 for s in left})
+        # A source's last block is due by then.
+        longest = min(-(-(blocks[s] - given[s]) * period // c) for s, c in slots.items())
+        laid = edf(slots, period, min(period, longest))
         times: dict = {s: [] for s in slots}
-        for s, _, _, _, slot in edf_period(slots, period):
+        for s, _, _, _, slot in laid:
             times[s].append(slot)
-        last = {s: (blocks[s] - given[s] - 1) // c * period + times[s][(blocks[s] - given[s] - 1) % c] for s, c in slots.items()}
-        length = min(last.values()) + 1
-        out.append((len(out), start, slots, dict(given), length))
+        last = []
+        for s, c in slots.items():
+            whole, rest = divmod(blocks[s] - given[s] - 1, c)
+            if rest < len(times[s]):
+                last.append(whole * period + times[s][rest])
+        length = min(last) + 1
+        out.append((len(out), start, period, slots, dict(given), laid[:length]))
+        whole, rest = divmod(length, period)
         for s, c in slots.items():
-            whole, rest = divmod(length, period)
-            given[s] += whole * c + sum(t < rest for t in times[s])
+            given[s] += whole * c + bisect.bisect_left(times[s], rest)
         start += length
 
 
@@ -113,28 +108,30 @@ def schedule(docs: DataFrame, weights: dict | None = None, source: str = "source
     blocks = {s: -(-n // block_rows) for s, n in rows.items()}
     plan = phases(blocks, weights if weights is not None else {s: 1 for s in rows})
     table, ends = [], []
-    for phase, start, slots, given, length in plan:
-        for s, j, release, deadline, slot in edf_period(slots, PERIOD):
-            table.append((phase, s, j, release, deadline, slot))
+    for phase, start, period, slots, given, laid in plan:
+        table += [(phase, *x) for x in laid]
+        nxt = plan[phase + 1][4] if phase + 1 < len(plan) else blocks
         for s, c in slots.items():
-            nxt = plan[phase + 1][3] if phase + 1 < len(plan) else blocks
-            ends.append((phase, s, start, c, given[s], nxt[s]))
+            if nxt[s] > given[s]:
+                # Blocks of a phase that is shorter than its period are never carried over to a next one.
+                repeats = nxt[s] - given[s] > c
+                ends.append((phase, s, start, c if repeats else nxt[s] - given[s], period if repeats else 0, given[s], nxt[s]))
     kind = T.StructType([T.StructField("s", docs.schema[source].dataType)])
     period = spark.createDataFrame(table, T.StructType([T.StructField("p", T.IntegerType()), *kind.fields] + [T.StructField(x, T.LongType()) for x in ("j", "rel", "due", "at")]))
-    spans = spark.createDataFrame(ends, T.StructType([T.StructField("p", T.IntegerType()), *kind.fields] + [T.StructField(x, T.LongType()) for x in ("start", "c", "lo", "hi")]))
-    # Both hold at most PERIOD rows a phase and one phase a source: their size is known from the plan, so they are sent only when small.
-    small = len(table) <= 65536
+    spans = spark.createDataFrame(ends, T.StructType([T.StructField("p", T.IntegerType()), *kind.fields] + [T.StructField(x, T.LongType()) for x in ("start", "c", "per", "lo", "hi")]))
+    # Their size is known from the plan, so they are sent only when small. Neither has more rows than there are blocks.
+    small = len(table) + len(ends) <= 65536
     hint = F.broadcast if small else (lambda df: df)
     seq = numbered(docs, source, order, seed).withColumn("_block", F.floor(F.col("_seq") / block_rows).cast("long"))
     spans, period = hint(spans.withColumnRenamed("s", "_s1")), hint(period.withColumnRenamed("s", "_s2").withColumnRenamed("p", "_p2"))
     placed = seq.join(spans, F.col("_src").eqNullSafe(F.col("_s1")) & (F.col("_block") >= F.col("lo")) & (F.col("_block") < F.col("hi")))
     placed = placed.withColumn("_k", F.col("_block") - F.col("lo")).withColumn("_r", F.floor(F.col("_k") / F.col("c")).cast("long"))
     placed = placed.join(period, F.col("_src").eqNullSafe(F.col("_s2")) & (F.col("p") == F.col("_p2")) & (F.pmod(F.col("_k"), F.col("c")) == F.col("j")))
-    base = F.col("start") + F.col("_r") * PERIOD
+    base = F.col("start") + F.col("_r") * F.col("per")
     return placed.withColumns({
         "_phase": F.col("p"), "_release": base + F.col("rel"), "_deadline": base + F.col("due"), "_slot": base + F.col("at"),
         "_place": (base + F.col("at")) * block_rows + F.pmod(F.col("_seq"), F.lit(block_rows)),
-    }).drop("_s1", "_s2", "_p2", "p", "start", "c", "lo", "hi", "j", "rel", "due", "at", "_k", "_r")
+    }).drop("_s1", "_s2", "_p2", "p", "start", "c", "per", "lo", "hi", "j", "rel", "due", "at", "_k", "_r")
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, source: str = "source", order: str = "doc_id", block_rows: int = 4, parts: int | None = None) -> DataFrame:

@@ -204,6 +204,21 @@ def test_pfair_keeps_windows_and_rows(spark):
     assert pfair.mixed(docs(spark, rows)).columns == docs(spark, rows).columns and pfair.mixed(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n, each, weights", [(20, 2200, None), (600, 3, None), (3, 4000, {"s0": 0.123457, "s1": 0.71, "s2": 0.0005})])
+def test_pfair_keeps_exact_targets(spark, n, each, weights):
+    df = spark.range(n * each).selectExpr("id AS doc_id", f"concat('s', id % {n}) AS source")
+    out = pfair.schedule(df, weights, block_rows=1).toPandas()
+    assert len(out) == n * each and sorted(out._place) == list(range(n * each))
+    assert ((out._slot >= out._release) & (out._slot < out._deadline)).all()
+    first = out[out._phase == 0]
+    share = {s: w / sum(weights.values()) for s, w in weights.items()} if weights else {f"s{i}": 1 / n for i in range(n)}
+    assert set(share) == set(out.source)
+    slots = np.arange(first._slot.max() + 2)
+    for s, w in share.items():
+        served = np.searchsorted(np.sort(first._slot[first.source == s].to_numpy()), slots)
+        assert np.abs(served - w * slots).max() < 1 + 1e-9
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (51, 51), (None, 3)], "a long, b long")
     got = {r["node"]: r["comp"] for r in graph.components(links).collect()}
