@@ -239,3 +239,18 @@ def test_pipeline_stages_keep_columns(spark):
     assert sorted(r["doc_id"] for r in df.collect()) == list(range(40))
     pytest.importorskip("public_tokenizers")
     assert corpus_pipeline.STAGES[-1][1](spark, df, "").where("n_tokens > 0").count() == 40
+
+
+def test_pipeline_result_keeps_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    pytest.importorskip("public_tokenizers")
+    rng = np.random.default_rng(22)
+    rows = [row(i, prose(rng, 60), source="abc"[0 if i < 200 else 1 if i < 280 else 2]) for i in range(360)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas().sort_values("place")
+    assert len(out) == 360 and list(out.place) == list(range(360))
+    for n in range(12, 240, 12):
+        assert all(abs((out.source[:n] == s).sum() - n / 3) < 2 * 4 for s in "abc")
+    placed = {r["doc_id"]: r["_place"] for r in pfair.schedule(docs(spark, rows)).collect()}
+    assert dict(zip(out.doc_id, out.place)) == placed
