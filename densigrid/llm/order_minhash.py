@@ -140,8 +140,8 @@ def aligned(a: np.ndarray, b: np.ndarray, need: float = SIMILARITY) -> float:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table (doc_id, node, keys, words): node is the digest of the words, null without any; words are 32-bit hashes."""
-    spec = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """A written table (doc_id, node, keys, words, text_id): node is the digest of the words, null without any; words are 32-bit hashes."""
+    spec = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.md5(text_col).alias("text_id"))
     kind = spec.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,9 +154,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     nodes.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None)
                     keys.append(order_keys(shingles(w)).view(np.int64) if len(w) else None)
                     words.append((w >> np.uint64(32)).astype(np.uint32).tobytes() if len(w) else None)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "node": nodes, "keys": keys, "words": words})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "node": nodes, "keys": keys, "words": words, "text_id": part["text_id"].to_numpy()})
 
-    return written(spec.mapInPandas(sign, f"doc_id {kind}, node binary, keys array<bigint>, words binary"), "omh-signatures")
+    return written(spec.mapInPandas(sign, f"doc_id {kind}, node binary, keys array<bigint>, words binary, text_id string"), "omh-signatures")
 
 
 def verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -291,22 +291,30 @@ def _round(rows: DataFrame, sequences: DataFrame, links: DataFrame | None, comps
     return links, components(links, "omh-components")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id) for every row of ``docs``: the least doc_id of its class, its own without words."""
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, text_id, comp) of every row of ``docs``; comp is null without words."""
     signed = signatures(docs, id_col, text_col)
     linked = link_nodes(signed)
-    rows = signed.select("doc_id", "node")
+    rows = signed.select("doc_id", "node", "text_id")
     if linked is None:
-        rows = rows.withColumn("comp", F.col("node"))
-    else:
-        rows = rows.join(linked[1], "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(linked[1], "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id) for every row of ``docs``: the least doc_id of its class, its own without words."""
+    rows = _components(docs, id_col, text_col)
     names = rows.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     return rows.join(names, "comp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) whose class they name: one document of each; rows with a null id stay."""
-    found = classes(docs)
-    kept = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each class of ``docs`` (doc_id, text, ...), the first by id and then by text; rows with a null id stay."""
+    rows = _components(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
+    # Rows without words are a class for each id.
+    alone = F.when(F.col("comp").isNull(), F.col("doc_id"))
+    first = rows.groupBy("comp", alone.alias("alone")).agg(F.min(F.struct("doc_id", "node", "text_id")).alias("top"))
+    kept = first.select(F.col("top.doc_id").alias("_kept"), F.col("top.text_id").alias("_kept_text"))
+    own = docs.where(F.col("doc_id").isNotNull()).withColumn("_text", F.md5("text"))
+    met = own.join(kept, (F.col("doc_id") == F.col("_kept")) & F.col("_text").eqNullSafe(F.col("_kept_text")), "left_semi").dropDuplicates(["doc_id", "_text"])
+    return met.drop("_text").unionByName(docs.where(F.col("doc_id").isNull()))

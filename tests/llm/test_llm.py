@@ -145,6 +145,16 @@ def test_near_duplicates_of_a_base_in_a_large_group(spark):
         assert (x != y).sum() <= len(set(grams[a].tolist()) ^ set(grams[b].tolist()))
 
 
+def test_one_row_of_each_class_where_ids_repeat(spark):
+    rng = np.random.default_rng(17)
+    a, b, c = (prose(rng, 100) for _ in range(3))
+    # Id 2 names a copy of a and two texts of their own; each class keeps one row.
+    rows = [row(1, a), row(2, a + " end"), row(2, b), row(2, c), row(2, c), row(3, c + " end"), row(4, None), row(4, ""), row(None, a)]
+    kept = order_minhash.one_of_each(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"] in (1, 2, 3)) == sorted([(1, a), (2, b), (2, c)])
+    assert sum(r["doc_id"] == 4 for r in kept) == 1 and sum(r["doc_id"] is None for r in kept) == 1
+
+
 def brute_repeats(texts):
     seen, out = set(), []
     for t in texts:
