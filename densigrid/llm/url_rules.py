@@ -18,6 +18,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from densigrid.llm.common import salted_join
+
 BROADCAST_RULES = 20_000  # index rows that are sent to every executor; a larger index is joined by shuffle
 
 
@@ -48,6 +50,8 @@ def tokens_of(url: Column) -> Column:
 
 def policy_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest fitting (verdict, host, path) of ``rules``, a short list in a configuration, as struct(n, rule, verdict), or null."""
+    if not rules:
+        return F.lit(None).cast("struct<n:int,rule:string,verdict:string,h:string,p:string>")
     made = F.array(*(F.struct(F.lit(len(h + p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("h"), F.lit(p).alias("p")) for v, h, p in rules))
     fits = F.filter(made, lambda r: ((host == r["h"]) | F.endswith(host, F.concat(F.lit("."), r["h"]))) & F.startswith(path, r["p"]))
     return F.array_max(fits)
@@ -82,7 +86,8 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     own = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     own = own.withColumn("fit", policy_rule(F.col("host"), F.col("path"), rules))
-    return own.join(found, "url", "left").select(
+    # One URL, or none at all, may stand in very many rows.
+    return salted_join(own, found, "url", "page_id", own.count(), "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce(F.col("fit.verdict"), F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined",
     )
