@@ -1,55 +1,67 @@
-"""Removal of repeated passages by a distributed difference-cover suffix array.
+"""Removal of repeated passages by difference-cover suffix arrays.
 
 Every byte that lies in a string of ``LENGTH`` bytes which also starts earlier (in a document of smaller id, or earlier in the same one) is
-removed; all strings are judged on the input. The strings are windows of ``LENGTH`` bytes, and equal windows must meet:
-
-1. Scan. The least hash among the ``GRAM``-byte grams of a window is its anchor, so equal windows have equal anchors at the same place. Windows in a row
-   with one anchor are a run, and a run's bytes are its context. Equal contexts are entered once: the first keeps standing for all,
-   the windows of the others are repeats of it. Runs whose anchor has no other context have no more repeats and go out of the search.
-2. Contexts that share an anchor are cut by the windows' distance to the anchor into pieces of ``PIECE`` windows. All windows of a piece share a core of bytes,
-   and pieces meet by anchor, piece and core. So texts that can share a window meet in one part, whatever their number.
-3. Suffix array. The texts of a part are sorted by the difference-cover algorithm: triples at places 1 and 2 modulo 3 are sorted and named, the names
-   are sorted by recursion, the remaining suffixes are merged in, and adjacent suffixes are compared on their first ``LENGTH`` bytes. The recursion ends
-   where names cover ``LENGTH`` bytes. The earliest of equal windows stays.
-
-A key with many contexts in one batch is hot: its rows are spread by their content and it leaves a marker where its key is gathered, so
-rows of the same key from other batches follow. Hot pieces are compared window by window. No step gathers a key's rows in one task.
+removed; all strings are judged on the input. The strings are windows of ``LENGTH`` bytes. Which windows are equal is decided by suffix order alone; hashes
+only bring together what may be equal:
+
+1. Copy. The documents are written once, in files that later steps open by number and row, so texts are never shuffled.
+2. Scan. The least hash among the ``GRAM``-byte grams of a window is its anchor, so equal windows have equal anchors at the same place. Windows in a row
+   with one anchor are a run, and a run's bytes are its context.
+3. Prefilter. Runs meet by anchor, without their bytes. Those whose anchor occurs in no other run have no repeats and leave.
+4. Suffix arrays. The contexts of an anchor meet in one part. The texts of a part are sorted by the difference-cover algorithm: triples at places 1 and 2
+   modulo 3 are sorted and named, the names are sorted by recursion, the remaining suffixes are merged in, and adjacent suffixes are compared on
+   their first ``LENGTH`` bytes. The recursion ends where names cover ``LENGTH`` bytes. The earliest of equal windows stays.
+
+An anchor of many runs is hot. Where many of its runs lie in one batch of a scan, or of a file, a suffix array over these removes
+their repeats before anything is moved (windows that repeat an earlier one of the batch are repeats of the whole). What is left of a hot anchor is cut by the windows'
+distance to the anchor into pieces of ``PIECE`` windows, which meet by the bytes that all windows of a piece share. Pieces that are hot even so
+go on as single windows, which are sorted by their bytes and compared with their neighbours. No step gathers all runs of a hot anchor in one task.
 
 Defined cases: null texts are empty; texts shorter than ``LENGTH`` keep all bytes; rows with null or repeated ids are put in the order (id, nulls last, then
-text), and count as documents of their own; texts of any length are judged whole; other columns are kept by ``cleaned``; an empty table gives an empty result.
+text) and the first counts as the earlier one; long texts are scanned whole, in overlapping parts; an empty table gives an empty result; other columns are kept,
+and replaced only where they are named as a result.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
-from collections import defaultdict
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from densigrid.llm.common import blocks_of, written
+from densigrid.llm.common import blocks_of, discard, file_store, packed, unpacked, written
 
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM + 1  # grams in a window
 PIECE = 24  # windows of a piece; they share LENGTH - PIECE + 1 bytes
-HOT = 8  # contexts of one key in a batch that make it hot there
+HOT_BATCH, HOT = 8, 64  # runs of one anchor in a batch, and in all, that make it hot
 BUFFER = 1 << 21  # bytes that a scan works on at a time; longer texts go in overlapping parts
-BATCH_BYTES = 6 << 20  # bytes of text among which the scan enters equal contexts once
+BATCH_BYTES = 6 << 20  # bytes of text in a batch of the scan
+ARRAY_BYTES = 3 << 19  # bytes of text in one suffix array
 PART_BYTES = 4 << 20  # text behind one part of a shuffle
 LEAST_PARTS = 256
+ROW_GROUP = 8 << 20  # bytes of the copied files that are read at a time
 
 _RNG = np.random.default_rng(20240502)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE_BITS = np.uint64(22)
 
-RUNS = "part int, kind int, a binary, b binary, doc binary, lo binary, nr binary"
-SPANS = "part int, kind int, a binary, b binary, doc binary, lo binary, nr binary, bytes binary"
+# Kinds of rows: windows known to be repeats; runs or pieces; markers of keys that are hot; runs of anchors that are hot in their batch; runs of hot anchors;
+# single windows
+REPEAT, OPEN, MARK, SPREAD, PIECES, WINDOW = range(6)
+RUNS = "part int, kind int, file int, a binary, doc binary, row binary, lo binary, n binary, rel binary"
+SPANS = RUNS + ", bytes binary"
+_RUNS, _SPANS = ([x.split(" ")[0] for x in k.split(", ")] for k in (RUNS, SPANS))
+Cols = dict[str, np.ndarray]  # a = anchor or key, doc = order of the document, file and row = where it is, lo = first window, n = windows, rel = distance to the anchor
+_KEYS = ("a", "doc", "file", "row", "lo", "n", "rel")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -77,9 +89,8 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - have)], v[width - have :]) if width > have else v
 
 
-def runs_of(parts: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor in texts (document, place of the text in it, bytes): a = anchor hash, b = context hash, doc, lo = first window,
-    n = windows, rel = places from the first window to the anchor."""
+def runs_of(parts: list[tuple[int, int, bytes]]) -> Cols:
+    """Runs of windows with one anchor in texts (number, place of the text in its document, bytes): a, i = number, lo, n, rel."""
     buf = np.frombuffer(b"".join(p[2] for p in parts), dtype=np.uint8)
     sizes = np.array([len(p[2]) for p in parts])
     ends = np.cumsum(sizes)
@@ -92,15 +103,17 @@ def runs_of(parts: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
     lo = np.flatnonzero(new)
     hi = np.r_[lo[1:], len(anchor)]
     lo, hi = lo[whole[lo]], hi[whole[lo]]
-    size = hi - lo + LENGTH - 1
-    rel = anchor[lo] - lo
-    context = _mix(size.astype(np.uint64) * _MUL[7] + rel.astype(np.uint64))
-    for j in range(-(-(LENGTH + REACH) // GRAM)):  # grams that cover the context, the last one at its end
-        at = np.minimum(GRAM * j, size - GRAM)
-        context = _mix(context * _MUL[8] + h[lo + at] * _MUL[9])
-    doc, base = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int64)
+    number, base = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int64)
     start = ends - sizes
-    return {"a": h[anchor[lo]], "b": context, "doc": doc[owner[lo]], "lo": lo - start[owner[lo]] + base[owner[lo]], "n": hi - lo, "rel": rel}
+    return {"a": h[anchor[lo]], "i": number[owner[lo]], "lo": lo - start[owner[lo]] + base[owner[lo]], "n": hi - lo, "rel": anchor[lo] - lo}
+
+
+def _pick(cols: Cols, which: np.ndarray) -> Cols:
+    return {k: v[which] for k, v in cols.items()}
+
+
+def _joined(parts: list[Cols]) -> Cols:
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {k: np.zeros(0, dtype=np.uint64 if k == "a" else np.int64) for k in _KEYS}
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -113,183 +126,54 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packed(part: np.ndarray, kind: int, cols: dict[str, np.ndarray], texts: list[bytes] | None = None) -> Iterator[tuple]:
-    """A row of binary columns for each part."""
-    order = np.argsort(part, kind="stable")
-    bounds = np.flatnonzero(_first_of(part[order]))
-    for lo, hi in zip(bounds, np.r_[bounds[1:], len(order)]):
-        at = order[lo:hi]
-        nr = (cols["n"][at] << 8 | cols["rel"][at]).astype(np.uint16)
-        row = (int(part[at[0]]), kind, cols["a"][at].tobytes(), cols["b"][at].tobytes(), cols["doc"][at].astype(np.int64).tobytes(), cols["lo"][at].astype(np.int64).tobytes(), nr.tobytes())
-        yield row if texts is None else (*row, b"".join(texts[i] for i in at))
-
-
-def _unpacked(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-    join = lambda c, t: np.frombuffer(b"".join(rows[c]), dtype=t)
-    nr = join("nr", np.uint16).astype(np.int64)
-    return {"a": join("a", np.uint64), "b": join("b", np.uint64), "doc": join("doc", np.int64), "lo": join("lo", np.int64), "n": nr >> 8, "rel": nr & 255}
-
+def _sizes(key: np.ndarray) -> np.ndarray:
+    """For each row how many rows have its key."""
+    _, place, n = np.unique(key, return_inverse=True, return_counts=True)
+    return n[place]
 
-def _pick(cols: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
-    return {k: v[which] for k, v in cols.items()}
 
+def _planes(v: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, the low bytes of all first: high planes hardly change, so that they compress to nothing."""
+    return np.ascontiguousarray(v.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-# Kinds of rows: windows known to be repeats; contexts or pieces; markers of hot keys; contexts of keys hot in their batch; single windows
-REPEAT, OPEN, MARK, SPREAD, WINDOW = range(5)
 
+def _whole(cells) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel() for b in cells]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
-def scan(docs: DataFrame, parts: int) -> DataFrame:
-    """RUNS of all documents (doc, text), with repeats within a batch marked."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found, held, size, seen = [], [], 0, 0
-            for doc, text in zip(rows["doc"], rows["text"], strict=True):
-                if seen >= BATCH_BYTES:
-                    yield collected(found, held)
-                    found, held, size, seen = [], [], 0, 0
-                data = text.encode() if isinstance(text, str) else b""
-                for at in range(0, max(1, len(data) - LENGTH + 1), BUFFER - LENGTH + 1):
-                    part = data[at : at + BUFFER]
-                    if len(part) < LENGTH:
-                        continue
-                    if size + len(part) > BUFFER:
-                        found.append(runs_of(held))
-                        held, size = [], 0
-                    held.append((doc, at, part))
-                    size, seen = size + len(part), seen + len(part)
-            yield collected(found, held)
+def _packed(part: np.ndarray, kind: int, cols: Cols, texts: list[bytes] | None = None) -> Iterator[tuple]:
+    """Rows of RUNS (SPANS with texts): one for each part and file. Repeats need no key, and markers nothing else."""
+    order = np.lexsort((cols["lo"], cols["row"], cols["file"], part))
+    bounds = np.flatnonzero(_first_of(part[order], cols["file"][order]))
+    for lo, hi in zip(bounds, np.r_[bounds[1:], len(order)]):
+        at = order[lo:hi]
+        key = b"" if kind == REPEAT else cols["a"][at].tobytes()
+        where = [b""] * 5 if kind == MARK else [_planes(cols["doc"][at]) if kind != REPEAT else b"", *(_planes(cols[k][at]) for k in ("row", "lo")), cols["n"][at].astype(np.uint8).tobytes(), cols["rel"][at].astype(np.uint8).tobytes()]
+        row = (int(part[at[0]]), kind, int(cols["file"][at[0]]), key, *where)
+        yield row if texts is None else (*row, b"".join(texts[i] for i in at))
 
-    def collected(found: list, held: list) -> pd.DataFrame:
-        if held:
-            found.append(runs_of(held))
-        out: list = []
-        if found:
-            cols = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-            order = np.lexsort((cols["lo"], cols["doc"], cols["b"], cols["a"]))
-            cols = _pick(cols, order)
-            first = _first_of(cols["a"], cols["b"])
-            late, cols = _pick(cols, ~first), _pick(cols, first)
-            key = np.cumsum(_first_of(cols["a"])) - 1
-            hot = np.bincount(key)[key] >= HOT
-            out = list(_packed((late["doc"] % parts).astype(np.int64), REPEAT, late))
-            cold = _pick(cols, ~hot)
-            out += _packed((cold["a"] % np.uint64(parts)).astype(np.int64), OPEN, cold)
-            many = _pick(cols, hot)
-            out += _packed(((many["a"] ^ many["b"]) % np.uint64(parts)).astype(np.int64), SPREAD, many)
-            marks = _pick(many, _first_of(many["a"]))
-            out += _packed((marks["a"] % np.uint64(parts)).astype(np.int64), MARK, marks)
-        return pd.DataFrame(out, columns=[x.split(" ")[0] for x in RUNS.split(", ")])
 
-    return docs.mapInPandas(work, RUNS)
+def _unpacked(rows: pd.DataFrame) -> Cols:
+    small = lambda c: np.frombuffer(b"".join(rows[c]), dtype=np.uint8).astype(np.int64)
+    n = small("n")
+    each = [len(x) for x in rows["n"]]
+    doc = _whole(rows["doc"])
+    return {"a": np.frombuffer(b"".join(rows["a"]), dtype=np.uint64) if len(doc) else np.zeros(len(n), dtype=np.uint64), "doc": doc if len(doc) else np.zeros(len(n), dtype=np.int64),
+            "file": np.repeat(rows["file"].to_numpy(dtype=np.int64), each), "row": _whole(rows["row"]), "lo": _whole(rows["lo"]), "n": n, "rel": small("rel")}
 
 
-def resolved(runs: DataFrame, doc_parts: int) -> DataFrame:
-    """RUNS by part of documents: REPEAT, and OPEN where the anchor has other contexts."""
-
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
-        of = {k: _unpacked(rows[rows["kind"] == k]) for k in (REPEAT, OPEN, MARK, SPREAD)}
-        late, still = [of[REPEAT]], []
-        marked = np.unique(of[MARK]["a"])
-        for kind in (OPEN, SPREAD):
-            cols = of[kind]
-            cols = _pick(cols, np.lexsort((cols["lo"], cols["doc"], cols["b"], cols["a"])))
-            first = _first_of(cols["a"], cols["b"])
-            late.append(_pick(cols, ~first))
-            cols = _pick(cols, first)
-            if len(cols["a"]):
-                group = np.cumsum(_first_of(cols["a"])) - 1
-                still.append(_pick(cols, (np.bincount(group)[group] > 1) | np.isin(cols["a"], marked) | (kind == SPREAD)))
-        out = []
-        for kind, found in ((REPEAT, late), (OPEN, still)):
-            if found:
-                cols = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-                out += _packed(cols["doc"] % doc_parts, kind, cols)
-        return pd.DataFrame(out, columns=[x.split(" ")[0] for x in RUNS.split(", ")])
-
-    return runs.groupBy("part").applyInPandas(work, RUNS)
-
-
-def _digest(*parts: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little")
-
+def _marks(rows: pd.DataFrame) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(rows.loc[rows["kind"] == MARK, "a"]), dtype=np.uint64))
 
-def pieces(docs: DataFrame, runs: DataFrame, parts: int) -> DataFrame:
-    """SPANS by part: the pieces of OPEN runs with their bytes (a = meeting key, b = hash of the piece), and windows of hot ones."""
 
-    def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = _unpacked(right)
-        want = defaultdict(list)
-        for i, d in enumerate(cols["doc"].tolist()):
-            want[d].append(i)
-        a, lo_, n_, rel_ = (cols[k].tolist() for k in ("a", "lo", "n", "rel"))
-        got, texts = [], []
-        for doc, text in zip(left["doc"], left["text"], strict=True):
-            mine = want.get(doc)
-            if not mine:
-                continue
-            data = text.encode() if isinstance(text, str) else b""
-            for i in mine:
-                at, end = rel_[i], rel_[i] - n_[i]  # windows have distances at, at - 1, ..., end + 1 to the anchor
-                anchor = lo_[i] + at
-                while at > end:
-                    slot = at // PIECE
-                    stop = max(end, slot * PIECE - 1)
-                    lo, n = anchor - at, at - stop
-                    core = data[anchor - slot * PIECE : anchor - slot * PIECE - PIECE + 1 + LENGTH]
-                    text_ = data[lo : lo + n + LENGTH - 1]
-                    got.append((_digest(a[i].to_bytes(8, "little"), bytes([slot]), core), _digest(bytes([at]), text_), doc, lo, n, at))
-                    texts.append(text_)
-                    at = stop
-        if not got:
-            return pd.DataFrame(columns=[x.split(" ")[0] for x in SPANS.split(", ")])
-        cols = dict(zip(("a", "b", "doc", "lo", "n", "rel"), (np.array(x, dtype=t) for x, t in zip(zip(*got), (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)))))
-        order = np.lexsort((cols["lo"], cols["doc"], cols["b"], cols["a"]))
-        cols, texts = _pick(cols, order), [texts[i] for i in order]
-        first = _first_of(cols["a"], cols["b"])
-        late = _pick(cols, ~first)
-        out = list(_packed(late["doc"] % parts, REPEAT, late, [b""] * len(late["a"])))
-        keep = np.flatnonzero(first)
-        cols, texts = _pick(cols, keep), [texts[i] for i in keep]
-        group = np.cumsum(_first_of(cols["a"])) - 1
-        hot = np.bincount(group)[group] >= HOT
-        at = np.flatnonzero(~hot)
-        cold = _pick(cols, at)
-        out += _packed((cold["a"] % np.uint64(parts)).astype(np.int64), OPEN, cold, [texts[i] for i in at])
-        many = _pick(cols, hot)
-        marks = _pick(many, _first_of(many["a"]))
-        out += _packed((marks["a"] % np.uint64(parts)).astype(np.int64), MARK, marks, [b""] * len(marks["a"]))
-        out += _windows(many, [texts[i] for i in np.flatnonzero(hot)], parts)
-        return pd.DataFrame(out, columns=[x.split(" ")[0] for x in SPANS.split(", ")])
-
-    return docs.groupBy("part").cogroup(runs.groupBy("part")).applyInPandas(work, SPANS)
-
-
-def _windows(cols: dict[str, np.ndarray], texts: list[bytes], parts: int) -> list[tuple]:
-    """Single windows of pieces, equal ones once; b stands in for 64 more bits of the digest a."""
-    got: dict[bytes, tuple[int, int]] = {}
-    late = []
-    for doc, lo, n, text in zip(cols["doc"].tolist(), cols["lo"].tolist(), cols["n"].tolist(), texts):
-        for i in range(n):
-            key = hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest()
-            new, old = (doc, lo + i), got.get(key)
-            if old is None:
-                got[key] = new
-            else:
-                got[key] = min(old, new)
-                late.append(max(old, new))
-    out = []
-    for kind, places, ids in ((WINDOW, list(got.values()), np.frombuffer(b"".join(got), dtype=np.uint64).reshape(-1, 2)), (REPEAT, late, np.zeros((len(late), 2), dtype=np.uint64))):
-        if places:
-            at = np.array(places, dtype=np.int64)
-            one = np.ones(len(at), dtype=np.int64)
-            c = {"a": ids[:, 0], "b": ids[:, 1], "doc": at[:, 0], "lo": at[:, 1], "n": one, "rel": one}
-            out += _packed((ids[:, 0] % np.uint64(parts)).astype(np.int64) if kind == WINDOW else at[:, 0] % parts, kind, c, [b""] * len(at))
-    return out
+def _texts(cols: Cols, blob: bytes) -> list[bytes]:
+    ends = np.cumsum(cols["n"] + LENGTH - 1)
+    return [blob[e - n - LENGTH + 1 : e] for e, n in zip(ends.tolist(), cols["n"].tolist())]
 
 
-def _names(*symbols: np.ndarray) -> np.ndarray:
-    """Ranks, from 1, of the tuples of symbols at each place; equal tuples share one."""
+def _names(*symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks, from 1, of the tuples of symbols at each place (equal tuples share one), and the places in that order."""
     out, bound = symbols[0], int(symbols[0].max(initial=0)) + 1
     for s in symbols[1:]:
         width = int(s.max(initial=0)) + 1
@@ -300,128 +184,389 @@ def _names(*symbols: np.ndarray) -> np.ndarray:
     order = np.argsort(out)
     ranked = out[order]
     out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]]) if len(order) else 0
-    return out + 1
+    out[order] = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]]) if len(order) else 0
+    return out, order
 
 
-def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
-    """A rank for each suffix of ``s`` (symbols >= 1) that orders them by their first ``depth`` symbols at least; those that agree in so
-    many may be in any order, or share a rank. Difference cover {1, 2} modulo 3."""
+def suffix_order(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks, order) of the suffixes of ``s`` (symbols >= 1) by their first ``depth`` symbols at least; those that agree in so many may be in any order,
+    or share a rank. Difference cover {1, 2} modulo 3."""
     n = len(s)
     t = np.concatenate([s, np.zeros(3, dtype=np.int64)])
     if depth <= 3 or n < 6:
-        out = _names(t[:n], t[1 : n + 1], t[2 : n + 2])
+        out, order = _names(t[:n], t[1 : n + 1], t[2 : n + 2])
         for _ in range(n if n < 6 else 0):  # short strings: by doubling until whole suffixes are ranked
-            out = _names(out, np.concatenate([out[3:], np.zeros(min(3, n), dtype=np.int64)])[:n])
-        return out
+            out, order = _names(out, np.concatenate([out[3:], np.zeros(min(3, n), dtype=np.int64)])[:n])
+        return out, order
     one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate([one, two])
-    triple = _names(t[sample], t[sample + 1], t[sample + 2])
+    triple = _names(t[sample], t[sample + 1], t[sample + 2])[0]
     # One string of names: those of places 1 mod 3, an end sign, those of places 2 mod 3
     names = np.concatenate([triple[: len(one)], [0], triple[len(one) :]]) + 1
-    inner = suffix_ranks(names, -(-depth // 3))
+    inner, inner_order = suffix_order(names, -(-depth // 3))
     rank = np.zeros(n + 3, dtype=np.int64)
     rank[one], rank[two] = inner[: len(one)], inner[len(one) + 1 :]
     width = int(rank.max()) + 1
-    base = _names(t[zero] * width + rank[zero + 1])
-    order0 = np.argsort(base, kind="stable")
-    order1, order2 = one[np.argsort(rank[one], kind="stable")], two[np.argsort(rank[two], kind="stable")]
+    z = zero[_names(t[zero] * width + rank[zero + 1])[1]]
+    # The sample in order, and its places 1 and 2 alone
+    by = inner_order[inner_order != len(one)]
+    merged = sample[by - (by > len(one))]
+    kind = merged % 3
+    order1, order2 = merged[kind == 1], merged[kind == 2]
     # Where the others fall among the sample: symbol and rank against places 1, two symbols and rank against places 2
     symbols = int(t.max()) + 1
     key1 = lambda i: t[i] * width + rank[i + 1]
     pair = lambda i: t[i] * symbols + t[i + 1]
-    pairs = np.unique(np.concatenate([pair(order2), pair(zero)]))
-    key2 = lambda i: np.searchsorted(pairs, pair(i)) * width + rank[i + 2]
-    z = zero[order0]
+    if symbols * symbols * width < 1 << 62:
+        key2 = lambda i: pair(i) * width + rank[i + 2]
+    else:
+        pairs = np.unique(np.concatenate([pair(order2), pair(zero)]))
+        key2 = lambda i: np.searchsorted(pairs, pair(i)) * width + rank[i + 2]
     # Suffixes that agree to ``depth`` may stand in any order; a running maximum evens out what lies beyond it.
     rising = np.maximum.accumulate
     before = rising(np.searchsorted(rising(key1(order1)), key1(z)) + np.searchsorted(rising(key2(order2)), key2(z)))
-    merged = np.argsort(rank[sample], kind="stable")
-    out = np.empty(n, dtype=np.int64)
+    order = np.empty(n, dtype=np.int64)
     place = before + np.arange(len(z))
-    out[z] = place
+    order[place] = z
     free = np.ones(n, dtype=bool)
     free[place] = False
-    out[sample[merged]] = np.flatnonzero(free)
-    return out
+    order[free] = merged
+    ranks = np.empty(n, dtype=np.int64)
+    ranks[order] = np.arange(n)
+    return ranks, order
 
 
-def equal_windows(texts: list[bytes], starts: list[int]) -> list[np.ndarray]:
-    """Classes of equal windows in the texts (each gives ``starts[i]`` windows, from its first bytes on): arrays of flat places."""
+def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
+    return suffix_order(s, depth)[0]
+
+
+def window_classes(texts: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, classes): flat numbers of all windows in suffix order (text i gives ``starts[i]``, from its first bytes on) and, beside them, the class of
+    equal ones."""
     joined = np.frombuffer(b"".join(x + b"\0" for x in texts), dtype=np.uint8).astype(np.int64) + 2
     sizes = np.array([len(x) + 1 for x in texts])
     begin = np.cumsum(sizes) - sizes
     joined[begin + sizes - 1] = 1  # the sign between texts
-    ranks = suffix_ranks(joined, LENGTH)
-    count = np.array(starts)
-    at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    at = at[np.argsort(ranks[at], kind="stable")]
-    flat = (joined - 2).astype(np.uint8)
-    same = np.zeros(len(at), dtype=bool)
-    for lo in range(1, len(at), 1 << 14):  # adjacent prefixes
-        i = np.arange(lo, min(len(at), lo + (1 << 14)))
-        wide = np.arange(LENGTH)
-        same[i] = (flat[at[i][:, None] + wide] == flat[at[i - 1][:, None] + wide]).all(axis=1)
-    edges = np.flatnonzero(~same)
-    return [at[x:y] for x, y in zip(edges, np.r_[edges[1:], len(at)]) if y - x > 1]
+    at = np.repeat(begin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
+    number = np.full(len(joined), -1, dtype=np.int64)
+    number[at] = np.arange(len(at))
+    at = suffix_order(joined, LENGTH)[1]
+    order = number[at]
+    wanted = order >= 0
+    at, order = at[wanted], order[wanted]
+    flat = (joined - 2).astype(np.uint8).tobytes() + bytes(8)
+    eight = np.ndarray(len(flat) - 7, dtype="<u8", buffer=flat, strides=(1,))  # eight bytes from each place
+    same = np.ones(len(at) - 1, dtype=bool)
+    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:  # adjacent prefixes
+        left = np.flatnonzero(same)
+        v = eight[at[left] + k], eight[at[left + 1] + k]
+        same[left] = v[0] == v[1]
+    return order, np.cumsum(np.r_[False, ~same]) if len(at) else order
+
+
+def _runs_left(cols: Cols, texts: list[bytes], late: np.ndarray) -> tuple[Cols, Cols, list[bytes]]:
+    """Repeats, and the runs that are left with their texts, for a flag on each window."""
+    n = cols["n"]
+    owner = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    new = np.flatnonzero(_first_of(owner, late))
+    size = np.diff(np.r_[new, len(owner)])
+    i, d = owner[new], step[new]
+    out = _pick(cols, i)
+    out["lo"], out["rel"], out["n"] = out["lo"] + d, out["rel"] - d, size
+    gone = late[new] if len(new) else np.zeros(0, dtype=bool)
+    left = np.flatnonzero(~gone)
+    return _pick(out, np.flatnonzero(gone)), _pick(out, left), [texts[i[k]][d[k] : d[k] + size[k] + LENGTH - 1] for k in left.tolist()]
+
+
+def _one_array(cols: Cols, texts: list[bytes]) -> tuple[Cols, Cols, list[bytes]]:
+    """Of equal windows in the texts the earliest stays: (repeats, runs left, their texts), by one suffix array."""
+    n = cols["n"]
+    order, group = window_classes(texts, n)
+    owner = np.repeat(np.arange(len(n)), n)
+    start = np.repeat(cols["lo"], n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    by = np.lexsort((start[order], cols["doc"][owner[order]], group))
+    late = np.zeros(len(owner), dtype=bool)
+    late[order[by]] = ~_first_of(group[by])
+    return _runs_left(cols, texts, late)
+
+
+def thinned(cols: Cols, texts: list[bytes]) -> tuple[Cols, Cols, list[bytes], np.ndarray]:
+    """(repeats, runs left, their texts, whole): suffix arrays over texts that meet by the key a, those of a key in one array where they fit.
+
+    ``whole`` says of each run left whether all texts of its key were in one array, so that no repeat among them is left. First the texts of a key are sorted as
+    suffixes from their anchor on, then by what is before it, and compared with their neighbours: of equal ones the earliest goes on. Groups that are too large for one array
+    are cut in that order, and go again as long as that takes out an eighth of them.
+    """
+    done, kept, kept_texts, kept_whole = [], [], [], []
+    todo: list[tuple[Cols, list[bytes]]] = [(cols, texts)] if len(texts) else []
+    while todo:
+        cols, texts = todo.pop()
+        doc, lo = cols["doc"].tolist(), cols["lo"].tolist()
+        keys = [(a, t[r:], t[:r], d, x) for a, t, r, d, x in zip(cols["a"].tolist(), texts, np.maximum(cols["rel"], 0).tolist(), doc, lo)]
+        order = sorted(range(len(texts)), key=keys.__getitem__)
+        same = [k > 0 and keys[i][:3] == keys[order[k - 1]][:3] for k, i in enumerate(order)]
+        order, same = np.array(order, dtype=np.int64), np.array(same)
+        done.append(_pick(cols, order[same]))
+        order = order[~same]
+        alone = _sizes(cols["a"][order]) == 1
+        kept.append(_pick(cols, order[alone]))
+        kept_texts += [texts[i] for i in order[alone].tolist()]
+        kept_whole.append(np.ones(alone.sum(), dtype=bool))
+        order = order[~alone]
+        if not len(order):
+            continue
+        cols, texts = _pick(cols, order), [texts[i] for i in order.tolist()]
+        first = np.flatnonzero(_first_of(cols["a"]))
+        size = np.cumsum(np.array([0, *(len(x) + 1 for x in texts)]))
+        lo, again = 0, []
+        ends = np.r_[first[1:], len(texts)]
+        for end, after in zip(ends, np.r_[ends[1:], -1]):
+            # Keys are added to an array as long as they fit.
+            if after >= 0 and size[after] - size[lo] <= ARRAY_BYTES:
+                continue
+            if size[end] - size[lo] <= ARRAY_BYTES:
+                chunks, all_in = [(lo, end)], True
+            else:  # one large key
+                cuts = np.searchsorted(size, np.arange(size[lo], size[end], ARRAY_BYTES))
+                chunks, all_in = [(x, y) for x, y in zip(cuts, np.r_[cuts[1:], end]) if x < y], False
+            found = [_one_array(_pick(cols, np.arange(x, y)), texts[x:y]) for x, y in chunks]
+            done += [f[0] for f in found]
+            left, left_texts = _joined([f[1] for f in found]), [t for f in found for t in f[2]]
+            if not all_in and sum(map(len, left_texts)) < (size[end] - size[lo]) * 7 // 8:
+                again.append((left, left_texts))
+            else:
+                kept.append(left)
+                kept_texts += left_texts
+                kept_whole.append(np.full(len(left_texts), all_in))
+            lo = end
+        todo += again
+    return _joined(done), _joined(kept), kept_texts, np.concatenate(kept_whole) if kept_whole else np.zeros(0, dtype=bool)
+
+
+def _key(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little")
+
+
+def as_windows(cols: Cols, texts: list[bytes]) -> tuple[Cols, Cols, list[bytes]]:
+    """(repeats, windows, their texts): runs as single windows, sorted by their bytes; the earliest of equal ones stays. The key is a hash of the window."""
+    n = cols["n"]
+    if not len(n):
+        return _joined([]), _joined([]), []
+    owner = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    out = _pick(cols, owner)
+    out["lo"], out["n"], out["rel"] = out["lo"] + step, np.ones(len(owner), dtype=np.int64), np.zeros(len(owner), dtype=np.int64)
+    each = [texts[i][d : d + LENGTH] for i, d in zip(owner.tolist(), step.tolist())]
+    order = sorted(range(len(each)), key=lambda i: (each[i], out["doc"][i], out["lo"][i]))
+    first = np.array([k == 0 or each[i] != each[order[k - 1]] for k, i in enumerate(order)])
+    order = np.array(order, dtype=np.int64)
+    left = order[first]
+    kept = [each[i] for i in left.tolist()]
+    windows = _pick(out, left)
+    windows["a"] = np.array([_key(x) for x in kept], dtype=np.uint64)
+    return _pick(out, order[~first]), windows, kept
+
+
+def _by_key(a: np.ndarray, parts: int) -> np.ndarray:
+    return (a % np.uint64(parts)).astype(np.int64)
+
+
+def scan(docs: DataFrame, parts: int) -> DataFrame:
+    """RUNS of all documents (doc, text, file, row), by part of their anchors; repeats among the runs of an anchor that is hot in its batch are out already."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found, held, size, seen, own = [], [], 0, 0, []
+            for doc, text, file, row in zip(rows["doc"].tolist(), rows["text"], rows["file"].tolist(), rows["row"].tolist(), strict=True):
+                if seen >= BATCH_BYTES:
+                    yield collected(found, held, own)
+                    found, held, size, seen, own = [], [], 0, 0, []
+                data = text.encode() if isinstance(text, str) else b""
+                if len(data) < LENGTH:
+                    continue
+                own.append((doc, file, row, data))
+                for at in range(0, len(data) - LENGTH + 1, BUFFER - LENGTH + 1):
+                    part = data[at : at + BUFFER]
+                    if size + len(part) > BUFFER:
+                        found.append(runs_of(held))
+                        held, size = [], 0
+                    held.append((len(own) - 1, at, part))
+                    size, seen = size + len(part), seen + len(part)
+            yield collected(found, held, own)
+
+    def collected(found: list, held: list, own: list) -> pd.DataFrame:
+        if held:
+            found.append(runs_of(held))
+        out: list = []
+        if found:
+            cols = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+            i = cols.pop("i")
+            for k, name in enumerate(("doc", "file", "row")):
+                cols[name] = np.array([o[k] for o in own], dtype=np.int64)[i]
+            hot = _sizes(cols["a"]) >= HOT_BATCH
+            out += _packed(_by_key(cols["a"][~hot], parts), OPEN, _pick(cols, ~hot))
+            at = np.flatnonzero(hot)
+            many = _pick(cols, at)
+            late, left, _, _ = thinned(many, [own[d][3][x : x + n + LENGTH - 1] for d, x, n in zip(i[at].tolist(), many["lo"].tolist(), many["n"].tolist())])
+            out += _packed(np.zeros(len(late["a"]), dtype=np.int64), REPEAT, late)
+            hot = _sizes(left["a"]) >= HOT_BATCH
+            out += _packed(_by_key(left["a"][~hot], parts), OPEN, _pick(left, ~hot))
+            many = _pick(left, hot)
+            out += _packed(_by_key(_mix(many["a"] ^ (many["doc"] + 1).astype(np.uint64) * _MUL[3]), parts), SPREAD, many)
+            keys = np.unique(many["a"])
+            marks = {k: np.zeros(len(keys), dtype=np.int64) for k in _KEYS} | {"a": keys}
+            out += _packed(_by_key(keys, parts), MARK, marks)
+        return pd.DataFrame(out, columns=_RUNS)
+
+    return docs.mapInPandas(work, RUNS)
+
+
+def prefiltered(runs: DataFrame) -> DataFrame:
+    """RUNS without those whose anchor has no other run: OPEN ones of rare anchors, and PIECES of hot ones."""
+
+    def work(at, rows: pd.DataFrame) -> pd.DataFrame:
+        cols, out = _unpacked(rows[rows["kind"] == OPEN]), []
+        n, marked = _sizes(cols["a"]), np.isin(cols["a"], _marks(rows))
+        hot = marked | (n >= HOT)
+        for kind, found in ((OPEN, _pick(cols, ~hot & (n > 1))), (PIECES, _pick(cols, hot)), (PIECES, _unpacked(rows[rows["kind"] == SPREAD]))):
+            out += _packed(np.zeros(len(found["a"]), dtype=np.int64), kind, found)
+        return pd.DataFrame(out, columns=_RUNS)
+
+    return runs.where(F.col("kind") != REPEAT).groupBy("part").applyInPandas(work, RUNS)
+
+
+class Files:
+    """The copied documents: Parquet files by number, with columns doc and text, and row, all columns of the documents."""
+
+    def __init__(self, docs: DataFrame):
+        path = docs.written_to
+        store, inner = file_store(path)
+        from pyarrow import fs
+
+        names = [f.base_name for f in store.get_file_info(fs.FileSelector(inner)) if re.fullmatch(r"part-\d+-.*\.parquet", f.base_name)]
+        self.path, self.count = path, len(names)
+        self.tail = re.fullmatch(r"part-\d+(-.*)", names[0])[1] if names else ""
+
+    def groups(self, number: int, columns: list[str]) -> Iterator[tuple[int, pa.Table]]:
+        """(first row, rows) of the row groups of a file."""
+        store, inner = file_store(f"{self.path}/part-{number:05d}{self.tail}")
+        with store.open_input_file(inner) as f:
+            file, at = pq.ParquetFile(f), 0
+            for g in range(file.num_row_groups):
+                rows = file.read_row_group(g, columns=columns)
+                yield at, rows
+                at += len(rows)
+
+
+def by_file(rows: DataFrame, files: Files, work: Callable[[int, pd.DataFrame], Iterator], schema, arrow: bool = False) -> DataFrame:
+    """``work`` (number, RUNS of the file) for each file that ``rows`` name, as a stream; a task holds the rows of one file."""
+    spread = rows.repartitionByRange(max(1, files.count), "file").sortWithinPartitions("file")
+
+    def run(batches: Iterator) -> Iterator:
+        held, number = [], None
+        for batch in batches:
+            part = batch.to_pandas() if arrow else batch
+            for k, own in part.groupby("file", sort=False):
+                if k != number and held:
+                    yield from work(number, pd.concat(held))
+                    held = []
+                number = int(k)
+                held.append(own)
+        if held:
+            yield from work(number, pd.concat(held))
+
+    return (spread.mapInArrow if arrow else spread.mapInPandas)(run, schema)
+
+
+def fetched(runs: DataFrame, files: Files, parts: int) -> DataFrame:
+    """SPANS by part of their keys: runs of rare anchors with their bytes, pieces of hot ones, and single windows of hot pieces."""
+
+    def cut(cols: Cols, texts: list[bytes]) -> tuple[Cols, list[bytes]]:
+        got, out = [], []
+        for i, (a, n, rel, text) in enumerate(zip(cols["a"].tolist(), cols["n"].tolist(), cols["rel"].tolist(), texts)):
+            at, end = rel, rel - n  # windows have distances at, at - 1, ..., end + 1 to the anchor
+            while at > end:
+                slot = at // PIECE
+                stop = max(end, slot * PIECE - 1)
+                lo, size = rel - at, at - stop
+                piece = text[lo : lo + size + LENGTH - 1]
+                core = piece[at - slot * PIECE : at - slot * PIECE - PIECE + 1 + LENGTH]
+                got.append((i, _key(a.to_bytes(8, "little"), bytes([slot]), core), lo, size, at))
+                out.append(piece)
+                at = stop
+        if not got:
+            return _joined([]), []
+        i, a, lo, n, rel = (np.array(x, dtype=t) for x, t in zip(zip(*got), (np.int64, np.uint64, np.int64, np.int64, np.int64)))
+        cols = _pick(cols, i)
+        return cols | {"a": a, "lo": cols["lo"] + lo, "n": n, "rel": rel}, out
+
+    def work(number: int, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        wanted = {kind: _unpacked(rows[rows["kind"] == kind]) for kind in (OPEN, PIECES)}
+        wanted = {kind: _pick(c, np.argsort(c["row"], kind="stable")) for kind, c in wanted.items()}
+        for first, docs in files.groups(number, ["text"]):
+            text, out = docs.column("text"), []
+            for kind, cols in wanted.items():
+                i, j = np.searchsorted(cols["row"], [first, first + len(docs)])
+                mine = _pick(cols, np.arange(i, j))
+                data, texts = (None, b""), []
+                for r, lo, n in zip(mine["row"].tolist(), mine["lo"].tolist(), mine["n"].tolist()):
+                    if data[0] != r:
+                        data = (r, (text[r - first].as_py() or "").encode())
+                    texts.append(data[1][lo : lo + n + LENGTH - 1])
+                if kind == OPEN:
+                    out += _packed(_by_key(mine["a"], parts), OPEN, mine, texts)
+                    continue
+                hot = _sizes(mine["a"]) >= HOT_BATCH
+                late, left, left_texts, _ = thinned(_pick(mine, hot), [texts[k] for k in np.flatnonzero(hot)])
+                out += _packed(np.zeros(len(late["a"]), dtype=np.int64), REPEAT, late, [b""] * len(late["a"]))
+                mine, texts = _joined([_pick(mine, ~hot), left]), [texts[k] for k in np.flatnonzero(~hot)] + left_texts
+                pieces, texts = cut(mine, texts)
+                hot = _sizes(pieces["a"]) >= HOT_BATCH
+                cold = np.flatnonzero(~hot)
+                out += _packed(_by_key(pieces["a"][cold], parts), OPEN, _pick(pieces, cold), [texts[k] for k in cold])
+                keys = np.unique(pieces["a"][hot])
+                out += _packed(_by_key(keys, parts), MARK, {k: np.zeros(len(keys), dtype=np.int64) for k in _KEYS} | {"a": keys}, [b""] * len(keys))
+                late, windows, texts = as_windows(_pick(pieces, hot), [texts[k] for k in np.flatnonzero(hot)])
+                out += _packed(np.zeros(len(late["a"]), dtype=np.int64), REPEAT, late, [b""] * len(late["a"]))
+                out += _packed(_by_key(windows["a"], parts), WINDOW, windows, texts)
+            yield pd.DataFrame(out, columns=_SPANS)
+
+    return by_file(runs, files, work, SPANS)
 
 
 def compared(spans: DataFrame, parts: int) -> DataFrame:
-    """RUNS from SPANS: REPEAT from the suffix arrays, and WINDOW rows of hot pieces."""
+    """SPANS: REPEAT from the suffix arrays, and WINDOW rows of what is too hot for one."""
 
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
-        names = [x.split(" ")[0] for x in RUNS.split(", ")]
-        out = rows.loc[rows["kind"].isin((REPEAT, WINDOW)), names].values.tolist()
+    def work(at, rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["kind"] == OPEN]
+        out: list = []
         if len(own):
-            cols, blob = _unpacked(own), b"".join(own["bytes"])
-            ends = np.cumsum(cols["n"] + LENGTH - 1)
-            texts = [blob[e - n - LENGTH + 1 : e] for e, n in zip(ends.tolist(), cols["n"].tolist())]
-            order = np.lexsort((cols["lo"], cols["doc"], cols["b"], cols["a"]))
-            cols, texts = _pick(cols, order), [texts[i] for i in order]
-            first = _first_of(cols["a"], cols["b"])
-            late = _pick(cols, ~first)
-            out += _packed(late["doc"] % parts, REPEAT, late)
-            cols, texts = _pick(cols, first), [texts[i] for i in np.flatnonzero(first)]
-            group = np.cumsum(_first_of(cols["a"])) - 1
-            marked = np.isin(cols["a"], _unpacked(rows[rows["kind"] == MARK])["a"])
-            out += [r[:-1] for r in _windows(_pick(cols, marked), [texts[i] for i in np.flatnonzero(marked)], parts)]
-            at = np.flatnonzero((np.bincount(group)[group] > 1) & ~marked)
-            if len(at):
-                cols, texts = _pick(cols, at), [texts[i] for i in at]
-                begin = np.cumsum([len(x) + 1 for x in texts]) - np.array([len(x) + 1 for x in texts])
-                lost = []
-                for places in equal_windows(texts, cols["n"].tolist()):
-                    i = np.searchsorted(begin, places, side="right") - 1
-                    doc, start = cols["doc"][i], cols["lo"][i] + places - begin[i]
-                    keep = np.lexsort((start, doc))[0]
-                    lost.append(np.delete(np.stack([doc, start]), keep, axis=1))
-                if lost:
-                    doc, start = np.concatenate(lost, axis=1)
-                    by = np.lexsort((start, doc))
-                    doc, start = doc[by], start[by]
-                    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
-                    n = np.r_[start[new[1:] - 1], start[-1]] - start[new] + 1
-                    for lo in range(int(n.max() - 1) // 200 + 1):  # counts are stored in a byte
-                        left = n - 200 * lo
-                        some = left > 0
-                        c = {"a": np.zeros(some.sum(), np.uint64), "b": np.zeros(some.sum(), np.uint64), "doc": doc[new][some], "lo": start[new][some] + 200 * lo, "n": np.minimum(left[some], 200), "rel": np.zeros(some.sum(), np.int64)}
-                        out += _packed(c["doc"] % parts, REPEAT, c)
-        return pd.DataFrame(out, columns=names)
-
-    return spans.groupBy("part").applyInPandas(work, RUNS)
-
-
-def single(windows: DataFrame, parts: int) -> DataFrame:
-    """REPEAT rows of hot windows: all but the earliest of equal ones."""
-
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
+            cols = _unpacked(own)
+            texts = _texts(cols, b"".join(own["bytes"]))
+            marked = np.isin(cols["a"], _marks(rows))
+            meet = np.flatnonzero(~marked & (_sizes(cols["a"]) > 1))
+            late, left, left_texts, whole = thinned(_pick(cols, meet), [texts[k] for k in meet])
+            out += _packed(np.zeros(len(late["a"]), dtype=np.int64), REPEAT, late, [b""] * len(late["a"]))
+            open_ = np.flatnonzero(~whole)
+            rest = _joined([_pick(cols, marked), _pick(left, open_)])
+            late, windows, texts = as_windows(rest, [texts[k] for k in np.flatnonzero(marked)] + [left_texts[k] for k in open_])
+            out += _packed(np.zeros(len(late["a"]), dtype=np.int64), REPEAT, late, [b""] * len(late["a"]))
+            out += _packed(_by_key(windows["a"], parts), WINDOW, windows, texts)
+        return pd.DataFrame(out, columns=_SPANS)
+
+    return spans.where(F.col("kind").isin(OPEN, MARK)).groupBy("part").applyInPandas(work, SPANS)
+
+
+def single(windows: DataFrame) -> DataFrame:
+    """RUNS: REPEAT for all but the earliest of equal windows."""
+
+    def work(at, rows: pd.DataFrame) -> pd.DataFrame:
         cols = _unpacked(rows)
-        cols = _pick(cols, np.lexsort((cols["lo"], cols["doc"], cols["b"], cols["a"])))
-        late = _pick(cols, ~_first_of(cols["a"], cols["b"]))
-        return pd.DataFrame(list(_packed(late["doc"] % parts, REPEAT, late)), columns=[x.split(" ")[0] for x in RUNS.split(", ")])
+        late, _, _ = as_windows(cols, _texts(cols, b"".join(rows["bytes"])))
+        return pd.DataFrame(list(_packed(np.zeros(len(late["a"]), dtype=np.int64), REPEAT, late)), columns=_RUNS)
 
-    return windows.groupBy("part").applyInPandas(work, RUNS)
+    return windows.where(F.col("kind") == WINDOW).groupBy("part").applyInPandas(work, RUNS)
 
 
 def cut_out(data: bytes, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -452,65 +597,87 @@ def _whole_letters(data: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np
     return np.array([x for x, _ in out], dtype=np.int64), np.array([x for _, x in out], dtype=np.int64)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose result is written: Python lets go of their plans, then the JVM does, and the
-    cleaner has a moment to tell the executors."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text, row): the documents packed, with a number: the id, or, where ids are null or repeat, a number in the order of id and text."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), packed(docs))
+    n = own.agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("m")).first()
+    twice = own.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).limit(1).count()
+    if n["n"] == n["m"] and not twice and dict(own.dtypes)["id"] in ("int", "bigint"):
+        return own.select(F.col("id").cast("long").alias("doc"), "text", "row")
+    ranged = written(own.orderBy(F.col("id").asc_nulls_last(), "text", F.xxhash64("row")).withColumn("doc", F.monotonically_increasing_id()), "suffix-order")
+    return ranged.select("doc", "text", "row")
 
 
-def _ordered(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with a column doc: the id, or, where ids are null or repeat, a number in the order of id and text."""
-    n = docs.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("m")).first()
-    twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).limit(1).count()
-    if n["n"] == n["m"] and not twice and dict(docs.dtypes)[id_col] in ("int", "bigint"):
-        return docs.withColumn("doc", F.col(id_col).cast("long"))
-    return written(docs.orderBy(F.col(id_col).asc_nulls_last(), "text").withColumn("doc", F.monotonically_increasing_id()), "suffix-order")
+def _copied(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder, compressed well and in small row groups."""
+    import uuid
 
+    from densigrid.llm.common import shared_dir
 
-def repeats(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """REPEAT rows of (doc, text) by part of documents, and the number of those parts; ``size``: bytes of text in all."""
-    spark = docs.sparkSession
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/suffix-docs-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("maxRecordsPerFile", 0).parquet(path)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def repeats(docs: DataFrame, files: Files) -> DataFrame:
+    """REPEAT rows (RUNS) of the copied documents (doc, text), by file."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, blocks_of(size, PART_BYTES)) | 1
-    runs = written(resolved(scan(docs, parts), parts), "suffix-runs")
-    _release(spark)
-    keyed = docs.withColumn("part", F.pmod("doc", F.lit(parts)).cast("int"))
-    spans = written(compared(pieces(keyed, runs.where(F.col("kind") == OPEN), parts), parts), "suffix-spans")
-    _release(spark)
-    late = single(spans.where(F.col("kind") == WINDOW), parts)
-    is_late = F.col("kind") == REPEAT
-    return runs.where(is_late).union(spans.where(is_late)).union(late), parts
+    number = F.regexp_extract("_metadata.file_name", "^part-(\\d+)-", 1).cast("int")
+    runs = written(scan(docs.select("doc", "text", number.alias("file"), F.col("_metadata.row_index").alias("row")), parts), "suffix-runs")
+    near = written(prefiltered(runs), "suffix-near")
+    spans = written(fetched(near, files, parts), "suffix-spans")
+    discard(near)
+    met = written(compared(spans, parts), "suffix-met")
+    late = lambda df: df.where(F.col("kind") == REPEAT).select(*_RUNS)
+    windows = lambda df: df.where(F.col("kind") == WINDOW)
+    out = written(late(runs).union(late(spans)).union(late(met)).union(single(windows(spans).union(windows(met)))), "suffix-repeats")
+    discard(runs, spans, met)
+    return out
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with _n_bytes, _n_removed, _n_spans, _kept_sha256 (of the bytes kept) and, if asked for, _spans and _kept, the text
     that is left when spans are shrunk to whole letters; without the text column otherwise."""
-    own = _ordered(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs, id_col)
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    late, parts = repeats(own.select("doc", "text"), size)
-    keyed = own.withColumn("part", F.pmod("doc", F.lit(parts)).cast("int"))
-    kept_cols = [c for c in own.columns if c != "doc" and (with_text or c != "text")]
-
-    def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = _unpacked(right)
-        order = np.argsort(cols["doc"], kind="stable")
-        docs_, lo, n = cols["doc"][order], cols["lo"][order], cols["n"][order]
-        got = []
-        for doc, text in zip(left["doc"], left["text"], strict=True):
-            data = text.encode() if isinstance(text, str) else b""
-            i, j = np.searchsorted(docs_, [doc, doc + 1])
-            start, stop = cut_out(data, lo[i:j], n[i:j]) if j > i else (lo[:0], lo[:0])
-            row = [len(data), int((stop - start).sum()), len(start), hashlib.sha256(_kept(data, start, stop)).hexdigest()]
-            if with_text:
-                row += [list(zip(start.tolist(), stop.tolist())), _kept(data, *_whole_letters(data, start, stop)).decode() if isinstance(text, str) else None]
-            got.append(row)
-        more = ["_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", *["_spans", "_kept"] * with_text]
-        return pd.concat([left[kept_cols].reset_index(drop=True), pd.DataFrame(got, columns=more)], axis=1)
-
-    kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in kept_cols)
-    more = ", _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string" + ", _spans array<struct<start:bigint,stop:bigint>>, _kept string" * with_text
-    keep = keyed.select("part", "doc", *dict.fromkeys([*kept_cols, "text"]))
-    return keep.groupBy("part").cogroup(late.groupBy("part")).applyInPandas(work, kinds + more)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    columns = docs if with_text else docs.drop(text_col)
+    own = _ordered(docs, id_col, text_col)
+    if not with_text:
+        own = own.withColumn("row", F.col("row").dropFields(text_col))
+    copy = _copied(own)
+    files = Files(copy)
+    late = repeats(copy, files)
+    # Every file is named, whether it has repeats or not.
+    number = F.regexp_extract("_metadata.file_name", "^part-(\\d+)-", 1).cast("int")
+    empty = {"part": F.lit(0), "kind": F.lit(REPEAT), "file": F.col("file")}
+    every = copy.select(number.alias("file")).distinct().select(*(empty.get(c, F.lit(b"")).alias(c) for c in _RUNS))
+    more = "_n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string" + ", _spans array<struct<start:bigint,stop:bigint>>, _kept string" * with_text
+    schema = T.StructType([T.StructField("row", own.schema["row"].dataType), *T.StructType.fromDDL(more).fields])
+    kinds = to_arrow_schema(schema)
+    names = [f.name for f in schema.fields[1:]]
+
+    def work(at: int, rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        cols = _unpacked(rows)
+        order = np.argsort(cols["row"], kind="stable")
+        where, lo, n = cols["row"][order], cols["lo"][order], cols["n"][order]
+        for first, group in files.groups(at, ["text", "row"]):
+            got = []
+            for r, text in enumerate(group.column("text").to_pylist(), first):
+                data = (text or "").encode()
+                i, j = np.searchsorted(where, [r, r + 1])
+                start, stop = cut_out(data, lo[i:j], n[i:j]) if j > i else (lo[:0], lo[:0])
+                found = [len(data), int((stop - start).sum()), len(start), hashlib.sha256(_kept(data, start, stop)).hexdigest()]
+                if with_text:
+                    found += [[{"start": a, "stop": b} for a, b in zip(start.tolist(), stop.tolist())], None if text is None else _kept(data, *_whole_letters(data, start, stop)).decode()]
+                got.append(found)
+            if got:
+                made = [pa.array([g[k] for g in got], type=kinds.field(name).type) for k, name in enumerate(names)]
+                table = pa.table([group.column("row").cast(kinds.field("row").type), *made], names=["row", *names])
+                yield from table.combine_chunks().to_batches()
+
+    out = by_file(late.union(every), files, work, schema, arrow=True)
+    return unpacked(out, columns, {c: F.col(c) for c in names})
