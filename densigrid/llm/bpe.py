@@ -9,7 +9,7 @@ The vocabulary is a file in the format of the tokenizers library, with an end-of
 it are supported (NFC, white space to a blank, lower case; split by pattern; byte-level letters; no decoder), others are refused.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; special tokens in a text become their ids; repeated rows are encoded
-alike; long texts are encoded whole; other columns are kept.
+alike; long texts are encoded whole; other columns are kept, and replaced only where they are named as a result.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from densigrid.llm.common import extended
+
 CACHE_PIECES = 120_000  # encoded pieces in each of the two generations that a worker remembers; of token pairs four times as many
 SPACE = "\t-\r \x85\xa0  -     　"
 END = "￿"  # stands for the end-of-word suffix within the automaton
@@ -195,29 +195,23 @@ def loaded(spec_text: str) -> Bpe:
     return _LOADED[key]
 
 
-def tokens(docs: DataFrame, vocabulary_path: str, digests_only: bool = True, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256, and, unless ``digests_only``, ids (array<int>) and decoded (string).
+def tokens(docs: DataFrame, vocabulary_path: str, digests_only: bool = True, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, unless it is kept) with n_tokens, ids_sha256 and decoded_sha256, and, unless ``digests_only``, ids (array<int>) and decoded (string).
 
     The vocabulary (a few MB, a fixed file) is read by the driver and broadcast.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list) -> tuple:
         bpe = loaded(shared.value)
-        for rows in batches:
-            n, ids_sha, text_sha, all_ids, all_texts = [], [], [], [], []
-            for t in rows[text]:
-                ids = bpe.encode(t if isinstance(t, str) else None)
-                back = bpe.decode(ids)
-                n.append(len(ids)), ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest()), text_sha.append(hashlib.sha256(back).hexdigest())
-                if not digests_only:
-                    all_ids.append(ids.astype(np.int32)), all_texts.append(back.decode())
-            rows["n_tokens"], rows["ids_sha256"], rows["decoded_sha256"] = n, ids_sha, text_sha
-            if not digests_only:
-                rows["ids"], rows["decoded"] = all_ids, all_texts
-            yield rows
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    more = "" if digests_only else ", ids array<int>, decoded string"
-    return docs.mapInPandas(work, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+        out: tuple = ([], [], [], [], [])
+        for t in texts:
+            ids = bpe.encode(t if isinstance(t, str) else None)
+            back = bpe.decode(ids)
+            row = [len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()]
+            for held, x in zip(out, row if digests_only else [*row, ids.astype(np.int32), back.decode()]):
+                held.append(x)
+        return out[: 3 if digests_only else 5]
+
+    return extended(docs, [text], "n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids array<int>, decoded string"), work, () if keep_text else (text,))

@@ -3,33 +3,37 @@
 A model of order ``ORDER`` is counted for each language on a bounded sample of labelled texts. The grams of all languages of one order
 form one sorted array of 64-bit hashes with a row of log probabilities (one column a language) beside it, and the contexts another one
 with back-off weights. A text is scored whole: each character takes the longest gram that any language has seen; shorter matches
-add the weights of the contexts passed. The language with the least mean cross-entropy wins. Its threshold, calibrated on
-the training texts, says whether the text is rejected as none of the languages.
+add the weights of the contexts passed. The language with the least mean cross-entropy wins.
+
+Calibration is done on sample texts that the models were not fitted on. The score is a softmax of the negative cross-entropies, its temperature
+the one of least log loss there. For rejection the cross-entropy of a text of n characters in its own language is standardised
+by mean and standard deviation sqrt(a + b / n), and an exponential tail is fitted to the largest standardised values: a text is rejected where a text of its
+language would be with a chance of ``REJECTED``.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and are rejected; ties go to the first language by name; with
-no labelled text every row is ``und``; repeated rows are scored alike; long texts are scored whole, in slices; other columns are kept.
+no labelled text every row is ``und``; repeated rows are scored alike; long texts are learned and scored whole, in slices; other columns are kept, and replaced only
+where they are named as a result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.llm.common import extended
+
 ORDER = 4
-SAMPLE_TEXTS = 400  # labelled texts of a language that a model is fitted on, those of smallest id hash
-SAMPLE_CHARS = 2_000_000  # and as many of their characters at least where there are more, in order of that hash
-LONGEST = 100_000  # characters of the longest text that a model is fitted on
+FIT_TEXTS, CALIBRATION_TEXTS = 400, 200  # labelled texts of a language that a model is fitted and calibrated on, those of smallest id hash: the bound of the sample
 DISCOUNT = 0.75
 FLOOR = 1e-6  # probability of a character that no language has seen
 SLICE = 1 << 20
-MARGIN = 1.35  # a text is rejected when its cross-entropy is over MARGIN times the largest of the training texts (99.9 %)
-TEMPERATURE = 4.0
+REJECTED = 1e-4  # share of a language's own texts that the calibrated threshold rejects
+TAIL = 0.1  # share of the standardised cross-entropies that its tail is fitted on
+LEAST_TEXTS = 20  # with fewer calibration texts of a language all of the sample's texts calibrate it
 
 _SPACE = re.compile(r"\s+")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -69,7 +73,8 @@ class Model:
     logp: list[np.ndarray]  # (grams, languages), by order
     contexts: list[np.ndarray]
     back: list[np.ndarray]  # log back-off weights (contexts, languages), by order of the gram they leave
-    limit: np.ndarray  # rejection thresholds by language
+    usual: np.ndarray  # (languages, 4): mean, a and b of the variance, and the standardised threshold
+    sharp: float = 1.0  # what cross-entropies are multiplied by for the score
 
     def find(self, table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(table, keys)
@@ -97,31 +102,59 @@ class Model:
 
     def entropies(self, text: str) -> np.ndarray:
         """Mean cross-entropy in nats a character, by language, over the whole text."""
+        return self.measured(text)[0]
+
+    def measured(self, text: str) -> tuple[np.ndarray, int]:
+        """Mean cross-entropies by language, and how many characters they are over."""
         c = codes(text)
         sums, n = np.zeros(len(self.langs)), 0
         for lo in range(0, len(c), SLICE):
             before = min(lo, ORDER - 1)
             s, k = self.total(c[lo - before : lo + SLICE], before)
             sums, n = sums + s, n + k
-        return -sums / max(1, n)
+        return -sums / max(1, n), max(1, n)
+
+    def strange(self, k: int, entropy: float, n: int) -> bool:
+        """Whether a text of language ``k`` would hardly have so large a cross-entropy."""
+        mean, a, b, limit = self.usual[k]
+        return bool((entropy - mean) / np.sqrt(a + b / n) > limit)
+
+
+def _merged(parts: list[tuple]) -> tuple:
+    """One (hashes, counts, contexts, suffixes) of several, sorted by hash."""
+    h, n, c, x = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    keys, first, place = np.unique(h, return_index=True, return_inverse=True)
+    return keys, np.bincount(place, weights=n, minlength=len(keys)), c[first], x[first]
 
 
 def count_grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By order: hashes of distinct grams, their counts, the hash of their context and that of the gram without its first character."""
-    hs = [[] for _ in range(ORDER)]
-    cs = [[] for _ in range(ORDER)]
-    ss = [[] for _ in range(ORDER)]
-    for text in texts:
-        h = gram_hashes(codes(text))
+    """By order: hashes of distinct grams, their counts, the hash of their context and that of the gram without its first character.
+
+    Counts are taken slice by slice and merged, so that memory follows the distinct grams and not the characters.
+    """
+    none = np.zeros(0, dtype=np.uint64)
+    out = [(none, np.zeros(0), none, none)] * ORDER
+    held: list[list[tuple]] = [[] for _ in range(ORDER)]
+
+    def merge():
         for n in range(ORDER):
-            hs[n].append(h[n][n:])
-            cs[n].append(h[n - 1][n - 1 : -1] if n else np.zeros(len(h[0]), dtype=np.uint64))
-            ss[n].append(h[n - 1][n:] if n else np.zeros(len(h[0]), dtype=np.uint64))
-    out = []
-    for n in range(ORDER):
-        h, c, s = (np.concatenate(x[n]) if x[n] else np.zeros(0, dtype=np.uint64) for x in (hs, cs, ss))
-        keys, first, counts = np.unique(h, return_index=True, return_counts=True)
-        out.append((keys, counts.astype(np.float64), c[first], s[first]))
+            out[n] = _merged([out[n], *held[n]])
+            held[n].clear()
+
+    size = 0
+    for text in texts:
+        c = codes(text)
+        for lo in range(0, len(c), SLICE):
+            before = min(lo, ORDER - 1)
+            h = gram_hashes(c[lo - before : lo + SLICE])
+            for n in range(ORDER):
+                at = np.arange(max(n, before), len(h[0]))
+                held[n].append((h[n][at], np.ones(len(at)), h[n - 1][at - 1] if n else np.zeros(len(at), dtype=np.uint64), h[n - 1][at] if n else np.zeros(len(at), dtype=np.uint64)))
+            size += len(h[0])
+            if size >= SLICE:
+                merge()
+                size = 0
+    merge()
     return out
 
 
@@ -159,57 +192,92 @@ def fit(samples: dict[str, list[str]]) -> Model:
             if n:
                 lower = prob[n - 1][np.searchsorted(grams[n - 1], suffix_of[n]), k]
             prob[n][:, k] = here + back[n][np.searchsorted(contexts[n], context_of[n]), k] * lower
-    model = Model(langs, grams, [np.log(np.maximum(p, 1e-12)).astype(np.float32) for p in prob], contexts, [np.log(np.maximum(b, 1e-12)).astype(np.float32) for b in back], np.full(len(langs), np.inf))
-    for k, lang in enumerate(langs):
-        own = [model.entropies(t)[k] for t in samples[lang] if len(t) >= 20]
-        if own:
-            model.limit[k] = MARGIN * np.quantile(own, 0.999) + 1.0
-    return model
-
-
-def training_sample(labelled: DataFrame) -> dict[str, list[str]]:
-    """Texts by language: the SAMPLE_TEXTS of smallest id hash, with a letter. Two scans: ids first, then their texts."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.length("text") <= LONGEST))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS).select("doc_id", "lang").distinct()
-    found = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])  # at most SAMPLE_TEXTS ids a language
-    out: dict[str, list[str]] = {}
-    for r in sorted(found.collect(), key=lambda r: (str(r["lang"]), str(r["doc_id"]))):
-        texts = out.setdefault(r["lang"], [])
-        if sum(map(len, texts)) < SAMPLE_CHARS:
-            texts.append(r["text"])
-    return out
+    return Model(langs, grams, [np.log(np.maximum(p, 1e-12)).astype(np.float32) for p in prob], contexts, [np.log(np.maximum(b, 1e-12)).astype(np.float32) for b in back], np.tile([0.0, 1.0, 0.0, np.inf], (len(langs), 1)))
+
+
+def calibrate(model: Model, samples: dict[str, list[str]]) -> None:
+    """Sets the thresholds and the sharpness of ``model`` from texts by language that it was not fitted on."""
+    rows, truth = [], []
+    for k, lang in enumerate(model.langs):
+        got = [model.measured(t) for t in samples.get(lang, [])]
+        if not got:
+            continue
+        h, n = np.array([g[0][k] for g in got]), np.array([g[1] for g in got], dtype=np.float64)
+        rows += [g[0] for g in got]
+        truth += [k] * len(got)
+        # Weighted by length, since the mean over n characters varies by about 1 / n; then the squares about it as a + b / n.
+        mean = float((h * n).sum() / n.sum())
+        square = (h - mean) ** 2
+        x = 1 / n
+        b = max(0.0, float(((x - x.mean()) * (square - square.mean())).sum() / max(((x - x.mean()) ** 2).sum(), 1e-300)))
+        a = max(float(square.mean() - b * x.mean()), 1e-6)
+        z = np.sort((h - mean) / np.sqrt(a + b * x))
+        tail = max(1, int(np.ceil(TAIL * len(z))))
+        edge = z[-tail - 1] if len(z) > tail else z[0]
+        # Exponential tail: the chance of more than edge + y is (tail / texts) exp(-y / m). The largest value seen never counts as strange.
+        m = max(float((z[-tail:] - edge).mean()), 0.1)
+        limit = max(float(edge + m * np.log(tail / len(z) / REJECTED)), float(z[-1]))
+        model.usual[k] = mean, a, b, limit
+    if rows:
+        h, k = np.array(rows), np.array(truth)
+        gap = h - h[np.arange(len(k)), k][:, None]
+        loss = lambda s: float(np.log(np.exp(np.minimum(-s * gap, 500)).sum(axis=1)).mean())
+        model.sharp = min((2.0 ** (e / 2) for e in range(-4, 13)), key=loss)
+
+
+def _least_hashed(rows: DataFrame, most: int) -> DataFrame:
+    """(doc_id, lang, n): the ``most`` ids of each language of least hash, numbered. Taken within buckets first, so that no task sees all ids of a language."""
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
+    bucket = F.pmod("h", F.lit(64))
+    near = Window.partitionBy("lang", bucket).orderBy("h", "doc_id")
+    far = Window.partitionBy("lang").orderBy("h", "doc_id")
+    some = hashed.withColumn("n", F.row_number().over(near)).where(F.col("n") <= most)
+    return some.withColumn("n", F.row_number().over(far)).where(F.col("n") <= most).select("doc_id", "lang", "n")
+
+
+def training_sample(labelled: DataFrame) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Texts by language to fit on and to calibrate on: those of the smallest id hashes, with a letter. Two scans: ids first, then their texts."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & F.col("doc_id").isNotNull())
+    ids = _least_hashed(rows, FIT_TEXTS + CALIBRATION_TEXTS)  # so many rows a language
+    found = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).collect()
+    fit_on: dict[str, list[str]] = {}
+    test_on: dict[str, list[str]] = {}
+    of: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: (str(r["lang"]), r["n"], r["text"])):
+        of.setdefault(r["lang"], []).append(r["text"])
+    for lang, texts in of.items():
+        texts = texts[: FIT_TEXTS + CALIBRATION_TEXTS]
+        held = len(texts) * CALIBRATION_TEXTS // (FIT_TEXTS + CALIBRATION_TEXTS)
+        fit_on[lang] = texts[held:]
+        test_on[lang] = texts[:held] if held >= LEAST_TEXTS else texts
+    return fit_on, test_on
 
 
 def train(labelled: DataFrame) -> Model | None:
-    """A model from rows (doc_id, text, lang), or None when none is labelled."""
-    samples = training_sample(labelled)
-    return fit(samples) if samples else None
+    """A calibrated model from rows (doc_id, text, lang), or None when none is labelled."""
+    fit_on, test_on = training_sample(labelled)
+    if not fit_on:
+        return None
+    model = fit(fit_on)
+    calibrate(model, test_on)
+    return model
 
 
 def decide(model: Model | None, text: str | None) -> tuple[str, float, bool, float]:
     """(language, score, rejected, cross-entropy) of one text."""
     if model is None or not has_letter(text):
         return "und", 0.0, True, float("nan")
-    h = model.entropies(text)
+    h, n = model.measured(text)
     best = int(np.argmin(h))
-    p = np.exp((h[best] - h) * TEMPERATURE)
-    return model.langs[best], float(1 / p.sum()), bool(h[best] > model.limit[best]), float(h[best])
-
-
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with _lang, _score, _rejected and _entropy."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
-    names = docs.columns
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for rows in batches:
-            got = [decide(m, t if isinstance(t, str) else None) for t in rows["text"]]
-            for i, c in enumerate(("_lang", "_score", "_rejected", "_entropy")):
-                rows[c] = [g[i] for g in got]
-            yield rows
-
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.mapInPandas(score, f"{kinds}, _lang string, _score double, _rejected boolean, _entropy double")
+    p = np.exp((h[best] - h) * model.sharp)
+    return model.langs[best], float(1 / p.sum()), model.strange(best, float(h[best]), n), float(h[best])
+
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, unless it is kept) with _lang, _score, _rejected and _entropy."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+
+    def score(texts: list) -> tuple:
+        return tuple(zip(*(decide(shared.value, t if isinstance(t, str) else None) for t in texts))) or ((), (), (), ())
+
+    return extended(docs, [text], "_lang string, _score double, _rejected boolean, _entropy double", score, () if keep_text else (text,))

@@ -1,28 +1,42 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source with weight w gives out its documents in blocks. Block j (from 0) is released at floor(j / w) and due at ceil((j + 1) / w), in
+A source with weight w (of the sum of all) gives out its documents in blocks. Block j (from 0) is released at floor(j / w) and due at ceil((j + 1) / w), in
 block slots. Earliest deadline first over the released blocks serves every block in its window, so after any number of
-slots a source is less than one block from its target. Weights are exact fractions; their least common denominator is the schedule's period, and one
-period says all: slot = period * (block div c) + slot of (block mod c) within the period. Where a phase is shorter than its period, only the phase is laid out.
+slots a source is less than one block from its target. Weights are exact fractions, never rounded; their least common denominator is the
+schedule's period. When a source runs out, a new phase starts with the weights of the others, scaled up; no document is dropped or repeated.
 
-When a source runs out, a new phase starts with the weights of the others, scaled up; no document is dropped or repeated.
-Blocks are numbered without bringing a source into one task: documents are dealt to buckets by a hash, bucket counts are summed
-ahead, and numbers are given within a bucket.
+The plan holds, for each phase, the blocks of one period (or of the phase, where that is shorter) and how often it repeats. One task writes it as a stream and
+holds one row a source; it has no more rows than there are blocks, and is joined like any table. Blocks are numbered without bringing a source
+into one task: documents are dealt to buckets by a hash, bucket counts are summed ahead, and numbers are given within a bucket.
 
 Defined cases: a null source is a source of its own; sources without a weight (or with one of zero or less) come after all others, by equal
-weights; null or repeated ids keep their rows; empty tables give empty results; other columns are kept by ``mixed``.
+weights; null or repeated ids keep their rows; empty tables give empty results; other columns are kept, and replaced only where they are
+named as a result.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import math
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from densigrid.llm.common import discard, packed, salted_join, unpacked, written
+
+RESULTS = ("_phase", "_block", "_release", "_deadline", "_slot", "_place")
+TILE = 64  # blocks of a source among which a block looks for its phase
+PLAN = "kind int, phase int, name string, start long, place long, period long, c long, lo long, hi long, j long, release long, due long, slot long"
+_FIELDS = [x.split(" ")[0] for x in PLAN.split(", ")]
+SPAN, CELL = 0, 1
+
+
+def source_name(source: str):
+    """A text for each source, nulls included, in the order that ties go by."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null"))
 
 
 def exact_shares(weights: dict) -> tuple[int, dict]:
@@ -34,108 +48,117 @@ def exact_shares(weights: dict) -> tuple[int, dict]:
     return period, {s: w.numerator * (period // w.denominator) for s, w in share.items()}
 
 
-def edf(slots: dict, period: int, length: int) -> list[tuple]:
-    """(source, block, release, deadline, slot) of the first ``length`` slots, earliest deadline first, ties by source name."""
-    todo = [(0, str(s), i, 0, s) for i, s in enumerate(slots)]
+def edf(slots: dict, period: int) -> Iterator[tuple]:
+    """(source, block, release, deadline, slot) of the slots of one period, earliest deadline first, ties by source name."""
+    todo = [(0, s, 0) for s in slots]
     heapq.heapify(todo)
-    ready, out = [], []
-    for slot in range(length):
-        while todo[0][0] <= slot:
-            release, name, i, j, s = todo[0]
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), name, i, j, release, s))
-            heapq.heapreplace(todo, ((j + 1) * period // slots[s], name, i, j + 1, s))
-        deadline, _, _, j, release, s = heapq.heappop(ready)
-        out.append((s, j, release, deadline, slot))
-    return out
-
-
-def phases(blocks: dict, weights: dict) -> list[tuple[int, int, int, dict, dict, list]]:
-    """(phase, first slot, period, blocks in a period by source, blocks given before by source, laid-out slots) until every source is out of blocks.
-
-    A phase ends with the slot that serves the last block of some source. Of a phase shorter than its period the slots are laid out up to its
-    end, else those of one period.
-    """
-    given, out, start = {s: 0 for s in blocks}, [], 0
-    while True:
-        left = [s for s in blocks if blocks[s] > given[s]]
-        if not left:
-            return out
-        period, slots = exact_shares({s: weights[s] for s in left if (weights.get(s) or 0) > 0} or {s: 1 for s in left})
-        # A source's last block is due by then.
-        longest = min(-(-(blocks[s] - given[s]) * period // c) for s, c in slots.items())
-        laid = edf(slots, period, min(period, longest))
-        times: dict = {s: [] for s in slots}
-        for s, _, _, _, slot in laid:
-            times[s].append(slot)
-        last = []
-        for s, c in slots.items():
-            whole, rest = divmod(blocks[s] - given[s] - 1, c)
-            if rest < len(times[s]):
-                last.append(whole * period + times[s][rest])
-        length = min(last) + 1
-        out.append((len(out), start, period, slots, dict(given), laid[:length]))
-        whole, rest = divmod(length, period)
+    ready: list = []
+    for slot in range(period):
+        while todo and todo[0][0] <= slot:
+            release, s, j = heapq.heappop(todo)
+            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j, release))
+            if j + 1 < slots[s]:
+                heapq.heappush(todo, ((j + 1) * period // slots[s], s, j + 1))
+        deadline, s, j, release = heapq.heappop(ready)
+        yield s, j, release, deadline, slot
+
+
+def plan(rows: dict[str, int], weight: Callable[[str], object], block_rows: int) -> Iterator[tuple]:
+    """Rows of PLAN. A SPAN gives the blocks lo up to hi of a source to a phase; a CELL the windows and slots of the j-th block of a period."""
+    left = {s: -(-n // block_rows) for s, n in rows.items() if n > 0}
+    given = dict.fromkeys(left, 0)
+    phase = start = place = 0
+    while left:
+        weights = {s: w for s in left if (w := weight(s)) is not None and Fraction(str(w)) > 0} or dict.fromkeys(left, 1)
+        period, slots = exact_shares(weights)
+        # The phase ends with some source's last block. Whole periods before the one in which that is:
+        whole = min((left[s] - 1) // c for s, c in slots.items())
+        last = {s: left[s] - 1 - whole * c for s, c in slots.items()}
+        served, ended = dict.fromkeys(slots, 0), None
+        for s, j, release, due, slot in edf(slots, period):
+            if ended is not None and not whole:
+                break
+            yield CELL, phase, s, 0, 0, 0, 0, 0, 0, j, release, due, slot
+            if ended is None:
+                served[s] += 1
+                if j == last[s]:
+                    ended = s, slot + 1
+        done, length = {s: whole * c + served[s] for s, c in slots.items()}, whole * period + ended[1]
         for s, c in slots.items():
-            given[s] += whole * c + bisect.bisect_left(times[s], rest)
-        start += length
+            if done[s]:
+                yield SPAN, phase, s, start, place, period, c, given[s], given[s] + done[s], 0, 0, 0, 0
+                given[s], left[s] = given[s] + done[s], left[s] - done[s]
+        # All blocks are full but for the last one of a source.
+        place += length * block_rows - (-rows[ended[0]] % block_rows)
+        start, phase = start + length, phase + 1
+        left = {s: n for s, n in left.items() if n}
 
 
-def numbered(docs: DataFrame, source: str, order: str, seed: int) -> DataFrame:
-    """``docs`` with _src and _seq, the number (from 0) of a row within its source in a seeded random order."""
-    n = docs.count()
+def numbered(docs: DataFrame, source: str, order: str, seed: int, n: int) -> DataFrame:
+    """(row, name, seq): the packed rows of ``docs`` with their number (from 0) within their source in a seeded order, that of a digest."""
     buckets = max(64, math.isqrt(n))
-    # One text key for sources, nulls included, so that the window and the join with the offsets share a partitioning: rows move once.
-    name = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null"))
-    keyed = docs.withColumn("_src", F.col(source)).withColumn("_name", name).withColumn("_h", F.xxhash64(F.col(order), F.lit(seed)))
-    keyed = keyed.withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
-    ahead = Window.partitionBy("_name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy("_name", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_name", "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
-    within = Window.partitionBy("_name", "_b").orderBy("_h", order)
-    return (
-        keyed.withColumn("_i", F.row_number().over(within) - 1).join(offsets, ["_name", "_b"])
-        .withColumn("_seq", F.col("_off") + F.col("_i")).drop("_name", "_off", "_i", "_b")
-    )
-
-
-def schedule(docs: DataFrame, weights: dict | None = None, source: str = "source", order: str = "doc_id", block_rows: int = 4, seed: int = 11) -> DataFrame:
-    """``docs`` with _phase, _block, _release, _deadline, _slot (all in block slots, global) and _place, the place in the mix.
-
-    ``weights``: target share of each source in any unit; None: equal shares.
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(order).cast("string"), F.lit(""))))
+    keyed = docs.select(packed(docs), source_name(source).alias("name"), digest.alias("h"))
+    # Buckets follow the digest's order. Equal digests (of repeated ids) go by the whole row.
+    bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * buckets).cast("int")
+    keyed = keyed.withColumn("b", bucket)
+    ahead = Window.partitionBy("name").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("name", "b").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("name", "b", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("off"))
+    within = Window.partitionBy("name", "b").orderBy("h", F.xxhash64("row"))
+    return keyed.withColumn("i", F.row_number().over(within) - 1).join(offsets, ["name", "b"]).select("row", "name", "h", (F.col("off") + F.col("i")).alias("seq"))
+
+
+def schedule(docs: DataFrame, weights: dict | Callable[[str], object] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = 4, seed: int = 11) -> DataFrame:
+    """``docs`` with _phase, _block, _release, _deadline, _slot (all in block slots, global) and _place, the place in the mix (from 0, without gaps).
+
+    ``weights``: target share of each source in any unit, as a dict by source or as a function of its text; None: equal shares.
     """
-    spark = docs.sparkSession
-    rows = {r["s"]: r["n"] for r in docs.groupBy(F.col(source).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
-    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
-    plan = phases(blocks, weights if weights is not None else {s: 1 for s in rows})
-    table, ends = [], []
-    for phase, start, period, slots, given, laid in plan:
-        table += [(phase, *x) for x in laid]
-        nxt = plan[phase + 1][4] if phase + 1 < len(plan) else blocks
-        for s, c in slots.items():
-            if nxt[s] > given[s]:
-                # Blocks of a phase that is shorter than its period are never carried over to a next one.
-                repeats = nxt[s] - given[s] > c
-                ends.append((phase, s, start, c if repeats else nxt[s] - given[s], period if repeats else 0, given[s], nxt[s]))
-    kind = T.StructType([T.StructField("s", docs.schema[source].dataType)])
-    period = spark.createDataFrame(table, T.StructType([T.StructField("p", T.IntegerType()), *kind.fields] + [T.StructField(x, T.LongType()) for x in ("j", "rel", "due", "at")]))
-    spans = spark.createDataFrame(ends, T.StructType([T.StructField("p", T.IntegerType()), *kind.fields] + [T.StructField(x, T.LongType()) for x in ("start", "c", "per", "lo", "hi")]))
-    # Their size is known from the plan, so they are sent only when small. Neither has more rows than there are blocks.
-    small = len(table) + len(ends) <= 65536
-    hint = F.broadcast if small else (lambda df: df)
-    seq = numbered(docs, source, order, seed).withColumn("_block", F.floor(F.col("_seq") / block_rows).cast("long"))
-    spans, period = hint(spans.withColumnRenamed("s", "_s1")), hint(period.withColumnRenamed("s", "_s2").withColumnRenamed("p", "_p2"))
-    placed = seq.join(spans, F.col("_src").eqNullSafe(F.col("_s1")) & (F.col("_block") >= F.col("lo")) & (F.col("_block") < F.col("hi")))
-    placed = placed.withColumn("_k", F.col("_block") - F.col("lo")).withColumn("_r", F.floor(F.col("_k") / F.col("c")).cast("long"))
-    placed = placed.join(period, F.col("_src").eqNullSafe(F.col("_s2")) & (F.col("p") == F.col("_p2")) & (F.pmod(F.col("_k"), F.col("c")) == F.col("j")))
-    base = F.col("start") + F.col("_r") * F.col("per")
-    return placed.withColumns({
-        "_phase": F.col("p"), "_release": base + F.col("rel"), "_deadline": base + F.col("due"), "_slot": base + F.col("at"),
-        "_place": (base + F.col("at")) * block_rows + F.pmod(F.col("_seq"), F.lit(block_rows)),
-    }).drop("_s1", "_s2", "_p2", "p", "start", "c", "per", "lo", "hi", "j", "rel", "due", "at", "_k", "_r")
-
-
-def mixed(docs: DataFrame, weights: dict | None = None, source: str = "source", order: str = "doc_id", block_rows: int = 4, parts: int | None = None) -> DataFrame:
+    if weights is None:
+        weight = lambda s: 1
+    elif callable(weights):
+        weight = lambda s: weights(None if s == "null" else s[1:])
+    else:
+        by_name = {"null" if s is None else f"s{s}": w for s, w in weights.items()}
+        weight = by_name.get
+    sizes = written(docs.groupBy(source_name(source).alias("name")).agg(F.count(F.lit(1)).alias("n")), "pfair-sources")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+
+    def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = {s: n for part in batches for s, n in zip(part["name"], part["n"].tolist())}
+        held = []
+        for x in plan(dict(sorted(rows.items())), weight, block_rows):
+            held.append(x)
+            if len(held) == 10_000:
+                yield pd.DataFrame(held, columns=_FIELDS)
+                held = []
+        yield pd.DataFrame(held, columns=_FIELDS)
+
+    # One row a source goes to the one task.
+    laid = written(sizes.coalesce(1).mapInPandas(lay_out, PLAN), "pfair-plan")
+    discard(sizes)
+    tiles = F.explode(F.sequence(F.floor(F.col("lo") / TILE), F.floor((F.col("hi") - 1) / TILE)))
+    spans = laid.where(F.col("kind") == SPAN).withColumn("tile", tiles).select(F.struct("name", "tile").alias("at"), "phase", "start", "place", "period", "c", "lo", "hi")
+    cells = laid.where(F.col("kind") == CELL).select(F.struct("phase", "name", "j").alias("cell"), "release", "due", "slot")
+    rows = numbered(docs, source, order, seed, total).withColumn("block", F.floor(F.col("seq") / block_rows).cast("long"))
+    rows = rows.withColumn("at", F.struct("name", F.floor(F.col("block") / TILE).alias("tile")))
+    inside = (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi"))
+    met = rows.join(spans, "at").where(inside).withColumn("k", F.col("block") - F.col("lo"))
+    met = met.withColumn("cell", F.struct("phase", "name", F.pmod("k", F.col("c")).alias("j")))
+    # A short period's cells hold very many rows each; so few cells are broadcast by Spark's own size check, and dealt to several tasks otherwise.
+    met = met.join(cells, "cell") if cells.count() <= 65_536 else salted_join(met, cells, "cell", "h", total)
+    local = F.floor(F.col("k") / F.col("c")).cast("long") * F.col("period")
+    base, at = F.col("start") + local, local + F.col("slot")
+    more = {
+        "_phase": F.col("phase"), "_block": F.col("block"), "_release": base + F.col("release"), "_deadline": base + F.col("due"), "_slot": F.col("start") + at,
+        "_place": F.col("place") + at * block_rows + F.pmod("seq", F.lit(block_rows)),
+    }
+    return unpacked(met, docs, more)
+
+
+def mixed(docs: DataFrame, weights: dict | Callable[[str], object] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = 4, parts: int | None = None) -> DataFrame:
     """Every row and the columns of ``docs``, in the order of the mix: range partitions by place, sorted within."""
-    placed = schedule(docs, weights, source, order, block_rows)
+    rows = docs.select(packed(docs), F.col(source).alias("source"), F.col(order).alias("id"))
+    placed = schedule(rows, weights, "source", "id", block_rows)
     ranged = placed.repartitionByRange(parts, "_place") if parts else placed.repartitionByRange("_place")
-    return ranged.sortWithinPartitions("_place").select(*docs.columns)
+    return unpacked(ranged.sortWithinPartitions("_place"), docs)

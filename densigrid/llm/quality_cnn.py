@@ -5,23 +5,24 @@ the pooled values of all chunks are combined by their mean and by their maximum,
 them. The network is trained here, by gradient descent, on a bounded sample of labelled texts.
 
 Defined cases: null and empty texts are scored as one chunk of padding; with no labelled text, or labels of one class only, every score is the share of
-label 1 among the labels (0.5 without any); repeated rows are scored alike; long texts are scored whole; other columns are kept.
+label 1 among the labels (0.5 without any); repeated rows are scored alike; long texts are learned from and scored whole; other columns are kept, and
+replaced only where they are named as a result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, STEP, WIDTH, STRIDE = 256, 240, 8, 2  # bytes; chunks overlap by more than a filter's width
+from densigrid.llm.common import extended
+
+CHUNK, STEP, WIDTH, STRIDE = 256, 240, 8, 1  # bytes; chunks overlap by more than a filter's width
 FILTERS, EMBED = 16, 6
-SAMPLE_TEXTS = 4000  # labelled texts to train on, those of smallest id hash
-TRAIN_CHUNKS = 24  # chunks of a text in one training step, evenly spread
+SAMPLE_TEXTS = 4000  # labelled texts to train on, those of smallest id hash: the bound of the sample; each is learned from whole
+SLICE = 512  # chunks that the filters slide over at a time
 EPOCHS, STEPS, BATCH, RATE, DECAY = 7, 1000, 24, 4e-3, 1e-5  # as many epochs, and more while there are fewer steps
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
@@ -51,11 +52,16 @@ class Net:
 
     def pooled(self, x: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest filter values in each chunk (chunks, FILTERS), and at which place."""
-        sums = tables[0][x[:, 0 : 2 * PLACES - 1 : STRIDE]]
-        for w in range(1, WIDTH):
-            sums += tables[w][x[:, w : w + 2 * PLACES - 1 : STRIDE]]
-        at = sums.argmax(axis=1)
-        return np.take_along_axis(sums, at[:, None, :], axis=1)[:, 0, :] + self.bias, at
+        tops, places = [], []
+        for lo in range(0, len(x), SLICE):
+            part = x[lo : lo + SLICE]
+            sums = tables[0][part[:, 0 : STRIDE * (PLACES - 1) + 1 : STRIDE]]
+            for w in range(1, WIDTH):
+                sums += tables[w][part[:, w : w + STRIDE * (PLACES - 1) + 1 : STRIDE]]
+            at = sums.argmax(axis=1)
+            tops.append(np.take_along_axis(sums, at[:, None, :], axis=1)[:, 0, :] + self.bias)
+            places.append(at)
+        return np.concatenate(tops), np.concatenate(places)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.share is not None:
@@ -86,14 +92,9 @@ class Net:
         return 1 / (1 + np.exp(-(feats @ self.out + self.shift)))
 
 
-def spread(data: bytes) -> np.ndarray:
-    """TRAIN_CHUNKS evenly spread chunks of a text, or all where it has fewer."""
-    c = chunks_of(data)
-    return c if len(c) <= TRAIN_CHUNKS else c[np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int)]
-
-
-def train(cut: list[np.ndarray], labels: list[int], seed: int = 5) -> Net:
-    """A network fitted by Adam to the labels of texts, each given as its chunks."""
+def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Net:
+    """A network fitted by Adam to the labels of texts, by all of their chunks."""
+    cut = [chunks_of(t) for t in texts]  # views of the texts
     y = np.array(labels, dtype=np.float64)
     rng = np.random.default_rng(seed)
     net = Net(rng.normal(0, 0.3, (256, EMBED)), rng.normal(0, 0.3, (WIDTH, EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), 0.0)
@@ -145,29 +146,17 @@ def train(cut: list[np.ndarray], labels: list[int], seed: int = 5) -> Net:
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> tuple[list[np.ndarray], list[int]]:
-    """Chunks and labels of the sample: labels (doc_id, quality) of smallest id hash that are 0 or 1, one a document."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> tuple[list[bytes], list[int]]:
+    """Texts and labels of the sample: labels (doc_id, quality) of smallest id hash that are 0 or 1, one a document."""
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` labels
+    got = sorted((str(r["doc_id"]), (r["text"] or "").encode(), r["quality"]) for r in found.collect())[:sample]
+    return [t for _, t, _ in got], [y for _, _, y in got]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            parts = [spread(t.encode() if isinstance(t, str) else b"").tobytes() for t in rows["text"]]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "quality": rows["quality"], "cut": parts})
-
-    got = sorted(found.mapInPandas(cut, "doc_id long, quality int, cut binary").collect(), key=lambda r: (r["doc_id"], r["cut"]))
-    return [np.frombuffer(r["cut"], dtype=np.uint8).reshape(-1, CHUNK) for r in got], [r["quality"] for r in got]
 
-
-def score(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:
-    """``docs`` with _score, the probability of label 1."""
+def score(docs: DataFrame, net: Net, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, unless it is kept) with _score, the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rows["_score"] = shared.value.scores([t.encode() if isinstance(t, str) else b"" for t in rows[text]])
-            yield rows
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    return docs.mapInPandas(work, f"{kinds}, _score double")
+    work = lambda texts: (shared.value.scores([t.encode() if isinstance(t, str) else b"" for t in texts]).tolist(),)
+    return extended(docs, [text], "_score double", work, () if keep_text else (text,))

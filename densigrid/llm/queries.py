@@ -46,7 +46,7 @@ def op4_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = text_bucket("doc_id", 4) == 2
     model = langid.train(docs.where(~held).select("doc_id", "text", "lang"))
-    return langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select(
+    return langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model, keep_text=False).select(
         "doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"),
     )
 
@@ -54,7 +54,7 @@ def op4_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document and back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.tokens(docs, vocabulary_path()).drop("text")
+    return bpe.tokens(docs, vocabulary_path(), keep_text=False)
 
 
 def op6_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op6_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = text_bucket("doc_id", 5) == 0
     net = quality_cnn.train(*quality_cnn.training_rows(docs, table(spark, sf_dir, "labels").where(~held)))
-    scored = quality_cnn.score(docs, net)
+    scored = quality_cnn.score(docs, net, keep_text=False)
     return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
@@ -77,40 +77,69 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(f"_{x}").alias(x) for x in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
 
 
+def drawn(vec: list | None) -> object:
+    """A gray picture of a vector (None without finite components): coarse blocks of its components, and finer ones of products of two."""
+    import numpy as np
+
+    v = np.array([x for x in (vec if vec is not None else []) if x is not None and np.isfinite(x)], dtype=np.float64)
+    side = int(np.sqrt(len(v)))
+    if side < 2 or not v.any():
+        return None
+    v = v[: side * side] / np.abs(v).max()
+    v /= np.sqrt((v * v).mean())
+    coarse = v.reshape(side, side)
+    fine = np.outer(np.r_[v[::3], v[1::3], v[2::3]], v)[: 2 * side, : 2 * side]
+    img = np.kron(coarse, np.ones((8, 8)))
+    img[: 4 * len(fine), : 4 * fine.shape[1]] += 0.6 * np.kron(np.clip(fine, -2, 2), np.ones((4, 4)))
+    return 127.5 + 40 * img
+
+
+def edited(img, i: int):
+    """A crop of three quarters to nine tenths of a side, with other brightness and contrast, slight noise, and for every other id a quarter turn; all by the id."""
+    import numpy as np
+
+    rng = np.random.default_rng([i & 0x7FFFFFFF, 2])
+    h, w = img.shape
+    ch, cw = (int(n * rng.uniform(0.75, 0.9)) for n in (h, w))
+    top, left = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
+    out = (img[top : top + ch, left : left + cw] - 127.5) * rng.uniform(0.7, 1.1) + 127.5 + rng.uniform(-15, 15) + rng.normal(0, 1.0, (ch, cw))
+    return np.rot90(out) if i % 2 else out
+
+
 def vector_pictures(vectors: DataFrame) -> DataFrame:
-    """(id, media): each vector drawn as a picture of blocks, one a component, and stored as a crop at a place that depends on its id."""
+    """(id, media): two images for each vector (id, vec), its picture with the id 2 id and an edited copy of it with 2 id + 1."""
 
     def draw(batches):
-        import numpy as np
         import pandas as pd
 
         for rows in batches:
-            out = []
-            for i, vec in zip(rows["id"], rows["vec"]):
-                v = np.array([x for x in (vec if vec is not None else []) if x is not None and np.isfinite(x)])
-                side = int(np.sqrt(len(v)))
-                if side < 2 or not v.any():
-                    out.append(None)
-                    continue
-                v = v[: side * side].reshape(side, side)
-                img = np.kron(127.5 + 60 * v / np.sqrt((v * v).mean()), np.ones((8, 8)))
-                top, left = i * 7 % 3 * 4, i * 5 % 3 * 4
-                out.append(media_copies.encoded(img[top : top + 8 * side - 8, left : left + 8 * side - 8]))
-            yield pd.DataFrame({"id": rows["id"], "media": out})
+            for lo in range(0, len(rows), 256):
+                ids, media = [], []
+                for i, vec in zip(rows["id"].iloc[lo : lo + 256].tolist(), rows["vec"].iloc[lo : lo + 256]):
+                    img = drawn(vec)
+                    ids += [2 * i, 2 * i + 1]
+                    media += [None, None] if img is None else [media_copies.encoded(img), media_copies.encoded(edited(img, i))]
+                yield pd.DataFrame({"id": ids, "media": media})
 
     return vectors.mapInPandas(draw, "id long, media binary")
 
 
 def op9_local_descriptor_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies among the pictures of all embeddings; the tables hold no media, so each vector is drawn as one."""
+    """Copies among two images for each of the embeddings, its picture and an edited copy; the tables hold no media."""
     vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
-    return media_copies.classes(vector_pictures(vectors)).withColumnRenamed("id", "vec_id")
+    found = media_copies.classes(vector_pictures(vectors))
+    return found.select(F.floor(F.col("id") / 2).cast("long").alias("vec_id"), F.pmod("id", F.lit(2)).cast("int").alias("copy"), "class_id", "n_links")
+
+
+def mix_weight(source: str | None) -> int:
+    """The target weight of a source in the mix of op10: 1 to 5, by the last letter of its name."""
+    return 1 + ord((source or "x")[-1]) % 5
 
 
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's block, window and place in the mix, with equal weights for all sources."""
+    """Every document's phase, block, window, slot and place in the mix, with weights of 1 to 5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return pfair.schedule(docs).select("doc_id", "source", *(F.col(f"_{x}").alias(x) for x in ("phase", "block", "release", "deadline", "slot", "place")))
+    return pfair.schedule(docs, mix_weight).select("doc_id", "source", *(F.col(f"_{x}").alias(x) for x in ("phase", "block", "release", "deadline", "slot", "place")))
 
 
 def queries() -> dict:
@@ -119,7 +148,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_salvage": WARC_SQL}
+    return {"op2_warc_salvage": WARC_SQL, "op10_pfair_mixing": MIX_SQL}
 
 
 # The digest's base32: each five hex digits are four base32 digits.
@@ -135,3 +164,23 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = main THEN 're
   CASE WHEN page_id = main THEN NULL ELSE main END AS refers_to
 FROM b JOIN m USING (h)
 """
+
+# The schedule slot by slot; a state holds, by source, the blocks served and those served before the phase.
+MIX_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE 's' || source END AS name, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT doc_id, source, name, row_number() OVER (PARTITION BY name ORDER BY h) - 1 AS seq FROM d),
+src AS (SELECT name, count(*) AS n, (count(*) + 3) // 4 AS blocks, 1 + ord(CASE WHEN coalesce(max(source), '') = '' THEN 'x' ELSE right(max(source), 1) END) % 5 AS w FROM n GROUP BY name),
+l AS (SELECT list(name ORDER BY name) AS names, list(blocks ORDER BY name) AS blocks, list(w ORDER BY name) AS w, sum(blocks) AS slots FROM src),
+edf AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS phase, CAST(0 AS BIGINT) AS start, list_transform(blocks, lambda x: CAST(0 AS BIGINT)) AS base, list_transform(blocks, lambda x: CAST(0 AS BIGINT)) AS served,
+    CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS release, CAST(0 AS BIGINT) AS deadline FROM l
+  UNION ALL
+  SELECT t, phase, start, base, list_transform(range(1, len(served) + 1), lambda i: CAST(served[i] + (CASE WHEN i = pick.i THEN 1 ELSE 0 END) AS BIGINT)), pick.i, served[pick.i], start + pick.rel, start + pick.due
+  FROM (SELECT *, list_min(list_transform(list_filter(range(1, len(served) + 1), lambda i: served[i] < blocks[i] AND (served[i] - base[i]) * whole // w[i] <= t - start),
+      lambda i: {'due': CAST(((served[i] - base[i] + 1) * whole + w[i] - 1) // w[i] AS BIGINT), 'i': i, 'rel': CAST((served[i] - base[i]) * whole // w[i] AS BIGINT)})) AS pick
+    FROM (SELECT *, CAST(list_sum(list_transform(range(1, len(served) + 1), lambda i: CASE WHEN base[i] < blocks[i] THEN w[i] ELSE 0 END)) AS BIGINT) AS whole
+      FROM (SELECT slot + 1 AS t, CASE WHEN ended THEN phase + 1 ELSE phase END AS phase, CASE WHEN ended THEN slot + 1 ELSE start END AS start, CASE WHEN ended THEN served ELSE base END AS base, served, blocks, w
+        FROM (SELECT edf.*, l.*, len(list_filter(range(1, len(served) + 1), lambda i: served[i] = l.blocks[i] AND base[i] < l.blocks[i])) > 0 AS ended FROM edf, l WHERE edf.slot + 1 < l.slots)))))
+SELECT n.doc_id, n.source, CAST(e.phase AS INTEGER) AS phase, e.block, e.release, e.deadline, e.slot, row_number() OVER (ORDER BY e.slot, n.seq) - 1 AS place
+FROM n JOIN (SELECT edf.*, names[s] AS name FROM edf, l WHERE slot >= 0) e ON n.name = e.name AND n.seq // 4 = e.block
+"""
