@@ -409,7 +409,7 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
             at = np.flatnonzero(hot)
             many = _pick(cols, at)
             late, left, _, _ = thinned(many, [own[d][3][x : x + n + LENGTH - 1] for d, x, n in zip(i[at].tolist(), many["lo"].tolist(), many["n"].tolist())])
-            out += _packed(np.zeros(len(late["a"]), dtype=np.int64), REPEAT, late)
+            out += _packed(late["row"] % parts, REPEAT, late)
             hot = _sizes(left["a"]) >= HOT_BATCH
             out += _packed(_by_key(left["a"][~hot], parts), OPEN, _pick(left, ~hot))
             many = _pick(left, hot)
@@ -423,17 +423,17 @@ def scan(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def prefiltered(runs: DataFrame) -> DataFrame:
-    """RUNS without those whose anchor has no other run: OPEN ones of rare anchors, and PIECES of hot ones."""
+    """RUNS without those whose anchor has no other run: OPEN ones of rare anchors, and PIECES of hot ones; repeats pass."""
 
     def work(at, rows: pd.DataFrame) -> pd.DataFrame:
-        cols, out = _unpacked(rows[rows["kind"] == OPEN]), []
+        cols, out = _unpacked(rows[rows["kind"] == OPEN]), rows.loc[rows["kind"] == REPEAT, _RUNS].values.tolist()
         n, marked = _sizes(cols["a"]), np.isin(cols["a"], _marks(rows))
         hot = marked | (n >= HOT)
         for kind, found in ((OPEN, _pick(cols, ~hot & (n > 1))), (PIECES, _pick(cols, hot)), (PIECES, _unpacked(rows[rows["kind"] == SPREAD]))):
             out += _packed(np.zeros(len(found["a"]), dtype=np.int64), kind, found)
         return pd.DataFrame(out, columns=_RUNS)
 
-    return runs.where(F.col("kind") != REPEAT).groupBy("part").applyInPandas(work, RUNS)
+    return runs.groupBy("part").applyInPandas(work, RUNS)
 
 
 class Files:
@@ -519,7 +519,7 @@ def fetched(runs: DataFrame, files: Files, parts: int) -> DataFrame:
                     continue
                 hot = _sizes(mine["a"]) >= HOT_BATCH
                 late, left, left_texts, _ = thinned(_pick(mine, hot), [texts[k] for k in np.flatnonzero(hot)])
-                out += _packed(np.zeros(len(late["a"]), dtype=np.int64), REPEAT, late, [b""] * len(late["a"]))
+                out += _packed(late["row"] % parts, REPEAT, late, [b""] * len(late["a"]))
                 mine, texts = _joined([_pick(mine, ~hot), left]), [texts[k] for k in np.flatnonzero(~hot)] + left_texts
                 pieces, texts = cut(mine, texts)
                 hot = _sizes(pieces["a"]) >= HOT_BATCH
@@ -528,7 +528,7 @@ def fetched(runs: DataFrame, files: Files, parts: int) -> DataFrame:
                 keys = np.unique(pieces["a"][hot])
                 out += _packed(_by_key(keys, parts), MARK, {k: np.zeros(len(keys), dtype=np.int64) for k in _KEYS} | {"a": keys}, [b""] * len(keys))
                 late, windows, texts = as_windows(_pick(pieces, hot), [texts[k] for k in np.flatnonzero(hot)])
-                out += _packed(np.zeros(len(late["a"]), dtype=np.int64), REPEAT, late, [b""] * len(late["a"]))
+                out += _packed(late["row"] % parts, REPEAT, late, [b""] * len(late["a"]))
                 out += _packed(_by_key(windows["a"], parts), WINDOW, windows, texts)
             yield pd.DataFrame(out, columns=_SPANS)
 
@@ -536,11 +536,11 @@ def fetched(runs: DataFrame, files: Files, parts: int) -> DataFrame:
 
 
 def compared(spans: DataFrame, parts: int) -> DataFrame:
-    """SPANS: REPEAT from the suffix arrays, and WINDOW rows of what is too hot for one."""
+    """SPANS: REPEAT from the suffix arrays, and WINDOW rows of what is too hot for one; repeats and windows pass."""
 
     def work(at, rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["kind"] == OPEN]
-        out: list = []
+        out = rows.loc[rows["kind"].isin((REPEAT, WINDOW)), _SPANS].values.tolist()
         if len(own):
             cols = _unpacked(own)
             texts = _texts(cols, b"".join(own["bytes"]))
@@ -555,7 +555,7 @@ def compared(spans: DataFrame, parts: int) -> DataFrame:
             out += _packed(_by_key(windows["a"], parts), WINDOW, windows, texts)
         return pd.DataFrame(out, columns=_SPANS)
 
-    return spans.where(F.col("kind").isin(OPEN, MARK)).groupBy("part").applyInPandas(work, SPANS)
+    return spans.groupBy("part").applyInPandas(work, SPANS)
 
 
 def single(windows: DataFrame) -> DataFrame:
@@ -627,15 +627,12 @@ def repeats(docs: DataFrame, files: Files) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, blocks_of(size, PART_BYTES)) | 1
     number = F.regexp_extract("_metadata.file_name", "^part-(\\d+)-", 1).cast("int")
-    runs = written(scan(docs.select("doc", "text", number.alias("file"), F.col("_metadata.row_index").alias("row")), parts), "suffix-runs")
-    near = written(prefiltered(runs), "suffix-near")
-    spans = written(fetched(near, files, parts), "suffix-spans")
-    discard(near)
-    met = written(compared(spans, parts), "suffix-met")
+    numbered = docs.select("doc", "text", number.alias("file"), F.col("_metadata.row_index").alias("row"))
+    near = written(prefiltered(scan(numbered, parts)), "suffix-near")
+    met = written(compared(fetched(near.where(F.col("kind") != REPEAT), files, parts), parts), "suffix-met")
     late = lambda df: df.where(F.col("kind") == REPEAT).select(*_RUNS)
-    windows = lambda df: df.where(F.col("kind") == WINDOW)
-    out = written(late(runs).union(late(spans)).union(late(met)).union(single(windows(spans).union(windows(met)))), "suffix-repeats")
-    discard(runs, spans, met)
+    out = written(late(near).union(late(met)).union(single(met)), "suffix-repeats")
+    discard(near, met)
     return out
 
 
