@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from densigrid.operators.raster import PX
+from densigrid.operators.raster import PX, density, threshold
+from densigrid.operators.runs import label_runs, runs
 
 RING = "array<struct<x:int,y:int>>"
 _AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise on an image, from the east
@@ -15,7 +16,7 @@ _AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
 def borders(img: np.ndarray) -> list[tuple[bool, list[tuple[int, int]]]]:
     """Outer and hole borders of a binary image as (is it a hole's, its pixels (row, column) in order), by border following with 8-joined foreground."""
-    f = np.pad(img.astype(np.int64), 1)
+    f = np.pad(img.astype(np.int32), 1)
     solid = f != 0
     starts = np.zeros(f.shape, dtype=np.int8)
     starts[:, 1:] |= solid[:, 1:] & ~solid[:, :-1]
@@ -62,22 +63,32 @@ def corners_only(ring: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [p for k, p in enumerate(ring) if step[k - 1] != step[k]] if n > 1 else ring
 
 
-def trace(mask: DataFrame) -> DataFrame:
-    """(fov, ring_id, hole, ring): closed rings of three corners or more, numbered from 1 in raster order of their first pixel. A fov is one task."""
-
-    def work(px: pd.DataFrame) -> pd.DataFrame:
-        r, c = px["r"].to_numpy(), px["c"].to_numpy()
-        img = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), dtype=bool)
-        img[r - r.min(), c - c.min()] = True
-        rings = [(hole, corners_only(ring)) for hole, ring in borders(img)]
-        rings = [(hole, [*ring, ring[0]]) for hole, ring in rings if len(ring) >= 3]
-        typed = lambda v, kind: pd.Series(list(v), index=range(len(rings)), dtype=kind)
+def trace_runs(found: DataFrame, key: str) -> DataFrame:
+    """(fov, key, ring_id, hole, ring) of the borders of each (fov, key)'s runs (r, c0, c1): closed rings of three corners or more, numbered from 1 by fov in raster order
+    of their first pixels. One task holds the image around one key's pixels."""
+    fov, kind = (found.schema[c].dataType.simpleString() for c in ("fov", key))
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(rows["r"].min()), int(rows["c0"].min())
+        img = np.zeros((int(rows["r"].max()) - top + 1, int(rows["c1"].max()) - left + 1), dtype=bool)
+        for r, a, b in zip((rows["r"] - top).tolist(), (rows["c0"] - left).tolist(), (rows["c1"] - left + 1).tolist()):
+            img[r, a:b] = True
+        rings = [(hole, ring[0], corners_only(ring)) for hole, ring in borders(img)]
+        rings = [(hole, first, [*ring, ring[0]]) for hole, first, ring in rings if len(ring) >= 3]
+        typed = lambda v, as_: pd.Series(list(v), index=range(len(rings)), dtype=as_)
+        own = lambda c: typed([rows[c].iloc[0]] * len(rings), rows[c].dtype)
         return pd.DataFrame({
-            "fov": typed([px["fov"].iloc[0]] * len(rings), object), "ring_id": typed(range(1, len(rings) + 1), "int32"), "hole": typed((h for h, _ in rings), bool),
-            "xs": typed(([x + int(c.min()) for _, x in k] for _, k in rings), object), "ys": typed(([y + int(r.min()) for y, _ in k] for _, k in rings), object)})
+            "fov": own("fov"), key: own(key), "hole": typed((h for h, _, _ in rings), bool), "r0": typed((p[0] + top for _, p, _ in rings), "int32"), "c0": typed((p[1] + left for _, p, _ in rings), "int32"),
+            "xs": typed(([x + left for _, x in k] for _, _, k in rings), object), "ys": typed(([y + top for y, _ in k] for _, _, k in rings), object)})
+
+    out = found.select("fov", key, "r", "c0", "c1").groupBy("fov", key).applyInPandas(work, f"fov {fov}, {key} {kind}, hole boolean, r0 int, c0 int, xs array<int>, ys array<int>")
+    number = F.row_number().over(Window.partitionBy("fov").orderBy("r0", "c0", key, "hole"))
+    return out.select("fov", key, number.alias("ring_id"), "hole", F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("ring"))
 
-    found = mask.select(*PX).groupBy("fov").applyInPandas(work, "fov string, ring_id int, hole boolean, xs array<int>, ys array<int>")
-    return found.select("fov", "ring_id", "hole", F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("ring"))
+
+def trace(mask: DataFrame) -> DataFrame:
+    """(fov, label, ring_id, hole, ring): outer and hole borders of the mask's components, each component traced by itself."""
+    return trace_runs(label_runs(runs(mask.select(*PX))), "label")
 
 
 def checked(rings: DataFrame) -> DataFrame:
@@ -98,6 +109,58 @@ def area_at_least(rings: DataFrame, least: float) -> DataFrame:
     return rings.where(ring_area(F.col("ring")) >= least)
 
 
+def nonempty(rings: DataFrame, signal: DataFrame, *keys: str) -> DataFrame:
+    """Rings, told apart by ``keys``, in which the raster ``signal`` (fov, r, c, v) sums to more than 0, outlines included."""
+    kept = fill(rings, *keys).join(signal.select(*PX, "v"), PX).groupBy(*keys).agg(F.sum("v").alias("_v")).where(F.col("_v") > 0).select(*keys)
+    return rings.join(kept, list(keys), "left_semi")
+
+
+def region_contours(mask: DataFrame, signal: DataFrame, least: float) -> DataFrame:
+    """(fov, label, ring_id, hole, ring): outer and hole borders of a mask, closed, of an area of ``least`` or more, and with some of the signal inside."""
+    return nonempty(area_at_least(checked(trace(mask)), least), signal, "fov", "ring_id")
+
+
+def contours_from_sum(signal: DataFrame, ext: DataFrame, k: int, limit: float, least: float, direction: str = "higher", shape: str = "square") -> DataFrame:
+    """Contours of where the density of ``signal`` (fov, r, c, v) is above or below the limit."""
+    return region_contours(threshold(density(signal, ext, k, shape), ext, limit, direction), signal, least)
+
+
+def polygons(rings: DataFrame) -> DataFrame:
+    """Closed rings of four points or more, the closing one counted, that enclose an area and do not cross or touch themselves."""
+    kept = checked(rings.where(F.size("ring") >= 4)).where(ring_area(F.col("ring")) > 0)
+
+    def simple(batches):
+        for rows in batches:
+            yield rows.assign(_simple=[_is_simple([(p["x"], p["y"]) for p in ring]) for ring in rows["ring"]])
+
+    from pyspark.sql import types as T
+
+    return kept.mapInPandas(simple, T.StructType([*kept.schema.fields, T.StructField("_simple", T.BooleanType())])).where("_simple").drop("_simple")
+
+
+def _is_simple(ring: list[tuple]) -> bool:
+    """Whether no two sides of a closed ring share a point, but for the ends of neighbours. Whole numbers, exact; a side is held against all later ones at once."""
+    at = np.array(ring)
+    p, q = at[:-1], at[1:]
+    n = len(p)
+    if len({tuple(x) for x in p.tolist()}) < n:
+        return False
+    turn = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
+    boxed = lambda a, b, c: ((np.minimum(a, b) <= c) & (c <= np.maximum(a, b))).all(axis=-1)
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        near = (j == i + 1) | ((i == 0) & (j == n - 1))
+        a, b, c, d = p[i], q[i], p[j], q[j]
+        t = [turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)]
+        cross = (t[0] * t[1] < 0) & (t[2] * t[3] < 0)
+        on = [(t[0] == 0) & boxed(a, b, c), (t[1] == 0) & boxed(a, b, d), (t[2] == 0) & boxed(c, d, a), (t[3] == 0) & boxed(c, d, b)]
+        shared = sum(x.astype(int) for x in on)
+        # neighbours share one corner, which is on both; a third hit means that one folds back on the other
+        if (np.where(near, shared > 2, cross | (shared > 0))).any():
+            return False
+    return True
+
+
 def edges(rings: DataFrame, *keys: str) -> DataFrame:
     """One row a side of each closed ring: keys, x0, y0, x1, y1."""
     n = F.size("ring") - 1

@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from densigrid.operators.masks import area_filter, union
-from densigrid.operators.raster import PX, grid, inside
+from densigrid.operators.masks import area_filter, label
+from densigrid.operators.raster import PX, grid
+from densigrid.sources.stage import staged
 
+LEAST_SEEDS = 4  # with fewer seeds a fov has no class regions, and nothing limits growth
 
-def disc(reach: int) -> list[tuple[int, int]]:
-    return [(y, x) for y in range(-reach, reach + 1) for x in range(-reach, reach + 1) if 0 < y * y + x * x <= reach * reach]
 
+def nearest_within(sources: DataFrame, ext: DataFrame, reach: int, *keys: str) -> DataFrame:
+    """(keys, fov, r, c, d2, sr, sc, label): for each pixel outside the sources and within reach, the nearest source, ties to the first in raster order.
 
-def nearest_within(sources: DataFrame, ext: DataFrame, reach: int) -> DataFrame:
-    """(fov, r, c, d2, sr, sc, label): for each pixel within reach the nearest source, ties to the first in raster order. Exact, on squared integers."""
-    moves = F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in disc(reach)))
+    Exact, on squared integers, and one axis at a time: the nearest in each row first, then over rows; 4 reach rows a pixel in place of its square.
+    Sources of other ``keys`` are apart.
+    """
     lab = F.col("label") if "label" in sources.columns else F.lit(1)
-    rows = sources.select("fov", F.col("r").alias("sr"), F.col("c").alias("sc"), lab.alias("label"), F.explode(moves).alias("m"))
-    near = rows.select("fov", (F.col("sr") + F.col("m.dy")).alias("r"), (F.col("sc") + F.col("m.dx")).alias("c"),
-                       F.struct((F.col("m.dy") * F.col("m.dy") + F.col("m.dx") * F.col("m.dx")).alias("d2"), "sr", "sc", "label").alias("s"))
-    best = near.groupBy(*PX).agg(F.min("s").alias("s"))
-    return inside(best.join(ext, "fov")).select(*PX, "s.d2", "s.sr", "s.sc", "s.label").join(sources.select(*PX), PX, "left_anti")
+    own = sources.select(*keys, "fov", F.col("r").alias("sr"), F.col("c").alias("sc"), lab.alias("label")).join(ext, "fov")
+    flat = own.withColumn("c", F.explode(F.sequence(F.greatest(F.col("sc") - reach, F.lit(0)), F.least(F.col("sc") + reach, F.col("w") - 1))))
+    dx = F.col("c") - F.col("sc")
+    by_row = flat.groupBy(*keys, "fov", "sr", "c", "h").agg(F.min(F.struct((dx * dx).alias("d2"), "sc", "label")).alias("s"))
+    up = F.floor(F.sqrt(reach * reach - F.col("s.d2"))).cast("int")
+    tall = by_row.withColumn("r", F.explode(F.sequence(F.greatest(F.col("sr") - up, F.lit(0)), F.least(F.col("sr") + up, F.col("h") - 1))))
+    dy = F.col("r") - F.col("sr")
+    best = tall.groupBy(*keys, *PX).agg(F.min(F.struct((F.col("s.d2") + dy * dy).alias("d2"), "sr", F.col("s.sc").alias("sc"), F.col("s.label").alias("label"))).alias("s"))
+    return best.where(F.col("s.d2") > 0).select(*keys, *PX, "s.*")
+
+
+def expanded(mask: DataFrame, ext: DataFrame, distance: int) -> DataFrame:
+    """Pixels outside the mask and no farther from it than the distance."""
+    return nearest_within(mask.select(*PX), ext, distance).select(*PX)
+
+
+def _banded(distances: list[int]):
+    """The first of the distances, in their order, that d2 is within."""
+    ring = F.lit(None).cast("int")
+    for d in reversed(distances):
+        ring = F.when(F.col("d2") <= d * d, d).otherwise(ring)
+    return ring
 
 
 def rings(seed: DataFrame, ext: DataFrame, distances: list[int], constraint: DataFrame | None = None, least: int | None = None) -> DataFrame:
@@ -30,19 +49,21 @@ def rings(seed: DataFrame, ext: DataFrame, distances: list[int], constraint: Dat
     Pixels of rings' components under ``least`` pixels are dropped and come back in no later ring.
     """
     steps = sorted(set(distances))
-    near = nearest_within(seed, ext, steps[-1])
-    ring = F.lit(None).cast("int")
-    for d in reversed(steps):
-        ring = F.when(F.col("d2") <= d * d, d).otherwise(ring)
-    out = near.select(*PX, ring.alias("ring"))
+    out = nearest_within(seed, ext, steps[-1]).select(*PX, _banded(steps).alias("ring"))
     if constraint is not None:
         out = out.join(constraint.select(*PX), PX, "left_semi")
     if least is None:
         return out
-    kept = [area_filter(out.where(F.col("ring") == d), least).withColumn("ring", F.lit(d)) for d in steps]
-    for more in kept[1:]:
-        kept[0] = kept[0].union(more)
-    return kept[0]
+    joined = label(out, value="ring")  # components of equal rings, all rings at once
+    kept = joined.groupBy("fov", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("fov", "label")
+    return joined.join(kept, ["fov", "label"], "left_semi").select(*PX, F.col("value").alias("ring"))
+
+
+def constrained(seed: DataFrame | None, ext: DataFrame, constraint: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The seed with its components' labels, and the constraint, all pixels where there is none."""
+    if seed is None:
+        raise ValueError("growth needs a seed mask")
+    return label(seed), grid(ext) if constraint is None else constraint.select(*PX)
 
 
 def constraint_remaining(constraint: DataFrame, ringed: DataFrame) -> DataFrame:
@@ -51,37 +72,52 @@ def constraint_remaining(constraint: DataFrame, ringed: DataFrame) -> DataFrame:
 
 
 def propagate(seed: DataFrame, ext: DataFrame, distances: list[int]) -> DataFrame:
-    """(fov, r, c, ring, label): each ring takes the labels of its nearest pixels in the seed and all rings before it."""
+    """(fov, r, c, ring, label): each ring takes the labels of its nearest pixels in the seed and all rings before it. From the third ring on, what is known is
+    written first, so that no ring is worked out more than twice."""
     ringed = rings(seed, ext, distances)
     steps, known, out = sorted(set(distances)), seed.select(*PX, "label"), None
     for i, d in enumerate(steps):
         reach = d - (steps[i - 1] if i else 0) + 1
         got = nearest_within(known, ext, reach).join(ringed.where(F.col("ring") == d), PX).select(*PX, "ring", "label")
+        got = staged(got) if len(steps) > 2 else got
         known = known.union(got.select(*PX, "label"))
         out = got if out is None else out.union(got)
     return out
 
 
 def class_regions(px: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``px`` with the class of the nearest seed (fov, idx, class, cx, cy; x is the column), ties to the smaller idx."""
-    d2 = (F.col("c") - F.col("cx")) * (F.col("c") - F.col("cx")) + (F.col("r") - F.col("cy")) * (F.col("r") - F.col("cy"))
-    met = px.select(*PX).join(seeds, "fov")
-    return met.groupBy(*PX).agg(F.min(F.struct(d2.alias("d2"), "idx", "class")).alias("s")).select(*PX, F.col("s.class").alias("class"))
+    """``px`` with the class of the nearest seed (fov, idx, class, cx, cy; x is the column), ties to the smaller idx. A fov's seeds travel as one array."""
+    held = seeds.groupBy("fov").agg(F.collect_list(F.struct("idx", "class", "cx", "cy")).alias("_seeds"))
+    far = lambda s: (F.col("c") - s["cx"]) * (F.col("c") - s["cx"]) + (F.col("r") - s["cy"]) * (F.col("r") - s["cy"])
+    best = F.array_min(F.transform("_seeds", lambda s: F.struct(far(s).alias("d2"), s["idx"].alias("idx"), s["class"].alias("class"))))
+    return px.select(*PX).join(held, "fov").select(*PX, best["class"].alias("class"))
 
 
-def class_limited_rings(objects: DataFrame, ext: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """(class, fov, r, c, parent): pixels around each object (fov, r, c, parent, class) within reach and within its class's region, the largest parent where several meet."""
-    moves = F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in disc(reach)))
-    own = objects.select("fov", "parent", "class", "r", "c")
-    near = own.select("fov", "parent", "class", F.explode(moves).alias("m"), "r", "c").select("fov", "parent", "class", (F.col("r") + F.col("m.dy")).alias("r"), (F.col("c") + F.col("m.dx")).alias("c")).distinct()
-    near = inside(near.join(ext, "fov")).select("fov", "parent", "class", "r", "c").join(own, ["fov", "parent", "class", "r", "c"], "left_anti")
-    region = class_regions(near.select(*PX).distinct(), seeds)
-    return near.join(region, [*PX, "class"]).groupBy("class", *PX).agg(F.max("parent").alias("parent"))
+def seeds_of(rings_: DataFrame, order: list[str]) -> DataFrame:
+    """(fov, idx, class, cx, cy): a seed at the centroid of each contour (fov, class, contour, ring) of an area, counted in the order of classes and contours."""
+    from densigrid.operators.contours import seed_centroids
 
+    if rings_.where(F.size("ring") >= 4).isEmpty():
+        raise ValueError("no contours to take seeds from")
+    place = F.array_position(F.array(*(F.lit(c) for c in order)), F.col("class"))
+    idx = F.row_number().over(Window.partitionBy("fov").orderBy(place, "contour")) - 1
+    return seed_centroids(rings_, "fov", "class", "contour").select("fov", idx.alias("idx"), "class", "cx", "cy")
 
-def ones(ext: DataFrame) -> DataFrame:
-    return grid(ext)
 
+def class_limited_rings(objects: DataFrame, ext: DataFrame, seeds: DataFrame, distances: list[int]) -> DataFrame:
+    """(fov, class, ring, r, c, label, referenced): growth of objects (fov, r, c, parent, class) within their class's region; ring 0 holds the objects themselves.
 
-def all_of(*masks: DataFrame) -> DataFrame:
-    return union(*masks)
+    A pixel is in the ring of the first of the distances, in the order given, that its object is within. An object may grow over another one. ``label`` is the
+    largest parent of the ring and class at the pixel; ``referenced`` the largest one that grew over the pixel, of whatever class and ring, or else that of the
+    objects there. Fovs with fewer than ``LEAST_SEEDS`` seeds have no limits.
+    """
+    own = objects.select("fov", "class", "parent", "r", "c")
+    near = nearest_within(own.select(*own.columns), ext, max(distances), "class", "parent").select("fov", "class", "parent", "r", "c", _banded(distances).alias("ring"))
+    many = seeds.groupBy("fov").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SEEDS).select("fov")
+    region = class_regions(near.select(*PX).distinct(), seeds.join(many, "fov", "left_semi")).withColumnRenamed("class", "_class")
+    grown = near.join(region, PX, "left").where(F.coalesce(F.col("_class") == F.col("class"), F.lit(True))).select("fov", "class", "parent", "r", "c", "ring")
+    both = grown.union(own.select("fov", "class", "parent", "r", "c", F.lit(0).alias("ring")))
+    label_ = both.groupBy(*PX, "class", "ring").agg(F.max("parent").alias("label"))
+    at = Window.partitionBy(*PX)
+    over, under = F.max(F.when(F.col("ring") > 0, F.col("label"))).over(at), F.max("label").over(at)
+    return label_.select("fov", "class", "ring", "r", "c", "label", F.coalesce(over, under).alias("referenced"))

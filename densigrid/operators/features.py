@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from densigrid.operators import masks as mask_operators
+from densigrid.operators import shapes
 from densigrid.operators.raster import PX
 
 
@@ -27,10 +32,18 @@ def objects(labelled: DataFrame, keys: tuple = ("fov", "label")) -> DataFrame:
     return out.withColumn("eccentricity", F.when(large > 0, F.sqrt(F.greatest(F.lit(0.0), 1 - small / large))).otherwise(0.0)).drop("a", "b", "m")
 
 
-def counts(px: DataFrame, present: DataFrame, targets: list[str], keys: list[str]) -> DataFrame:
-    """Occupied pixels of each target within each group of ``px``; groups without any keep zeros."""
-    met = px.join(present, PX, "left")
-    return met.groupBy(*keys).agg(*(F.count(F.when(F.col("target") == t, 1)).alias(t) for t in targets))
+def counts(px: DataFrame, present: DataFrame, targets: list[str], keys: list[str], area: str | None = None) -> DataFrame:
+    """Occupied pixels of each target within each group of ``px``, and with ``area`` the group's pixels; groups without any keep zeros."""
+    has = lambda t: F.max(F.when(F.col("target") == t, 1)).alias(t)
+    flags = present.where(F.col("target").isin(*targets)).groupBy(*PX).agg(*map(has, targets))  # one row a pixel, so that px is not repeated
+    more = [F.count(F.lit(1)).alias(area)] if area else []
+    return px.join(flags, PX, "left").groupBy(*keys).agg(*(F.count(t).alias(t) for t in targets), *more)
+
+
+def bulk_counts(mask: DataFrame, present: DataFrame, targets: list[str], ext: DataFrame) -> DataFrame:
+    """(fov, area, targets) of whole masks: a row for every fov, zeros where the mask is empty."""
+    found = ext.select("fov").join(counts(mask, present, targets, ["fov"], "area"), "fov", "left")
+    return found.select("fov", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("area", *targets)))
 
 
 def grid_tiles(labelled: DataFrame, size: int) -> DataFrame:
@@ -53,3 +66,79 @@ def overlap(cells: DataFrame, masks: DataFrame) -> DataFrame:
     total = cells.join(masks, PX).groupBy("fov", "cell").agg(F.count(F.lit(1)).alias("total"))
     out = frame.join(n, ["fov", "cell", "mask"], "left").join(total, ["fov", "cell"], "left")
     return out.select("fov", "cell", "mask", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(100 * F.col("n") / F.col("total"), F.lit(0.0)).alias("percent"))
+
+
+def merged(left: DataFrame, right: DataFrame, keys: list[str], last: str | None = None) -> DataFrame:
+    """``left`` with the columns of ``right`` by the keys. The right side wins where names clash and a row is met; of its rows of one key that of the largest
+    ``last`` counts. If one side has no rows at all, the other is the result."""
+    if left.isEmpty():
+        return right
+    if right.isEmpty():
+        return left
+    other = [c for c in right.columns if c not in keys]
+    if last is not None:
+        right = right.groupBy(*keys).agg(F.max_by(F.struct(*other), last).alias("_s")).select(*keys, "_s.*")
+    met = right.select(*keys, F.struct(*other).alias("_right"))
+    rows = left.join(met, keys, "left")
+    own = [F.when(F.col("_right").isNotNull(), F.col(f"_right.{c}")).otherwise(F.col(c)).alias(c) if c in other else F.col(c) for c in left.columns if c not in keys]
+    return rows.select(*keys, *own, *(F.col(f"_right.{c}").alias(c) for c in other if c not in left.columns))
+
+
+def negative_counts(rows: DataFrame, targets: list[str]) -> DataFrame:
+    """(the rows' other columns, target, count) for each count below 0: a check of the data, empty when all is well."""
+    rest = [c for c in rows.columns if c not in targets]
+    pairs = F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).alias("count")) for t in targets))
+    return rows.select(*rest, F.explode(F.filter(pairs, lambda p: p["count"] < 0)).alias("_p")).select(*rest, "_p.*")
+
+
+@dataclass(frozen=True)
+class MaskDefinition:
+    """A mask to measure: all of it (bulk), its objects (per_object), or tiles of ``grid_size`` of its objects (grid)."""
+
+    mask: DataFrame
+    mask_name: str
+    analysis_type: str
+    grid_size: int | None = None
+
+
+def _measured(d: MaskDefinition, present: DataFrame, targets: list[str], ext: DataFrame) -> DataFrame:
+    if d.analysis_type == "bulk":
+        return bulk_counts(d.mask, present, targets, ext).withColumn("object_id", F.lit("bulk"))
+    labelled = mask_operators.label(d.mask)
+    if d.analysis_type == "grid":
+        tiled = grid_tiles(labelled, d.grid_size).withColumnsRenamed({"tile_y": "grid_y", "tile_x": "grid_x"})
+        keys = ["fov", "label", "grid_y", "grid_x"]
+        place = tiled.groupBy(*keys).agg(F.avg("c").alias("x"), F.avg("r").alias("y"))
+        out = counts(tiled, present, targets, keys, "area").join(place, keys)
+    else:
+        keys = ["fov", "label"]
+        out = objects(labelled).join(counts(labelled, present, targets, keys), keys).join(shapes.perimeters(labelled), keys, "left").join(shapes.solidities(labelled), keys, "left")
+    return out.withColumn("object_id", F.col("label").cast("string")).drop("label")
+
+
+def analysed(definitions: list[MaskDefinition], present: DataFrame, targets: list[str], ext: DataFrame) -> DataFrame:
+    """One table of all definitions' measures and counts, tagged with mask_name and analysis_type; what a type doesn't measure is null. Tiles keep their own counts."""
+    for d in definitions:
+        if d.analysis_type not in ("per_object", "bulk", "grid"):
+            raise ValueError(f"unknown analysis type {d.analysis_type!r}")
+        if d.analysis_type == "grid" and d.grid_size is None:
+            raise ValueError("an analysis by grid needs a grid size")
+    tagged = [_measured(d, present, targets, ext).withColumns({"mask_name": F.lit(d.mask_name), "analysis_type": F.lit(d.analysis_type)}) for d in definitions]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
+def hierarchies(definitions: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:
+    """(fov, mask_name, object_id, parent_mask, parent_ids) of {child mask's name: (child mask, parents' labels by pixel, parent mask's name)}; children are labelled here."""
+    found = [
+        hierarchy(mask_operators.label(child), parents).select("fov", F.lit(name).alias("mask_name"), F.col("label").alias("object_id"), F.lit(above).alias("parent_mask"), "parent_ids")
+        for name, (child, parents, above) in definitions.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def with_parents(results: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+    """``results`` with parent_ids: those of the table for objects of the masks named, empty where it has none; null for other masks and ids that are no numbers."""
+    up = table.select("fov", "mask_name", F.col("object_id").cast("string").alias("object_id"), "parent_ids")
+    rows = results.join(up, ["fov", "mask_name", "object_id"], "left")
+    own = F.col("mask_name").isin(*names) & F.col("object_id").rlike("^-?[0-9]+$")
+    return rows.withColumn("parent_ids", F.when(own, F.coalesce("parent_ids", F.array().cast("array<int>"))))

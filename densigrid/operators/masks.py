@@ -5,11 +5,11 @@ from __future__ import annotations
 import logging
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densigrid.operators.raster import PX, grid, inside
+from densigrid.operators.runs import gaps, label_runs, least_roots, pixels, runs, touching
 
 
 def union(*masks: DataFrame) -> DataFrame:
@@ -46,9 +46,14 @@ def dilate(mask: DataFrame, ext: DataFrame, k: int) -> DataFrame:
 
 
 def erode(mask: DataFrame, ext: DataFrame, k: int) -> DataFrame:
-    """What is outside the image does not count: the complement, grown by the same kernel, is taken off."""
-    grown = _moved(complement(mask, ext), -(k - 1 - k // 2), k // 2)
-    return mask.select(*PX).join(grown, PX, "left_anti")
+    """What is outside the image does not count. A pixel stays if its window along the row, and then along the column, is full."""
+    low, high = -(k - 1 - k // 2), k // 2
+    rows = mask.select(*PX).join(ext, "fov")
+    for at, size in (("c", "w"), ("r", "h")):
+        met = rows.withColumn(at, F.explode(F.sequence(F.col(at) + low, F.col(at) + high))).groupBy(*PX, "h", "w").agg(F.count(F.lit(1)).alias("n"))
+        full = F.least(F.col(at) - low, F.col(size) - 1) - F.greatest(F.col(at) - high, F.lit(0)) + 1
+        rows = inside(met).where(F.col("n") == full).drop("n")
+    return rows.select(*PX)
 
 
 def morphology(mask: DataFrame, ext: DataFrame, operation: str, k: int) -> DataFrame:
@@ -63,47 +68,21 @@ def morphology(mask: DataFrame, ext: DataFrame, operation: str, k: int) -> DataF
 
 
 def component_roots(r: np.ndarray, c: np.ndarray, eight: bool = True) -> np.ndarray:
-    """For each pixel the index of the first pixel, in raster order, of its component. Union of runs, row by row."""
+    """For each pixel of an image in memory the index of the first pixel, in raster order, of its component."""
     order = np.lexsort((c, r))
     rr, cc = r[order].astype(np.int64), c[order].astype(np.int64)
-    first = np.r_[True, (rr[1:] != rr[:-1]) | (cc[1:] != cc[:-1] + 1)] if len(rr) else np.zeros(0, bool)
-    run = np.cumsum(first) - 1
-    start = np.flatnonzero(first)
-    stop = np.r_[start[1:], len(rr)]
-    row, lo, hi = rr[start], cc[start], cc[stop - 1] if len(start) else cc[:0]
-    parent = list(range(len(start)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    reach = 1 if eight else 0
-    above = 0
-    for i in range(len(start)):
-        while above < i and (row[above] < row[i] - 1 or row[above] == row[i] - 1 and hi[above] < lo[i] - reach):
-            above += 1
-        j = above
-        while j < i and row[j] == row[i] - 1 and lo[j] <= hi[i] + reach:
-            a, b = find(i), find(j)
-            parent[max(a, b)] = min(a, b)
-            j += 1
-    roots = np.array([find(i) for i in range(len(start))], dtype=np.int64)
+    start = np.flatnonzero(np.r_[True, (rr[1:] != rr[:-1]) | (cc[1:] != cc[:-1] + 1)]) if len(rr) else np.zeros(0, dtype=np.int64)
+    stop = np.r_[start[1:], len(rr)].astype(np.int64)[: len(start)]
+    top = least_roots(len(start), *touching(rr[start], cc[start], cc[stop - 1], None, eight))
     out = np.empty(len(r), dtype=np.int64)
-    out[order] = order[start[roots[run]]] if len(start) else 0
+    out[order] = order[np.repeat(start[top], stop - start)]
     return out
 
 
-def label(mask: DataFrame, eight: bool = True) -> DataFrame:
-    """``mask`` with label: components numbered from 1 in raster order, by fov. One fov is one task, as run lengths in numpy."""
-
-    def work(px: pd.DataFrame) -> pd.DataFrame:
-        roots = component_roots(px["r"].to_numpy(), px["c"].to_numpy(), eight)
-        key = px["r"].to_numpy().astype(np.int64)[roots] * (int(px["c"].max()) + 1) + px["c"].to_numpy()[roots]
-        return px.assign(label=(np.unique(key, return_inverse=True)[1] + 1).astype(np.int32))
-
-    return mask.select(*PX).groupBy("fov").applyInPandas(work, "fov string, r int, c int, label int")
+def label(mask: DataFrame, eight: bool = True, value: str | None = None) -> DataFrame:
+    """(fov, r, c, label): components numbered from 1 in raster order, by fov. Given a column of values, pixels are joined to equal ones only and value is kept."""
+    rows = mask.select(*PX) if value is None else mask.select(*PX, F.col(value).alias("value"))
+    return pixels(label_runs(runs(rows), eight))
 
 
 def labelled_area_filter(labelled: DataFrame, least: int) -> DataFrame:
@@ -115,12 +94,34 @@ def labelled_area_filter(labelled: DataFrame, least: int) -> DataFrame:
 
 def area_filter(mask: DataFrame, least: int) -> DataFrame:
     """Pixels of components of at least so many pixels."""
-    return labelled_area_filter(label(mask), least).select(*PX)
+    found = label_runs(runs(mask.select(*PX)))
+    kept = found.groupBy("fov", "label").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n")).where(F.col("n") >= least).select("fov", "label")
+    return pixels(found.join(kept, ["fov", "label"], "left_semi")).select(*PX)
+
+
+def holes(mask: DataFrame, ext: DataFrame) -> DataFrame:
+    """(fov, r, c, label): background that is not joined, over edges of pixels, to the frame around the image. The frame's component is the first."""
+    return pixels(label_runs(gaps(mask, ext), eight=False).where(F.col("label") > 1)).select(*PX, (F.col("label") - 1).alias("label"))
 
 
 def fill_holes(mask: DataFrame, ext: DataFrame) -> DataFrame:
-    """The mask and all background that is not joined (over edges of pixels) to the border."""
-    back = label(complement(mask, ext), eight=False).join(ext, "fov")
-    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("h") - 1) | (F.col("c") == F.col("w") - 1)
-    outer = back.where(edge).select("fov", "label").distinct()
-    return mask.select(*PX).union(back.join(outer, ["fov", "label"], "left_anti").select(*PX))
+    return mask.select(*PX).union(holes(mask, ext).select(*PX))
+
+
+def object_mask(filled: DataFrame, *exclude: DataFrame, least: int | None = None) -> DataFrame:
+    """Filled contours without the masks to exclude, and without components of under ``least`` pixels."""
+    out = subtract(filled, *exclude) if exclude else filled.select(*PX).distinct()
+    return out if least is None else area_filter(out, least)
+
+
+def of_label(labelled: DataFrame, value: int) -> DataFrame:
+    """The mask of one label, or of one cluster of a cluster image."""
+    return labelled.where(F.col("label") == value).select(*PX)
+
+
+def padded(mask: DataFrame, ext: DataFrame, h: int, w: int) -> tuple[DataFrame, DataFrame]:
+    """The mask in the middle of images of h x w, and their extents; a spare row or column goes below or right. Smaller images are refused when they are read."""
+    fits = F.when((F.col("h") > h) | (F.col("w") > w), F.raise_error(F.lit(f"an image is larger than {h} x {w}")))
+    top = F.coalesce(fits.cast("int"), F.floor((h - F.col("h")) / 2).cast("int"))
+    moved = mask.join(ext, "fov").select("fov", (F.col("r") + top).alias("r"), (F.col("c") + F.floor((w - F.col("w")) / 2).cast("int")).alias("c"))
+    return moved, ext.select("fov", F.lit(h).alias("h"), F.lit(w).alias("w"))

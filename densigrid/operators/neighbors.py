@@ -1,31 +1,51 @@
-"""Points near points: counts within a radius by tiles, clusters by density, and their outlines."""
+"""Points near points: counts within a radius by tiles, clusters by density, and their outlines. Points that share a place are one site."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.operators import hulls
+from densigrid.operators.contours import RING, region_contours, trace_runs
+from densigrid.operators.raster import threshold
+from densigrid.operators.runs import least_roots
+
+SITE = ["fov", "r", "c"]
+
 
-def tiled_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """Ordered pairs (fov, id, r, c, id2, r2, c2) no farther apart than the radius, each point with itself too: an equi-join on tiles of the radius' size."""
-    side = lambda x: F.floor(F.col(x) / radius)
-    own = points.withColumns({"ty": side("r"), "tx": side("c")})
-    step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    other = own.select("fov", F.col("id").alias("id2"), F.col("r").alias("r2"), F.col("c").alias("c2"), "ty", "tx")
-    other = other.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step)).withColumn("ty", F.col("ty") + F.col("dy")).withColumn("tx", F.col("tx") + F.col("dx")).drop("dy", "dx")
+def sites(points: DataFrame) -> DataFrame:
+    """(fov, r, c, m, first): places, how many points (fov, id, r, c) each holds, and the least id."""
+    return points.groupBy(*SITE).agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first"))
+
+
+def site_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """Rows of ``a`` and of ``b`` (fov, r2, c2, ...) no farther apart than the radius: an equi-join on tiles of the radius' size. A dense spot costs one row a place."""
+    tile = lambda x: F.floor(F.col(x) / radius)
+    around = lambda x: F.explode(F.sequence(tile(x) - 1, tile(x) + 1))
     near = (F.col("r") - F.col("r2")) * (F.col("r") - F.col("r2")) + (F.col("c") - F.col("c2")) * (F.col("c") - F.col("c2")) <= radius * radius
-    return own.join(other, ["fov", "ty", "tx"]).where(near).drop("ty", "tx")
+    spread = b.withColumn("ty", around("r2")).withColumn("tx", around("c2"))
+    return a.withColumns({"ty": tile("r"), "tx": tile("c")}).join(spread, ["fov", "ty", "tx"]).where(near).drop("ty", "tx")
+
+
+def _crowd(own: DataFrame, radius: float) -> DataFrame:
+    """Sites with n, the points within the radius, their own among them."""
+    other = own.select("fov", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("m").alias("m2"))
+    return site_pairs(own, other, radius).groupBy(*SITE, "m", "first").agg(F.sum("m2").alias("n"))
 
 
 def neighbor_count(points: DataFrame, radius: float) -> DataFrame:
     """(fov, id, r, c, n): points within the radius, itself among them."""
-    return tiled_pairs(points, radius).groupBy("fov", "id", "r", "c").agg(F.count(F.lit(1)).alias("n"))
+    return points.select("fov", "id", "r", "c").join(_crowd(sites(points), radius).select(*SITE, "n"), SITE).select("fov", "id", "r", "c", "n")
 
 
 def neighbor_raster(points: DataFrame, radius: float) -> DataFrame:
-    """The count at each pixel; where points share one, that of the last id."""
-    return neighbor_count(points, radius).groupBy("fov", "r", "c").agg(F.max_by("n", "id").alias("v"))
+    """The count at each pixel, places rounded half to even; where points of different places share one, that of the last id."""
+    at = lambda x: F.rint(x).cast("int").alias(x)
+    return neighbor_count(points, radius).groupBy("fov", at("r"), at("c")).agg(F.max_by("n", "id").alias("v"))
 
 
 def dense_points(points: DataFrame, radius: float, more_than: int) -> DataFrame:
@@ -33,35 +53,31 @@ def dense_points(points: DataFrame, radius: float, more_than: int) -> DataFrame:
 
 
 def dbscan(points: DataFrame, radius: float, min_samples: int) -> DataFrame:
-    """(fov, id, r, c, cluster): clusters from 0 by their first id, -1 for noise; a border point goes with the core of least id in reach."""
-    pairs = tiled_pairs(points, radius)
-    core = pairs.groupBy("fov", F.col("id").alias("core")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("fov", "core")
-    links = pairs.join(core.withColumnRenamed("core", "id2"), ["fov", "id2"]).select("fov", "id", "r", "c", F.col("id2").alias("to"))
-    rows = points.select("fov", "id", "r", "c").join(links.groupBy("fov", "id").agg(F.array_sort(F.collect_list("to")).alias("to")), ["fov", "id"], "left")
-
-    def work(px: pd.DataFrame) -> pd.DataFrame:
-        near = {i: [] if t is None else list(t) for i, t in zip(px["id"], px["to"])}
-        cores = {i for i, t in near.items() if i in t}
-        parent = {i: i for i in cores}
-
-        def find(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i in cores:
-            for j in near[i]:
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-        root = {i: find(i) if i in cores else find(min(t)) if (t := near[i]) else None for i in near}
-        first: dict = {}
-        for i in sorted(root):
-            if root[i] is not None:
-                first.setdefault(root[i], len(first))
-        return px.drop(columns="to").assign(cluster=[first.get(root[i], -1) for i in px["id"]])
-
-    return rows.groupBy("fov").applyInPandas(work, "fov string, id long, r int, c int, cluster int")
+    """(fov, id, r, c, cluster): clusters from 0 by their first id, -1 for noise; a border point goes with the core of least id in reach.
+
+    Core sites of one cell, of a side of radius / sqrt(2), are always joined, so components are sought among a fov's cells with cores, not among its points.
+    """
+    side = radius / math.sqrt(2)
+    cell = lambda x: F.floor(F.col(x) / side).cast("long")
+    own = _crowd(sites(points), radius)
+    core = own.where(F.col("n") >= min_samples).select("fov", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("first").alias("first2"), cell("r").alias("y2"), cell("c").alias("x2"))
+    met = site_pairs(own, core, radius)
+    links = met.where(F.col("n") >= min_samples).select("fov", cell("r").alias("y"), cell("c").alias("x"), "y2", "x2").distinct()
+    kind = points.schema["fov"].dataType.simpleString()
+
+    def join_cells(rows: pd.DataFrame) -> pd.DataFrame:
+        ends = np.concatenate([rows[["y", "x"]].to_numpy(), rows[["y2", "x2"]].to_numpy()])
+        cells, node = np.unique(ends, axis=0, return_inverse=True)
+        node = node.reshape(-1)
+        top = least_roots(len(cells), node[: len(rows)], node[len(rows):])
+        return pd.DataFrame({"fov": [rows["fov"].iloc[0]] * len(cells), "y2": cells[:, 0], "x2": cells[:, 1], "comp": top})
+
+    comps = links.groupBy("fov").applyInPandas(join_cells, f"fov {kind}, y2 long, x2 long, comp long")
+    member = met.groupBy(*SITE, "first").agg(F.min(F.struct("first2", "y2", "x2")).alias("s")).select(*SITE, "first", "s.y2", "s.x2").join(comps, ["fov", "y2", "x2"])
+    named = member.groupBy("fov", "comp").agg(F.min("first").alias("least"))
+    named = named.select("fov", "comp", (F.row_number().over(Window.partitionBy("fov").orderBy("least")) - 1).alias("cluster"))
+    placed = member.join(named, ["fov", "comp"]).select(*SITE, "cluster")
+    return points.select("fov", "id", "r", "c").join(placed, SITE, "left").select("fov", "id", "r", "c", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def cluster_circles(clustered: DataFrame, radius: float) -> DataFrame:
@@ -72,24 +88,64 @@ def cluster_circles(clustered: DataFrame, radius: float) -> DataFrame:
     return kept.join(middle, ["fov", "cluster"]).groupBy("fov", "cluster", "cy", "cx", "n").agg(F.greatest(far, F.lit(float(radius // 2))).alias("radius"))
 
 
-def convex_hulls(clustered: DataFrame) -> DataFrame:
-    """(fov, cluster, ring): closed convex rings (x = column, y = row) of clusters of three points or more that are not in line."""
+def circle_runs(circles: DataFrame, ext: DataFrame) -> DataFrame:
+    """(fov, cluster, r, c0, c1) of the discs around the circles' centres, both centre and radius cut to whole pixels, within the image."""
+    whole = lambda x: F.col(x).cast("int")
+    at = circles.join(ext, "fov").select("fov", "cluster", "h", "w", whole("cy").alias("y"), whole("cx").alias("x"), whole("radius").alias("k"))
+    rows = at.withColumn("r", F.explode(F.sequence(F.greatest(F.col("y") - F.col("k"), F.lit(0)), F.least(F.col("y") + F.col("k"), F.col("h") - 1))))
+    half = F.floor(F.sqrt(F.col("k") * F.col("k") - (F.col("r") - F.col("y")) * (F.col("r") - F.col("y")))).cast("int")
+    return rows.select("fov", "cluster", "r", F.greatest(F.col("x") - half, F.lit(0)).alias("c0"), F.least(F.col("x") + half, F.col("w") - 1).alias("c1"))
+
+
+def _row_ends(clustered: DataFrame) -> DataFrame:
+    """The first and last points of each cluster's rows; no other point can be on a convex hull."""
+    ends = clustered.where(F.col("cluster") >= 0).groupBy("fov", "cluster", "r").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("n"))
+    return ends.select("fov", "cluster", "r", F.explode(F.array("a", "b")).alias("c"))
+
+
+def _outlines(points: DataFrame, outline) -> DataFrame:
+    """(fov, cluster, ring): what ``outline`` makes of each cluster's distinct points (x, y), as a closed ring; clusters without one are left out."""
+    fov = points.schema["fov"].dataType.simpleString()
 
     def work(px: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(px["c"].tolist(), px["r"].tolist())))
-        turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-        ring = []
-        for way in (pts, pts[::-1]):
-            part: list = []
-            for p in way:
-                while len(part) > 1 and turn(part[-2], part[-1], p) <= 0:
-                    part.pop()
-                part.append(p)
-            ring += part[:-1]
+        ring = outline(np.unique(px[["c", "r"]].to_numpy(), axis=0))
         rings = [[*ring, ring[0]]] if len(ring) >= 3 else []
         typed = lambda v, kind: pd.Series(v, index=range(len(rings)), dtype=kind)
         return pd.DataFrame({"fov": typed([px["fov"].iloc[0]] * len(rings), object), "cluster": typed([px["cluster"].iloc[0]] * len(rings), "int32"),
                              "xs": typed([[x for x, _ in k] for k in rings], object), "ys": typed([[y for _, y in k] for k in rings], object)})
 
-    found = clustered.where(F.col("cluster") >= 0).groupBy("fov", "cluster").applyInPandas(work, "fov string, cluster int, xs array<int>, ys array<int>")
-    return found.select("fov", "cluster", F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("ring"))
+    found = points.select("fov", "cluster", "r", "c").groupBy("fov", "cluster").applyInPandas(work, f"fov {fov}, cluster int, xs array<int>, ys array<int>")
+    return found.select("fov", "cluster", F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).cast(RING).alias("ring"))
+
+
+def convex_hulls(clustered: DataFrame) -> DataFrame:
+    """(fov, cluster, ring): closed convex rings (x = column, y = row) of clusters of three places or more that are not in line."""
+    return _outlines(_row_ends(clustered), lambda at: hulls.convex(at))
+
+
+def concave_hulls(clustered: DataFrame, alpha: float) -> DataFrame:
+    """(fov, cluster, ring): outer rings of the union of Delaunay triangles with a circumradius under 1 / alpha; the convex hull for an alpha of 0.
+
+    Clusters whose triangles fall apart, or that keep none, have no ring. A task holds one cluster's places.
+    """
+    if alpha <= 0:
+        return convex_hulls(clustered)
+    return _outlines(clustered.where(F.col("cluster") >= 0).select("fov", "cluster", "r", "c").distinct(), lambda at: hulls.concave(at, alpha))
+
+
+def cluster_contours(clustered: DataFrame, ext: DataFrame, kind: str, radius: float, alpha: float = 0.1) -> DataFrame:
+    """(fov, cluster, ring) around clusters: simple_circle, complex_hull (convex) or concave_hull."""
+    if kind == "simple_circle":
+        traced = trace_runs(circle_runs(cluster_circles(clustered, radius), ext), "cluster")
+        return traced.where(~F.col("hole")).select("fov", "cluster", "ring")
+    if kind == "complex_hull":
+        return convex_hulls(clustered)
+    if kind == "concave_hull":
+        return concave_hulls(clustered, alpha)
+    raise ValueError(f"unknown kind of contour {kind!r}")
+
+
+def contours_from_neighbors(points: DataFrame, ext: DataFrame, radius: float, limit: float, least: float, direction: str = "higher", raster: DataFrame | None = None) -> DataFrame:
+    """Contours of where the neighbour count (or a raster made of it, say an inpainted one) is above or below the limit."""
+    counts = neighbor_raster(points, radius) if raster is None else raster
+    return region_contours(threshold(counts, ext, limit, direction), counts, least)

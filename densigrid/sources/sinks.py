@@ -8,7 +8,6 @@ import os
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_labels(labelled: DataFrame, path: str) -> None:
@@ -40,7 +39,7 @@ def mask_files(mask: DataFrame, ext: DataFrame, kind: str = "npy") -> DataFrame:
             out.write(b"P5 %d %d 255\n" % (img.shape[1], img.shape[0]) + (img * 255).tobytes())
         return pd.DataFrame({"fov": pd.Series([px["fov"].iloc[0]], dtype=object), "data": [out.getvalue()]})
 
-    return mask.select("fov", "r", "c").join(F.broadcast(ext), "fov").groupBy("fov").applyInPandas(work, "fov string, data binary")  # one row a fov
+    return mask.select("fov", "r", "c").join(ext, "fov").groupBy("fov").applyInPandas(work, "fov string, data binary")
 
 
 def save_mask_files(mask: DataFrame, ext: DataFrame, folder: str, kind: str = "npy") -> None:
