@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.operators.groups import by_group
 from densigrid.operators.raster import PX, density, threshold
 from densigrid.operators.runs import label_runs, runs
+from densigrid.sources.stage import staged
 
 RING = "array<struct<x:int,y:int>>"
 _AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise on an image, from the east
@@ -66,22 +67,19 @@ def corners_only(ring: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def trace_runs(found: DataFrame, key: str) -> DataFrame:
     """(fov, key, ring_id, hole, ring) of the borders of each (fov, key)'s runs (r, c0, c1): closed rings of three corners or more, numbered from 1 by fov in raster order
     of their first pixels. One task holds the image around one key's pixels."""
-    fov, kind = (found.schema[c].dataType.simpleString() for c in ("fov", key))
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(rows["r"].min()), int(rows["c0"].min())
-        img = np.zeros((int(rows["r"].max()) - top + 1, int(rows["c1"].max()) - left + 1), dtype=bool)
-        for r, a, b in zip((rows["r"] - top).tolist(), (rows["c0"] - left).tolist(), (rows["c1"] - left + 1).tolist()):
+    def work(run: dict) -> list[tuple]:
+        top, left = int(run["r"].min()), int(run["c0"].min())
+        img = np.zeros((int(run["r"].max()) - top + 1, int(run["c1"].max()) - left + 1), dtype=bool)
+        for r, a, b in zip((run["r"] - top).tolist(), (run["c0"] - left).tolist(), (run["c1"] - left + 1).tolist()):
             img[r, a:b] = True
         rings = [(hole, ring[0], corners_only(ring)) for hole, ring in borders(img)]
-        rings = [(hole, first, [*ring, ring[0]]) for hole, first, ring in rings if len(ring) >= 3]
-        typed = lambda v, as_: pd.Series(list(v), index=range(len(rings)), dtype=as_)
-        own = lambda c: typed([rows[c].iloc[0]] * len(rings), rows[c].dtype)
-        return pd.DataFrame({
-            "fov": own("fov"), key: own(key), "hole": typed((h for h, _, _ in rings), bool), "r0": typed((p[0] + top for _, p, _ in rings), "int32"), "c0": typed((p[1] + left for _, p, _ in rings), "int32"),
-            "xs": typed(([x + left for _, x in k] for _, _, k in rings), object), "ys": typed(([y + top for y, _ in k] for _, _, k in rings), object)})
-
-    out = found.select("fov", key, "r", "c0", "c1").groupBy("fov", key).applyInPandas(work, f"fov {fov}, {key} {kind}, hole boolean, r0 int, c0 int, xs array<int>, ys array<int>")
+        return [
+            (hole, first[0] + top, first[1] + left, [x + left for _, x in (*ring, ring[0])], [y + top for y, _ in (*ring, ring[0])])
+            for hole, first, ring in rings if len(ring) >= 3
+        ]
+
+    out = by_group(found.select("fov", key, "r", "c0", "c1"), ["fov", key], ["r", "c0"], work, "hole boolean, r0 int, c0 int, xs array<int>, ys array<int>")
     number = F.row_number().over(Window.partitionBy("fov").orderBy("r0", "c0", key, "hole"))
     return out.select("fov", key, number.alias("ring_id"), "hole", F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("ring"))
 
@@ -117,7 +115,7 @@ def nonempty(rings: DataFrame, signal: DataFrame, *keys: str) -> DataFrame:
 
 def region_contours(mask: DataFrame, signal: DataFrame, least: float) -> DataFrame:
     """(fov, label, ring_id, hole, ring): outer and hole borders of a mask, closed, of an area of ``least`` or more, and with some of the signal inside."""
-    return nonempty(area_at_least(checked(trace(mask)), least), signal, "fov", "ring_id")
+    return nonempty(staged(area_at_least(checked(trace(mask)), least)), signal, "fov", "ring_id")  # traced once, and read twice
 
 
 def contours_from_sum(signal: DataFrame, ext: DataFrame, k: int, limit: float, least: float, direction: str = "higher", shape: str = "square") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from densigrid.operators.masks import area_filter, label
+from densigrid.operators.masks import label
 from densigrid.operators.raster import PX, grid
+from densigrid.operators.runs import label_runs, pixels, runs
 from densigrid.sources.stage import staged
 
 LEAST_SEEDS = 4  # with fewer seeds a fov has no class regions, and nothing limits growth
@@ -54,9 +55,8 @@ def rings(seed: DataFrame, ext: DataFrame, distances: list[int], constraint: Dat
         out = out.join(constraint.select(*PX), PX, "left_semi")
     if least is None:
         return out
-    joined = label(out, value="ring")  # components of equal rings, all rings at once
-    kept = joined.groupBy("fov", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("fov", "label")
-    return joined.join(kept, ["fov", "label"], "left_semi").select(*PX, F.col("value").alias("ring"))
+    found = label_runs(runs(out.withColumnRenamed("ring", "value"))).where(F.col("area") >= least)  # components of equal rings, all rings at once
+    return pixels(found).select(*PX, F.col("value").alias("ring"))
 
 
 def constrained(seed: DataFrame | None, ext: DataFrame, constraint: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from densigrid.operators import masks as mask_operators
 from densigrid.operators import shapes
 from densigrid.operators.raster import PX
+from densigrid.sources.stage import staged
 
 
 def tile(at: Column, size: int) -> Column:
@@ -104,7 +105,7 @@ class MaskDefinition:
 def _measured(d: MaskDefinition, present: DataFrame, targets: list[str], ext: DataFrame) -> DataFrame:
     if d.analysis_type == "bulk":
         return bulk_counts(d.mask, present, targets, ext).withColumn("object_id", F.lit("bulk"))
-    labelled = mask_operators.label(d.mask)
+    labelled = staged(mask_operators.label(d.mask))  # labelled once, and read by each measure
     if d.analysis_type == "grid":
         tiled = grid_tiles(labelled, d.grid_size).withColumnsRenamed({"tile_y": "grid_y", "tile_x": "grid_x"})
         keys = ["fov", "label", "grid_y", "grid_x"]

@@ -94,9 +94,7 @@ def labelled_area_filter(labelled: DataFrame, least: int) -> DataFrame:
 
 def area_filter(mask: DataFrame, least: int) -> DataFrame:
     """Pixels of components of at least so many pixels."""
-    found = label_runs(runs(mask.select(*PX)))
-    kept = found.groupBy("fov", "label").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n")).where(F.col("n") >= least).select("fov", "label")
-    return pixels(found.join(kept, ["fov", "label"], "left_semi")).select(*PX)
+    return pixels(label_runs(runs(mask.select(*PX))).where(F.col("area") >= least)).select(*PX)
 
 
 def holes(mask: DataFrame, ext: DataFrame) -> DataFrame:

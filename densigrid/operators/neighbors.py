@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from densigrid.operators import hulls
 from densigrid.operators.contours import RING, region_contours, trace_runs
+from densigrid.operators.groups import by_group
 from densigrid.operators.raster import threshold
 from densigrid.operators.runs import least_roots
 
@@ -70,7 +71,7 @@ def dbscan(points: DataFrame, radius: float, min_samples: int) -> DataFrame:
         cells, node = np.unique(ends, axis=0, return_inverse=True)
         node = node.reshape(-1)
         top = least_roots(len(cells), node[: len(rows)], node[len(rows):])
-        return pd.DataFrame({"fov": [rows["fov"].iloc[0]] * len(cells), "y2": cells[:, 0], "x2": cells[:, 1], "comp": top})
+        return pd.DataFrame({"fov": pd.Series([rows["fov"].iloc[0]] * len(cells), dtype=object), "y2": cells[:, 0], "x2": cells[:, 1], "comp": top})
 
     comps = links.groupBy("fov").applyInPandas(join_cells, f"fov {kind}, y2 long, x2 long, comp long")
     member = met.groupBy(*SITE, "first").agg(F.min(F.struct("first2", "y2", "x2")).alias("s")).select(*SITE, "first", "s.y2", "s.x2").join(comps, ["fov", "y2", "x2"])
@@ -105,16 +106,12 @@ def _row_ends(clustered: DataFrame) -> DataFrame:
 
 def _outlines(points: DataFrame, outline) -> DataFrame:
     """(fov, cluster, ring): what ``outline`` makes of each cluster's distinct points (x, y), as a closed ring; clusters without one are left out."""
-    fov = points.schema["fov"].dataType.simpleString()
 
-    def work(px: pd.DataFrame) -> pd.DataFrame:
-        ring = outline(np.unique(px[["c", "r"]].to_numpy(), axis=0))
-        rings = [[*ring, ring[0]]] if len(ring) >= 3 else []
-        typed = lambda v, kind: pd.Series(v, index=range(len(rings)), dtype=kind)
-        return pd.DataFrame({"fov": typed([px["fov"].iloc[0]] * len(rings), object), "cluster": typed([px["cluster"].iloc[0]] * len(rings), "int32"),
-                             "xs": typed([[x for x, _ in k] for k in rings], object), "ys": typed([[y for _, y in k] for k in rings], object)})
+    def work(px: dict) -> list[tuple]:
+        ring = outline(np.unique(np.column_stack([px["c"], px["r"]]), axis=0))
+        return [([int(x) for x, _ in (*ring, ring[0])], [int(y) for _, y in (*ring, ring[0])])] if len(ring) >= 3 else []
 
-    found = points.select("fov", "cluster", "r", "c").groupBy("fov", "cluster").applyInPandas(work, f"fov {fov}, cluster int, xs array<int>, ys array<int>")
+    found = by_group(points.select("fov", "cluster", "r", "c"), ["fov", "cluster"], ["c", "r"], work, "xs array<int>, ys array<int>")
     return found.select("fov", "cluster", F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).cast(RING).alias("ring"))
 
 

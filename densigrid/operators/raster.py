@@ -89,7 +89,7 @@ def inpainted(raster: DataFrame, ext: DataFrame, radius: int = 3) -> DataFrame:
                 known[y[met], x[met]] = True
                 layer[y[~met], x[~met]] += 1
         r, c = np.nonzero(known & ~frame)
-        return pd.DataFrame({"fov": [px["fov"].iloc[0]] * len(r), "r": (r - radius).astype(np.int32), "c": (c - radius).astype(np.int32), "v": img[r, c]})
+        return pd.DataFrame({"fov": pd.Series([px["fov"].iloc[0]] * len(r), dtype=object), "r": (r - radius).astype(np.int32), "c": (c - radius).astype(np.int32), "v": img[r, c]})
 
     rows = ext.join(raster.select(*PX, F.col("v").cast("double").alias("v")), "fov", "left")
     return rows.groupBy("fov").applyInPandas(work, f"fov {fov}, r int, c int, v double")

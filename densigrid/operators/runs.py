@@ -72,36 +72,53 @@ def least_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def label_runs(found: DataFrame, eight: bool = True) -> DataFrame:
-    """``found`` (fov, strip, r, c0, c1 and perhaps value) with label: components, of equal values only, numbered from 1 by fov in raster order."""
+    """``found`` (fov, strip, r, c0, c1 and perhaps value) with label and area: components, of equal values only, numbered from 1 by fov in raster order, and their pixels.
+
+    Strips are labelled twice: first for their borders, then, when a fov's borders have been joined, to name the runs where they lie. Both read one exchange of the
+    runs by strip, and the runs themselves are not moved again.
+    """
     fov = found.schema["fov"].dataType.simpleString()
 
     def arrays(rows: pd.DataFrame) -> tuple:
         return rows["r"].to_numpy(), rows["c0"].to_numpy(), rows["c1"].to_numpy(), pd.factorize(rows["value"], use_na_sentinel=False)[0] if "value" in rows else None
 
-    def in_strip(rows: pd.DataFrame) -> pd.DataFrame:
+    def rooted(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["r", "c0"], ignore_index=True)
         r, c0, c1, value = arrays(rows)
         top = least_roots(len(rows), *touching(r, c0, c1, value, eight))
-        return rows.assign(root=(r[top].astype(np.int64) + 1) * _WIDE + c0[top] + 1)
+        size = np.bincount(top, weights=c1 - c0 + 1, minlength=len(rows)).astype(np.int64)
+        return rows.assign(root=(r[top].astype(np.int64) + 1) * _WIDE + c0[top] + 1, size=size[top])
+
+    def borders(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rooted(rows)
+        r = rows["r"].to_numpy()
+        return rows[np.isin(r % STRIP, (0, STRIP - 1)) | ((r.astype(np.int64) + 1) * _WIDE + rows["c0"] + 1 == rows["root"])]
 
     def over_strips(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["r", "c0"], ignore_index=True)
-        names, node = np.unique(rows["root"].to_numpy(), return_inverse=True)
-        edge = rows["r"].to_numpy() % STRIP
-        edge = (edge == 0) | (edge == STRIP - 1)
+        names, first, node = np.unique(rows["root"].to_numpy(), return_index=True, return_inverse=True)
+        edge = np.isin(rows["r"].to_numpy() % STRIP, (0, STRIP - 1))
         i, j = touching(*arrays(rows[edge]), eight)
         at = node[edge]
         top = least_roots(len(names), at[i], at[j])
-        return pd.DataFrame({"fov": [rows["fov"].iloc[0]] * len(names), "root": names, "label": (np.unique(top, return_inverse=True)[1] + 1).astype(np.int32)})
+        label = np.unique(top, return_inverse=True)[1]
+        area = np.bincount(label, weights=rows["size"].to_numpy()[first]).astype(np.int64)
+        strip = ((names // _WIDE - 1) // STRIP).astype(np.int32)
+        return pd.DataFrame({"fov": pd.Series([rows["fov"].iloc[0]] * len(names), dtype=object), "strip": strip, "root": names, "label": (label + 1).astype(np.int32), "area": area[label]})
+
+    def named(rows: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        rows = rooted(rows)
+        at = names.set_index("root").loc[rows["root"]]
+        return rows.drop(columns=["strip", "root", "size"]).assign(label=at["label"].to_numpy(), area=at["area"].to_numpy())
 
-    kind = T.StructType([*found.schema.fields, T.StructField("root", T.LongType())])
-    rooted = found.groupBy("fov", "strip").applyInPandas(in_strip, kind).repartition("fov", "root")
-    border = F.pmod("r", F.lit(STRIP)).isin(0, STRIP - 1) | ((F.col("r") + 1).cast("long") * _WIDE + F.col("c0") + 1 == F.col("root"))
-    named = rooted.where(border).groupBy("fov").applyInPandas(over_strips, f"fov {fov}, root long, label int")
-    return rooted.join(named, ["fov", "root"]).drop("root", "strip")
+    of = lambda *more: T.StructType([*(f for f in found.schema.fields), *(T.StructField(n, t) for n, t in more)])
+    met = found.groupBy("fov", "strip").applyInPandas(borders, of(("root", T.LongType()), ("size", T.LongType())))
+    names = met.groupBy("fov").applyInPandas(over_strips, f"fov {fov}, strip int, root long, label int, area long")
+    kind = of(("label", T.IntegerType()), ("area", T.LongType()))
+    return found.groupBy("fov", "strip").cogroup(names.groupBy("fov", "strip")).applyInPandas(named, T.StructType([f for f in kind.fields if f.name != "strip"]))
 
 
 def pixels(found: DataFrame) -> DataFrame:
     """The pixels (r, c) of runs, other columns kept."""
-    rest = [c for c in found.columns if c not in ("strip", "r", "c0", "c1", "fov")]
+    rest = [c for c in found.columns if c not in ("strip", "r", "c0", "c1", "fov", "area")]
     return found.select("fov", "r", F.explode(F.sequence("c0", "c1")).alias("c"), *rest)

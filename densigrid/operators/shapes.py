@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from densigrid.operators.groups import by_group
+from densigrid.operators.hulls import convex
+
 # Weight of a border pixel by the code of its 3 x 3 window (1 at the centre, 2 at edges, 10 at corners).
 STRAIGHT, SLANTED, MIXED = (5, 7, 15, 17, 25, 27), (21, 33), (13, 23)
 
@@ -34,20 +36,6 @@ def perimeters(labelled: DataFrame) -> DataFrame:
     return codes.groupBy("fov", "label").agg(F.sum(weight).alias("perimeter"))
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull of (n, 2) points, counter-clockwise in their own axes."""
-    pts = np.unique(points, axis=0).tolist()
-    ring: list = []
-    for way in (pts, pts[::-1]):
-        part: list = []
-        for p in way:
-            while len(part) > 1 and (part[-1][0] - part[-2][0]) * (p[1] - part[-2][1]) - (part[-1][1] - part[-2][1]) * (p[0] - part[-2][0]) <= 0:
-                part.pop()
-            part.append(p)
-        ring += part[:-1]
-    return np.array(ring)
-
-
 def hull_pixels(r: np.ndarray, c: np.ndarray) -> int:
     """Pixels whose centres lie in the convex hull of the middles of all pixels' sides."""
     # The ends of each row bound the hull; doubled coordinates keep all in whole numbers.
@@ -56,7 +44,7 @@ def hull_pixels(r: np.ndarray, c: np.ndarray) -> int:
     first = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]])
     last = np.r_[first[1:], len(rr)] - 1
     ends = 2 * np.concatenate([np.column_stack([rr[first], cc[first]]), np.column_stack([rr[last], cc[last]])])
-    ring = hull(np.concatenate([ends + d for d in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
+    ring = np.array(convex(np.unique(np.concatenate([ends + d for d in ((0, 1), (0, -1), (1, 0), (-1, 0))]), axis=0)))
     rows = 2 * np.arange(rr.min(), rr.max() + 1)
     low, high = np.full(len(rows), np.inf), np.full(len(rows), -np.inf)
     for (y0, x0), (y1, x1) in zip(ring, np.roll(ring, -1, axis=0)):
@@ -71,10 +59,8 @@ def solidities(labelled: DataFrame) -> DataFrame:
     """(fov, label, solidity): area over the pixels of the convex hull. Only the ends of each object's rows are gathered, not its pixels."""
     ends = labelled.groupBy("fov", "label", "r").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"))
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        r = rows["r"].to_numpy()
-        whole = hull_pixels(np.concatenate([r, r]), np.concatenate([rows["c0"].to_numpy(), rows["c1"].to_numpy()]))
-        fov = pd.Series([rows["fov"].iloc[0]], dtype=object)
-        return pd.DataFrame({"fov": fov, "label": [rows["label"].iloc[0]], "solidity": [float(rows["n"].sum() / whole)]})
+    def work(row: dict) -> list[tuple]:
+        whole = hull_pixels(np.concatenate([row["r"], row["r"]]), np.concatenate([row["c0"], row["c1"]]))
+        return [(float(row["n"].sum() / whole),)]
 
-    return ends.groupBy("fov", "label").applyInPandas(work, "fov string, label int, solidity double")
+    return by_group(ends, ["fov", "label"], ["r"], work, "solidity double")

@@ -80,8 +80,8 @@ class Scene:
         return contours.region_contours(masks.fill_holes(self.dense(), self.ext), self.chan, LEAST_AREA)
 
     def regions(self) -> DataFrame:
-        """(fov, label, r, c): pixels of the contours, labelled with their place among them."""
-        return contours.fill(self.outlines().select("fov", F.col("ring_id").alias("label"), "ring"), "fov", "label")
+        """(fov, label, r, c): pixels of the contours, labelled with their first pixel."""
+        return contours.fill(self.outlines().select("fov", _first().alias("label"), "ring"), "fov", "label")
 
     def definitions(self) -> list:
         make = features.MaskDefinition
@@ -371,9 +371,9 @@ CATALOG = {
     "contour_polygons": (lambda s: contours.polygons(s.outlines()).select("fov", _first()), None),
     "inpainted_neighbors": (lambda s: raster.inpainted(neighbors.neighbor_raster(s.all_points(), 5), s.ext), None),
     "contours_to_mask": (lambda s: features.bulk(s.regions().select(*PX).distinct()), _sql("SELECT fov, count(*) AS area FROM regions GROUP BY fov", CONV, REGIONS, recursive=True)),
-    "gene_threshold_filter": (lambda s: contours.by_target_threshold(s.regions(), s.pres, MARKED, 40).join(s.regions().groupBy("fov", "label").agg(F.min(F.col("r").cast("long") * 100000 + F.col("c")).alias("first")), ["fov", "label"]).select("fov", "first", "n"),
+    "gene_threshold_filter": (lambda s: contours.by_target_threshold(s.regions(), s.pres, MARKED, 40).withColumnRenamed("label", "first"),
         _sql("SELECT fov, lab AS first, count(*) AS n FROM regions JOIN pres USING (fov, r, c) WHERE target IN ('click', 'view') GROUP BY ALL HAVING count(*) >= 40", CONV, REGIONS, recursive=True)),
-    "gene_comparison_filter": (lambda s: contours.by_target_comparison(s.regions(), s.pres, ["click"], ["view"]).join(s.regions().groupBy("fov", "label").agg(F.min(F.col("r").cast("long") * 100000 + F.col("c")).alias("first")), ["fov", "label"]).select("fov", "first", "n_more", "n_fewer"),
+    "gene_comparison_filter": (lambda s: contours.by_target_comparison(s.regions(), s.pres, ["click"], ["view"]).withColumnRenamed("label", "first"),
         _sql("SELECT fov, lab AS first, count(CASE WHEN target = 'click' THEN 1 END) AS n_more, count(CASE WHEN target = 'view' THEN 1 END) AS n_fewer FROM regions JOIN pres USING (fov, r, c) GROUP BY fov, lab HAVING n_more > n_fewer", CONV, REGIONS, recursive=True)),
     "object_perimeter": (lambda s: _rounded(shapes.perimeters(s.tiles()), "perimeter"),
         _sql("SELECT fov, label, round(sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN code IN (21, 33) THEN sqrt(2) WHEN code IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END), 6) AS perimeter FROM code GROUP BY fov, label",

@@ -64,7 +64,7 @@ def test_subset_keeps_requests(spark):
 
 def test_set_algebra_and_subtract(spark):
     e = ext(spark, 100, 100)
-    left = masks.subtract(expand.ones(e), px(spark, square(10, 20, 10, 20)), px(spark, square(15, 25, 15, 25)))
+    left = masks.subtract(raster.grid(e), px(spark, square(10, 20, 10, 20)), px(spark, square(15, 25, 15, 25)))
     have = got(left)
     assert len(have) == 10000 - 175 and (12, 12) not in have and (22, 22) not in have and (30, 30) in have
 
@@ -106,7 +106,7 @@ def test_rings_have_exact_sizes_and_keep_the_seed(spark):
     e, seed = ext(spark, 30, 30), px(spark, square(10, 15, 10, 15))
     ringed = expand.rings(seed, e, [9, 3, 6, 3]).cache()
     assert {x["ring"]: x["count"] for x in ringed.groupBy("ring").count().collect()} == {3: 76, 6: 132, 9: 188}
-    left = got(expand.constraint_remaining(expand.ones(e), ringed))
+    left = got(expand.constraint_remaining(raster.grid(e), ringed))
     assert got(seed) <= left and len(left) == 900 - 396
 
 
@@ -229,9 +229,16 @@ def test_clusters_and_seeds_take_all_points(spark, tmp_path):
     label = {(r, c): r // 50 * 1000 + c // 50 + 1 for r, c in seed}
     kind = lambda n: "A" if n % 2 == 0 else "B"
     nearest = lambda y, x: min(((x - cx) ** 2 + (y - cy) ** 2, i, k) for i, k, cx, cy in catalog.CLASSES)[2]
-    want = {}
-    for y, x in d2:
-        met = {label[q] for q in seed if 0 < (q[0] - y) ** 2 + (q[1] - x) ** 2 <= 9} - {label.get((y, x))}
-        if met := [n for n in met if kind(n) == nearest(y, x)]:
-            want[y, x] = max(met)
-    assert {(r["r"], r["c"]): r["parent"] for r in run("class_limited_rings")} == want
+    grown, cover, under = {}, {}, {}
+    for n in set(label.values()):
+        own = [q for q in seed if label[q] == n]
+        for q in own:
+            grown.setdefault((kind(n), 0, *q), []).append(n)
+            under.setdefault(q, []).append(n)
+        for y, x in d2:
+            far = min((q[0] - y) ** 2 + (q[1] - x) ** 2 for q in own)
+            if 0 < far <= 25 and kind(n) == nearest(y, x):
+                grown.setdefault((kind(n), 3 if far <= 9 else 5, y, x), []).append(n)
+                cover.setdefault((y, x), []).append(n)
+    want = {k: (max(v), max(cover.get(k[2:]) or under[k[2:]])) for k, v in grown.items()}
+    assert {(r["class"], r["ring"], r["r"], r["c"]): (r["label"], r["referenced"]) for r in run("class_limited_rings")} == want
