@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.operators import masks as mask_operators
@@ -64,9 +64,9 @@ def overlap(cells: DataFrame, masks: DataFrame) -> DataFrame:
     frame = cells.select("fov", "cell").distinct().join(F.broadcast(names.agg(F.collect_set("mask").alias("names"))))  # one row: the names of masks
     frame = frame.select("fov", "cell", F.explode("names").alias("mask"))
     n = cells.join(masks, PX).groupBy("fov", "cell", "mask").agg(F.count(F.lit(1)).alias("n"))
-    total = cells.join(masks, PX).groupBy("fov", "cell").agg(F.count(F.lit(1)).alias("total"))
-    out = frame.join(n, ["fov", "cell", "mask"], "left").join(total, ["fov", "cell"], "left")
-    return out.select("fov", "cell", "mask", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(100 * F.col("n") / F.col("total"), F.lit(0.0)).alias("percent"))
+    out = frame.join(n, ["fov", "cell", "mask"], "left").select("fov", "cell", "mask", F.coalesce("n", F.lit(0)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("fov", "cell"))  # one row a mask
+    return out.select("fov", "cell", "mask", "n", F.when(total > 0, 100 * F.col("n") / total).otherwise(0.0).alias("percent"))
 
 
 def merged(left: DataFrame, right: DataFrame, keys: list[str], last: str | None = None) -> DataFrame:
