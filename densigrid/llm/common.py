@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_KEYS = 4096  # no more keys than this are ever treated as hot: a hot key holds at least so large a share of the rows
-HOT_ROWS = 1 << 16  # and so many rows
+HOT_ROWS = 1 << 10  # and so many rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
