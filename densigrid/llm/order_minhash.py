@@ -4,7 +4,7 @@ Words are runs of letters, marks and digits in lower case; a letter of a script
 of ``BANDS`` hash functions the ``MINIMA`` labelled k-mers of least hash are taken, put back in text order and hashed to a key: two texts
 agree in a key with a chance that follows their edit similarity, order included. Texts of equal words are one node. First, nodes that share a
 key are compared with a leader of that key, where they are not in one component yet: n comparisons a round for a group of n nodes.
-Later rounds have other leaders, and groups that share two keys, which are smaller and purer. Then all other pairs that share a key and are in
+A second round has other leaders, and groups that share two keys, which are smaller and purer. Then all other pairs that share a key and are in
 different components are tried, in blocks of ``BLOCK`` nodes: a bitmap of each node bounds how many k-mers a pair can have in common, and the pairs that
 this bound admits are aligned. So no link between two texts that share a key is lost.
 
@@ -34,7 +34,7 @@ from densigrid.llm.graph import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, MINIMA = 16, 4
 BLOCK, BITMAP = 64, 2048  # nodes of a block of the last step, bits of a node's bitmap
-SHIFTS = (tuple(range(1, 9)), tuple(range(1, 5)))  # rounds after the first: how far apart the two bands of a pair of keys are
+SHIFTS = (tuple(range(1, 9)),)  # rounds after the first: how far apart the two bands of a pair of keys are
 
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -245,7 +245,7 @@ def link_nodes(signed: DataFrame) -> DataFrame | None:
     needed = single.select("node").distinct()
     sequences = written(one.select("node", "words").join(needed, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "omh-words")
     comps = _round(single, sequences, None, 0)
-    # Later rounds ask for two keys at once; together they ask for any two of a node's. Their groups are smaller and purer.
+    # The second round asks for any two of a node's keys at once: its groups are smaller and purer. It only spares work; the last step tries what it leaves.
     known = written(of_node.join(needed, "node", "left_semi"), "omh-known")
     for r, shifts in enumerate(SHIFTS, 1):
         two = F.array(*(F.xxhash64(F.lit(d), F.lit(i), F.col("keys")[i], F.col("keys")[(i + d) % BANDS]) for d in shifts for i in range(BANDS)))
