@@ -3,89 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densigrid.operators.groups import by_group
 from densigrid.operators.raster import PX, density, threshold
 from densigrid.operators.runs import label_runs, runs
+from densigrid.operators.tracing import trace_runs
 from densigrid.sources.stage import staged
 
 RING = "array<struct<x:int,y:int>>"
-_AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise on an image, from the east
-
-
-def borders(img: np.ndarray) -> list[tuple[bool, list[tuple[int, int]]]]:
-    """Outer and hole borders of a binary image as (is it a hole's, its pixels (row, column) in order), by border following with 8-joined foreground."""
-    f = np.pad(img.astype(np.int32), 1)
-    solid = f != 0
-    starts = np.zeros(f.shape, dtype=np.int8)
-    starts[:, 1:] |= solid[:, 1:] & ~solid[:, :-1]
-    starts[:, :-1] |= (solid[:, :-1] & ~solid[:, 1:]) * np.int8(2)
-    out, mark = [], 1
-    for i, j in np.argwhere(starts).tolist():
-        if starts[i, j] & 1 and f[i, j] == 1:
-            hole, at = False, 4
-        elif starts[i, j] & 2 and f[i, j] >= 1:
-            hole, at = True, 0
-        else:
-            continue
-        mark += 1
-        first = next((d % 8 for d in range(at, at + 8) if f[i + _AROUND[d % 8][0], j + _AROUND[d % 8][1]]), None)
-        if first is None:
-            f[i, j] = -mark
-            out.append((hole, [(i - 1, j - 1)]))
-            continue
-        begin = (i + _AROUND[first][0], j + _AROUND[first][1])
-        here, back, ring = (i, j), first, []
-        while True:
-            east_open = False
-            for d in range(back - 1, back - 9, -1):
-                to = (here[0] + _AROUND[d % 8][0], here[1] + _AROUND[d % 8][1])
-                if f[to]:
-                    break
-                east_open |= d % 8 == 0
-            if east_open:
-                f[here] = -mark
-            elif f[here] == 1:
-                f[here] = mark
-            ring.append((here[0] - 1, here[1] - 1))
-            if to == (i, j) and here == begin:
-                break
-            here, back = to, (d + 4) % 8
-        out.append((hole, ring))
-    return out
-
-
-def corners_only(ring: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Without the inner pixels of straight runs."""
-    n = len(ring)
-    step = [(ring[(k + 1) % n][0] - ring[k][0], ring[(k + 1) % n][1] - ring[k][1]) for k in range(n)]
-    return [p for k, p in enumerate(ring) if step[k - 1] != step[k]] if n > 1 else ring
-
-
-def trace_runs(found: DataFrame, key: str) -> DataFrame:
-    """(fov, key, ring_id, hole, ring) of the borders of each (fov, key)'s runs (r, c0, c1): closed rings of three corners or more, numbered from 1 by fov in raster order
-    of their first pixels. One task holds the image around one key's pixels."""
-
-    def work(run: dict) -> list[tuple]:
-        top, left = int(run["r"].min()), int(run["c0"].min())
-        img = np.zeros((int(run["r"].max()) - top + 1, int(run["c1"].max()) - left + 1), dtype=bool)
-        for r, a, b in zip((run["r"] - top).tolist(), (run["c0"] - left).tolist(), (run["c1"] - left + 1).tolist()):
-            img[r, a:b] = True
-        rings = [(hole, ring[0], corners_only(ring)) for hole, ring in borders(img)]
-        return [
-            (hole, first[0] + top, first[1] + left, [x + left for _, x in (*ring, ring[0])], [y + top for y, _ in (*ring, ring[0])])
-            for hole, first, ring in rings if len(ring) >= 3
-        ]
-
-    out = by_group(found.select("fov", key, "r", "c0", "c1"), ["fov", key], ["r", "c0"], work, "hole boolean, r0 int, c0 int, xs array<int>, ys array<int>")
-    number = F.row_number().over(Window.partitionBy("fov").orderBy("r0", "c0", key, "hole"))
-    return out.select("fov", key, number.alias("ring_id"), "hole", F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("ring"))
 
 
 def trace(mask: DataFrame) -> DataFrame:
-    """(fov, label, ring_id, hole, ring): outer and hole borders of the mask's components, each component traced by itself."""
+    """(fov, label, ring_id, hole, ring): outer and hole borders of the mask's components."""
     return trace_runs(label_runs(runs(mask.select(*PX))), "label")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from densigrid.operators import bins, contours, masks, shapes
 from densigrid.sources import segmentation, sinks
+from following import borders
 
 
 def px(spark, img, label=None):
@@ -52,8 +53,8 @@ def test_border_counts_match_components_and_holes():
     img[3:6, 3:6] = False
     img[4, 4] = True
     img[10, 15] = True
-    assert [(hole, len(ring)) for hole, ring in contours.borders(img)] == [(False, 24), (True, 12), (False, 1), (False, 1)]
-    assert contours.borders(np.zeros((3, 3), dtype=bool)) == []
+    assert [(hole, len(ring)) for hole, ring in borders(img)] == [(False, 24), (True, 12), (False, 1), (False, 1)]
+    assert borders(np.zeros((3, 3), dtype=bool)) == []
 
 
 def test_fills_count_outlines(spark):
