@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.operators.contours import fill, seed_centroids
 from densigrid.operators.masks import label
 from densigrid.operators.raster import PX, grid
+from densigrid.operators.regions import class_regions, finite_regions
 from densigrid.operators.runs import label_runs, pixels, runs
 from densigrid.sources.stage import staged
 
@@ -85,18 +87,8 @@ def propagate(seed: DataFrame, ext: DataFrame, distances: list[int]) -> DataFram
     return out
 
 
-def class_regions(px: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``px`` with the class of the nearest seed (fov, idx, class, cx, cy; x is the column), ties to the smaller idx. A fov's seeds travel as one array."""
-    held = seeds.groupBy("fov").agg(F.collect_list(F.struct("idx", "class", "cx", "cy")).alias("_seeds"))
-    far = lambda s: (F.col("c") - s["cx"]) * (F.col("c") - s["cx"]) + (F.col("r") - s["cy"]) * (F.col("r") - s["cy"])
-    best = F.array_min(F.transform("_seeds", lambda s: F.struct(far(s).alias("d2"), s["idx"].alias("idx"), s["class"].alias("class"))))
-    return px.select(*PX).join(held, "fov").select(*PX, best["class"].alias("class"))
-
-
 def seeds_of(rings_: DataFrame, order: list[str]) -> DataFrame:
     """(fov, idx, class, cx, cy): a seed at the centroid of each contour (fov, class, contour, ring) of an area, counted in the order of classes and contours."""
-    from densigrid.operators.contours import seed_centroids
-
     if rings_.where(F.size("ring") >= 4).isEmpty():
         raise ValueError("no contours to take seeds from")
     place = F.array_position(F.array(*(F.lit(c) for c in order)), F.col("class"))
@@ -104,9 +96,11 @@ def seeds_of(rings_: DataFrame, order: list[str]) -> DataFrame:
     return seed_centroids(rings_, "fov", "class", "contour").select("fov", idx.alias("idx"), "class", "cx", "cy")
 
 
-def class_limited_rings(objects: DataFrame, ext: DataFrame, seeds: DataFrame, distances: list[int]) -> DataFrame:
+def class_limited_rings(objects: DataFrame, ext: DataFrame, seeds: DataFrame, distances: list[int], limits: str = "nearest") -> DataFrame:
     """(fov, class, ring, r, c, label, referenced): growth of objects (fov, r, c, parent, class) within their class's region; ring 0 holds the objects themselves.
 
+    A class's region is where one of its seeds is the nearest, or, if ``limits`` is "clamped", the finite Voronoi cells of its seeds with their corners moved into the image.
+
     A pixel is in the ring of the first of the distances, in the order given, that its object is within. An object may grow over another one. ``label`` is the
     largest parent of the ring and class at the pixel; ``referenced`` the largest one that grew over the pixel, of whatever class and ring, or else that of the
     objects there. Fovs with fewer than ``LEAST_SEEDS`` seeds have no limits.
@@ -114,8 +108,18 @@ def class_limited_rings(objects: DataFrame, ext: DataFrame, seeds: DataFrame, di
     own = objects.select("fov", "class", "parent", "r", "c")
     near = nearest_within(own.select(*own.columns), ext, max(distances), "class", "parent").select("fov", "class", "parent", "r", "c", _banded(distances).alias("ring"))
     many = seeds.groupBy("fov").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SEEDS).select("fov")
-    region = class_regions(near.select(*PX).distinct(), seeds.join(many, "fov", "left_semi")).withColumnRenamed("class", "_class")
-    grown = near.join(region, PX, "left").where(F.coalesce(F.col("_class") == F.col("class"), F.lit(True))).select("fov", "class", "parent", "r", "c", "ring")
+    used = seeds.join(many, "fov", "left_semi")
+    if limits == "nearest":
+        region = class_regions(near.select(*PX).distinct(), used, ext).withColumnRenamed("class", "_class")
+        grown = near.join(region, PX, "left").where(F.coalesce(F.col("_class") == F.col("class"), F.lit(True)))
+    elif limits == "clamped":
+        cells = staged(finite_regions(used, ext))
+        held = fill(cells, "fov", "idx", "class").select("fov", "class", "r", "c").distinct().withColumn("_in", F.lit(True))
+        limited = cells.select("fov").distinct().withColumn("_limited", F.lit(True))
+        grown = near.join(held, ["fov", "class", "r", "c"], "left").join(limited, "fov", "left").where(F.col("_limited").isNull() | F.col("_in").isNotNull())
+    else:
+        raise ValueError(f"unknown limits {limits!r}")
+    grown = grown.select("fov", "class", "parent", "r", "c", "ring")
     both = grown.union(own.select("fov", "class", "parent", "r", "c", F.lit(0).alias("ring")))
     label_ = both.groupBy(*PX, "class", "ring").agg(F.max("parent").alias("label"))
     at = Window.partitionBy(*PX)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densigrid.functions.columns import relabelled
-from densigrid.operators import bins, contours, expand, features, masks, neighbors, raster, shapes
+from densigrid.operators import bins, contours, expand, features, masks, neighbors, raster, regions, shapes
 from densigrid.operators.raster import PX
 from densigrid.sources import points as source
 from densigrid.sources import segmentation, sinks
@@ -340,7 +340,7 @@ CATALOG = {
              BIN_SQL, "lng AS (UNPIVOT (SELECT fov, click, view, purchase, signup, error FROM bt) ON click, view, purchase, signup, error INTO NAME target VALUE v)")),
     "cluster_image": (lambda s: bins.cluster_image(s.units(), 10).groupBy("fov", "label").agg(F.count(F.lit(1)).alias("area"), F.sum("c").alias("sc")),
         _sql("SELECT fov, CAST(cluster + 1 AS INTEGER) AS label, CAST(count(*) * 100 AS BIGINT) AS area, CAST(sum(10 * (10 * (10 * by_) + 45)) AS BIGINT) AS sc FROM units GROUP BY fov, cluster", BIN_SQL, UNIT_SQL)),
-    "class_regions": (lambda s: expand.class_regions(s.pres.select(*PX).distinct(), s.seeds()),
+    "class_regions": (lambda s: regions.class_regions(s.pres.select(*PX).distinct(), s.seeds(), s.ext),
         _sql("SELECT o.fov, o.r, o.c, arg_min(class, ((o.c - cx) * (o.c - cx) + (o.r - cy) * (o.r - cy), idx)) AS class FROM occ o JOIN seeds USING (fov) GROUP BY o.fov, o.r, o.c", SEEDS)),
     "class_limited_rings": (lambda s: expand.class_limited_rings(s.objects(), s.ext, s.seeds(), [3, 5, 2]),
         _sql("SELECT fov, class, ring, r, c, max(parent) AS label, any_value(referenced) AS referenced FROM (SELECT *, coalesce(max(CASE WHEN ring > 0 THEN parent END) OVER w, max(parent) OVER w) AS referenced FROM grown WINDOW w AS (PARTITION BY fov, r, c)) GROUP BY fov, class, ring, r, c", SEEDS,

@@ -159,7 +159,7 @@ def alpha_area(points, radius):
         a, b, c = (points[i].astype(float) for i in t)
         d = 2 * ((b - a)[0] * (c - a)[1] - (b - a)[1] * (c - a)[0])
         if d:
-            x, y, r2 = hulls._circles(a[None], b[None], c[None])
+            x, y, r2 = hulls.circles(a[None], b[None], c[None])
             at = a + (x[0], y[0])
             if r2[0] < radius**2 and not (((points - at) ** 2).sum(1) < r2[0] - 1e-9).any():
                 total += abs(d) / 2
