@@ -48,70 +48,6 @@ def reraster(points: DataFrame, targets: list[str], order: str) -> DataFrame:
     return presence(kept).join(channel, "target").select(*PX, "target", "channel")
 
 
-def inpainted(raster: DataFrame, ext: DataFrame, radius: int = 3) -> DataFrame:
-    """``raster`` (fov, r, c, v) with a value for each of its zeros, from the known pixels around it. A fov is one task, as an array.
-
-    Zeros are filled in layers, nearest to the known pixels first. A pixel takes the mean of what is known within the radius, weighted by distance, by how close
-    the two layers are, and by how far the way to it runs along the distance's gradient, as in fast-marching inpainting; a layer's own pixels aren't known to each other.
-    """
-    import numpy as np
-    import pandas as pd
-
-    fov = raster.schema["fov"].dataType.simpleString()
-    moves = [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if 0 < y * y + x * x <= radius * radius]
-
-    def work(px: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(px["h"].iloc[0]), int(px["w"].iloc[0])
-        img = np.zeros((h + 2 * radius, w + 2 * radius))
-        real = px["r"].notna()
-        img[px.loc[real, "r"].astype(int) + radius, px.loc[real, "c"].astype(int) + radius] = px.loc[real, "v"]
-        frame = np.ones(img.shape, dtype=bool)
-        frame[radius : radius + h, radius : radius + w] = False
-        known = img != 0
-        if known.any():
-            far = distances(known)
-            gy, gx = np.gradient(far)
-            layer = np.floor(far).astype(int)
-            layer[frame] = -1
-            for step in range(1, layer.max() + 1):
-                at = np.argwhere((layer == step) & ~known)
-                y, x = at[:, 0], at[:, 1]
-                total, weight = np.zeros(len(at)), np.zeros(len(at))
-                for dy, dx in moves:
-                    p, q = y + dy, x + dx
-                    length = np.hypot(dy, dx)
-                    along = np.abs(dy * gy[y, x] + dx * gx[y, x]) / length
-                    share = known[p, q] * np.maximum(along, 1e-6) / (length * length) / (1 + np.abs(far[p, q] - far[y, x]))
-                    total += share * img[p, q]
-                    weight += share
-                met = weight > 0
-                img[y[met], x[met]] = total[met] / weight[met]
-                known[y[met], x[met]] = True
-                layer[y[~met], x[~met]] += 1
-        r, c = np.nonzero(known & ~frame)
-        return pd.DataFrame({"fov": pd.Series([px["fov"].iloc[0]] * len(r), dtype=object), "r": (r - radius).astype(np.int32), "c": (c - radius).astype(np.int32), "v": img[r, c]})
-
-    rows = ext.join(raster.select(*PX, F.col("v").cast("double").alias("v")), "fov", "left")
-    return rows.groupBy("fov").applyInPandas(work, f"fov {fov}, r int, c int, v double")
-
-
-def distances(known):
-    """The distance of every pixel of an image in memory to the nearest known one: down the columns, then along the rows."""
-    import numpy as np
-
-    h, w = known.shape
-    down = np.where(known, 0.0, np.inf)
-    for way in (range(1, h), range(h - 2, -1, -1)):
-        step = 1 if way.step == 1 else -1
-        for i in way:
-            down[i] = np.minimum(down[i], down[i - step] + 1)
-    best = np.full((h, w), np.inf)
-    at = np.arange(w)
-    for j in range(w):
-        best = np.minimum(best, down[:, j : j + 1] ** 2 + (at - j) ** 2)
-    return np.sqrt(best)
-
-
 def _mirrors(at: Column, size: Column, k: int) -> Column:
     """The place and its reflections beyond either edge, the edge itself not repeated."""
     low = F.when((at > 0) & (at <= k), -at)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densigrid.functions.columns import relabelled
-from densigrid.operators import bins, contours, expand, features, masks, neighbors, raster, regions, shapes
+from densigrid.operators import bins, contours, expand, features, inpaint, masks, neighbors, raster, regions, shapes
 from densigrid.operators.raster import PX
 from densigrid.sources import points as source
 from densigrid.sources import segmentation, sinks
@@ -369,7 +369,7 @@ CATALOG = {
     "contours_from_neighbors": (lambda s: neighbors.contours_from_neighbors(s.all_points(), s.ext, 5, 6, 1).select("fov", _first(), "hole", contours.ring_area(F.col("ring")).alias("area")),
         _sql("SELECT fov, first, hole, CAST(area AS DOUBLE) AS area FROM rings WHERE area >= 1", PAIRS, "crowd AS (SELECT fov, r, c, arg_max(n, id) AS v FROM cnt GROUP BY fov, r, c)", "crowded AS (SELECT fov, r, c FROM crowd WHERE v > 6)", _contours("crowded", "crowd"), recursive=True)),
     "contour_polygons": (lambda s: contours.polygons(s.outlines()).select("fov", _first()), None),
-    "inpainted_neighbors": (lambda s: raster.inpainted(neighbors.neighbor_raster(s.all_points(), 5), s.ext), None),
+    "inpainted_neighbors": (lambda s: inpaint.inpainted(neighbors.neighbor_raster(s.all_points(), 5), s.ext), None),
     "contours_to_mask": (lambda s: features.bulk(s.regions().select(*PX).distinct()), _sql("SELECT fov, count(*) AS area FROM regions GROUP BY fov", CONV, REGIONS, recursive=True)),
     "gene_threshold_filter": (lambda s: contours.by_target_threshold(s.regions(), s.pres, MARKED, 40).withColumnRenamed("label", "first"),
         _sql("SELECT fov, lab AS first, count(*) AS n FROM regions JOIN pres USING (fov, r, c) WHERE target IN ('click', 'view') GROUP BY ALL HAVING count(*) >= 40", CONV, REGIONS, recursive=True)),

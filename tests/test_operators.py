@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from densigrid.functions.columns import natural_key
 from densigrid.functions.statistics import beta_share, t_two_sided
-from densigrid.operators import bins, contours, expand, features, hulls, masks, neighbors, raster, runs
+from densigrid.operators import bins, contours, expand, features, hulls, inpaint, masks, neighbors, raster, runs
 from densigrid.sources import points as source
 from densigrid.sources import sinks
 
@@ -195,17 +195,15 @@ def test_contours_around_clusters(spark):
         neighbors.cluster_contours(clustered, size, "star", 2)
     found = neighbors.contours_from_neighbors(rows, size, 2, 7, 5)
     assert found.count() == 1
-    whole = raster.inpainted(neighbors.neighbor_raster(rows, 2), size)
+    whole = inpaint.inpainted(neighbors.neighbor_raster(rows, 2), size)
     assert neighbors.contours_from_neighbors(rows, size, 2, 7, 5, raster=whole).count() >= 1
 
 
 def test_inpainting_fills_between_known_values(spark):
     rows = spark.createDataFrame([("F", 2, 2, 4.0), ("F", 2, 12, 4.0), ("F", 9, 5, 8.0)], "fov string, r int, c int, v double")
-    v = {(x["r"], x["c"]): x["v"] for x in raster.inpainted(rows, ext(spark, 12, 15)).collect()}
+    v = {(x["r"], x["c"]): x["v"] for x in inpaint.inpainted(rows, ext(spark, 12, 15)).collect()}
     assert len(v) == 180 and all(4.0 <= x <= 8.0 for x in v.values()) and (v[2, 2], v[9, 5]) == (4.0, 8.0) and v[9, 6] > v[1, 2]
-    far = raster.distances(np.eye(7, dtype=bool) & (np.arange(7) % 3 == 0))
-    assert all(math.isclose(far[r, c], min(math.hypot(r - i, c - i) for i in (0, 3, 6))) for r in range(7) for c in range(7))
-    assert raster.inpainted(rows.limit(0), ext(spark, 3, 3)).count() == 0
+    assert inpaint.inpainted(rows.limit(0), ext(spark, 3, 3)).count() == 0
 
 
 def test_analysis_of_definitions(spark):
