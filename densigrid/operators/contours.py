@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from densigrid.operators.raster import PX, density, threshold
 from densigrid.operators.runs import label_runs, runs
+from densigrid.operators.simple import is_simple
 from densigrid.operators.tracing import trace_runs
 from densigrid.sources.stage import staged
 
@@ -59,36 +60,11 @@ def polygons(rings: DataFrame) -> DataFrame:
 
     def simple(batches):
         for rows in batches:
-            yield rows.assign(_simple=[_is_simple([(p["x"], p["y"]) for p in ring]) for ring in rows["ring"]])
-
-    from pyspark.sql import types as T
+            yield rows.assign(_simple=[is_simple([(p["x"], p["y"]) for p in ring]) for ring in rows["ring"]])
 
     return kept.mapInPandas(simple, T.StructType([*kept.schema.fields, T.StructField("_simple", T.BooleanType())])).where("_simple").drop("_simple")
 
 
-def _is_simple(ring: list[tuple]) -> bool:
-    """Whether no two sides of a closed ring share a point, but for the ends of neighbours. Whole numbers, exact; a side is held against all later ones at once."""
-    at = np.array(ring)
-    p, q = at[:-1], at[1:]
-    n = len(p)
-    if len({tuple(x) for x in p.tolist()}) < n:
-        return False
-    turn = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
-    boxed = lambda a, b, c: ((np.minimum(a, b) <= c) & (c <= np.maximum(a, b))).all(axis=-1)
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        near = (j == i + 1) | ((i == 0) & (j == n - 1))
-        a, b, c, d = p[i], q[i], p[j], q[j]
-        t = [turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)]
-        cross = (t[0] * t[1] < 0) & (t[2] * t[3] < 0)
-        on = [(t[0] == 0) & boxed(a, b, c), (t[1] == 0) & boxed(a, b, d), (t[2] == 0) & boxed(c, d, a), (t[3] == 0) & boxed(c, d, b)]
-        shared = sum(x.astype(int) for x in on)
-        # neighbours share one corner, which is on both; a third hit means that one folds back on the other
-        if (np.where(near, shared > 2, cross | (shared > 0))).any():
-            return False
-    return True
-
-
 def edges(rings: DataFrame, *keys: str) -> DataFrame:
     """One row a side of each closed ring: keys, x0, y0, x1, y1."""
     n = F.size("ring") - 1
