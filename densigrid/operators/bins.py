@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.functions.statistics import t_two_sided
+from densigrid.sources.stage import staged
 
 
 def bin_counts(points: DataFrame, size: int, targets: list[str], order: str | None = None) -> DataFrame:
@@ -90,14 +91,29 @@ def markers(rows: DataFrame, group: str, targets: list[str], top: int) -> DataFr
     return ranked.drop("_k", "_q").where(F.col("rank") <= top)
 
 
+def mid_ranks(counts: DataFrame) -> DataFrame:
+    """(target, v, mid): the mid-rank of each value among its target's, of (target, v, same), how often each occurs.
+
+    Values are dealt by ranges of (target, v), so a target lies on as many tasks as it needs. Each range starts from what the ranges before it hold of the target, one
+    number a range; within a range counts run on.
+    """
+    ranged = staged(counts.repartitionByRange("target", "v").withColumn("part", F.spark_partition_id()))
+    held = ranged.groupBy("target", "part").agg(F.sum("same").alias("n"))
+    lists = held.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"))  # one entry a range
+    before = F.aggregate(F.filter("parts", lambda p: p["part"] < F.col("part")), F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    carried = held.join(lists, "target").select("target", "part", before.alias("before"))
+    own = Window.partitionBy("target", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("before") + F.sum("same").over(own)
+    return ranged.join(carried, ["target", "part"]).select("target", "v", (upto - (F.col("same") - 1) / 2).alias("mid"))
+
+
 def rank_sums(rows: DataFrame, group: str, targets: list[str]) -> DataFrame:
     """(grp, target, score): z of the rank sum of each group against the rest, mid-ranks for ties, no tie correction; rows hold one column a target.
 
-    Ranks come from counts of equal values, so a window sorts distinct values of a target, not its rows.
+    Ranks come from counts of equal values, which are sorted by ranges: no task holds a target.
     """
     own = _long(rows, group, targets).groupBy("grp", "target", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("same").over(Window.partitionBy("target").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = own.groupBy("target", "v").agg(F.sum("n").alias("same")).withColumn("mid", upto - (F.col("same") - 1) / 2)
+    ranked = mid_ranks(own.groupBy("target", "v").agg(F.sum("n").alias("same")))
     sums = own.join(ranked, ["target", "v"]).groupBy("grp", "target").agg(F.sum("n").alias("n1"), F.sum(F.col("n") * F.col("mid")).alias("ranks"))
     met = sums.join(own.groupBy("target").agg(F.sum("n").alias("total")), "target").where(F.col("n1") < F.col("total"))
     n1, n = F.col("n1").cast("double"), F.col("total").cast("double")
@@ -196,3 +212,33 @@ def quartiles(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, least, q1, median, q3, most): exact, values between two rows interpolated."""
     found = rows.groupBy(group).agg(F.count(value).alias("n"), F.percentile(value, [0.0, 0.25, 0.5, 0.75, 1.0]).alias("_q"))
     return found.select(group, "n", *(F.col("_q")[i].alias(name) for i, name in enumerate(("least", "q1", "median", "q3", "most"))))
+
+
+def som_batch(rows: DataFrame, vector: str, shape: tuple[int, int] = (2, 1), epochs: int = 10, sigma: float = 0.5) -> list[list[float]]:
+    """Codebook of a self-organising map, trained in batches on all rows: each epoch is one aggregate, of the sums and the number of the rows nearest to each unit.
+
+    Units start on the line through the means that goes a standard deviation up in every component, one deviation apart. After an epoch unit j is the mean of all rows,
+    each weighted by exp(-d^2 / (2 s^2)) for the distance d on the map between j and the row's nearest unit; s falls from ``sigma`` to a third of it. The driver holds the
+    units and their sums. Rows without a vector are left out; an empty table gives no units. Write ``rows`` before if they are costly: every epoch reads them.
+    """
+    import math
+
+    held = rows.where(F.col(vector).isNotNull())
+    first = held.select(F.size(vector).alias("n")).first()
+    if first is None:
+        return []
+    width, n = first["n"], shape[0] * shape[1]
+    at = [F.get(vector, F.lit(i)).cast("double") for i in range(width)]
+    start = held.agg(*(F.avg(x) for x in at), *(F.stddev_pop(x) for x in at)).first()
+    units = [[start[i] + (j - (n - 1) / 2) * start[width + i] for i in range(width)] for j in range(n)]
+    place = [divmod(j, shape[1]) for j in range(n)]
+    for epoch in range(epochs):
+        wide = sigma / (1 + 2 * epoch / epochs)
+        won = assigned(held.select(vector), vector, units).groupBy("unit").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(at))).collect()
+        moved = []
+        for j in range(n):
+            pull = {w["unit"]: math.exp(-((place[j][0] - place[w["unit"]][0]) ** 2 + (place[j][1] - place[w["unit"]][1]) ** 2) / (2 * wide * wide)) for w in won}
+            weight = sum(pull[w["unit"]] * w["n"] for w in won)
+            moved.append([sum(pull[w["unit"]] * w[f"s{i}"] for w in won) / weight for i in range(width)] if weight > 0 else units[j])
+        units = moved
+    return units
