@@ -25,12 +25,22 @@ def bin_counts(points: DataFrame, size: int, targets: list[str], order: str | No
 
 
 def cohort(samples: dict[str, DataFrame], name: str, targets: list[str]) -> DataFrame:
-    """Bins of several samples as one table, tagged with name and cohort; targets that a sample lacks are 0 in its bins."""
+    """Bins of several tables as one, tagged with name and cohort; targets that a sample lacks are 0 in its bins. A scan a sample: see grouped_cohort() for one table."""
     tagged = [rows.withColumns({"name": F.lit(k), "cohort": F.lit(name)}) for k, rows in samples.items()]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     return out.na.fill(0, [t for t in targets if t in out.columns])
 
 
+def grouped_cohort(bins: DataFrame, samples: dict[str, list[str]], name: str, targets: list[str], sample: str = "fov") -> DataFrame:
+    """Bins of several samples as one table, tagged with name and cohort: of each sample those targets count that it has, others are 0 in its bins.
+
+    ``bins`` holds the bins of all samples, told apart by the column ``sample`` and counted in one go; those of other samples are left out.
+    """
+    own = lambda t: F.col(sample).isin(*(k for k, held in samples.items() if t in held))
+    kept = bins.where(F.col(sample).isin(*samples))
+    return kept.withColumns({**{t: F.when(own(t), F.col(t)).otherwise(F.lit(0)) for t in targets}, "name": F.col(sample), "cohort": F.lit(name)})
+
+
 def cluster_image(clustered: DataFrame, size: int) -> DataFrame:
     """(fov, r, c, label): the pixels of bins (fov, bx, by, cluster), labelled with the cluster + 1; 0 is background and has no rows."""
     side = lambda at: F.explode(F.sequence((F.col(at) * size).cast("int"), (F.col(at) * size + size - 1).cast("int")))

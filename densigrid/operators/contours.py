@@ -122,3 +122,14 @@ def shifted(rings: DataFrame, x: float, y: float) -> DataFrame:
     """Rings moved to the origin (x, y), coordinates rounded half to even."""
     move = lambda p: F.struct(F.rint(p["x"] - F.lit(x)).cast("int").alias("x"), F.rint(p["y"] - F.lit(y)).cast("int").alias("y"))
     return rings.withColumn("ring", F.transform("ring", move))
+
+
+def _axis(name: str):
+    return lambda p: p[name]
+
+
+def to_origin(rings: DataFrame, *keys: str) -> DataFrame:
+    """Rings moved so that the least x and the least y of all rings of equal keys are 0, coordinates rounded half to even."""
+    least = rings.groupBy(*keys).agg(*(F.min(F.array_min(F.transform("ring", _axis(axis)))).alias(f"_{axis}") for axis in ("x", "y")))
+    move = lambda p: F.struct(F.rint(p["x"] - F.col("_x")).cast("int").alias("x"), F.rint(p["y"] - F.col("_y")).cast("int").alias("y"))
+    return rings.join(least, list(keys)).withColumn("ring", F.transform("ring", move)).drop("_x", "_y")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.operators import distance
 from densigrid.operators.contours import fill, seed_centroids
 from densigrid.operators.masks import label
 from densigrid.operators.raster import PX, grid
@@ -12,6 +13,7 @@ from densigrid.operators.regions import class_regions, finite_regions
 from densigrid.operators.runs import label_runs, pixels, runs
 from densigrid.sources.stage import staged
 
+LONG = 16  # beyond this reach distances come from the transform, whose cost doesn't grow with it
 LEAST_SEEDS = 4  # with fewer seeds a fov has no class regions, and nothing limits growth
 
 
@@ -33,9 +35,14 @@ def nearest_within(sources: DataFrame, ext: DataFrame, reach: int, *keys: str) -
     return best.where(F.col("s.d2") > 0).select(*keys, *PX, "s.*")
 
 
-def expanded(mask: DataFrame, ext: DataFrame, distance: int) -> DataFrame:
-    """Pixels outside the mask and no farther from it than the distance."""
-    return nearest_within(mask.select(*PX), ext, distance).select(*PX)
+def nearest(sources: DataFrame, ext: DataFrame, reach: int, *keys: str) -> DataFrame:
+    """(keys, fov, r, c, d2, sr, sc, label), as of nearest_within() and of distance.transform(), which agree: the former for a short reach, the latter for a long one."""
+    return (nearest_within if reach <= LONG else distance.transform)(sources, ext, reach, *keys)
+
+
+def expanded(mask: DataFrame, ext: DataFrame, reach: int) -> DataFrame:
+    """Pixels outside the mask and no farther from it than the reach."""
+    return nearest(mask.select(*PX), ext, reach).select(*PX)
 
 
 def _banded(distances: list[int]):
@@ -52,7 +59,7 @@ def rings(seed: DataFrame, ext: DataFrame, distances: list[int], constraint: Dat
     Pixels of rings' components under ``least`` pixels are dropped and come back in no later ring.
     """
     steps = sorted(set(distances))
-    out = nearest_within(seed, ext, steps[-1]).select(*PX, _banded(steps).alias("ring"))
+    out = nearest(seed, ext, steps[-1]).select(*PX, _banded(steps).alias("ring"))
     if constraint is not None:
         out = out.join(constraint.select(*PX), PX, "left_semi")
     if least is None:
@@ -80,7 +87,7 @@ def propagate(seed: DataFrame, ext: DataFrame, distances: list[int]) -> DataFram
     steps, known, out = sorted(set(distances)), seed.select(*PX, "label"), None
     for i, d in enumerate(steps):
         reach = d - (steps[i - 1] if i else 0) + 1
-        got = nearest_within(known, ext, reach).join(ringed.where(F.col("ring") == d), PX).select(*PX, "ring", "label")
+        got = nearest(known, ext, reach).join(ringed.where(F.col("ring") == d), PX).select(*PX, "ring", "label")
         got = staged(got) if len(steps) > 2 else got
         known = known.union(got.select(*PX, "label"))
         out = got if out is None else out.union(got)
@@ -106,7 +113,7 @@ def class_limited_rings(objects: DataFrame, ext: DataFrame, seeds: DataFrame, di
     objects there. Fovs with fewer than ``LEAST_SEEDS`` seeds have no limits.
     """
     own = objects.select("fov", "class", "parent", "r", "c")
-    near = nearest_within(own.select(*own.columns), ext, max(distances), "class", "parent").select("fov", "class", "parent", "r", "c", _banded(distances).alias("ring"))
+    near = nearest(own.select(*own.columns), ext, max(distances), "class", "parent").select("fov", "class", "parent", "r", "c", _banded(distances).alias("ring"))
     many = seeds.groupBy("fov").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SEEDS).select("fov")
     used = seeds.join(many, "fov", "left_semi")
     if limits == "nearest":

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densigrid.functions.columns import relabelled
-from densigrid.operators import bins, contours, expand, features, inpaint, masks, neighbors, raster, regions, shapes
+from densigrid.operators import bins, contours, expand, features, inpaint, masks, nearest, neighbors, raster, regions, shapes
 from densigrid.operators.raster import PX
 from densigrid.sources import points as source
 from densigrid.sources import segmentation, sinks
+from densigrid.sources.stage import staged
 
 TYPES = ["click", "view", "purchase", "signup", "error"]
 MARKED = ["click", "view"]
 UNITS = [[0.1] * 64, [-0.1] * 64, [0.1, -0.1] * 32]
 BIN_UNITS = [[1.0, 0.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.5, 0.0, 0.0], [0.3, 0.3, 0.3, 0.3, 0.3]]
 LEAST_AREA = 20
-CLASSES = [(0, "A", 20.0, 60.0), (1, "B", 90.0, 200.0), (2, "A", 40.0, 330.0), (3, "B", 120.0, 450.0)]
 
 
 class Scene:
@@ -43,12 +45,6 @@ class Scene:
         lab = (F.floor(F.col("r") / 50) * 1000 + F.floor(F.col("c") / 50) + 1).cast("int")
         return self.pres.select(*PX).distinct().withColumn("label", lab)
 
-    def boxes(self) -> DataFrame:
-        """(fov, label, ring): outlines of the boxes around the tiles' pixels."""
-        at = self.tiles().groupBy("fov", "label").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-        return at.select("fov", "label", F.array(point("c0", "r0"), point("c1", "r0"), point("c1", "r1"), point("c0", "r1"), point("c0", "r0")).alias("ring"))
-
     def binned(self) -> DataFrame:
         return bins.bin_counts(self.pts, 10, TYPES)
 
@@ -83,14 +79,24 @@ class Scene:
         """(fov, label, r, c): pixels of the contours, labelled with their first pixel."""
         return contours.fill(self.outlines().select("fov", _first().alias("label"), "ring"), "fov", "label")
 
+    def patches(self) -> DataFrame:
+        """(fov, label, ring): contours of wider regions, holes filled before, labelled with their first pixel."""
+        wide = raster.box_sum(self.chan, self.ext, 10).where(F.col("v") > 2).select(*PX)
+        return contours.region_contours(masks.fill_holes(wide, self.ext), self.chan, LEAST_AREA).select("fov", _first().alias("label"), "ring")
+
+    def classed(self) -> DataFrame:
+        """The patches as contours of two classes."""
+        return self.patches().select("fov", F.when(F.col("label") % 2 == 0, "A").otherwise("B").alias("class"), F.col("label").alias("contour"), "ring")
+
+    def seeds(self) -> DataFrame:
+        """Seeds at the patches' centroids."""
+        found = expand.seeds_of(self.classed(), ["A", "B"])
+        return found.withColumns({c: F.round(c, 6) for c in ("cx", "cy")})
+
     def definitions(self) -> list:
         make = features.MaskDefinition
         return [make(self.dense(), "dense", "bulk"), make(self.of("click"), "click", "per_object"), make(self.dense(), "dense", "grid", 50)]
 
-    def seeds(self) -> DataFrame:
-        rows = [(f"F{i}", *c) for i in range(4) for c in CLASSES]
-        return self.spark.createDataFrame(rows, "fov string, idx int, class string, cx double, cy double")
-
 
 PTS = """pts AS (SELECT 'F' || CAST(CAST(floor((day(ts) - 1) / 10) AS INTEGER) AS VARCHAR) AS fov, CAST(floor(value) AS INTEGER) AS r, CAST(user_id AS INTEGER) AS c, event_type AS target, event_id FROM events),
 ext AS (SELECT fov, max(r) + 1 AS h, max(c) + 1 AS w FROM pts GROUP BY fov),
@@ -174,7 +180,12 @@ named AS (SELECT fov, lab, row_number() OVER (PARTITION BY fov ORDER BY min(id))
 clustered AS (SELECT p.fov, p.id, p.r, p.c, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM allpts p LEFT JOIN (member JOIN named USING (fov, lab)) m ON m.fov = p.fov AND m.id = p.id)"""
 PAIRS = """pairs AS (SELECT p.fov, p.id, p.r, p.c, q.id AS id2, q.r AS r2, q.c AS c2 FROM allpts p JOIN allpts q ON p.fov = q.fov AND (p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c) <= 25),
 cnt AS (SELECT fov, id, r, c, count(*) AS n FROM pairs GROUP BY ALL)"""
-SEEDS = "seeds AS (SELECT 'F' || i AS fov, idx, class, cx, cy FROM (SELECT unnest(range(4))::INTEGER AS i), (VALUES " + ", ".join(f"({i}, '{k}', {x}, {y})" for i, k, x, y in CLASSES) + ") t(idx, class, cx, cy))"
+# The patches, their centroids by the squares of four centres, and seeds there
+WIDE = CONV.replace("v > 4", "v > 2")
+CENTROIDS = """blk AS (SELECT fov, lab, r - dy AS r0, c - dx AS c0, count(*) AS n, sum(r) AS sr, sum(c) AS sc FROM (SELECT DISTINCT fov, lab, r, c FROM regions), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx) GROUP BY ALL),
+cent AS (SELECT fov, lab, sum(w * sc / n) / sum(w) AS cx, sum(w * sr / n) / sum(w) AS cy FROM (SELECT *, CASE WHEN n = 4 THEN 1.0 WHEN n = 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS w FROM blk) GROUP BY fov, lab)"""
+SEEDS = CENTROIDS + """,
+seeds AS (SELECT fov, CAST(row_number() OVER (PARTITION BY fov ORDER BY class, lab) - 1 AS INTEGER) AS idx, class, round(cx, 6) AS cx, round(cy, 6) AS cy FROM (SELECT *, CASE WHEN lab % 2 = 0 THEN 'A' ELSE 'B' END AS class FROM cent))"""
 COUNTS = ", ".join(f"CAST(count(CASE WHEN target = '{t}' THEN 1 END) AS BIGINT) AS {t}" for t in TYPES)
 OBJECT = """count(*) AS area, round(avg(r), 6) AS centroid_y, round(avg(c), 6) AS centroid_x, min(r) AS min_row, min(c) AS min_col, max(r) + 1 AS max_row, max(c) + 1 AS max_col"""
 
@@ -203,9 +214,6 @@ def _sql(tail: str, *parts: str, recursive: bool = False) -> str:
 
 BIN_SQL = "b10 AS (SELECT fov, CAST(floor(r / 10) AS BIGINT) AS bx, CAST(floor(c / 10) AS BIGINT) AS by_, " + COUNTS + ", round(avg(r), 6) AS x_mean, round(avg(c), 6) AS y_mean FROM pts GROUP BY 1, 2, 3), bt AS (SELECT *, click + view + purchase + signup + error AS total FROM b10)"
 
-BOX = "box AS (SELECT fov, label, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM tiles GROUP BY fov, label)"
-
-
 UNIT_SQL = """norm AS (SELECT fov, bx, by_, """ + ", ".join(f"ln(1 + {t} * (SELECT median(total) FROM bt WHERE total >= 2) / total) AS {t}" for t in TYPES) + """ FROM bt WHERE total >= 2),
 units AS (SELECT fov, bx, by_, click, view, purchase, signup, error, list_min(list_transform(""" + str(list(range(len(BIN_UNITS)))) + """, lambda i: {'d2': list_sum(list_transform(list_zip([click, view, purchase, signup, error], (""" + str(BIN_UNITS) + """)[i + 1]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'i': i}))['i'] AS cluster FROM norm)"""
 
@@ -220,6 +228,45 @@ def _measured_sql(source: str, extra: str, keys: str) -> str:
     return f"SELECT {extra} FROM (SELECT {keys}, count(*) AS area, round(avg(r), 6) AS my, round(avg(c), 6) AS mx FROM {source} GROUP BY ALL) JOIN (SELECT {keys}, {COUNTS} FROM {source} LEFT JOIN pres USING (fov, r, c) GROUP BY ALL) USING ({keys})"
 
 
+EPOCHS, PULL = 3, 0.5
+
+
+def _normal(s: Scene) -> DataFrame:
+    return staged(bins.normalised(s.binned(), TYPES, 2).withColumn("e", F.array(*TYPES)))
+
+
+def _units(s: Scene) -> DataFrame:
+    """The units of a map that is trained on all bins."""
+    found = bins.som_batch(_normal(s), "e", (2, 1), EPOCHS, PULL)
+    return s.spark.createDataFrame([(i, *(round(x, 6) for x in u)) for i, u in enumerate(found)], "unit int, " + ", ".join(f"{t} double" for t in TYPES))
+
+
+def _mapped(s: Scene) -> DataFrame:
+    """All bins with their unit of that map."""
+    rows = _normal(s)
+    return bins.assigned(rows, "e", bins.som_batch(rows, "e", (2, 1), EPOCHS, PULL)).withColumnRenamed("unit", "cluster")
+
+
+def _map_sql() -> str:
+    """CTEs that train the map: u0, u1, ... (unit, a column a target), one pair of relations an epoch; units, the bins with their unit at the end."""
+    far = " + ".join(f"(n.{t} - u.{t}) * (n.{t} - u.{t})" for t in TYPES)
+    parts = [UNIT_SQL.split(",\nunits AS")[0], "u0 AS (SELECT unit, " + ", ".join(f"avg({t}) + (unit - 0.5) * stddev_pop({t}) AS {t}" for t in TYPES) + " FROM norm, (VALUES (0), (1)) v(unit) GROUP BY unit)"]
+    for e in range(EPOCHS):
+        wide = PULL / (1 + 2 * e / EPOCHS)
+        pull = f"(CASE WHEN v.unit = s.unit THEN 1.0 ELSE {math.exp(-1 / (2 * wide * wide))!r} END)::DOUBLE"
+        parts.append(f"s{e} AS (SELECT unit, count(*) AS n, {', '.join(f'sum({t}) AS {t}' for t in TYPES)} FROM (SELECT any_value(n) AS x, arg_min(u.unit, ({far}, u.unit)) AS unit, {', '.join(f'n.{t}' for t in TYPES)} FROM norm n, u{e} u GROUP BY n.fov, n.bx, n.by_, {', '.join(f'n.{t}' for t in TYPES)}) GROUP BY unit)")
+        parts.append(f"u{e + 1} AS (SELECT v.unit, {', '.join(f'sum({pull} * s.{t}) / sum({pull} * s.n) AS {t}' for t in TYPES)} FROM (VALUES (0), (1)) v(unit), s{e} s GROUP BY v.unit)")
+    parts.append(f"units AS (SELECT n.fov, n.bx, n.by_, {', '.join(f'n.{t}' for t in TYPES)}, CAST(arg_min(u.unit, ({far}, u.unit)) AS INTEGER) AS cluster FROM norm n, u{EPOCHS} u GROUP BY n.fov, n.bx, n.by_, {', '.join(f'n.{t}' for t in TYPES)})")
+    return ",\n".join(parts)
+
+
+MAP_SQL = _map_sql()
+LONG_SQL = "lng AS (UNPIVOT (SELECT cluster, click, view, purchase, signup, error FROM units) ON click, view, purchase, signup, error INTO NAME target VALUE v)"
+MARKER_TAIL = """SELECT grp, target, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, target) AS rk FROM (
+  SELECT grp, target, (s / n - (ts - s) / (tn - n)) / sqrt((q - s * s / n) / (n - 1) / n + ((tq - q) - (ts - s) * (ts - s) / (tn - n)) / (tn - n - 1) / (tn - n)) AS score
+  FROM (SELECT cluster AS grp, target, count(*)::DOUBLE AS n, sum(v) AS s, sum(v * v) AS q FROM lng GROUP BY cluster, target) JOIN (SELECT target, count(*)::DOUBLE AS tn, sum(v) AS ts, sum(v * v) AS tq FROM lng GROUP BY target) USING (target)) WHERE score IS NOT NULL) WHERE rk <= 2"""
+
+
 def _som(rows: DataFrame) -> DataFrame:
     return bins.assigned(rows, "e", bins.som_units(rows, "vec_id", "e", (2, 2))).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
 
@@ -284,6 +331,8 @@ CATALOG = {
         _sql("SELECT CASE target WHEN 'click' THEN 'touch' WHEN 'view' THEN 'look' ELSE target END AS target, count(*) AS n FROM pts WHERE target IN ('click', 'view', 'error') GROUP BY 1")),
     "gene_reraster": (lambda s: raster.reraster(s.pts, ["view", "error", "none"], "event_id"), _sql("SELECT DISTINCT fov, r, c, target, CAST(channel AS INTEGER) AS channel FROM pts JOIN (SELECT target, row_number() OVER (ORDER BY min(event_id), target) - 1 AS channel FROM pts WHERE target IN ('view', 'error') GROUP BY target) USING (target)")),
     "ring_expansion": (lambda s: expand.rings(s.purchases(), s.ext, [6, 2, 4, 2]), _sql(f"SELECT fov, r, c, {RING} AS ring FROM free", NEAR.format(d=6))),
+    "ring_far": (lambda s: expand.rings(s.purchases(), s.ext, [12, 40]).groupBy("fov", "ring").agg(F.count(F.lit(1)).alias("area"), F.sum("r").alias("sr"), F.sum("c").alias("sc")),
+        _sql("SELECT fov, CASE WHEN d2 <= 144 THEN 12 ELSE 40 END AS ring, count(*) AS area, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(c) AS BIGINT) AS sc FROM free GROUP BY ALL", NEAR.format(d=40))),
     "ring_constrained": (lambda s: expand.rings(s.purchases(), s.ext, [2, 4, 6], s.dense()), _sql(f"SELECT fov, r, c, {RING} AS ring FROM free SEMI JOIN dense USING (fov, r, c)", CONV, NEAR.format(d=6))),
     "ring_area_filtered": (lambda s: expand.rings(s.purchases(), s.ext, [2, 4], None, 30).groupBy("fov", "ring").agg(F.count(F.lit(1)).alias("area")),
         _sql("SELECT fov, ring, CAST(sum(n) AS BIGINT) AS area FROM (SELECT fov, value AS ring, label, count(*) AS n FROM kept GROUP BY ALL HAVING count(*) >= 30) GROUP BY fov, ring", NEAR.format(d=4), "banded AS (SELECT fov, r, c, CASE WHEN d2 <= 4 THEN 2 ELSE 4 END AS ring FROM free)", _components("kept", "banded", value="ring"))),
@@ -307,7 +356,11 @@ CATALOG = {
         _sql("SELECT d.fov, cluster, count(*) AS area FROM disc d JOIN ext USING (fov), (SELECT unnest(range(-2000, 2001))::INTEGER AS dy) WHERE abs(dy) <= k AND y + dy BETWEEN 0 AND h - 1 GROUP BY ALL".replace("count(*)", "CAST(sum(least(x + CAST(floor(sqrt(k * k - dy * dy)) AS INTEGER), w - 1) - greatest(x - CAST(floor(sqrt(k * k - dy * dy)) AS INTEGER), 0) + 1) AS BIGINT)"), CLUSTERS.format(d2=9, least=3),
              "mid AS (SELECT fov, cluster, avg(r) AS cy, avg(c) AS cx FROM clustered WHERE cluster >= 0 GROUP BY ALL)",
              "disc AS (SELECT fov, cluster, CAST(trunc(cy) AS INTEGER) AS y, CAST(trunc(cx) AS INTEGER) AS x, CAST(trunc(greatest(max(sqrt((r - cy) * (r - cy) + (c - cx) * (c - cx))), 1.0)) AS INTEGER) AS k FROM clustered JOIN mid USING (fov, cluster) GROUP BY fov, cluster, cy, cx)")),
-    "circle_contours": (lambda s: neighbors.cluster_contours(s.clusters(), s.ext, "simple_circle", 3).select("fov", "cluster", contours.ring_area(F.col("ring")).alias("area")), None),
+    "circle_contours": (lambda s: neighbors.cluster_contours(s.clusters(), s.ext, "simple_circle", 3).select("fov", "cluster", contours.ring_area(F.col("ring")).alias("area")),
+        _sql("SELECT fov, lab AS cluster, CAST(area AS DOUBLE) AS area FROM ring_area", CLUSTERS.format(d2=9, least=3), "mid AS (SELECT fov, cluster, avg(r) AS cy, avg(c) AS cx FROM clustered WHERE cluster >= 0 GROUP BY ALL)",
+             "disc AS (SELECT fov, cluster, CAST(trunc(cy) AS INTEGER) AS y, CAST(trunc(cx) AS INTEGER) AS x, CAST(trunc(greatest(max(sqrt((r - cy) * (r - cy) + (c - cx) * (c - cx))), 1.0)) AS INTEGER) AS k FROM clustered JOIN mid USING (fov, cluster) GROUP BY fov, cluster, cy, cx)",
+             "rowed AS (SELECT d.fov, cluster AS lab, y + dy AS r, greatest(x - CAST(floor(sqrt(k * k - dy * dy)) AS INTEGER), 0) AS c0, least(x + CAST(floor(sqrt(k * k - dy * dy)) AS INTEGER), w - 1) AS c1 FROM (SELECT *, unnest(range(-k, k + 1))::INTEGER AS dy FROM disc) d JOIN ext USING (fov) WHERE y + dy BETWEEN 0 AND h - 1)",
+             "round AS (SELECT fov, lab, r, unnest(range(c0, c1 + 1))::INTEGER AS c FROM rowed)", _block_areas("ring_area", "round", 3))),
     "concave_hull": (lambda s: neighbors.cluster_contours(s.clusters(), s.ext, "concave_hull", 3, 0.25).select("fov", "cluster", contours.ring_area(F.col("ring")).alias("area")), None),
     "convex_hull": (lambda s: neighbors.cluster_contours(s.clusters(), s.ext, "complex_hull", 3).select("fov", "cluster", F.explode(F.slice("ring", 2, 100000)).alias("p")).select("fov", "cluster", "p.x", "p.y"),
         _sql("SELECT fov, cluster, x, y FROM (SELECT fov, cluster, x, y, angle, lead(angle) OVER w AS next, first_value(angle) OVER w AS least, count(*) OVER (PARTITION BY fov, cluster, x, y) AS n FROM turn WINDOW w AS (PARTITION BY fov, cluster, x, y ORDER BY angle)) GROUP BY fov, cluster, x, y HAVING max(coalesce(next, least + 2 * pi()) - angle) > pi() + 1e-9 AND (fov, cluster) IN (SELECT (fov, cluster) FROM flat)",
@@ -330,10 +383,16 @@ CATALOG = {
         _sql("SELECT fov, bx, by_, " + ", ".join(f"round(greatest(least(({t} - (SELECT avg({t}) FROM bt)) / (SELECT stddev_samp({t}) FROM bt), 3.0), -3.0), 6) AS {t}" for t in TYPES) + " FROM bt", BIN_SQL)),
     "bin_coordinates": (lambda s: _rounded(bins.bin_counts(s.pts, 10, TYPES, "event_id"), "x_centroid", "y_centroid").select("fov", "bx", F.col("by").alias("by_"), "x_centroid", "y_centroid", "x_coord", "y_coord"),
         _sql("SELECT fov, CAST(floor(r / 10) AS BIGINT) AS bx, CAST(floor(c / 10) AS BIGINT) AS by_, round(avg(r) * 10, 6) AS x_centroid, round(avg(c) * 10, 6) AS y_centroid, arg_min(r, event_id) * 10 AS x_coord, arg_min(c, event_id) * 10 AS y_coord FROM pts GROUP BY 1, 2, 3")),
-    "bin_cohort": (lambda s: bins.cohort({f: bins.bin_counts(s.pts.where(F.col("fov") == f), 10, t) for f, t in (("F0", TYPES), ("F1", MARKED))}, "all", TYPES).groupBy("name", "cohort").agg(*(F.sum(t).alias(t) for t in TYPES)),
+    "bin_cohort": (lambda s: bins.grouped_cohort(s.binned(), {"F0": TYPES, "F1": MARKED}, "all", TYPES).groupBy("name", "cohort").agg(*(F.sum(t).alias(t) for t in TYPES)),
         _sql("SELECT fov AS name, 'all' AS cohort, " + ", ".join(f"CAST(count(CASE WHEN target = '{t}'" + ("" if t in MARKED else " AND fov = 'F0'") + f" THEN 1 END) AS BIGINT) AS {t}" for t in TYPES) + " FROM pts WHERE fov IN ('F0', 'F1') GROUP BY fov")),
     "area_quartiles": (lambda s: bins.quartiles(features.objects(s.tiles()), "fov", "area"), _sql("SELECT fov, count(*) AS n, " + ", ".join(f"quantile_cont(area::DOUBLE, {q}) AS {k}" for k, q in (("least", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("most", 1))) + " FROM (SELECT fov, label, count(*) AS area FROM tiles GROUP BY ALL) GROUP BY fov")),
-    "knn_graph": (lambda s: bins.nearest_bins(s.vectors(), "vec_id", "e", 5, 1.3, 1.0), None),
+    "knn_graph": (lambda s: _rounded(nearest.nearest_neighbors(s.vectors(), "vec_id", "e", 5, 1.3), "distance"),
+        "WITH p AS (SELECT a.vec_id, b.vec_id AS neighbor, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT vec_id, neighbor, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor) AS INTEGER) AS rank FROM p WHERE distance <= 1.3 QUALIFY rank <= 5"),
+    "map_sizes": (lambda s: _mapped(s).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), _sql("SELECT cluster, count(*) AS n FROM units GROUP BY cluster", BIN_SQL, MAP_SQL)),
+    "map_units": (lambda s: _units(s), _sql(f"SELECT unit, {', '.join(f'round({t}, 6) AS {t}' for t in TYPES)} FROM u{EPOCHS}", BIN_SQL, MAP_SQL)),
+    "map_markers": (lambda s: bins.markers(_mapped(s), "cluster", TYPES, 2).select("grp", "target", F.round("score", 4).alias("score")), _sql(MARKER_TAIL, BIN_SQL, MAP_SQL, LONG_SQL)),
+    "map_image": (lambda s: bins.cluster_image(_mapped(s), 10).groupBy("fov", "label").agg(F.count(F.lit(1)).alias("area"), F.sum("c").alias("sc")),
+        _sql("SELECT fov, CAST(cluster + 1 AS INTEGER) AS label, CAST(count(*) * 100 AS BIGINT) AS area, CAST(sum(10 * (10 * (10 * by_) + 45)) AS BIGINT) AS sc FROM units GROUP BY fov, cluster", BIN_SQL, MAP_SQL)),
     "pca_elbow": (lambda s: s.spark.createDataFrame([(bins.elbow(bins.principal_axes(s.vectors(), "e", 20)[1]),)], "axes int"), None),
     "marker_ttest": (lambda s: bins.markers(bins.bin_counts(s.pts, 10, TYPES), "fov", TYPES, 3).select("grp", "target", F.round("score", 4).alias("score")),
         _sql("SELECT grp, target, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, target) AS rk FROM (SELECT grp, target, (s / n - (ts - s) / (tn - n)) / sqrt((q - s * s / n) / (n - 1) / n + ((tq - q) - (ts - s) * (ts - s) / (tn - n)) / (tn - n - 1) / (tn - n)) AS score FROM (SELECT fov AS grp, target, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS s, sum(v * v)::DOUBLE AS q FROM lng GROUP BY fov, target) JOIN (SELECT target, count(*)::DOUBLE AS tn, sum(v)::DOUBLE AS ts, sum(v * v)::DOUBLE AS tq FROM lng GROUP BY target) USING (target))) WHERE rk <= 3",
@@ -341,26 +400,27 @@ CATALOG = {
     "cluster_image": (lambda s: bins.cluster_image(s.units(), 10).groupBy("fov", "label").agg(F.count(F.lit(1)).alias("area"), F.sum("c").alias("sc")),
         _sql("SELECT fov, CAST(cluster + 1 AS INTEGER) AS label, CAST(count(*) * 100 AS BIGINT) AS area, CAST(sum(10 * (10 * (10 * by_) + 45)) AS BIGINT) AS sc FROM units GROUP BY fov, cluster", BIN_SQL, UNIT_SQL)),
     "class_regions": (lambda s: regions.class_regions(s.pres.select(*PX).distinct(), s.seeds(), s.ext),
-        _sql("SELECT o.fov, o.r, o.c, arg_min(class, ((o.c - cx) * (o.c - cx) + (o.r - cy) * (o.r - cy), idx)) AS class FROM occ o JOIN seeds USING (fov) GROUP BY o.fov, o.r, o.c", SEEDS)),
+        _sql("SELECT o.fov, o.r, o.c, arg_min(class, ((o.c - cx) * (o.c - cx) + (o.r - cy) * (o.r - cy), idx)) AS class FROM occ o JOIN seeds USING (fov) GROUP BY o.fov, o.r, o.c", WIDE, REGIONS, SEEDS, recursive=True)),
+    "class_cells": (lambda s: regions.clamped_regions(s.seeds(), s.ext).groupBy("fov", "class").agg(F.count(F.lit(1)).alias("area"), F.sum("r").alias("sr"), F.sum("c").alias("sc")), None),
     "class_limited_rings": (lambda s: expand.class_limited_rings(s.objects(), s.ext, s.seeds(), [3, 5, 2]),
-        _sql("SELECT fov, class, ring, r, c, max(parent) AS label, any_value(referenced) AS referenced FROM (SELECT *, coalesce(max(CASE WHEN ring > 0 THEN parent END) OVER w, max(parent) OVER w) AS referenced FROM grown WINDOW w AS (PARTITION BY fov, r, c)) GROUP BY fov, class, ring, r, c", SEEDS,
+        _sql("SELECT fov, class, ring, r, c, max(parent) AS label, any_value(referenced) AS referenced FROM (SELECT *, coalesce(max(CASE WHEN ring > 0 THEN parent END) OVER w, max(parent) OVER w) AS referenced FROM grown WINDOW w AS (PARTITION BY fov, r, c)) GROUP BY fov, class, ring, r, c", WIDE, REGIONS, SEEDS,
              "own AS (SELECT fov, r, c, label AS parent, CASE WHEN label % 2 = 0 THEN 'A' ELSE 'B' END AS class FROM seed)",
+             "many AS (SELECT fov FROM seeds GROUP BY fov HAVING count(*) >= 4)",
              "o5 AS (SELECT y, x FROM (SELECT unnest(range(-5, 6))::INTEGER AS y), (SELECT unnest(range(-5, 6))::INTEGER AS x) WHERE y * y + x * x <= 25)",
              "reach AS (SELECT o.fov, o.class, o.parent, o.r + y AS r, o.c + x AS c, min(y * y + x * x) AS d2 FROM own o JOIN ext USING (fov), o5 WHERE o.r + y BETWEEN 0 AND h - 1 AND o.c + x BETWEEN 0 AND w - 1 GROUP BY ALL HAVING min(y * y + x * x) > 0)",
-             "region AS (SELECT n.fov, n.r, n.c, arg_min(s.class, ((n.c - cx) * (n.c - cx) + (n.r - cy) * (n.r - cy), idx)) AS class FROM (SELECT DISTINCT fov, r, c FROM reach) n JOIN seeds s USING (fov) GROUP BY n.fov, n.r, n.c)",
-             "grown AS (SELECT fov, class, parent, r, c, CASE WHEN d2 <= 9 THEN 3 ELSE 5 END AS ring FROM reach SEMI JOIN region USING (fov, r, c, class) UNION ALL SELECT fov, class, parent, r, c, 0 FROM own)")),
-    "class_seeds": (lambda s: expand.seeds_of(s.boxes().select("fov", F.when(F.col("label") % 2 == 0, "A").otherwise("B").alias("class"), F.col("label").alias("contour"), "ring"), ["A", "B"]),
-        _sql("SELECT fov, CAST(row_number() OVER (PARTITION BY fov ORDER BY class, label) - 1 AS INTEGER) AS idx, class, (c0 + c1) / 2.0 AS cx, (r0 + r1) / 2.0 AS cy FROM (SELECT *, CASE WHEN label % 2 = 0 THEN 'A' ELSE 'B' END AS class FROM box WHERE c1 > c0 AND r1 > r0)", BOX)),
-    "contour_area": (lambda s: s.boxes().select("fov", "label", contours.ring_area(F.col("ring")).alias("area")), _sql("SELECT fov, label, CAST((r1 - r0) * (c1 - c0) AS DOUBLE) AS area FROM box", BOX)),
-    "contour_area_filter": (lambda s: contours.area_at_least(s.boxes(), 2000).select("fov", "label"), _sql("SELECT fov, label FROM box WHERE (r1 - r0) * (c1 - c0) >= 2000", BOX)),
-    "contour_fill": (lambda s: contours.fill(s.boxes(), "fov", "label").groupBy("fov", "label").agg(F.count(F.lit(1)).alias("area"), F.sum("r").alias("sr")),
-        _sql("SELECT fov, label, CAST((r1 - r0 + 1) * (c1 - c0 + 1) AS BIGINT) AS area, CAST((c1 - c0 + 1) * (r0 + r1) * (r1 - r0 + 1) // 2 AS BIGINT) AS sr FROM box", BOX)),
-    "seed_centroids": (lambda s: contours.seed_centroids(s.boxes(), "fov", "label").select("fov", "label", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy")),
-        _sql("SELECT fov, label, (c0 + c1) / 2.0 AS cx, (r0 + r1) / 2.0 AS cy FROM box WHERE c1 > c0 AND r1 > r0", BOX)),
-    "polygon_shift": (lambda s: contours.shifted(s.boxes(), 1.5, 2.5).select("fov", "label", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y")),
-        _sql("SELECT fov, label, CAST(round_even(c0 - 1.5, 0) AS INTEGER) AS x, CAST(round_even(r0 - 2.5, 0) AS INTEGER) AS y FROM box", BOX)),
-    "polygon_overlap": (lambda s: features.overlap(segmentation.cell_pixels(s.boxes().withColumnRenamed("label", "cell")), s.of("click").withColumn("mask", F.lit("a"))).select("fov", "cell", "mask", "n"),
-        _sql("SELECT b.fov, label AS cell, 'a' AS mask, count(a.r) AS n FROM box b LEFT JOIN a ON a.fov = b.fov AND a.r BETWEEN r0 AND r1 AND a.c BETWEEN c0 AND c1 GROUP BY b.fov, label", BOX)),
+             "region AS (SELECT n.fov, n.r, n.c, arg_min(s.class, ((n.c - cx) * (n.c - cx) + (n.r - cy) * (n.r - cy), idx)) AS class FROM (SELECT DISTINCT fov, r, c FROM reach SEMI JOIN many USING (fov)) n JOIN seeds s USING (fov) GROUP BY n.fov, n.r, n.c)",
+             "grown AS (SELECT r.fov, r.class, r.parent, r.r, r.c, CASE WHEN d2 <= 9 THEN 3 ELSE 5 END AS ring FROM reach r LEFT JOIN region g ON g.fov = r.fov AND g.r = r.r AND g.c = r.c WHERE g.class IS NULL OR g.class = r.class UNION ALL SELECT fov, class, parent, r, c, 0 FROM own)", recursive=True)),
+    "class_seeds": (lambda s: _rounded(expand.seeds_of(s.classed(), ["A", "B"]), "cx", "cy"), _sql("SELECT * FROM seeds", WIDE, REGIONS, SEEDS, recursive=True)),
+    "contour_area": (lambda s: s.patches().select("fov", "label", contours.ring_area(F.col("ring")).alias("area")), _sql("SELECT DISTINCT fov, lab AS label, CAST(area AS DOUBLE) AS area FROM regions", WIDE, REGIONS, recursive=True)),
+    "contour_area_filter": (lambda s: contours.area_at_least(s.patches(), 500).select("fov", "label"), _sql("SELECT DISTINCT fov, lab AS label FROM regions WHERE area >= 500", WIDE, REGIONS, recursive=True)),
+    "contour_fill": (lambda s: contours.fill(s.patches(), "fov", "label").groupBy("fov", "label").agg(F.count(F.lit(1)).alias("area"), F.sum("r").alias("sr"), F.sum("c").alias("sc")),
+        _sql("SELECT fov, lab AS label, count(*) AS area, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(c) AS BIGINT) AS sc FROM (SELECT DISTINCT fov, lab, r, c FROM regions) GROUP BY fov, lab", WIDE, REGIONS, recursive=True)),
+    "seed_centroids": (lambda s: _rounded(contours.seed_centroids(s.patches(), "fov", "label"), "cx", "cy"),
+        _sql("SELECT fov, lab AS label, round(cx, 6) AS cx, round(cy, 6) AS cy FROM cent", WIDE, REGIONS, CENTROIDS, recursive=True)),
+    "polygon_shift": (lambda s: contours.to_origin(s.patches(), "fov").select("fov", "label", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y")),
+        _sql("SELECT DISTINCT fov, lab AS label, CAST(lab % 100000 - x0 AS INTEGER) AS x, CAST(lab // 100000 - y0 AS INTEGER) AS y FROM regions JOIN (SELECT fov, min(c) AS x0, min(r) AS y0 FROM regions GROUP BY fov) USING (fov)", WIDE, REGIONS, recursive=True)),
+    "polygon_overlap": (lambda s: features.overlap(segmentation.cell_pixels(s.patches().withColumnRenamed("label", "cell")), s.of("click").withColumn("mask", F.lit("a"))).select("fov", "cell", "mask", "n"),
+        _sql("SELECT b.fov, lab AS cell, 'a' AS mask, count(a.r) AS n FROM (SELECT DISTINCT fov, lab, r, c FROM regions) b LEFT JOIN a USING (fov, r, c) GROUP BY b.fov, lab", WIDE, REGIONS, recursive=True)),
     "trace_contours": (lambda s: contours.trace(s.dense()).where(contours.ring_area(F.col("ring")) > 0).select("fov", _first(), "hole", contours.ring_area(F.col("ring")).alias("area")),
         _sql("SELECT fov, first, hole, CAST(area AS DOUBLE) AS area FROM rings WHERE area > 0", CONV, _contours("dense", "(SELECT fov, r, c, 1 AS v FROM grid)"), recursive=True)),
     "contours_from_sum": (lambda s: contours.contours_from_sum(s.chan, s.ext, 10, 4, LEAST_AREA).select("fov", _first(), "hole", contours.ring_area(F.col("ring")).alias("area")),
