@@ -428,7 +428,7 @@ CATALOG = {
     "contours_filled": (lambda s: s.outlines().select("fov", _first(), contours.ring_area(F.col("ring")).alias("area")), _sql("SELECT DISTINCT fov, lab AS first, CAST(area AS DOUBLE) AS area FROM regions", CONV, REGIONS, recursive=True)),
     "contours_from_neighbors": (lambda s: neighbors.contours_from_neighbors(s.all_points(), s.ext, 5, 6, 1).select("fov", _first(), "hole", contours.ring_area(F.col("ring")).alias("area")),
         _sql("SELECT fov, first, hole, CAST(area AS DOUBLE) AS area FROM rings WHERE area >= 1", PAIRS, "crowd AS (SELECT fov, r, c, arg_max(n, id) AS v FROM cnt GROUP BY fov, r, c)", "crowded AS (SELECT fov, r, c FROM crowd WHERE v > 6)", _contours("crowded", "crowd"), recursive=True)),
-    "contour_polygons": (lambda s: contours.polygons(s.outlines()).select("fov", _first()), None),
+    "contour_polygons": (lambda s: contours.polygons(s.patches()).select("fov", "label", contours.ring_area(F.col("ring")).alias("area")), None),
     "inpainted_neighbors": (lambda s: inpaint.inpainted(neighbors.neighbor_raster(s.all_points(), 5), s.ext), None),
     "contours_to_mask": (lambda s: features.bulk(s.regions().select(*PX).distinct()), _sql("SELECT fov, count(*) AS area FROM regions GROUP BY fov", CONV, REGIONS, recursive=True)),
     "gene_threshold_filter": (lambda s: contours.by_target_threshold(s.regions(), s.pres, MARKED, 40).withColumnRenamed("label", "first"),
