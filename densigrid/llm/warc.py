@@ -11,7 +11,7 @@ the file. The bytes between are logged as a quarantined gap. It holds one record
 
 Defined cases: a null payload is empty; null ids are written and read back as null; rows with equal id and payload are written as often as they occur, all
 as responses if that id is the largest; empty tables give no files and an empty result; other columns are ignored; an empty or
-hopeless file gives one gap; a header of more than ``HEADER`` bytes is broken; a payload of more than ``ROW`` bytes, which no row
+hopeless file gives one gap; a header of more than ``HEADER`` bytes is broken (urls of over half as many are cut when they are written); a payload of more than ``ROW`` bytes, which no row
 can hold, comes back null with its length and digest.
 """
 
@@ -64,7 +64,8 @@ def encode_record(record_id: int | None, payload: bytes, digest: str, refers_to:
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
     ]
     if url:
-        head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
+        # a reader takes longer headers for broken ones
+        head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A").encode()[: HEADER // 2].decode(errors="ignore")))
     if refers_to is not None:
         head += [("WARC-Refers-To", name(refers_to)), ("WARC-Profile", REVISIT)]
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
