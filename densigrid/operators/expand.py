@@ -13,7 +13,7 @@ from densigrid.operators.regions import class_regions, finite_regions
 from densigrid.operators.runs import label_runs, pixels, runs
 from densigrid.sources.stage import staged
 
-LONG = 16  # beyond this reach distances come from the transform, whose cost doesn't grow with it
+LONG = 16  # beyond this reach distances come from the transform, also where sources of very many keys are apart
 LEAST_SEEDS = 4  # with fewer seeds a fov has no class regions, and nothing limits growth
 
 
@@ -36,8 +36,8 @@ def nearest_within(sources: DataFrame, ext: DataFrame, reach: int, *keys: str) -
 
 
 def nearest(sources: DataFrame, ext: DataFrame, reach: int, *keys: str) -> DataFrame:
-    """(keys, fov, r, c, d2, sr, sc, label), as of nearest_within() and of distance.transform(), which agree: the former for a short reach, the latter for a long one."""
-    return (nearest_within if reach <= LONG else distance.transform)(sources, ext, reach, *keys)
+    """(keys, fov, r, c, d2, sr, sc, label), as of nearest_within() and of distance.transform(), which agree: the former for a short reach around sources of many keys, the latter otherwise."""
+    return (nearest_within if keys and reach <= LONG else distance.transform)(sources, ext, reach, *keys)
 
 
 def expanded(mask: DataFrame, ext: DataFrame, reach: int) -> DataFrame:
