@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densigrid.operators.raster import PX, grid, inside
+from densigrid.operators.raster import PX, grid, inside, shuffled
 from densigrid.operators.runs import gaps, label_runs, least_roots, pixels, runs, touching
 
 
@@ -20,15 +20,15 @@ def union(*masks: DataFrame) -> DataFrame:
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(*PX).join(b.select(*PX), PX, "left_semi")
+    return a.select(*PX).join(shuffled(b.select(*PX)), PX, "left_semi")
 
 
 def subtract(base: DataFrame, *others: DataFrame) -> DataFrame:
-    return base.select(*PX).join(union(*others), PX, "left_anti")
+    return base.select(*PX).join(shuffled(union(*others)), PX, "left_anti")
 
 
 def complement(mask: DataFrame, ext: DataFrame) -> DataFrame:
-    return grid(ext).join(mask, PX, "left_anti")
+    return grid(ext).join(shuffled(mask), PX, "left_anti")
 
 
 def transpose(mask: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def labelled_area_filter(labelled: DataFrame, least: int) -> DataFrame:
     """Labels of at least so many pixels, ids kept; 0 is background."""
     rows = labelled.where(F.col("label") != 0)
     kept = rows.groupBy("fov", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("fov", "label")
-    return rows.join(kept, ["fov", "label"], "left_semi")
+    return rows.join(shuffled(kept), ["fov", "label"], "left_semi")
 
 
 def area_filter(mask: DataFrame, least: int) -> DataFrame:
@@ -117,9 +117,18 @@ def of_label(labelled: DataFrame, value: int) -> DataFrame:
     return labelled.where(F.col("label") == value).select(*PX)
 
 
-def padded(mask: DataFrame, ext: DataFrame, h: int, w: int) -> tuple[DataFrame, DataFrame]:
-    """The mask in the middle of images of h x w, and their extents; a spare row or column goes below or right. Smaller images are refused when they are read."""
-    fits = F.when((F.col("h") > h) | (F.col("w") > w), F.raise_error(F.lit(f"an image is larger than {h} x {w}")))
-    top = F.coalesce(fits.cast("int"), F.floor((h - F.col("h")) / 2).cast("int"))
-    moved = mask.join(ext, "fov").select("fov", (F.col("r") + top).alias("r"), (F.col("c") + F.floor((w - F.col("w")) / 2).cast("int")).alias("c"))
+def padded(mask: DataFrame, ext: DataFrame, h: int, w: int, larger: str = "refused") -> tuple[DataFrame, DataFrame]:
+    """The mask in the middle of images of h x w, and their extents; a spare row or column goes below or right.
+
+    Larger images are refused when they are read, or, if ``larger`` is "centred", moved to the same middle with all their pixels, some of which then lie outside h x w.
+    """
+    if larger not in ("refused", "centred"):
+        raise ValueError(f"unknown way with larger images {larger!r}")
+    # half of what is spare, cut towards 0 where it is less than nothing
+    half = lambda spare: (spare / 2).cast("int")
+    top = half(h - F.col("h"))
+    if larger == "refused":
+        fits = F.when((F.col("h") > h) | (F.col("w") > w), F.raise_error(F.lit(f"an image is larger than {h} x {w}")))
+        top = F.coalesce(fits.cast("int"), top)
+    moved = mask.join(ext, "fov").select("fov", (F.col("r") + top).alias("r"), (F.col("c") + half(w - F.col("w"))).alias("c"))
     return moved, ext.select("fov", F.lit(h).alias("h"), F.lit(w).alias("w"))
