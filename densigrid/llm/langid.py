@@ -17,10 +17,12 @@ where they are named as a result.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,16 +237,20 @@ def _least_hashed(rows: DataFrame, most: int) -> DataFrame:
     return some.withColumn("n", F.row_number().over(far)).where(F.col("n") <= most).select("doc_id", "lang", "n")
 
 
-def training_sample(labelled: DataFrame) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
-    """Texts by language to fit on and to calibrate on: those of the smallest id hashes, with a letter. Two scans: ids first, then their texts."""
+def training_rows(labelled: DataFrame) -> DataFrame:
+    """(doc_id, lang, text, n) to fit and to calibrate on: those of the smallest id hashes, with a letter. Two scans: ids first, then their texts."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & F.col("doc_id").isNotNull())
     ids = _least_hashed(rows, FIT_TEXTS + CALIBRATION_TEXTS)  # so many rows a language
-    found = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).collect()
+    return rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+
+
+def dealt(found: list[tuple]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Texts by language to fit on and to calibrate on, from rows (lang, n, text)."""
     fit_on: dict[str, list[str]] = {}
     test_on: dict[str, list[str]] = {}
     of: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (str(r["lang"]), r["n"], r["text"])):
-        of.setdefault(r["lang"], []).append(r["text"])
+    for lang, _, text in sorted(found, key=lambda r: (str(r[0]), r[1], r[2])):
+        of.setdefault(lang, []).append(text)
     for lang, texts in of.items():
         texts = texts[: FIT_TEXTS + CALIBRATION_TEXTS]
         held = len(texts) * CALIBRATION_TEXTS // (FIT_TEXTS + CALIBRATION_TEXTS)
@@ -254,13 +260,18 @@ def training_sample(labelled: DataFrame) -> tuple[dict[str, list[str]], dict[str
 
 
 def train(labelled: DataFrame) -> Model | None:
-    """A calibrated model from rows (doc_id, text, lang), or None when none is labelled."""
-    fit_on, test_on = training_sample(labelled)
-    if not fit_on:
-        return None
-    model = fit(fit_on)
-    calibrate(model, test_on)
-    return model
+    """A calibrated model from rows (doc_id, text, lang), or None when none is labelled. It is fitted in a task, on the bounded sample; the driver gets the model only."""
+
+    def learn(batches):
+        found = [row for rows in batches for row in zip(rows["lang"].tolist(), rows["n"].tolist(), rows["text"].tolist())]
+        if found:
+            fit_on, test_on = dealt(found)
+            model = fit(fit_on)
+            calibrate(model, test_on)
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    made = training_rows(labelled).select("lang", "n", "text").repartition(1).mapInPandas(learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 def decide(model: Model | None, text: str | None) -> tuple[str, float, bool, float]:
