@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from densigrid.operators import distance
 from densigrid.operators.contours import fill, seed_centroids
 from densigrid.operators.masks import label
-from densigrid.operators.raster import PX, grid
+from densigrid.operators.raster import PX, grid, shuffled
 from densigrid.operators.regions import class_regions, finite_regions
 from densigrid.operators.runs import label_runs, pixels, runs
 from densigrid.sources.stage import staged
@@ -61,7 +61,7 @@ def rings(seed: DataFrame, ext: DataFrame, distances: list[int], constraint: Dat
     steps = sorted(set(distances))
     out = nearest(seed, ext, steps[-1]).select(*PX, _banded(steps).alias("ring"))
     if constraint is not None:
-        out = out.join(constraint.select(*PX), PX, "left_semi")
+        out = out.join(shuffled(constraint.select(*PX)), PX, "left_semi")
     if least is None:
         return out
     found = label_runs(runs(out.withColumnRenamed("ring", "value"))).where(F.col("area") >= least)  # components of equal rings, all rings at once
@@ -77,7 +77,7 @@ def constrained(seed: DataFrame | None, ext: DataFrame, constraint: DataFrame |
 
 def constraint_remaining(constraint: DataFrame, ringed: DataFrame) -> DataFrame:
     """What the rings leave of the constraint; the seed stays in it."""
-    return constraint.select(*PX).join(ringed.select(*PX), PX, "left_anti")
+    return constraint.select(*PX).join(shuffled(ringed.select(*PX)), PX, "left_anti")
 
 
 def propagate(seed: DataFrame, ext: DataFrame, distances: list[int]) -> DataFrame:
@@ -87,7 +87,7 @@ def propagate(seed: DataFrame, ext: DataFrame, distances: list[int]) -> DataFram
     steps, known, out = sorted(set(distances)), seed.select(*PX, "label"), None
     for i, d in enumerate(steps):
         reach = d - (steps[i - 1] if i else 0) + 1
-        got = nearest(known, ext, reach).join(ringed.where(F.col("ring") == d), PX).select(*PX, "ring", "label")
+        got = nearest(known, ext, reach).join(shuffled(ringed.where(F.col("ring") == d)), PX).select(*PX, "ring", "label")
         got = staged(got) if len(steps) > 2 else got
         known = known.union(got.select(*PX, "label"))
         out = got if out is None else out.union(got)
@@ -118,12 +118,12 @@ def class_limited_rings(objects: DataFrame, ext: DataFrame, seeds: DataFrame, di
     used = seeds.join(many, "fov", "left_semi")
     if limits == "nearest":
         region = class_regions(near.select(*PX).distinct(), used, ext).withColumnRenamed("class", "_class")
-        grown = near.join(region, PX, "left").where(F.coalesce(F.col("_class") == F.col("class"), F.lit(True)))
+        grown = near.join(shuffled(region), PX, "left").where(F.coalesce(F.col("_class") == F.col("class"), F.lit(True)))
     elif limits == "clamped":
         cells = staged(finite_regions(used, ext))
         held = fill(cells, "fov", "idx", "class").select("fov", "class", "r", "c").distinct().withColumn("_in", F.lit(True))
         limited = cells.select("fov").distinct().withColumn("_limited", F.lit(True))
-        grown = near.join(held, ["fov", "class", "r", "c"], "left").join(limited, "fov", "left").where(F.col("_limited").isNull() | F.col("_in").isNotNull())
+        grown = near.join(shuffled(held), ["fov", "class", "r", "c"], "left").join(limited, "fov", "left").where(F.col("_limited").isNull() | F.col("_in").isNotNull())
     else:
         raise ValueError(f"unknown limits {limits!r}")
     grown = grown.select("fov", "class", "parent", "r", "c", "ring")

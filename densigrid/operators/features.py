@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from densigrid.operators import masks as mask_operators
 from densigrid.operators import shapes
-from densigrid.operators.raster import PX
+from densigrid.operators.raster import PX, shuffled
 from densigrid.sources.stage import staged
 
 
@@ -43,7 +43,7 @@ def counts(px: DataFrame, present: DataFrame, targets: list[str], keys: list[str
     has = lambda t: F.max(F.when(F.col("target") == t, 1)).alias(t)
     flags = present.where(F.col("target").isin(*targets)).groupBy(*PX).agg(*map(has, targets))  # one row a pixel, so that px is not repeated
     more = [F.count(F.lit(1)).alias(area)] if area else []
-    return px.join(flags, PX, "left").groupBy(*keys).agg(*(F.count(t).alias(t) for t in targets), *more)
+    return px.join(shuffled(flags), PX, "left").groupBy(*keys).agg(*(F.count(t).alias(t) for t in targets), *more)
 
 
 def bulk_counts(mask: DataFrame, present: DataFrame, targets: list[str], ext: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def grid_tiles(labelled: DataFrame, size: int) -> DataFrame:
 def hierarchy(children: DataFrame, parents: DataFrame) -> DataFrame:
     """(fov, label, parent_ids): sorted distinct parents that share a pixel with each child; empty if none."""
     up = parents.where(F.col("label") != 0).select(*PX, F.col("label").alias("parent"))
-    return children.where(F.col("label") != 0).join(up, PX, "left").groupBy("fov", "label").agg(F.array_sort(F.collect_set("parent")).alias("parent_ids"))
+    return children.where(F.col("label") != 0).join(shuffled(up), PX, "left").groupBy("fov", "label").agg(F.array_sort(F.collect_set("parent")).alias("parent_ids"))
 
 
 def overlap(cells: DataFrame, masks: DataFrame) -> DataFrame:
@@ -68,8 +68,8 @@ def overlap(cells: DataFrame, masks: DataFrame) -> DataFrame:
     names = masks.select("mask").distinct()
     frame = cells.select("fov", "cell").distinct().join(F.broadcast(names.agg(F.collect_set("mask").alias("names"))))  # one row: the names of masks
     frame = frame.select("fov", "cell", F.explode("names").alias("mask"))
-    n = cells.join(masks, PX).groupBy("fov", "cell", "mask").agg(F.count(F.lit(1)).alias("n"))
-    out = frame.join(n, ["fov", "cell", "mask"], "left").select("fov", "cell", "mask", F.coalesce("n", F.lit(0)).alias("n"))
+    n = cells.join(shuffled(masks), PX).groupBy("fov", "cell", "mask").agg(F.count(F.lit(1)).alias("n"))
+    out = frame.join(shuffled(n), ["fov", "cell", "mask"], "left").select("fov", "cell", "mask", F.coalesce("n", F.lit(0)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("fov", "cell"))  # one row a mask
     return out.select("fov", "cell", "mask", "n", F.when(total > 0, 100 * F.col("n") / total).otherwise(0.0).alias("percent"))
 
@@ -85,7 +85,7 @@ def merged(left: DataFrame, right: DataFrame, keys: list[str], last: str | None
     if last is not None:
         right = right.groupBy(*keys).agg(F.max_by(F.struct(*other), last).alias("_s")).select(*keys, "_s.*")
     met = right.select(*keys, F.struct(*other).alias("_right"))
-    rows = left.join(met, keys, "left")
+    rows = left.join(shuffled(met), keys, "left")
     own = [F.when(F.col("_right").isNotNull(), F.col(f"_right.{c}")).otherwise(F.col(c)).alias(c) if c in other else F.col(c) for c in left.columns if c not in keys]
     return rows.select(*keys, *own, *(F.col(f"_right.{c}").alias(c) for c in other if c not in left.columns))
 
@@ -146,7 +146,7 @@ def _sums(px: DataFrame, present: DataFrame, targets: list[str], levels: list[tu
     flags = present.where(F.col("target").isin(*targets)).groupBy(*PX).agg(*map(has, targets))  # one row a pixel, so that px is not repeated
     base, rest = ["fov", "number"], ["label", "grid_y", "grid_x"]
     sets = [[F.col(c) for c in (*base, *level)] for level in levels]
-    found = px.join(flags, PX, "left").groupingSets(sets, *map(F.col, (*base, *rest))).agg(
+    found = px.join(shuffled(flags), PX, "left").groupingSets(sets, *map(F.col, (*base, *rest))).agg(
         *(F.count(t).alias(t) for t in targets), F.count(F.lit(1)).alias("area"), F.avg("r").alias("centroid_y"), F.avg("c").alias("centroid_x"),
         F.min("r").alias("min_row"), F.min("c").alias("min_col"), (F.max("r") + 1).alias("max_row"), (F.max("c") + 1).alias("max_col"),
         F.var_pop("r").alias("_a"), F.var_pop("c").alias("_b"), F.covar_pop("r", "c").alias("_m"), F.grouping_id().alias("_id"))
@@ -190,7 +190,7 @@ def analysed(definitions: list[MaskDefinition], present: DataFrame, targets: lis
         apart = px.where(F.col("number").isin(*objects_)).select(F.struct("fov", "number").alias("fov"), "label", "r", "c")
         for more in (shapes.perimeters(apart), shapes.solidities(apart)):
             own = more.select(F.col("fov.fov").alias("fov"), F.col("fov.number").alias("number"), "label", F.lit("per_object").alias("analysis_type"), *[c for c in more.columns if c not in ("fov", "label")])
-            out = out.join(own, ["fov", "number", "label", "analysis_type"], "left")
+            out = out.join(shuffled(own), ["fov", "number", "label", "analysis_type"], "left")
     return out.drop("number", "label")
 
 
@@ -206,6 +206,6 @@ def hierarchies(definitions: dict[str, tuple[DataFrame, DataFrame, str]]) -> Dat
 def with_parents(results: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
     """``results`` with parent_ids: those of the table for objects of the masks named, empty where it has none; null for other masks and ids that are no numbers."""
     up = table.select("fov", "mask_name", F.col("object_id").cast("string").alias("object_id"), "parent_ids")
-    rows = results.join(up, ["fov", "mask_name", "object_id"], "left")
+    rows = results.join(shuffled(up), ["fov", "mask_name", "object_id"], "left")
     own = F.col("mask_name").isin(*names) & F.col("object_id").rlike("^-?[0-9]+$")
     return rows.withColumn("parent_ids", F.when(own, F.coalesce("parent_ids", F.array().cast("array<int>"))))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.operators.raster import shuffled
 from densigrid.sources.stage import staged
 
 PIVOTS = 64  # rows drawn as pivots; more only spare work
@@ -100,7 +101,7 @@ def nearest_neighbors(rows: DataFrame, key: str, vector: str, k: int, within: fl
                     found.append(pd.DataFrame({key: q_ids[i], "neighbor": ids[keep], "distance": np.sort(d[0])[: len(keep)]}))
                 yield pd.concat(found, ignore_index=True)
 
-    pairs = asked.join(blocks.select("cell", "ids", "far", "v"), "cell").mapInPandas(met, f"{key} long, neighbor long, distance double")
+    pairs = asked.join(shuffled(blocks.select("cell", "ids", "far", "v")), "cell").mapInPandas(met, f"{key} long, neighbor long, distance double")
     if within is not None:
         pairs = pairs.where(F.col("distance") <= within)
     rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbor"))

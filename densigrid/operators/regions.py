@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from densigrid.operators.contours import RING, fill
 from densigrid.operators.groups import by_group
-from densigrid.operators.raster import PX
+from densigrid.operators.raster import PX, shuffled
 from densigrid.operators.triangulation import finite_cells
 
 CELLS = (16384, 4096, 1024, 256, 64, 16)  # sides of the index's cells, each a quarter of the one before
@@ -48,7 +48,7 @@ def class_regions(px: DataFrame, seeds: DataFrame, ext: DataFrame) -> DataFrame:
     """
     side = CELLS[-1]
     tiled = px.select(*PX, F.floor(F.col("r") / side).cast("int").alias("ty"), F.floor(F.col("c") / side).cast("int").alias("tx"))
-    met = tiled.join(candidates(seeds, ext), ["fov", "ty", "tx"])
+    met = tiled.join(shuffled(candidates(seeds, ext)), ["fov", "ty", "tx"])
     far = (F.col("c") - F.col("cx")) * (F.col("c") - F.col("cx")) + (F.col("r") - F.col("cy")) * (F.col("r") - F.col("cy"))
     best = met.groupBy("fov", "ty", "tx", "r", "c").agg(F.min(F.struct(far.alias("d2"), F.col("idx"), F.col("class"))).alias("s"))
     return best.select(*PX, F.col("s.class").alias("class"))
