@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.operators.raster import PX, grid, inside, shuffled
@@ -35,25 +35,35 @@ def transpose(mask: DataFrame) -> DataFrame:
     return mask.select("fov", F.col("c").alias("r"), F.col("r").alias("c"))
 
 
-def _moved(mask: DataFrame, low: int, high: int) -> DataFrame:
-    rows = mask.select(*PX).withColumn("r", F.explode(F.sequence(F.col("r") + low, F.col("r") + high))).distinct()
-    return rows.withColumn("c", F.explode(F.sequence(F.col("c") + low, F.col("c") + high))).distinct()
+def _along(px: DataFrame, at: str) -> tuple[DataFrame, list[str]]:
+    """Runs a to b of pixels (fov, r, c, h, w) along one axis, and what they share. A line of pixels is dealt as one, and nothing is spread."""
+    line = ["fov", "c" if at == "r" else "r"]
+    own = Window.partitionBy(*line).orderBy(at)
+    marked = px.withColumn("_first", F.when(F.lag(at).over(own) >= F.col(at) - 1, 0).otherwise(1)).withColumn("_run", F.sum("_first").over(own))
+    return marked.groupBy(*line, "_run", "h", "w").agg(F.min(at).alias("a"), F.max(at).alias("b")), line
+
+
+def _axes(mask: DataFrame, ext: DataFrame, ends) -> DataFrame:
+    """The mask after each of its runs, along the rows and then the columns, has got the ends that ``ends`` tells from a run, its line and the image's size there."""
+    px = inside(mask.select(*PX).join(ext, "fov"))
+    for at, size in (("c", "w"), ("r", "h")):
+        found, line = _along(px, at)
+        low, high = ends(Window.partitionBy(*line).orderBy("a"), F.col(size))
+        moved = found.select(*line, "h", "w", low.alias("low"), high.alias("high")).where(F.col("low") <= F.col("high"))
+        px = moved.select(*line, "h", "w", F.explode(F.sequence("low", "high")).alias(at))
+    return px.select(*PX)
 
 
 def dilate(mask: DataFrame, ext: DataFrame, k: int) -> DataFrame:
-    """k x k ones, anchor k // 2; one axis after the other."""
-    return inside(_moved(mask, -(k - 1 - k // 2), k // 2).join(ext, "fov")).select(*PX)
+    """k x k ones, anchor k // 2; one axis after the other. A run begins where the one before it has ended, so a pixel is made once."""
+    low, high = -(k - 1 - k // 2), k // 2
+    return _axes(mask, ext, lambda line, size: (F.greatest(F.col("a") + low, F.lag("b").over(line) + (high + 1), F.lit(0)), F.least(F.col("b") + high, size - 1)))
 
 
 def erode(mask: DataFrame, ext: DataFrame, k: int) -> DataFrame:
     """What is outside the image does not count. A pixel stays if its window along the row, and then along the column, is full."""
     low, high = -(k - 1 - k // 2), k // 2
-    rows = mask.select(*PX).join(ext, "fov")
-    for at, size in (("c", "w"), ("r", "h")):
-        met = rows.withColumn(at, F.explode(F.sequence(F.col(at) + low, F.col(at) + high))).groupBy(*PX, "h", "w").agg(F.count(F.lit(1)).alias("n"))
-        full = F.least(F.col(at) - low, F.col(size) - 1) - F.greatest(F.col(at) - high, F.lit(0)) + 1
-        rows = inside(met).where(F.col("n") == full).drop("n")
-    return rows.select(*PX)
+    return _axes(mask, ext, lambda _, size: (F.when(F.col("a") == 0, 0).otherwise(F.col("a") + high), F.when(F.col("b") == size - 1, F.col("b")).otherwise(F.col("b") + low)))
 
 
 def morphology(mask: DataFrame, ext: DataFrame, operation: str, k: int) -> DataFrame:
