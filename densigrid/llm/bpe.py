@@ -1,7 +1,7 @@
 """Exact byte-pair encoding by backtracking, and decoding by an offset table.
 
-An Aho-Corasick automaton gives all tokens that start at each place of a piece. The encoder takes the longest one that goes with the token before it, and
-steps back where no token does; two tokens go together when merging would never have crossed the border between them, which
+An Aho-Corasick automaton gives the longest token that starts at a place of a piece, and a table the next shorter one that it begins with. The encoder takes the
+longest one that goes with the token before it, and steps back where no token does; two tokens go together when merging would never have crossed the border between them, which
 follows from the merge table alone and is kept in a pair table. Every place of a piece is given up at most once, so the work is
 linear in its length. Decoding gathers the bytes of all tokens from one buffer by their offsets.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 
 import ahocorasick
@@ -77,13 +78,23 @@ class Bpe:
             if i in self.parts or len(mark(token)) == 1 or len(mark(token)) == 2 and mark(token).endswith(END):
                 self.words.add_word(mark(token), (len(mark(token)), i))
         self.words.make_automaton()
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACE)
+        size = max([*vocab.values(), *(x["id"] for x in spec.get("added_tokens", []))]) + 1
+        self.length, self.shorter = [0] * size, [-1] * size  # of each token its length, and the longest other token that it begins with
+        known = dict((word, token) for word, (_, token) in self.words.items())
+        for word, token in known.items():
+            self.length[token] = len(word)
+            self.shorter[token] = next((known[word[:k]] for k in range(len(word) - 1, 0, -1) if word[:k] in known), -1)
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # No piece holds white space, nor depends on which it is, if the pattern names it only among what a class leaves out.
+        self.blanks_matter = bool(re.search(r"\s|[\\.$^]", re.sub(r"\[\^[^\]]*\]|\\p\{[LN]\}", "", pattern)))
+        pattern = pattern.replace("\\s", SPACE)
         self.split = regex.compile(pattern)
+        simple = pattern.replace("\\p{L}", "a-zA-Z").replace("\\p{N}", "0-9")
+        self.split_ascii = self.split if "\\p" in simple else re.compile(simple)
         self.blank = regex.compile(f"[{SPACE}]+")
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special = {k: np.array([v], dtype="<u4").tobytes() for k, v in added.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
-        size = max([*vocab.values(), *added.values()]) + 1
         names = [b""] * size
         for t, i in [*vocab.items(), *added.items()]:
             names[i] = t.encode()
@@ -124,40 +135,40 @@ class Bpe:
         """Ids of one piece of text (a word), as little-endian 32-bit integers."""
         letters = self.letters
         word = "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")]) + END
-        n = len(word)
-        starts: list = [None] * n  # tokens from each place, shortest first: they end ever later
-        for end, (length, token) in self.words.iter(word):
-            at = end - length + 1
-            if starts[at] is None:
-                starts[at] = [(length, token)]
-            else:
-                starts[at].append((length, token))
+        n, fits, length, shorter = len(word), self.fits, self.length, self.shorter
+        longest = [-1] * n  # tokens at the places met
+        for end, (size, token) in self.words.iter_long(word):
+            longest[end - size + 1] = token
         dead = bytearray(n + 1)
-        path: list[tuple[int, int, int]] = []  # (place, tokens left to try there, token)
-        fits, at, last = self.fits, 0, -1
-        left = len(starts[0] or ())
+        path: list[int] = []
+        at, last, token = 0, -1, longest[0]
         while at < n:
-            options = starts[at]
-            while left:
-                length, token = options[left - 1]
-                if not dead[at + length]:
+            while token >= 0:
+                if not dead[at + length[token]]:
                     if last < 0:
                         break
                     good = fits.get(last << 32 | token)
                     if good if good is not None else self.together(last, token):
                         break
-                left -= 1
-            if left:
-                path.append((at, left, token))
-                at, last = at + length, token
-                left = len(starts[at] or ()) if at < n else 0
+                token = shorter[token]
+            if token >= 0:
+                path.append(token)
+                at, last = at + length[token], token
+                if at < n:
+                    token = longest[at]
+                    if token < 0:
+                        end, (size, token) = next(self.words.iter_long(word, at), (-1, (0, -1)))
+                        if end - size + 1 != at:
+                            token = -1
+                        longest[at] = token
             else:
                 dead[at] = 1
                 if not path:
                     raise ValueError("no token sequence")
-                at, left, _ = path.pop()
-                left, last = left - 1, path[-1][2] if path else -1
-        return np.array([t for _, _, t in path], dtype="<u4").tobytes()
+                token = path.pop()
+                at, last = at - length[token], path[-1] if path else -1
+                token = shorter[token]
+        return np.array(path, dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -167,9 +178,12 @@ class Bpe:
         return np.frombuffer(b"".join(self.special.get(x) or self._plain(x) for x in self.cut.split(text) if x), dtype="<u4")
 
     def _plain(self, text: str) -> bytes:
+        split = self.split_ascii
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma isn't told apart
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(self.blank.sub(" ", text).lower())))
+            split, text = self.split, unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma isn't told apart
+        if self.blanks_matter:
+            text = self.blank.sub(" ", text)
+        return b"".join(map(self.pieces.__getitem__, split.findall(text.lower())))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, in UTF-8."""
