@@ -14,6 +14,7 @@ from densigrid.sources.stage import staged
 
 PIVOTS = 64  # rows drawn as pivots; more only spare work
 BLOCK = 512  # rows of a cell that are handled at once
+EXACT = 1 << 16  # distances worked out from differences at a time
 _SLACK = 1 + 1e-9
 
 
@@ -26,9 +27,38 @@ def _matrix(packed: bytes, width: int) -> np.ndarray:
     return np.frombuffer(packed, dtype=np.float64).reshape(-1, width)
 
 
-def _ordered(far: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Of each row the places of its ``k`` least distances, of equal ones the least ids."""
-    return np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :k]
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances between all rows of two sets by one product of matrices, and how far each row of them may be off."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        return aa[:, None] + bb - 2 * (a @ b.T), (aa + bb.max(initial=0)) * (1e-15 * (a.shape[1] + 8)) + 1e-300
+
+
+def _least(squares: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the k-th least square; infinite where there are fewer, or where some are not known."""
+    if squares.shape[1] < k:
+        return np.full(len(squares), np.inf)
+    found = np.partition(squares, k - 1, axis=1)[:, k - 1]
+    return np.where(np.isnan(found), np.inf, found)
+
+
+def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of up to the k nearest rows j of ``x`` of each row i of ``q``, ties to the smaller id, and the bounds lowered to the k-th of them.
+
+    The product of matrices tells which rows may be nearest, no farther than ``bound`` (squared); only their distances are worked out from the differences.
+    """
+    squares, off = _squares(q, x)
+    own = q_ids[:, None] == ids
+    squares[own] = np.inf
+    bound = np.minimum(bound, _least(squares, k) + 2 * off)
+    with np.errstate(invalid="ignore"):
+        i, j = np.nonzero(~(squares > (bound + off)[:, None]) & ~own)
+    far = np.concatenate([np.zeros(0), *(np.sqrt(((q[i[lo : lo + EXACT]] - x[j[lo : lo + EXACT]]) ** 2).sum(axis=1)) for lo in range(0, len(i), EXACT))])
+    order = np.lexsort((ids[j], far, i))
+    i, j, far = i[order], j[order], far[order]
+    count = np.bincount(i, minlength=len(q))
+    first = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) < k
+    return i[first], j[first], far[first], bound
 
 
 def nearest_neighbors(rows: DataFrame, key: str, vector: str, k: int, within: float | None = None) -> DataFrame:
@@ -69,11 +99,9 @@ def nearest_neighbors(rows: DataFrame, key: str, vector: str, k: int, within: fl
         part = part.sort_values("id")
         cell, x = int(part["cell"].iloc[0]), _matrix(b"".join(part["v"]), width)
         ids, far = part["id"].to_numpy(), part["far"].to_numpy()
-        to = np.empty(len(x))
-        for lo in range(0, len(x), 64):
-            d = _distances(x[lo : lo + 64], x)
-            d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
-            to[lo : lo + 64] = np.sort(d, axis=1)[:, k - 1] if len(x) > k else np.inf
+        squares, off = _squares(x, x)
+        np.fill_diagonal(squares, np.inf)
+        to = np.sqrt(np.maximum(_least(squares, k) + 2 * off, 0)) * _SLACK  # no less than the k-th distance
         if within is not None:
             to = np.minimum(to, within)
         reach = _distances(x, pivots) <= (to[:, None] + radius) * _SLACK + 1e-12
@@ -86,20 +114,20 @@ def nearest_neighbors(rows: DataFrame, key: str, vector: str, k: int, within: fl
     asked = blocks.select(F.col("ids").alias("q_ids"), F.col("to").alias("q_to"), F.col("v").alias("q_v"), F.explode("need").alias("cell"))
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, bound = None, None
         for part in batches:
             for row in part.itertuples(index=False):
                 q_ids, ids = np.frombuffer(row.q_ids, dtype=np.int64), np.frombuffer(row.ids, dtype=np.int64)
                 to, far = np.frombuffer(row.q_to), np.frombuffer(row.far)
                 q, x = _matrix(row.q_v, width), _matrix(row.v, width)
-                at = _distances(q, pivots[row.cell : row.cell + 1])[:, 0]
-                found = []
-                for i in range(len(q)):
-                    near = np.flatnonzero((np.abs(far - at[i]) <= to[i] * _SLACK + 1e-12) & (ids != q_ids[i]))
-                    d = _distances(q[i : i + 1], x[near])
-                    best = _ordered(d, ids[near], k)[0]
-                    keep = near[best][d[0][best] <= to[i] * _SLACK + 1e-12]
-                    found.append(pd.DataFrame({key: q_ids[i], "neighbor": ids[keep], "distance": np.sort(d[0])[: len(keep)]}))
-                yield pd.concat(found, ignore_index=True)
+                if (row.q_ids, row.cell) != last:  # the blocks of a cell follow each other, and each lowers the bounds for the next
+                    last, bound = (row.q_ids, row.cell), (to * _SLACK + 1e-12) ** 2
+                    at = _distances(q, pivots[row.cell : row.cell + 1])[:, 0]
+                    low, high = (at - to * _SLACK).min() - 1e-12, (at + to * _SLACK).max() + 1e-12
+                near = ~((far < low) | (far > high))
+                i, j, d, bound = _nearest(q, q_ids, x[near], ids[near], k, bound)
+                keep = d <= to[i] * _SLACK + 1e-12
+                yield pd.DataFrame({key: q_ids[i[keep]], "neighbor": ids[near][j[keep]], "distance": d[keep]})
 
     pairs = asked.join(shuffled(blocks.select("cell", "ids", "far", "v")), "cell").mapInPandas(met, f"{key} long, neighbor long, distance double")
     if within is not None:
