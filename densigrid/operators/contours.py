@@ -80,14 +80,15 @@ def fill(rings: DataFrame, *keys: str) -> DataFrame:
     sides = edges(rings, *keys)
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     met = sides.where(F.col("y0") != F.col("y1")).withColumn("r", F.explode(F.sequence(low, high - 1)))
-    cross = F.col("x0") + (F.col("r") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    # products of two lengths are long: a side may run along a whole field
+    cross = F.col("x0") + (F.col("r") - F.col("y0")).cast("long") * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
     rows = met.groupBy(*keys, "r").agg(F.sort_array(F.collect_list(cross.cast("double"))).alias("at"))
     spans = rows.select(*keys, "r", "at", F.explode(F.sequence(F.lit(1), (F.size("at") / 2).cast("int"))).alias("k"))
     a, b = F.ceil(F.element_at("at", 2 * F.col("k") - 1)).cast("int"), F.floor(F.element_at("at", 2 * F.col("k"))).cast("int")
     inner = spans.select(*keys, "r", a.alias("a"), b.alias("b")).where(F.col("a") <= F.col("b")).select(*keys, "r", F.explode(F.sequence("a", "b")).alias("c"))
     n = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")), F.lit(1))
     steps = sides.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    on = lambda p, q: F.rint(F.col(p) + F.col("i") * (F.col(q) - F.col(p)) / F.col("n")).cast("int")
+    on = lambda p, q: F.rint(F.col(p) + F.col("i").cast("long") * (F.col(q) - F.col(p)) / F.col("n")).cast("int")
     outline = steps.select(*keys, on("y0", "y1").alias("r"), on("x0", "x1").alias("c"))
     return inner.union(outline).distinct()
 

@@ -94,7 +94,8 @@ def circle_runs(circles: DataFrame, ext: DataFrame) -> DataFrame:
     whole = lambda x: F.col(x).cast("int")
     at = circles.join(ext, "fov").select("fov", "cluster", "h", "w", whole("cy").alias("y"), whole("cx").alias("x"), whole("radius").alias("k"))
     rows = at.withColumn("r", F.explode(F.sequence(F.greatest(F.col("y") - F.col("k"), F.lit(0)), F.least(F.col("y") + F.col("k"), F.col("h") - 1))))
-    half = F.floor(F.sqrt(F.col("k") * F.col("k") - (F.col("r") - F.col("y")) * (F.col("r") - F.col("y")))).cast("int")
+    k, up = F.col("k").cast("long"), (F.col("r") - F.col("y")).cast("long")
+    half = F.floor(F.sqrt(k * k - up * up)).cast("int")
     return rows.select("fov", "cluster", "r", F.greatest(F.col("x") - half, F.lit(0)).alias("c0"), F.least(F.col("x") + half, F.col("w") - 1).alias("c1"))
 
 
