@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from densigrid.operators.raster import PX, grid, inside, shuffled
+from densigrid.operators.raster import PX, absent, inside, shuffled
 from densigrid.operators.runs import gaps, label_runs, least_roots, pixels, runs, touching
 
 
@@ -28,7 +28,7 @@ def subtract(base: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def complement(mask: DataFrame, ext: DataFrame) -> DataFrame:
-    return grid(ext).join(shuffled(mask), PX, "left_anti")
+    return absent(mask, ext)
 
 
 def transpose(mask: DataFrame) -> DataFrame:

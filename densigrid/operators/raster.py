@@ -129,6 +129,19 @@ def grid(ext: DataFrame) -> DataFrame:
     return rows.select("fov", "r", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("c"))
 
 
+def absent(px: DataFrame, ext: DataFrame) -> DataFrame:
+    """Pixels of the image that are not among ``px`` (fov, r, c): what lies between those of a row. Only ``px`` and the ends of rows are dealt, by row, and sorted there; the
+    other pixels are made where they are read, by as many tasks as rows are dealt to."""
+    rows = ext.select("fov", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("r"))
+    ends = rows.select("fov", "r", F.explode(F.array(F.lit(-1), F.col("w"))).alias("c"), F.lit(1).alias("end"))
+    own = Window.partitionBy("fov", "r").orderBy("c", "end")
+    met = px.where(F.col("c").isNotNull()).select(*PX, F.lit(0).alias("end")).union(ends)
+    met = met.withColumns({"before": F.lag("c").over(own), "ends": F.sum("end").over(own.rowsBetween(Window.unboundedPreceding, -1))})
+    # between the two ends of a row of the image
+    open_ = met.where((F.col("ends") == 1) & (F.col("c") - F.col("before") > 1))
+    return open_.select("fov", "r", F.explode(F.sequence(F.col("before") + 1, F.col("c") - 1)).alias("c"))
+
+
 def threshold(dense: DataFrame, ext: DataFrame, limit: float, direction: str = "higher") -> DataFrame:
     """Pixels strictly above or below the limit; for the latter, pixels without a row count as 0."""
     if direction == "higher":
