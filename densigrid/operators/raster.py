@@ -147,5 +147,6 @@ def threshold(dense: DataFrame, ext: DataFrame, limit: float, direction: str = "
     if direction == "higher":
         return dense.where(F.col("v") > limit).select(*PX)
     if direction == "lower":
-        return grid(ext).join(shuffled(dense), PX, "left").where(F.coalesce("v", F.lit(0)) < limit).select(*PX)
+        low = F.coalesce("v", F.lit(0)) < limit
+        return absent(dense.where(~low), ext) if limit > 0 else inside(dense.where(low).join(ext, "fov")).select(*PX)
     raise ValueError(f"unknown direction {direction!r}")
