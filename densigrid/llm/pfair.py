@@ -22,10 +22,10 @@ from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from densigrid.llm.common import discard, packed, salted_join, unpacked, written
+from densigrid.llm.common import discard, packed, quoted, salted_join, unpacked, written
 
 RESULTS = ("_phase", "_block", "_release", "_deadline", "_slot", "_place")
 TILE = 64  # blocks of a source among which a block looks for its phase
@@ -94,25 +94,31 @@ def plan(rows: dict[str, int], weight: Callable[[str], object], block_rows: int)
         left = {s: n for s, n in left.items() if n}
 
 
-def numbered(docs: DataFrame, source: str, order: str, seed: int, n: int) -> DataFrame:
+def tie(docs: DataFrame) -> Column:
+    """What rows of equal ids go by: a hash of all columns of ``docs``. Carried along, it gives a row its place again after its other columns have changed."""
+    return F.xxhash64(*(F.col(quoted(c)) for c in docs.columns))
+
+
+def numbered(docs: DataFrame, source: str, order: str, seed: int, n: int, ties: str | None = None) -> DataFrame:
     """(row, name, seq): the packed rows of ``docs`` with their number (from 0) within their source in a seeded order, that of a digest."""
     buckets = max(64, math.isqrt(n))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(order).cast("string"), F.lit(""))))
-    keyed = docs.select(packed(docs), source_name(source).alias("name"), digest.alias("h"))
-    # Buckets follow the digest's order. Equal digests (of repeated ids) go by the whole row.
+    keyed = docs.select(packed(docs), source_name(source).alias("name"), digest.alias("h"), *([F.col(quoted(ties)).alias("tie")] if ties else []))
+    # Buckets follow the digest's order. Equal digests (of repeated ids) go by ``ties``, or by the whole row.
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * buckets).cast("int")
     keyed = keyed.withColumn("b", bucket)
     ahead = Window.partitionBy("name").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy("name", "b").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("name", "b", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("off"))
-    within = Window.partitionBy("name", "b").orderBy("h", F.xxhash64("row"))
+    within = Window.partitionBy("name", "b").orderBy("h", F.col("tie") if ties else F.xxhash64("row"))
     return keyed.withColumn("i", F.row_number().over(within) - 1).join(offsets, ["name", "b"]).select("row", "name", "h", (F.col("off") + F.col("i")).alias("seq"))
 
 
-def schedule(docs: DataFrame, weights: dict | Callable[[str], object] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = 4, seed: int = 11) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | Callable[[str], object] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = 4, seed: int = 11, ties: str | None = None) -> DataFrame:
     """``docs`` with _phase, _block, _release, _deadline, _slot (all in block slots, global) and _place, the place in the mix (from 0, without gaps).
 
-    ``weights``: target share of each source in any unit, as a dict by source or as a function of its text; None: equal shares.
+    ``weights``: target share of each source in any unit, as a dict by source or as a function of its text; None: equal shares. ``ties``: a column that rows of equal
+    ids go by; None: the whole row.
     """
     if weights is None:
         weight = lambda s: 1
@@ -140,7 +146,7 @@ def schedule(docs: DataFrame, weights: dict | Callable[[str], object] | None = N
     tiles = F.explode(F.sequence(F.floor(F.col("lo") / TILE), F.floor((F.col("hi") - 1) / TILE)))
     spans = laid.where(F.col("kind") == SPAN).withColumn("tile", tiles).select(F.struct("name", "tile").alias("at"), "phase", "start", "place", "period", "c", "lo", "hi")
     cells = laid.where(F.col("kind") == CELL).select(F.struct("phase", "name", "j").alias("cell"), "release", "due", "slot")
-    rows = numbered(docs, source, order, seed, total).withColumn("block", F.floor(F.col("seq") / block_rows).cast("long"))
+    rows = numbered(docs, source, order, seed, total, ties).withColumn("block", F.floor(F.col("seq") / block_rows).cast("long"))
     rows = rows.withColumn("at", F.struct("name", F.floor(F.col("block") / TILE).alias("tile")))
     inside = (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi"))
     met = rows.join(spans, "at").where(inside).withColumn("k", F.col("block") - F.col("lo"))
@@ -158,7 +164,7 @@ def schedule(docs: DataFrame, weights: dict | Callable[[str], object] | None = N
 
 def mixed(docs: DataFrame, weights: dict | Callable[[str], object] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = 4, parts: int | None = None) -> DataFrame:
     """Every row and the columns of ``docs``, in the order of the mix: range partitions by place, sorted within."""
-    rows = docs.select(packed(docs), F.col(source).alias("source"), F.col(order).alias("id"))
-    placed = schedule(rows, weights, "source", "id", block_rows)
+    rows = docs.select(packed(docs), F.col(source).alias("source"), F.col(order).alias("id"), tie(docs).alias("tie"))
+    placed = schedule(rows, weights, "source", "id", block_rows, ties="tie")
     ranged = placed.repartitionByRange(parts, "_place") if parts else placed.repartitionByRange("_place")
     return unpacked(ranged.sortWithinPartitions("_place"), docs)
