@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densigrid.llm.common import discard, extended, hot_keys, packed, salted_join, unpacked, written
+from densigrid.llm.common import discard, extended, hot_keys, packed, salted_join, shuffled, unpacked, written
 from densigrid.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -215,7 +215,7 @@ def verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     """``pairs`` (a, b) of nodes that align, with their similarity; sequences (node, words)."""
     left = sequences.select(F.col("node").alias("b"), F.col("words").alias("wb"))
     right = sequences.select(F.col("node").alias("a"), F.col("words").alias("wa"))
-    met = pairs.join(left, "b").join(right, "a").select("a", "b", "wa", "wb")
+    met = pairs.join(shuffled(left), "b").join(shuffled(right), "a").select("a", "b", "wa", "wb")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = lambda x: shingles(np.frombuffer(x, dtype=np.uint32).astype(np.uint64))
@@ -243,10 +243,10 @@ def link_nodes(signed: DataFrame) -> DataFrame | None:
     if single.limit(1).count() == 0:
         return None
     needed = single.select("node").distinct()
-    sequences = written(one.select("node", "words").join(needed, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "omh-words")
+    sequences = written(one.select("node", "words").join(shuffled(needed), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "omh-words")
     comps = _round(single, sequences, None, 0)
     # The second round asks for any two of a node's keys at once: its groups are smaller and purer. It only spares work; the last step tries what it leaves.
-    known = written(of_node.join(needed, "node", "left_semi"), "omh-known")
+    known = written(of_node.join(shuffled(needed), "node", "left_semi"), "omh-known")
     for r, shifts in enumerate(SHIFTS, 1):
         two = F.array(*(F.xxhash64(F.lit(d), F.lit(i), F.col("keys")[i], F.col("keys")[(i + d) % BANDS]) for d in shifts for i in range(BANDS)))
         rows = _shared(known.select("node", "size", F.explode(two).alias("key")), "omh-shared")
@@ -293,13 +293,13 @@ def _admitted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _rest(rows: DataFrame, sequences: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that share a key, are in different components and can align well enough."""
     total = rows.count()
-    at = rows.select("node", "size", "key").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    at = rows.select("node", "size", "key").join(shuffled(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     # Large components of a group have blocks of their own, which needn't meet each other; the others share blocks.
     own = F.col("n") > BLOCK
     open_keys = of_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).alias("pooled")).where(F.col("comps") > 1)
     dealt = written(
-        of_comp.join(open_keys, "key").select("key", "comp", F.when(own, F.col("comp")).alias("whose"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("pooled")) / BLOCK).alias("blocks")), "omh-open",
+        of_comp.join(shuffled(open_keys), "key").select("key", "comp", F.when(own, F.col("comp")).alias("whose"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("pooled")) / BLOCK).alias("blocks")), "omh-open",
     )
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,14 +308,14 @@ def _rest(rows: DataFrame, sequences: DataFrame, comps: DataFrame) -> DataFrame:
 
     mine = at.withColumn("own", F.struct("key", "comp")).drop("comp", "key")
     placed = salted_join(mine, dealt.withColumn("own", F.struct("key", "comp")), "own", "node", total).withColumn("place", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    marked = sequences.join(placed.select("node").distinct(), "node", "left_semi").mapInPandas(mark, "node binary, bits binary")
+    marked = sequences.join(shuffled(placed.select("node").distinct()), "node", "left_semi").mapInPandas(mark, "node binary, bits binary")
     # A size's four bytes, the first of them highest.
     member = F.concat("node", "comp", F.unhex(F.lpad(F.hex("size"), 8, "0")), "bits")
-    blocks = placed.join(marked, "node").groupBy("key", "whose", "place").agg(F.collect_list(member).alias("members"))
+    blocks = placed.join(shuffled(marked), "node").groupBy("key", "whose", "place").agg(F.collect_list(member).alias("members"))
     blocks = written(blocks.withColumn("block", F.coalesce(F.hex("whose"), F.lit(""))).select("key", "whose", "block", "place", "members"), "omh-blocks")
     side = lambda x: blocks.select("key", *(F.col(c).alias(c + x) for c in ("whose", "block", "place", "members")))
     first, second = F.struct("block1", "place1"), F.struct("block2", "place2")
-    met = side("1").join(side("2"), "key").where((first <= second) & (F.col("whose1").isNull() | F.col("whose2").isNull() | (F.col("whose1") != F.col("whose2"))))
+    met = side("1").join(shuffled(side("2")), "key").where((first <= second) & (F.col("whose1").isNull() | F.col("whose2").isNull() | (F.col("whose1") != F.col("whose2"))))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -331,12 +331,12 @@ def _rest(rows: DataFrame, sequences: DataFrame, comps: DataFrame) -> DataFrame:
 def _shared(keyed: DataFrame, label: str) -> DataFrame:
     """The rows (node, size, key) whose key has several nodes, written."""
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
-    return written(keyed.join(groups, "key").select("node", "size", "key"), label)
+    return written(keyed.join(shuffled(groups), "key").select("node", "size", "key"), label)
 
 
 def _round(rows: DataFrame, sequences: DataFrame, comps: DataFrame | None, r: int) -> DataFrame:
     """Components after each key's leader is compared with the nodes of its key that are in other components."""
-    at = rows.withColumn("comp", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    at = rows.withColumn("comp", F.col("node")) if comps is None else rows.join(shuffled(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # First one order for all keys, so a group mostly has one leader; then an order for each key.
     turn = F.xxhash64("node", F.lit(r)) if r == 0 else F.xxhash64("node", "key", F.lit(r))
     order = F.struct(turn.alias("h"), F.col("node").alias("leader"), F.col("comp").alias("leader_comp"), F.col("size").alias("leader_size"))
@@ -385,5 +385,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("comp", alone.alias("alone")).agg(F.min(F.struct("doc_id", "node", "text_id")).alias("top"))
     kept = first.select(F.col("top.doc_id").alias("kept"), F.col("top.text_id").alias("kept_text"))
     own = docs.where(F.col("doc_id").isNotNull()).select(packed(docs), F.col("doc_id").alias("id"), F.md5("text").alias("text_id"))
-    met = own.join(kept, (F.col("id") == F.col("kept")) & F.col("text_id").eqNullSafe(F.col("kept_text")), "left_semi").dropDuplicates(["id", "text_id"])
+    met = own.join(shuffled(kept), (F.col("id") == F.col("kept")) & F.col("text_id").eqNullSafe(F.col("kept_text")), "left_semi").dropDuplicates(["id", "text_id"])
     return unpacked(met, docs).unionByName(docs.where(F.col("doc_id").isNull()))
